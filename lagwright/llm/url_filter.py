@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,7 +116,7 @@ def filter_urls(
             block, bits = blocks_of(flat.field("x").to_numpy(zero_copy_only=False), len(words))
             hit = ((words[block] & bits) == bits).all(1)
             ends = np.concatenate([[0], np.cumsum(hit)])
-            sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
             offsets = ends[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
             kept = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.filter(pa.array(hit)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), kept], names=batch.schema.names)
