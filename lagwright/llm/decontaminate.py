@@ -74,20 +74,23 @@ def overlaps(
     hits = seeds(rows, masks).join(listed, "seed").join(sides, "_item_row")
     start = F.col("pos") - F.col("_item_pos")
     equal = F.transform("_item_h", lambda w, j: F.when(start + j >= 0, F.coalesce((F.get(F.col("h"), start + j) == w).cast("int"), F.lit(0))).otherwise(0))
-    hits = hits.select("_doc", "_item", F.size("_item_h").alias("item_words"), equal.alias("_equal"))
-    width = F.least(F.col("item_words"), F.lit(WINDOW))
-    # The sum of each window from the one before it; state: (sum, best).
-    run = F.aggregate(
-        F.sequence(F.lit(0), F.col("item_words") - 1),
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")),
-        lambda s, j: F.struct(
-            (s["now"] + F.get("_equal", j) - F.when(j >= width, F.get("_equal", j - width)).otherwise(0)).alias("now"),
-            F.greatest(s["best"], s["now"] + F.get("_equal", j) - F.when(j >= width, F.get("_equal", j - width)).otherwise(0)).alias("best"),
-        ),
-        lambda s: s["best"],
-    )
-    scored = hits.select("_doc", "_item", "item_words", width.alias("n_compared"), run.alias("n_matched"), F.aggregate("_equal", F.lit(0), lambda a, x: a + x).alias("item_matched"))
-    scored = scored.where(F.col("n_compared") - F.col("n_matched") <= F.when(F.col("item_words") < WINDOW, 0).otherwise(SUBSTITUTIONS))
+    hits = hits.select("_doc", "_item", F.size("_item_h").alias("item_words"), F.least(F.size("_item_h"), F.lit(WINDOW)).alias("n_compared"), equal.alias("_equal"))
+
+    def counts(e: Column) -> Column:
+        """Matches in the best window, and in all. Each window's sum comes from the one before it; state: (sum, best)."""
+        step = lambda s, j: s["now"] + F.get(e, j) - F.when(j >= F.col("n_compared"), F.get(e, j - F.col("n_compared"))).otherwise(0)
+        best = F.aggregate(
+            F.sequence(F.lit(0), F.col("item_words") - 1),
+            F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")),
+            lambda s, j: F.struct(step(s, j).alias("now"), F.greatest(s["best"], step(s, j)).alias("best")),
+            lambda s: s["best"],
+        )
+        return F.struct(best.alias("n_matched"), F.aggregate(e, F.lit(0), lambda a, x: a + x).alias("item_matched"))
+
+    # A lambda's argument is worked out once; a column would be put in place of each of its uses.
+    counted = F.get(F.transform(F.array("_equal"), counts), F.lit(0))
+    allowed = F.when(F.col("item_words") < WINDOW, 0).otherwise(SUBSTITUTIONS)
+    scored = hits.select("_doc", "_item", "item_words", "n_compared", counted.alias("_c")).select("*", "_c.*").where(F.col("n_compared") - F.col("n_matched") <= allowed)
     best = F.max(F.struct("n_matched", "item_matched", "n_compared", "item_words")).alias("b")
     return scored.groupBy(F.col("_doc").alias(doc_key), F.col("_item").alias(item_key)).agg(best).select(doc_key, item_key, "b.n_matched", "b.n_compared", "b.item_matched", "b.item_words")
 
