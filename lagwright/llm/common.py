@@ -66,13 +66,18 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
-    """All words ``[^\\x20\\x09-\\x0D]+`` of the rows in order, and where each row's words begin and end among them."""
+def split_words(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[pa.StringArray, np.ndarray]:
+    """All words ``[^\\x20\\x09-\\x0D]+`` of the rows in order, and where each row's words begin and end among them.
+
+    cuts: marks bytes at which a new word begins in any case.
+    """
     solid = ~SPACE[data]
     before = np.zeros(len(data), bool)
     before[1:] = solid[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
     before[heads] = False
+    if cuts is not None:
+        before &= ~cuts
     starts = np.flatnonzero(solid & ~before)
     bounds = np.searchsorted(starts, offsets)
     kept = data[solid]
@@ -90,8 +95,8 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of all the runs, end to end."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+    ends = np.cumsum(lengths, dtype=lengths.dtype)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=lengths.dtype) + np.repeat(starts - (ends - lengths), lengths)
 
 
 def map_chunks(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
