@@ -99,11 +99,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0, dtype=lengths.dtype) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def map_chunks(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
+def map_chunks(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """``work`` over pieces of bounded size; narrow, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, column):
+        for piece in pieces(batches, column, limit):
             yield work(piece)
 
     return df.mapInArrow(run, schema)
