@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -119,3 +120,15 @@ def bounded_sample(df: DataFrame, key: Column, rows: int, strata: Column | None
     counts = df.groupBy(strata.alias("s")).count().limit(10_000).collect()
     wanted = [F.when(strata.eqNullSafe(F.lit(r["s"])), F.lit(min(1.0, rows / r["count"]))) for r in counts]
     return df.where(share < F.coalesce(*wanted, F.lit(0.0)))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared checkpoint folder: for texts, smaller than a checkpoint's raw rows."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
