@@ -11,6 +11,7 @@ Repeated rows are scored each for itself; other columns are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, map_chunks, read, text_buffer
+from .common import bounded_sample, fold, map_chunks, pieces, read, text_buffer
 
 BLOCK, DICTIONARY, LEVEL = 2048, 112_640, 3
 
@@ -124,9 +125,7 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float =
     """The rows of ``docs``, all columns, that score ``least`` or more."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        from .common import pieces
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
             data, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
             yield batch.filter(pa.array(held.value.scores(data.tobytes(), offsets) >= least))

@@ -10,15 +10,16 @@ rows' scores. Repeated rows are judged each for itself; other columns are not lo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut_lineage, map_chunks, read, row_sums, split_words, text_buffer
+from .common import bounded_sample, cut_lineage, map_chunks, pieces, read, row_sums, split_words, text_buffer
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks"]
 SYMBOL, UPPER, MARK = (np.zeros(256, bool) for _ in range(3))
@@ -83,9 +84,8 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return map_chunks(rows, work, f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"{c} long" for c in COUNTS)).withColumnRenamed("id", key)
 
 
-def base_failed(n_words=None, n_repeat_words=None):
-    n_words, n_repeat_words = F.col(n_words or "n_words"), F.col(n_repeat_words or "n_repeat_words")
-    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def features(counts: np.ndarray) -> np.ndarray:
@@ -160,8 +160,8 @@ def with_scores(stats: DataFrame, forest: Forest) -> DataFrame:
     return stats.withColumn("anomaly", score(*COUNTS))
 
 
-def calibrated(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = 4096, other_share: float = 0.02, false_rejections: float = 0.005) -> tuple[DataFrame, float]:
-    """statistics() of all rows with anomaly, held in the checkpoint folder, and the threshold.
+def calibrated(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = 4096, other_share: float = 0.02, false_rejections: float = 0.005) -> tuple[DataFrame, Forest, float]:
+    """statistics() of all rows with anomaly, held in the checkpoint folder, the forest and the threshold.
 
     The forest is fitted on about ``sample_rows`` rows (the documented bound) labelled good and ``other_share`` of that
     labelled bad, so that anomalies are in its trees and rare there; where no row is labelled good, on a sample of all
@@ -192,15 +192,30 @@ def calibrated(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     beyond = np.cumsum(counted[::-1])[::-1]  # rows at or above each bin
     allowed = false_rejections * counted.sum()
     threshold = float(np.argmax(np.append(beyond, 0) <= allowed)) / BINS
-    return found, threshold
+    return found, forest, threshold
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: key, COUNTS, anomaly, base_failed, kept."""
-    found, threshold = calibrated(docs, labels, key, text)
+    found, _, threshold = calibrated(docs, labels, key, text)
     return found.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
 
 
+def keep_regular(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that judge() keeps; texts are read again rather than shuffled."""
+    _, forest, threshold = calibrated(docs.select(key, text), labels, key, text)
+    held = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text):
+            counts = counts_of(batch.column(batch.schema.get_field_index(text)))
+            failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
+            anomaly = held.value.scores(features(np.stack([counts[c] for c in COUNTS], 1)))
+            yield batch.filter(pa.array(~failed & (anomaly < threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
