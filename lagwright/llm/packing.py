@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ class WordTokenizer:
     Where ``<|`` occurs, which begins a special token, only white space parts words.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -99,6 +100,12 @@ class WordTokenizer:
         return out, offsets
 
 
+@lru_cache(maxsize=1)
+def tokenizer_at(path: str) -> WordTokenizer:
+    """One for each Python worker, so that words encoded for one task are known to the next."""
+    return WordTokenizer(path)
+
+
 class Bins:
     """One worker's open bins; pieces are (row, start, length, ...) tuples of which only the length counts."""
 
@@ -151,7 +158,7 @@ def pack(
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = tokenizer_at(tokenizer_path)
         bins = Bins(capacity, TaskContext.get().partitionId() << 40)
 
         def out(placed: list, schema: pa.DataType) -> pa.RecordBatch:
