@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -243,16 +244,18 @@ class Counter:
         return row_sums(counts[coded.indices.to_numpy()], np.searchsorted(starts, offsets))
 
 
+@lru_cache(maxsize=1)
+def counter_at(path: str) -> Counter:
+    """One for each Python worker, so that states compiled for one task are there for the next."""
+    return Counter(path)
+
+
 def count_tokens(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
     """key, n_bytes, n_tokens, over_limit of each row. Narrow: no shuffle."""
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    held: list[Counter] = []
-
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not held:
-            held.append(Counter(tokenizer_path))
         data, offsets = text_buffer(batch.column(1))
-        n = held[0].rows(data, offsets)
+        n = counter_at(tokenizer_path).rows(data, offsets)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = dict(rows.dtypes)["id"]
