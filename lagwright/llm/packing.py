@@ -45,7 +45,7 @@ class WordTokenizer:
     Where ``<|`` occurs, which begins a special token, only white space parts words.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -167,7 +167,7 @@ def pack(
             return pa.RecordBatch.from_arrays(arrays, names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids])
 
         schema = pa.null()
-        for batch in pieces(batches, limit=16 << 20):
+        for batch in pieces(batches, limit=8 << 20):
             schema = batch.schema.field("id").type
             ids, offsets = tokenizer.rows(batch.column("text"), end_id)
             keys, placed = batch.column("id").to_pylist(), []
@@ -182,6 +182,7 @@ def pack(
                 yield out(placed, schema)
         if placed := bins.close():
             yield out(placed, schema)
+        pa.default_memory_pool().release_unused()
 
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, {PIECES}" + ", ids array<long>" * with_ids).withColumnRenamed("id", key)
