@@ -87,8 +87,9 @@ class WordTokenizer:
         known = coded.dictionary.to_pylist()
         if len(self.place) > self.most:
             self.clear()
-        if new := [w for w in known if w not in self.place]:
-            self.learn(new)
+        new = [w for w in known if w not in self.place]
+        for i in range(0, len(new), 4096):  # the library's results are many times as large as the ids
+            self.learn(new[i : i + 4096])
         at = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))
         codes = coded.indices.to_numpy()
         # One more run for each row, of the end id, which lies before all others.
