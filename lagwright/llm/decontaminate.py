@@ -3,7 +3,8 @@
 Texts are lower-cased and cut into runs of letters and digits. A mask names the positions of a seed and ignores those
 between, so that a substituted word there does no harm. The seeds of all benchmark positions join those of all document
 positions; each hit fixes an alignment, on which the overlap is verified word by word. A document is contaminated if
-somewhere ``WINDOW`` aligned words in a row differ in ``SUBSTITUTIONS`` at most. The two masks find every such window:
+somewhere ``WINDOW`` aligned words in a row differ in ``SUBSTITUTIONS`` at most, words beyond the text's ends included.
+The two masks find every such window:
 whichever two of 13 words are substituted, one of the masks lies clear of them at some shift (tests try all pairs).
 
 Items of fewer than ``WINDOW`` words have to occur whole and unchanged; of fewer than ``SHORTEST`` words they are too

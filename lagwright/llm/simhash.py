@@ -78,15 +78,34 @@ def shingle_fingerprints(texts: pa.Array, width: int = SHINGLE) -> np.ndarray:
     return majority(hashes, ends)
 
 
-def word_set_fingerprints(texts: pa.Array) -> np.ndarray:
-    """Of each text's set of words, A-Z lower-cased: few changed words change few bits, and frequent words weigh once."""
+def word_set_fingerprints(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text's set of words, A-Z lower-cased: few changed words change few bits, and frequent words weigh once.
+
+    And a sketch (n, 2) of each text's shingles of ``width`` words: 128 bits, one of the least hash in each of 128 cells,
+    of which two texts with Jaccard similarity J differ in about 64 (1 - J).
+    """
     data, offsets = text_buffer(texts)
     words, bounds = split_words(LOWER[data], offsets)
     coded = words.dictionary_encode()
     hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    pairs = np.unique(rows * max(1, len(hashes)) + coded.indices.to_numpy())
-    return majority(hashes[pairs % max(1, len(hashes))], np.searchsorted(pairs, np.arange(len(bounds)) * max(1, len(hashes))))
+    codes = coded.indices.to_numpy()
+    pairs = np.unique(rows * max(1, len(hashes)) + codes)
+    prints = majority(hashes[pairs % max(1, len(hashes))], np.searchsorted(pairs, np.arange(len(bounds)) * max(1, len(hashes))))
+    sketch = np.zeros((len(bounds) - 1, 128), np.uint8)
+    starts = np.arange(len(codes))[: max(0, len(codes) - width + 1)]
+    starts = starts[rows[starts] == rows[starts + width - 1]] if len(starts) else starts
+    if len(starts):
+        mixed = np.zeros(len(starts), np.uint64)
+        for j in range(width):
+            mixed = (mixed ^ hashes[codes[starts + j]]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        cell = rows[starts] * 128 + (mixed >> np.uint64(57)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        first = np.flatnonzero(np.diff(cell[order], prepend=-1))
+        least = np.minimum.reduceat((mixed & np.uint64((1 << 57) - 1))[order], first)
+        sketch.ravel()[cell[order][first]] = (least & np.uint64(1)).astype(np.uint8)
+    return prints, np.packbits(sketch, axis=1).view(np.uint64)
 
 
 def fingerprints(df: DataFrame, of: Callable[[pa.Array], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,26 +118,28 @@ def fingerprints(df: DataFrame, of: Callable[[pa.Array], np.ndarray], key: str =
     return map_chunks(rows, work, f"id {dict(rows.dtypes)['id']}, fp long").withColumnRenamed("id", key)
 
 
-def forest(values: np.ndarray, radius: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+def forest(values: np.ndarray, radius: int, sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges (i, j) of a spanning forest of the links between ``values`` (uint64, equal ones are linked).
 
     Any forest in time proportional to members times those not yet reached, which for a dense group is about its size;
-    with ``nearest``, a minimal one by distance (Prim's), in time quadratic in the bucket.
+    with ``sketches`` (n, 2), the links' minimal one by the bits in which these differ (Prim's), in time quadratic in
+    the bucket. Whatever similarity is asked for later, such a tree holds together what it links as far as sketches tell.
     """
     left = np.arange(len(values))
     a, b = [], []
-    if nearest:
+    if sketches is not None:
         far = np.full(len(values), 255, np.uint8)
         parent = np.zeros(len(values), np.int64)
         node = 0
         left = left[1:]
         while len(left):
-            d = np.bitwise_count(values[left] ^ values[node]).astype(np.uint8)
+            d = np.bitwise_count(sketches[left] ^ sketches[node]).sum(1, dtype=np.uint8)
+            d[np.bitwise_count(values[left] ^ values[node]) > radius] = 255
             closer = d < far[left]
             far[left[closer]], parent[left[closer]] = d[closer], node
             k = int(far[left].argmin())
             node = left[k]
-            if far[node] <= radius:
+            if far[node] < 255:
                 a.append(parent[node])
                 b.append(node)
             left = np.delete(left, k)
@@ -136,25 +157,27 @@ def forest(values: np.ndarray, radius: int, nearest: bool) -> tuple[np.ndarray,
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def covering_links(points: DataFrame, radius: int = RADIUS, nearest: bool = False) -> DataFrame:
+def covering_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) of spanning forests, in each bucket of each table, of the links within ``radius``.
 
-    points: node, fp. Buckets are streamed in key order; a bucket of one point is skipped before it costs anything.
+    points: node, fp, and s1, s2 (the sketch) if the forests shall be minimal. Buckets are streamed in key order; a bucket
+    of one point is skipped before it costs anything.
     """
+    sketched = "s1" in points.columns
     tables = masks(radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in tables]
-    keyed = points.select("node", "fp", F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)))).alias("key"))
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "node")
+    keyed = points.select(*points.columns, F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)))).alias("key"))
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "fp", *(["s1", "s2"] if sketched else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the bucket that the last batch ended in
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # nodes, and rows of fingerprint and sketch, of the bucket that the last batch ended in
         open_key = None
 
         def edges(groups: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for nodes, values in groups:
                 if len(nodes) > 1:
-                    i, j = forest(values, radius, nearest)
+                    i, j = forest(values[:, 0], radius, values[:, 1:] if sketched else None)
                     a.append(nodes[i])
                     b.append(nodes[j])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -165,8 +188,8 @@ def covering_links(points: DataFrame, radius: int = RADIUS, nearest: bool = Fals
         for batch in batches:
             if not batch.num_rows:
                 continue
-            nodes, values, keys = (batch.column(i).to_numpy() for i in range(3))
-            values = values.view(np.uint64)
+            keys, nodes, *rest = (batch.column(i).to_numpy() for i in range(batch.num_columns))
+            values = np.stack(rest, 1).view(np.uint64)
             cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
             groups = []
             if held and keys[0] != open_key:
@@ -221,8 +244,8 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Near copies share ``similarity`` or more of their shingles of ``width`` words (Jaccard). Candidates are pairs whose
     word-set fingerprints differ in ``radius`` bits at most; of each bucket's candidates those of a minimal spanning
-    forest by distance are verified on the texts, and groups are the components of the verified links. So no unverified
-    pair is dropped; a group holds together as long as its nearest pairs do. Rows of null text are one group, as empty
+    forest by the shingles' sketches are verified on the texts, and groups are the components of the verified links. So
+    no unverified pair is dropped; a group holds together as long as its most similar pairs do. Rows of null text are one group, as empty
     text is; equal rows leave one. Rows with a null id come after all others.
     """
     row = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("id"))
@@ -230,9 +253,13 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     content = F.xxhash64(F.sha2(body, 256))
     # One row for each distinct text.
     names = docs.withColumn("_content", content)
-    distinct = fingerprints(names.select("_content", F.col(text).alias("text")), word_set_fingerprints, "_content", "text").dropDuplicates(["_content"])
-    distinct = cut_lineage(distinct)
-    links = covering_links(distinct.select(F.col("_content").alias("node"), "fp"), radius, nearest=True)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints, sketch = word_set_fingerprints(batch.column(1), width)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (prints, sketch[:, 0], sketch[:, 1]))], names=["node", "fp", "s1", "s2"])
+
+    distinct = map_chunks(names.select(F.col("_content").alias("node"), F.col(text).alias("text")), work, "node long, fp long, s1 long, s2 long")
+    links = covering_links(cut_lineage(distinct.dropDuplicates(["node"])), radius)
     pairs = cut_lineage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = pairs.select(F.col("a").alias("_content")).union(pairs.select("b")).distinct()
     texts = names.join(ends, "_content", "left_semi").select("_content", body.alias("text")).dropDuplicates(["_content"])
