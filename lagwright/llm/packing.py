@@ -45,7 +45,7 @@ class WordTokenizer:
     Where ``<|`` occurs, which begins a special token, only white space parts words.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
