@@ -78,8 +78,9 @@ def shingle_fingerprints(texts: pa.Array, width: int = SHINGLE) -> np.ndarray:
     return majority(hashes, ends)
 
 
-def word_set_fingerprints(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+def word_set_fingerprints(texts: pa.Array, width: int, prints: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Of each text's set of words, A-Z lower-cased: few changed words change few bits, and frequent words weigh once.
+    An array (n, prints), one fingerprint for each of ``prints`` seeds.
 
     And a sketch (n, 2) of each text's shingles of ``width`` words: 128 bits, one of the least hash in each of 128 cells,
     of which two texts with Jaccard similarity J differ in about 64 (1 - J).
@@ -87,11 +88,14 @@ def word_set_fingerprints(texts: pa.Array, width: int) -> tuple[np.ndarray, np.n
     data, offsets = text_buffer(texts)
     words, bounds = split_words(LOWER[data], offsets)
     coded = words.dictionary_encode()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    vocabulary = coded.dictionary.to_pylist()
+    seeded = [np.fromiter((xxhash.xxh64_intdigest(w, SEED + j) for w in vocabulary), np.uint64, len(vocabulary)) for j in range(prints)]
+    hashes = seeded[0]
     rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     codes = coded.indices.to_numpy()
     pairs = np.unique(rows * max(1, len(hashes)) + codes)
-    prints = majority(hashes[pairs % max(1, len(hashes))], np.searchsorted(pairs, np.arange(len(bounds)) * max(1, len(hashes))))
+    limits = np.searchsorted(pairs, np.arange(len(bounds)) * max(1, len(hashes)))
+    found = np.stack([majority(h[pairs % max(1, len(h))], limits) for h in seeded], 1)
     sketch = np.zeros((len(bounds) - 1, 128), np.uint8)
     starts = np.arange(len(codes))[: max(0, len(codes) - width + 1)]
     starts = starts[rows[starts] == rows[starts + width - 1]] if len(starts) else starts
@@ -105,7 +109,7 @@ def word_set_fingerprints(texts: pa.Array, width: int) -> tuple[np.ndarray, np.n
         first = np.flatnonzero(np.diff(cell[order], prepend=-1))
         least = np.minimum.reduceat((mixed & np.uint64((1 << 57) - 1))[order], first)
         sketch.ravel()[cell[order][first]] = (least & np.uint64(1)).astype(np.uint8)
-    return prints, np.packbits(sketch, axis=1).view(np.uint64)
+    return found, np.packbits(sketch, axis=1).view(np.uint64)
 
 
 def fingerprints(df: DataFrame, of: Callable[[pa.Array], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,13 +164,18 @@ def forest(values: np.ndarray, radius: int, sketches: np.ndarray | None = None)
 def covering_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) of spanning forests, in each bucket of each table, of the links within ``radius``.
 
-    points: node, fp, and s1, s2 (the sketch) if the forests shall be minimal. Buckets are streamed in key order; a bucket
-    of one point is skipped before it costs anything.
+    points: node, fp (or several independent ones, fp0, fp1, ..., a link in any of which counts), and s1, s2 (the sketch)
+    if the forests shall be minimal. Buckets are streamed in key order; a bucket of one point is skipped before it costs
+    anything.
     """
     sketched = "s1" in points.columns
+    rest = ["node", *(["s1", "s2"] if sketched else [])]
     tables = masks(radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in tables]
-    keyed = points.select(*points.columns, F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)))).alias("key"))
+    prints = [c for c in points.columns if c.startswith("fp")]
+    each = points.select(*rest, F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col(c).alias("fp")) for j, c in enumerate(prints)))).alias("p")).select(*rest, "p.*")
+    keyed = each.select(*rest, "fp", "j", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(m).alias("m")) for t, m in enumerate(signed)))).alias("x"))
+    keyed = keyed.withColumn("key", F.xxhash64(F.col("j") * len(tables) + F.col("x.t"), F.col("fp").bitwiseAND(F.col("x.m"))))
     dealt = keyed.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "fp", *(["s1", "s2"] if sketched else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,11 +248,12 @@ def shingle_sets(text: str, width: int) -> set[int]:
     return {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))}
 
 
-def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 5, prints: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns, of which no earlier one is an exact or near copy; the smallest id stays.
 
     Near copies share ``similarity`` or more of their shingles of ``width`` words (Jaccard). Candidates are pairs whose
-    word-set fingerprints differ in ``radius`` bits at most; of each bucket's candidates those of a minimal spanning
+    word-set fingerprints differ in ``radius`` bits at most for one of ``prints`` seeds, since one fingerprint alone misses
+    a fifth of the pairs about ``similarity``; of each bucket's candidates those of a minimal spanning
     forest by the shingles' sketches are verified on the texts, and groups are the components of the verified links. So
     no unverified pair is dropped; a group holds together as long as its most similar pairs do. Rows of null text are one group, as empty
     text is; equal rows leave one. Rows with a null id come after all others.
@@ -255,10 +265,11 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     names = docs.withColumn("_content", content)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints, sketch = word_set_fingerprints(batch.column(1), width)
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (prints, sketch[:, 0], sketch[:, 1]))], names=["node", "fp", "s1", "s2"])
+        columns = np.concatenate(word_set_fingerprints(batch.column(1), width, prints), 1)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns.T)], names=["node", *marks])
 
-    distinct = map_chunks(names.select(F.col("_content").alias("node"), F.col(text).alias("text")), work, "node long, fp long, s1 long, s2 long")
+    marks = [*(f"fp{j}" for j in range(prints)), "s1", "s2"]
+    distinct = map_chunks(names.select(F.col("_content").alias("node"), F.col(text).alias("text")), work, ", ".join(["node long", *(f"{m} long" for m in marks)]))
     links = covering_links(cut_lineage(distinct.dropDuplicates(["node"])), radius)
     pairs = cut_lineage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = pairs.select(F.col("a").alias("_content")).union(pairs.select("b")).distinct()
