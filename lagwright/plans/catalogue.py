@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from ..operators import beats, correlate, quality, robust, series, solvers, spans
+from ..operators import beats, correlate, quality, robust, segments, series, solvers, spans
 from ..sources.tables import SERIES, SPANS, day_spans, series as events, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -422,3 +422,71 @@ def accel_limit(spark, sf_dir):
 @query()
 def iron_beats(spark, sf_dir):
     return solvers.constant_regions(events(spark, sf_dir).select("k", "t"), "k", 1.0)
+
+
+@query("""WITH {ev}, lv AS (SELECT k, max(abs(v)) AS p, quantile_cont(abs(v), 0.2) AS q FROM ev GROUP BY k),
+loud AS (SELECT ev.k, t FROM ev JOIN lv USING (k) WHERE abs(v) >= greatest(p * pow(10, -12.0 / 20), CASE WHEN q < 0.35 * p THEN 1.5 * q ELSE 0 END, 1e-4)),
+g AS (SELECT *, sum(CASE WHEN gap > 24 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY t) AS run FROM (SELECT *, t - lag(t) OVER (PARTITION BY k ORDER BY t) AS gap FROM loud))
+SELECT k, round(min(t), 6) AS start, round(max(t), 6) AS stop FROM g GROUP BY k, run HAVING max(t) - min(t) >= 6""")
+def segments_active(spark, sf_dir):
+    return segments.active(events(spark, sf_dir), "k", "t", "v", -12.0, 24.0, 6.0)
+
+
+@query("""WITH {ev}, g AS (SELECT *, sum(CASE WHEN q AND NOT coalesce(p, false) THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY t) AS run FROM (SELECT *, abs(v) < 30 AS q, lag(abs(v) < 30) OVER w AS p, lead(t) OVER w AS nxt FROM ev WINDOW w AS (PARTITION BY k ORDER BY t))),
+r AS (SELECT k, max(coalesce(nxt, t)) - min(t) AS l FROM g WHERE q GROUP BY k, run) SELECT k, round(coalesce(max(l), 0), 6) AS longest FROM (SELECT DISTINCT k FROM ev) LEFT JOIN r USING (k) GROUP BY k""")
+def longest_silence(spark, sf_dir):
+    return segments.longest_quiet(events(spark, sf_dir), "k", "t", "v", 30.0)
+
+
+@query("""WITH {sp}, p AS (SELECT k, o, l, a - 1000 AS sa, b - 1000 AS sb, a AS da, a + (b - a) * 2 AS db, b FROM sp), w AS (SELECT *, sa - coalesce(lag(sb) OVER q, 0) AS f, da - coalesce(lag(db) OVER q, 0) AS d FROM p WINDOW q AS (PARTITION BY k ORDER BY da, b, o, l))
+SELECT o, l, round(f, 6) AS file_gap, round(d, 6) AS desired, round(d - f, 6) AS "insert" FROM w""")
+def gap_plan(spark, sf_dir):
+    return segments.gap_plan(placed(spark, sf_dir), "k", ["a", "b", "o", "l"]).select("o", "l", "file_gap", "desired", "insert")
+
+
+@query("WITH {ev} SELECT k, round(least(greatest(1 - coalesce(regr_slope(v, t), 0), 0.5), 1.5), 6) AS rate FROM ev GROUP BY k")
+def stretch_rate(spark, sf_dir):
+    return segments.stretch_rate(events(spark, sf_dir), "k", "t", "v")
+
+
+def markers(spark, sf_dir):
+    return events(spark, sf_dir).select("k", (F.col("t") - F.col("v") / 100).alias("src"), F.col("t").alias("dst"))
+
+
+@query("""WITH {ev}, m AS (SELECT k, t - v / 100 AS s, t AS d FROM ev), r AS (SELECT *, (s - lag(s) OVER w) / (d - lag(d) OVER w) AS r, row_number() OVER (PARTITION BY k ORDER BY d DESC) AS n FROM m WINDOW w AS (PARTITION BY k ORDER BY d))
+SELECT k, round(least(720.0, coalesce(CASE WHEN r > 1e-9 THEN d + (719.0 - s) / r END, 720.0)), 6) AS "end" FROM r WHERE n = 1""")
+def playback_end(spark, sf_dir):
+    return segments.playback_end(markers(spark, sf_dir), "k", "src", "dst", 719.0, 720.0)
+
+
+@query("""WITH {ev}, f AS (SELECT k, round_even((t - v / 100) * 0.5, 0)::BIGINT AS src_frame, round_even(t * 0.5, 0)::BIGINT AS dst_frame FROM ev),
+w AS (SELECT *, max(dst_frame) OVER (PARTITION BY k ORDER BY dst_frame, src_frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM f) SELECT k, src_frame, dst_frame FROM w WHERE m IS NULL OR dst_frame > m""")
+def frame_map(spark, sf_dir):
+    return segments.frame_map(markers(spark, sf_dir), "k", "src", "dst", 0.5)
+
+
+BLOCKS = "bl AS (SELECT k, floor(t / 24)::BIGINT AS block, sqrt(avg(v * v)) AS rms, max(v) AS high FROM ev GROUP BY 1, 2)"
+
+
+@query("WITH {ev}, " + BLOCKS + ", g AS (SELECT k, greatest(0.35 * quantile_cont(rms, 0.6), 1e-5) AS thr FROM bl GROUP BY k) SELECT k, block, round(rms, 6) AS rms FROM bl JOIN g USING (k) WHERE rms >= thr")
+def rms_gate(spark, sf_dir):
+    return segments.rms_gate(series.envelope(events(spark, sf_dir), "k", "t", "v", 24.0), "k", "rms").select("k", "block", "rms")
+
+
+@query("WITH {ev}, " + BLOCKS + ", g AS (SELECT k, quantile_cont(high, 0.95) AS b FROM bl GROUP BY k) SELECT k, round(CASE WHEN any_value(b) < 1e-4 THEN 0 ELSE min(block * 24.0) FILTER (high >= greatest(0.5 * b, 1e-4)) END, 6) AS start FROM bl JOIN g USING (k) GROUP BY k")
+def activity_start(spark, sf_dir):
+    blocks = series.envelope(events(spark, sf_dir), "k", "t", "v", 24.0).withColumn("at", F.col("block") * 24.0)
+    return segments.activity_start(blocks, "k", "at", "high", 0.5)
+
+
+@query("WITH {ev}, " + CHECK + """, s AS (SELECT *, abs(lag - lag(lag) OVER (PARTITION BY k, railed ORDER BY t)) AS step FROM pts), a AS (SELECT k, max(abs(lag)) FILTER (NOT railed) AS worst, coalesce(max(step) FILTER (NOT railed), 0) AS jump, count(*) FILTER (railed) AS n_railed FROM s GROUP BY k)
+SELECT k, round(worst, 6) AS worst, round(jump, 6) AS jump, n_railed, CASE WHEN worst IS NULL THEN 'unresolved' WHEN worst <= 150 THEN 'ok' ELSE 'repair' END AS status FROM a""")
+def repair_verdict(spark, sf_dir):
+    return segments.repair_verdict(checkpoints(spark, sf_dir)[0], "k", "t", "lag", "railed", 150.0)
+
+
+@query("""WITH {ev}, b AS (SELECT k, t, row_number() OVER w - 1 AS n, t - lag(t) OVER w AS g, lead(t) OVER w - t AS h, count(*) OVER (PARTITION BY k) AS c FROM ev WHERE kind = 'click' WINDOW w AS (PARTITION BY k ORDER BY t)),
+q AS (SELECT i, k, t, (SELECT max(t) FROM b WHERE b.k = p.k AND b.t <= p.t) AS pt, (SELECT min(t) FROM b WHERE b.k = p.k AND b.t >= p.t) AS nt FROM ev p WHERE kind = 'purchase')
+SELECT i, round(CASE WHEN coalesce(x.c, y.c, 0) < 2 THEN NULL WHEN pt IS NULL THEN y.n + (q.t - nt) / y.h WHEN nt IS NULL THEN x.n + (q.t - pt) / x.g WHEN nt > pt THEN x.n + (q.t - pt) / (nt - pt) ELSE x.n END, 6) AS phase FROM q LEFT JOIN b x ON x.k = q.k AND x.t = pt LEFT JOIN b y ON y.k = q.k AND y.t = nt""")
+def phase_at(spark, sf_dir):
+    return segments.phase_at(of_kind(spark, sf_dir, "purchase").select("k", "i", "t"), of_kind(spark, sf_dir, "click").select("k", "t"), "k", "t").select("i", "phase")
