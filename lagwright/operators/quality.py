@@ -73,3 +73,29 @@ def upsert(old: DataFrame, new: DataFrame, k: str, columns: list[str]) -> DataFr
     """old with new's rows put in; a null in new keeps the old value."""
     x, y = (d.select(k, *(F.col(c).alias(f"{s}_{c}") for c in columns)) for s, d in (("o", old), ("n", new)))
     return x.join(y, k, "full_outer").select(k, *(F.coalesce(f"n_{c}", f"o_{c}").alias(c) for c in columns))
+
+
+def accuracy(rows: DataFrame, tag: str, verdict: str) -> DataFrame:
+    """total, failed, accuracy over rows that have a result; a folder's tag overrides the verdict."""
+    result = F.coalesce(tag, verdict)
+    out = rows.agg(F.count_if(result.isin("pass", "fail")).alias("total"), F.count_if(result == "fail").alias("failed"))
+    return out.withColumn("accuracy", (F.col("total") - F.col("failed")) / F.when(F.col("total") > 0, F.col("total")))
+
+
+def drift_span(points: DataFrame, k: str, t: str, lag: str, railed: str, limit: float, margin: float = 4.0) -> DataFrame:
+    """k, start, stop around all checkpoints beyond ``limit`` or railed; not before 0."""
+    bad = points.where((F.abs(lag) > limit) | F.col(railed))
+    return bad.groupBy(k).agg(F.greatest(F.min(t) - margin, F.lit(0.0)).alias("start"), (F.max(t) + margin).alias("stop"))
+
+
+def match_folders(stored: DataFrame, index: DataFrame, stem: str, tag: str) -> DataFrame:
+    """stored with n (candidates of the same stem) and found: the only tagged one, else the only one, else null.
+
+    index: stem, folder, tag. It is reduced to a row a stem before the join, so that common stems don't multiply.
+    """
+    tagged = F.col(tag).isNotNull()
+    one = index.groupBy(stem).agg(
+        F.count("*").alias("n"),
+        F.when(F.count_if(tagged) == 1, F.max(F.when(tagged, F.col("folder")))).when(F.count("*") == 1, F.max("folder")).alias("found"),
+    )
+    return stored.join(one, stem, "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -84,3 +84,37 @@ def smoothness(df: DataFrame, k: str, t: str, v: str) -> DataFrame:
     d = d.withColumn("_x", F.col(v) - F.lag(v).over(w)).withColumn("_y", F.lead(v).over(w) - F.col(v))
     second = 2 * (F.col("_y") / F.col("_b") - F.col("_x") / F.col("_a")) / (F.col("_a") + F.col("_b"))
     return d.groupBy(k).agg(F.coalesce(F.avg(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.abs(second))), F.lit(0.0)).alias("smoothness"))
+
+
+def gradient(df: DataFrame, k: str, t: str, v: str, name: str) -> DataFrame:
+    """df with the second-order derivative estimate of v over uneven t; one-sided at the edges, null for single points."""
+    w = Window.partitionBy(k).orderBy(t)
+    d = df.withColumns({"_a": F.col(t) - F.lag(t).over(w), "_b": F.lead(t).over(w) - F.col(t), "_x": F.col(v) - F.lag(v).over(w), "_y": F.lead(v).over(w) - F.col(v)})
+    both = (F.col("_x") / F.col("_a") * F.col("_b") + F.col("_y") / F.col("_b") * F.col("_a")) / (F.col("_a") + F.col("_b"))
+    return d.withColumn(name, F.coalesce(both, F.col("_y") / F.col("_b"), F.col("_x") / F.col("_a"))).drop("_a", "_b", "_x", "_y")
+
+
+def adaptive_markers(df: DataFrame, k: str, t: str, v: str, confidence: str, near_jump: str, least: float = 2.0, most: float = 30.0, gain: float = 1.0) -> DataFrame:
+    """k, mark: times at which the series is to be pinned, dense where it bends with confidence.
+
+    Curvature, times gain and confidence, adds up from mark to mark. A point becomes a mark ``most`` after the last, or
+    ``least`` after it once 0.0015 / max(gain, 0.15) has come together, or 0.2 after it near a jump; the first and last
+    point are marks. The state is the last mark, so a fold over one recording's sorted points.
+    """
+    need = 0.0015 / max(gain, 0.15)
+    least = max(0.25, least)
+    most = max(least, most)
+    d = gradient(gradient(df, k, t, v, "_d1"), k, t, "_d1", "_d2")
+    dt = F.col(t) - F.lag(t).over(Window.partitionBy(k).orderBy(t))
+    d = d.withColumn("_bend", F.coalesce(F.abs("_d2") * gain * dt * F.least(F.greatest(F.col(confidence), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)))
+    points = d.groupBy(k).agg(F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col("_bend").alias("c"), F.col(near_jump).alias("j")))).alias("_p"))
+    start = F.struct(F.lit(0.0).alias("a"), F.array().cast("array<double>").alias("m"))
+
+    def step(s, x):
+        span, bent = x["t"] - F.element_at(s["m"], -1), s["a"] + x["c"]
+        hit = (F.size(s["m"]) == 0) | (x["j"] & (span >= 0.2)) | (span >= most) | ((span >= least) & (bent >= need))
+        return F.when(hit, F.struct(F.lit(0.0).alias("a"), F.concat(s["m"], F.array(x["t"])).alias("m"))).otherwise(F.struct(bent.alias("a"), s["m"].alias("m")))
+
+    folded = points.select(k, F.aggregate("_p", start, step)["m"].alias("_m"), F.element_at("_p", -1)["t"].alias("_e"))
+    ended = F.when(F.col("_e") - F.element_at("_m", -1) > 1e-3, F.concat("_m", F.array("_e"))).otherwise(F.col("_m"))
+    return folded.select(k, F.explode(ended).alias("mark"))

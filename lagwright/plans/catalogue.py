@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import naming
+from ..functions import gates, naming
 from ..operators import beats, correlate, quality, robust, segments, series, solvers, spans
 from ..sources.tables import SERIES, SPANS, day_spans, series as events, table
 
@@ -490,3 +490,49 @@ q AS (SELECT i, k, t, (SELECT max(t) FROM b WHERE b.k = p.k AND b.t <= p.t) AS p
 SELECT i, round(CASE WHEN coalesce(x.c, y.c, 0) < 2 THEN NULL WHEN pt IS NULL THEN y.n + (q.t - nt) / y.h WHEN nt IS NULL THEN x.n + (q.t - pt) / x.g WHEN nt > pt THEN x.n + (q.t - pt) / (nt - pt) ELSE x.n END, 6) AS phase FROM q LEFT JOIN b x ON x.k = q.k AND x.t = pt LEFT JOIN b y ON y.k = q.k AND y.t = nt""")
 def phase_at(spark, sf_dir):
     return segments.phase_at(of_kind(spark, sf_dir, "purchase").select("k", "i", "t"), of_kind(spark, sf_dir, "click").select("k", "t"), "k", "t").select("i", "phase")
+
+
+BENDS = """g1 AS (SELECT *, coalesce((x / a * b + y / b * a) / (a + b), y / b, x / a) AS d1 FROM (SELECT k, t, v, t - lag(t) OVER w AS a, lead(t) OVER w - t AS b, v - lag(v) OVER w AS x, lead(v) OVER w - v AS y FROM ev WINDOW w AS (PARTITION BY k ORDER BY t))),
+g2 AS (SELECT *, abs(coalesce((x1 / a * b + y1 / b * a) / (a + b), y1 / b, x1 / a)) * a * (v / (v + 35.0)) AS c FROM (SELECT *, d1 - lag(d1) OVER w AS x1, lead(d1) OVER w - d1 AS y1 FROM g1 WINDOW w AS (PARTITION BY k ORDER BY t))),
+n AS (SELECT k, t, v > 300 AS jump, coalesce(c, 0) AS c, row_number() OVER (PARTITION BY k ORDER BY t) AS j, count(*) OVER (PARTITION BY k) AS n FROM g2)"""
+
+
+@query("WITH RECURSIVE {ev}, " + BENDS + """, f AS (SELECT k, j, n, t, t AS last, 0::DOUBLE AS acc, true AS mark, false AS tail FROM n WHERE j = 1 UNION ALL
+SELECT k, j, n, t, CASE WHEN hit THEN t ELSE last END, CASE WHEN hit THEN 0 ELSE bent END, hit, j = n AND t - last > 1e-3 FROM (SELECT n.k, n.j, n.n, n.t, f.last, f.acc + n.c AS bent, (n.jump AND n.t - f.last >= 0.2) OR n.t - f.last >= 30 OR (n.t - f.last >= 8 AND f.acc + n.c >= 0.0015) AS hit FROM f JOIN n ON n.k = f.k AND n.j = f.j + 1))
+SELECT k, round(t, 6) AS mark FROM f WHERE mark OR tail""")
+def adaptive_ruler(spark, sf_dir):
+    d = events(spark, sf_dir).withColumns({"w": conf(), "jump": F.col("v") > 300})
+    return series.adaptive_markers(d, "k", "t", "v", "w", "jump", 8.0, 30.0)
+
+
+@query("WITH {ev}, s AS (SELECT i, v / (v + 35.0) AS c, v / 40 AS r, t FROM ev) SELECT i, round(CASE WHEN r > 1 THEN c * (1 - 1 / r) ELSE 0 END, 6) AS margin, (CASE WHEN r > 1 THEN c * (1 - 1 / r) ELSE 0 END) >= 0.12 AND c >= 0.45 AS high, c < 0.2 OR (CASE WHEN r > 1 THEN c * (1 - 1 / r) ELSE 0 END) < 0.05 AS uncertain, abs(t * 100 - (t * 100 + c)) > 2 AND abs(t * 100 / (t * 100 + c) - 1) > 0.02 AS stretch, round(CASE WHEN abs(r - 1) > 1e-6 THEN r END, 6) AS explicit FROM s")
+def scalar_gates(spark, sf_dir):
+    d = events(spark, sf_dir).select("i", conf().alias("c"), (F.col("v") / 40).alias("r"), (F.col("t") * 100).alias("n"))
+    margin = gates.margin_of_ratio(F.col("c"), F.col("r"))
+    return d.select("i", margin.alias("margin"), gates.high_margin(margin, F.col("c")).alias("high"), gates.uncertain(margin, F.col("c")).alias("uncertain"), gates.needs_stretch(F.col("n"), F.col("n") + F.col("c"), 100.0).alias("stretch"), gates.explicit(F.col("r"), F.lit(1.0)).alias("explicit"))
+
+
+@query("WITH {ev}, " + CHECK + " SELECT k, round(greatest(min(t) - 4, 0), 6) AS start, round(max(t) + 4, 6) AS stop FROM pts WHERE abs(lag) > 40 OR railed GROUP BY k")
+def drift_span(spark, sf_dir):
+    return quality.drift_span(checkpoints(spark, sf_dir)[0], "k", "t", "lag", "railed", 40.0)
+
+
+FOLDERS = "fo AS (SELECT p_partkey AS id, lower(p_name) AS stem, p_name || CASE p_partkey % 3 WHEN 0 THEN '_[PASS]' WHEN 1 THEN '_[fail]' ELSE '' END AS folder, CASE p_partkey % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' END AS tag, CASE WHEN p_size > 25 THEN 'fail' WHEN p_size > 5 THEN 'pass' END AS verdict FROM part)"
+
+
+def folders(spark, sf_dir):
+    ends = F.when(F.col("p_partkey") % 3 == 0, "_[PASS]").when(F.col("p_partkey") % 3 == 1, "_[fail]").otherwise("")
+    d = table(spark, sf_dir, "part").withColumn("folder", F.concat("p_name", ends))
+    verdict = F.when(F.col("p_size") > 25, "fail").when(F.col("p_size") > 5, "pass")
+    return d.select(F.col("p_partkey").alias("id"), F.lower(naming.without_tag(F.col("folder"))).alias("stem"), "folder", naming.tag_of(F.col("folder")).alias("tag"), verdict.alias("verdict"))
+
+
+@query("WITH " + FOLDERS + ", o AS (SELECT stem, count(*) AS n, CASE WHEN count(tag) = 1 THEN max(folder) FILTER (tag IS NOT NULL) WHEN count(*) = 1 THEN max(folder) END AS found FROM fo GROUP BY stem) SELECT id, coalesce(n, 0) AS n, found FROM fo LEFT JOIN o USING (stem)")
+def match_folders(spark, sf_dir):
+    d = folders(spark, sf_dir)
+    return quality.match_folders(d.select("id", "stem"), d.select("stem", "folder", "tag"), "stem", "tag").select("id", "n", "found")
+
+
+@query("WITH " + FOLDERS + ", r AS (SELECT coalesce(tag, verdict) AS r FROM fo) SELECT count(r) AS total, count(*) FILTER (r = 'fail') AS failed, round((count(r) - count(*) FILTER (r = 'fail')) / count(r), 6) AS accuracy FROM r")
+def accuracy(spark, sf_dir):
+    return quality.accuracy(folders(spark, sf_dir), "tag", "verdict")
