@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagwright.functions import naming
-from lagwright.operators import beats, correlate, quality, robust, series, solvers, spans
+from lagwright.operators import beats, correlate, quality, robust, segments, series, solvers, spans
 
 
 def test_line_is_recovered(spark):
@@ -109,3 +109,47 @@ def test_empty_series(spark):
     assert robust.decompose(df, "k", "t", "v", "score", 0.02, 0.04).count() == 0
     assert series.islands(df, "k", "t", F.col("v") > 0).count() == 0
     assert solvers.limited(df.withColumnRenamed("v", "lag"), "k", 0.02).count() == 0
+
+
+def test_a_bend_takes_more_markers_than_a_line(spark):
+    t = np.arange(0, 30.01, 0.25)
+    bent = [("bent", float(x), float(0.08 * np.sin(2 * np.pi * x / 4)), 0.9, False) for x in t]
+    line = [("line", float(x), float(0.001 * x), 0.9, False) for x in t]
+    one = [("one", 1.0, 0.0, 0.9, False)]
+    out = series.adaptive_markers(spark.createDataFrame(bent + line + one, "k string, t double, v double, w double, jump boolean"), "k", "t", "v", "w", "jump").collect()
+    marks = {k: sorted(r.mark for r in out if r.k == k) for k in ("bent", "line", "one")}
+    assert len(marks["bent"]) > len(marks["line"]) == 2 and marks["one"] == [1.0]
+    assert marks["bent"][0] == 0.0 and marks["bent"][-1] == 30.0
+
+
+def test_gradient_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    t, v = np.cumsum(rng.uniform(0.1, 2, 40)), rng.normal(size=40)
+    df = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(t, v, strict=True)], "k int, t double, v double")
+    assert np.allclose(series.gradient(df, "k", "t", "v", "g").orderBy("t").toPandas().g, np.gradient(v, t))
+
+
+def test_segments_join_over_short_gaps(spark):
+    rows = [(1, float(i), 1.0 if i in (0, 1, 2, 4, 5, 20, 21, 40) else 0.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, t double, v double")
+    out = segments.active(df, "k", "t", "v", -6.0, 3.0, 1.0).orderBy("start").collect()
+    assert [(r.start, r.stop) for r in out] == [(0.0, 5.0), (20.0, 21.0)]
+    assert segments.longest_quiet(df, "k", "t", "v", 0.5).first().longest == 40.0 - 22.0  # first quiet point to the next loud one
+
+
+def test_phase_goes_on_beyond_the_beats(spark):
+    q = spark.createDataFrame([(1, 0.0), (1, 1.25), (1, 4.0), (2, 1.0)], "k int, t double")
+    b = spark.createDataFrame([(1, 1.0), (1, 1.5), (1, 2.5), (2, 5.0)], "k int, t double")
+    assert [r.phase for r in segments.phase_at(q, b, "k", "t").orderBy("k", "t").collect()] == [-2.0, 0.5, 3.5, None]
+
+
+def test_repair_needs_trusted_points(spark):
+    rows = [(1, 1.0, 0.01, False), (2, 1.0, 0.05, False), (2, 2.0, 0.5, True), (3, 1.0, 0.3, True)]
+    out = segments.repair_verdict(spark.createDataFrame(rows, "k int, t double, lag double, r boolean"), "k", "t", "lag", "r", 0.02)
+    assert {r.k: (r.status, r.n_railed) for r in out.collect()} == {1: ("ok", 0), 2: ("repair", 1), 3: ("unresolved", 1)}
+
+
+def test_folders_match_by_the_only_candidate(spark):
+    index = spark.createDataFrame([("a", "a_[pass]", "pass"), ("a", "a", None), ("b", "b", None), ("c", "c1", None), ("c", "c2", None)], "stem string, folder string, tag string")
+    out = quality.match_folders(spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "stem string"), index, "stem", "tag")
+    assert {r.stem: (r.n, r.found) for r in out.collect()} == {"a": (2, "a_[pass]"), "b": (1, "b"), "c": (2, None), "d": (0, None)}
