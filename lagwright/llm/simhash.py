@@ -14,12 +14,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut_lineage, map_chunks, read, split_words, text_buffer
+from .common import LOWER, bounded_sample, cut_lineage, map_chunks, ragged, read, split_words, text_buffer
 from .components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -248,34 +249,75 @@ def shingle_sets(text: str, width: int) -> set[int]:
     return {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))}
 
 
-def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 5, prints: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns, of which no earlier one is an exact or near copy; the smallest id stays.
-
-    Near copies share ``similarity`` or more of their shingles of ``width`` words (Jaccard). Candidates are pairs whose
-    word-set fingerprints differ in ``radius`` bits at most for one of ``prints`` seeds, since one fingerprint alone misses
-    a fifth of the pairs about ``similarity``; of each bucket's candidates those of a minimal spanning
-    forest by the shingles' sketches are verified on the texts, and groups are the components of the verified links. So
-    no unverified pair is dropped; a group holds together as long as its most similar pairs do. Rows of null text are one group, as empty
-    text is; equal rows leave one. Rows with a null id come after all others.
+def hashed_shingles(words: pa.StringArray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """56-bit hashes of all shingles of ``width`` words, the row of each, and the words' codes; equal for equal shingles as
+    shingle_sets() has them: a row of fewer words has one shingle of all its words, and so has a row without any."""
+    coded = words.dictionary_encode()
+    vocabulary = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    hashes = np.append(vocabulary[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64), np.zeros(width, np.uint64))
+    n = np.diff(bounds)
+    shingles = np.maximum(1, n - width + 1)
+    at = ragged(bounds[:-1].astype(np.int64), shingles.astype(np.int64))
+    rows = np.repeat(np.arange(len(n)), shingles)
+    mixed = np.zeros(len(at), np.uint64)
+    for j in range(width):
+        there = at + j < bounds[1:][rows]
+        mixed = (mixed ^ np.where(there, hashes[at + j], np.uint64(j + 1))) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed >> np.uint64(8), rows, coded
+
+
+def prefixes(texts: pa.Array, width: int, similarity: float, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text a fingerprint of its set of words, its number of shingles, and of these the first in an order that all
+    texts share, so many that any two texts of ``similarity`` (Jaccard) or more have one of them in common; as the
+    bounds of each text's and the shingles. ``common``: sorted hashes that come late in the order, the more ``times`` the later; whichever
+    they are, no pair is lost.
     """
-    row = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("id"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    content = F.xxhash64(F.sha2(body, 256))
-    # One row for each distinct text.
-    names = docs.withColumn("_content", content)
+    data, offsets = text_buffer(texts)
+    words, bounds = split_words(LOWER[data], offsets)
+    hashes, rows, coded = hashed_shingles(words, bounds, width)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes | np.where(common[at] == hashes, np.minimum(times[at], 127), 0).astype(np.uint64) << np.uint64(56)
+    order = np.lexsort((hashes, rows))
+    hashes, rows = hashes[order], rows[order]
+    first = np.ones(len(rows), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    hashes, rows = hashes[first], rows[first]
+    starts = np.searchsorted(rows, np.arange(len(texts) + 1))
+    n = np.diff(starts)
+    # Two sets share similarity * (the larger's size) at least, so neither's first n - that + 1 can all be missed.
+    length = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+    kept = hashes[ragged(starts[:-1].astype(np.int64), length.astype(np.int64))]
+    many = max(1, len(coded.dictionary))
+    owners = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    pairs = np.unique(owners * many + coded.indices.to_numpy())
+    seeded = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    prints = majority(seeded[pairs % many], np.searchsorted(pairs, np.arange(len(texts) + 1) * many))
+    return prints, n, np.concatenate([[0], np.cumsum(length)]), kept
+
+
+def common_shingles(texts: DataFrame, width: int, sample_rows: int = 4096, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that three or more of a bounded sample of texts have, and how many do. For the
+    order of prefixes() only: what the sample leaves out costs time, never a pair."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = np.concatenate(word_set_fingerprints(batch.column(1), width, prints), 1)
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns.T)], names=["node", *marks])
-
-    marks = [*(f"fp{j}" for j in range(prints)), "s1", "s2"]
-    distinct = map_chunks(names.select(F.col("_content").alias("node"), F.col(text).alias("text")), work, ", ".join(["node long", *(f"{m} long" for m in marks)]))
-    links = covering_links(cut_lineage(distinct.dropDuplicates(["node"])), radius)
-    pairs = cut_lineage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("_content")).union(pairs.select("b")).distinct()
-    texts = names.join(ends, "_content", "left_semi").select("_content", body.alias("text")).dropDuplicates(["_content"])
-    both = pairs.join(texts.select(F.col("_content").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("_content").alias("b"), F.col("text").alias("tb")), "b")
+        data, offsets = text_buffer(batch.column(1))
+        hashes, rows, _ = hashed_shingles(*split_words(LOWER[data], offsets), width)
+        found = pd.DataFrame({"r": rows, "h": hashes}).drop_duplicates()["h"].to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
+
+    sample = bounded_sample(texts, F.col("node"), sample_rows).dropDuplicates(["node"])
+    counts = map_chunks(sample, work, "h long").groupBy("h").count().where("count >= 3").orderBy(F.desc("count"), "h").limit(most).toPandas().sort_values("h")
+    return counts["h"].to_numpy().astype(np.uint64), counts["count"].to_numpy().astype(np.int64)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts share ``similarity`` of their shingles. texts: node, text; nodes can repeat."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    held = texts.join(ends, "node", "left_semi").dropDuplicates(["node"])
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = both.join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, set[int]] = (None, set())
@@ -288,8 +330,85 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 kept.append(len(x & y) >= similarity * len(x | y))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    sure = both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
-    linked = connected_components(sure).withColumnRenamed("node", "_content")
+    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+
+
+def similar_components(texts: DataFrame, width: int, similarity: float, radius: int = RADIUS, most_rounds: int = 6, pairs_an_entry: float = 2.0) -> DataFrame:
+    """(node, component) of the texts that have a link: components of all pairs of ``similarity`` or more. texts: node, text.
+
+    Entries are a text's prefix shingles, and its keys in the SimHash tables of ``radius``, for the first round only.
+    In a round the members of a shingle's bucket are verified with one of them, a leader that changes by the round, which
+    for a group of near copies links most of it with as many pairs as members. Then each bucket is seen by components,
+    and all pairs of different ones are verified, as soon as that takes at most ``pairs_an_entry`` for each entry or
+    ``most_rounds`` are over. So each pair of the similarity is within a component or was verified, whatever the rounds
+    found. Buckets are reduced and joined by keys, never gathered.
+    """
+    common, times = common_shingles(texts, width)
+    order = texts.sparkSession.sparkContext.broadcast((common, times))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints, n, bounds, kept = prefixes(batch.column(1), width, similarity, *order.value)
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(kept.view(np.int64)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(n, pa.int64()), lists], names=["node", "fp", "n", "keys"])
+
+    marks = cut_lineage(map_chunks(texts, work, "node long, fp long, n long, keys array<long>").dropDuplicates(["node"]))
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
+    tables = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)))
+
+    def shared(entries: DataFrame) -> DataFrame:
+        return entries.join(entries.groupBy("key").count().where("count > 1").select("key"), "key")
+
+    entries = cut_lineage(shared(marks.select("node", "n", F.explode("keys").alias("key"))))
+    near = shared(marks.select("node", "n", F.explode(tables).alias("key")))
+    n_entries = entries.count()
+    first, seen, edges, component = entries.union(near), None, None, None
+
+    def fits(n: str, m: str) -> Column:
+        return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal seen, edges, component
+        pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct()
+        pairs = cut_lineage(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+        seen = pairs if seen is None else seen.union(pairs)
+        sure = cut_lineage(verified(pairs, texts, width, similarity))
+        edges = sure if edges is None else edges.union(sure)
+        component = cut_lineage(connected_components(edges))
+
+    for number in range(most_rounds):
+        if component is None:
+            members = first.withColumn("component", F.col("node"))
+        else:
+            # Buckets of one component have nothing left to link.
+            members = entries.join(component, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+            sizes = members.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("big"), F.sum("count").alias("all"), F.max("count").alias("most"), F.count("*").alias("parts"))
+            members = cut_lineage(members.join(sizes.where("parts > 1"), "key"))
+            left = members.groupBy("key").agg(F.first("all").alias("all"), F.first("most").alias("most")).agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
+            if left <= pairs_an_entry * n_entries:
+                break
+        turn = F.struct(F.xxhash64(F.lit(number), "node").alias("h"), "node", F.col("n").alias("m"), F.col("component").alias("c"))
+        heads = members.groupBy("key").agg(F.min(turn).alias("head")).select("key", "head.node", "head.m", "head.c").withColumnRenamed("node", "b")
+        verify(members.withColumnRenamed("node", "a").join(heads, "key").where((F.col("component") != F.col("c")) & fits("n", "m")).select("a", "b"))
+    small = members.where("component <> big").select("key", F.col("node").alias("a"), "n", F.col("component").alias("ca"))
+    others = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"), "big")
+    once = (F.col("cb") == F.col("big")) | (F.col("a") < F.col("b"))
+    verify(small.join(others, "key").where((F.col("ca") != F.col("cb")) & once & fits("n", "m")).select("a", "b"))
+    return component
+
+
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, of which no earlier one is an exact or near copy; the smallest id stays.
+
+    Near copies share ``similarity`` or more of their shingles of ``width`` words (Jaccard); groups are the components of
+    all such pairs, each of them proven on the texts, and none is lost (see similar_components). Rows of null text are
+    one group, as empty text is; equal rows leave one. Rows with a null id come after all others.
+    """
+    row = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("id"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    content = F.xxhash64(F.sha2(body, 256))
+    # One row for each distinct text.
+    names = docs.withColumn("_content", content)
+    linked = similar_components(names.select(F.col("_content").alias("node"), body.alias("text")), width, similarity, radius).withColumnRenamed("node", "_content")
     # The first row of each group: by component where a text has one, else by the text itself.
     ids = names.select("_content", row.alias("_row")).groupBy("_content").agg(F.min("_row").alias("_row"), F.count("*").alias("_n"))
     grouped = ids.join(linked, "_content", "left").withColumn("_group", F.coalesce("component", "_content"))

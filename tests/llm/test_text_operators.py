@@ -290,6 +290,24 @@ def test_one_of_each_group_against_brute_force(spark, docs):
     assert simhash.one_of_each_group(docs.limit(0)).count() == 0
 
 
+def test_block_edits_are_found(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 100_000)}"
+    texts = []
+    for i in range(120):
+        w = [word() for _ in range(150)]
+        # J of a copy with k words more at one place: about 146 / (146 + k).
+        new = [word() for _ in range((16, 25, 34)[i % 3])]
+        at = (0, 150, 70)[i // 3 % 3]
+        texts += [w, [*w[:at], *new, *w[at:]]]
+    texts = [" ".join(t) for t in texts]
+    sets = [simhash.shingle_sets(t, 5) for t in texts]
+    group = components(range(len(texts)), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert len(set(group.values())) < 0.6 * len(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each_group(frame).collect()} == set(group.values())
+
+
 def test_language_model_base_and_sum(spark, docs):
     got = language_model.score(docs.withColumn("_t", F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))), "_t").toPandas()
     assert len(got) == docs.count() and got.doc_id.isna().sum() == 1
