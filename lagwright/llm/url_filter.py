@@ -1,9 +1,10 @@
 """URL filter: a blocked Bloom filter of listed canonical URLs, and an exact hash join behind it.
 
 A listing is a host and the start of a path. It fits a URL if the URL's host is the listed host or one of its
-subdomains and the URL's path starts with the listed path. A URL's keys are all pairs (host suffix, path prefix whose
-length some listing has). Keys that the Bloom filter lets through meet the list in an exact join, which drops the
-filter's false positives; the longest listing that fits decides.
+subdomains and the URL's path starts with the listed path. A URL's keys are the pairs (host suffix of as many labels as
+some listed host has, path prefix as long as some listed path). Keys that the Bloom filter lets through meet the list in
+an exact join, which drops the filter's false positives; the longest listing that fits decides. URLs without such a key
+are done at once, without a shuffle.
 
 Null and empty URLs, and URLs without ``://``, have an empty host and path and fit no listing: they are allowed.
 Repeated rows are judged each for itself. An empty list allows all; of two equal listings ``block`` wins.
@@ -85,8 +86,8 @@ def filter_urls(
 ) -> DataFrame:
     """``df`` with host, path, rule and verdict. listed: columns action (allow, block), host, path.
 
-    The list is joined by broadcast only if it has ``max_broadcast_rows`` rows at most; else by a shuffle, in which each
-    URL without a possible hit has a key of its own, so that none gathers them.
+    The list is joined by broadcast only if it has ``max_broadcast_rows`` rows at most; else by a shuffle of the possible
+    hits.
     """
     spark = df.sparkSession
     rules = listed.select(
@@ -95,18 +96,21 @@ def filter_urls(
     rules = rules.groupBy("_rule_host", "_rule_path").agg(F.max("_action").alias("_action"))
     rules = rules.withColumn("_key", F.xxhash64("_rule_host", "_rule_path")).withColumn("_rule", F.concat("_rule_host", "_rule_path"))
     n = rules.count()
-    # Distinct lengths of paths, at most as many as a path has characters.
+    # Distinct lengths of listed paths and label counts of listed hosts: a URL is tried at these only.
     lengths = sorted(r[0] for r in rules.select(F.length("_rule_path")).distinct().collect())
+    depths = sorted(r[0] for r in rules.select(F.size(F.split("_rule_host", r"\."))).distinct().collect())
     table = spark.sparkContext.broadcast(build_filter(rules, n, bits_per_key, max_filter_bytes))
 
     clash = [c for c in df.columns if c in ("host", "path", "rule", "verdict") or c.startswith("_")]
     rows = with_parts(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in clash)).alias("_row"), F.col(url).alias("_url")), "_url").drop("_url")
     rows = rows.withColumn("_id", F.monotonically_increasing_id())
-    labels = F.split("_host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.substring("_path", 1, k).alias("p")) for k in lengths)), lambda x: F.length("_path") >= x["k"]) if lengths else F.array().cast("array<struct<k:int,p:string>>")
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("h"), p["p"].alias("p"), F.xxhash64(s, p["p"]).alias("x")))))
-    rows = rows.withColumn("_keys", F.when(F.col("_host") == "", F.array().cast("array<struct<h:string,p:string,x:bigint>>")).otherwise(keys))
+    labels = F.length("_host") - F.length(F.replace(F.col("_host"), F.lit("."))) + 1
+    kind = "array<struct<h:string,p:string,x:bigint>>"
+    suffixes = [F.when(labels >= d, F.substring_index("_host", ".", -d)) for d in depths]
+    prefixes = [F.when(F.length("_path") >= k, F.substring("_path", 1, k)) for k in lengths]
+    pairs = [F.when(s.isNotNull() & p.isNotNull(), F.struct(s.alias("h"), p.alias("p"), F.xxhash64(s, p).alias("x"))) for s in suffixes for p in prefixes]
+    keys = F.array_compact(F.array(*pairs)).cast(kind) if pairs else F.array().cast(kind)
+    rows = rows.withColumn("_keys", F.when(F.col("_host") == "", F.array().cast(kind)).otherwise(keys))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = table.value
@@ -121,15 +125,15 @@ def filter_urls(
             kept = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.filter(pa.array(hit)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), kept], names=batch.schema.names)
 
-    hits = rows.mapInArrow(probe, rows.schema)
-    own = F.struct(F.concat(F.lit("\0"), F.col("_id").cast("string")).alias("h"), F.lit("").alias("p"), F.lit(0).cast("bigint").alias("x"))
-    hits = hits.withColumn("_k", F.explode(F.concat("_keys", F.array(own)))).drop("_keys")
+    probed = rows.mapInArrow(probe, rows.schema)
+    nothing = probed.where(F.size("_keys") == 0).select("_row.*", F.col("_host").alias("host"), F.col("_path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    hits = probed.where(F.size("_keys") > 0).withColumn("_k", F.explode("_keys")).drop("_keys")
     side = rules.drop("_key")
     side = F.broadcast(side) if n <= max_broadcast_rows else side
     joined = hits.join(side, (F.col("_k.h") == F.col("_rule_host")) & (F.col("_k.p") == F.col("_rule_path")), "left")
     best = F.max(F.struct(F.coalesce(F.length("_rule"), F.lit(-1)).alias("n"), F.length("_rule_host").alias("h"), F.col("_rule"), F.col("_action")))
     out = joined.groupBy("_id").agg(F.first("_row").alias("_row"), F.first("_host").alias("host"), F.first("_path").alias("path"), best.alias("_best"))
-    return out.select("_row.*", "host", "path", F.col("_best._rule").alias("rule"), F.coalesce("_best._action", F.lit("allow")).alias("verdict"))
+    return nothing.unionByName(out.select("_row.*", "host", "path", F.col("_best._rule").alias("rule"), F.coalesce("_best._action", F.lit("allow")).alias("verdict")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
