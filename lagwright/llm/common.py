@@ -28,11 +28,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; where none is set, in local mode only, a
+    temporary one: on a cluster the executors would not share it, so there this raises."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder that all executors share, and read back from it."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -110,25 +122,36 @@ def map_chunks(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+#: Strata whose shares are broadcast; beyond that they are joined by a shuffle.
+MOST_STRATA = 10_000
+
+
 def bounded_sample(df: DataFrame, key: Column, rows: int, strata: Column | None = None) -> DataFrame:
     """About ``rows`` rows of each stratum, chosen by a hash of ``key``, all if there are fewer.
 
-    One counting pass fixes each stratum's share; no window or sort gathers a stratum.
+    One counting pass fixes the share of each stratum that has more; no window or sort gathers a stratum.
     """
     strata = F.lit(0) if strata is None else strata
     share = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counts = df.groupBy(strata.alias("s")).count().limit(10_000).collect()
-    wanted = [F.when(strata.eqNullSafe(F.lit(r["s"])), F.lit(min(1.0, rows / r["count"]))) for r in counts]
-    return df.where(share < F.coalesce(*wanted, F.lit(0.0)))
+    large = df.groupBy(strata.alias("__stratum")).count().where(F.col("count") > rows).select("__stratum", (F.lit(float(rows)) / F.col("count")).alias("__share"))
+    found = large.limit(MOST_STRATA + 1).collect()
+    if len(found) <= MOST_STRATA:
+        large = F.broadcast(df.sparkSession.createDataFrame(found, large.schema))
+    marked = df.withColumns({"__own": strata, "__at": share}).join(large, F.col("__own").eqNullSafe(F.col("__stratum")), "left")
+    return marked.where(F.col("__at") < F.coalesce("__share", F.lit(1.0))).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a compressed table in the shared checkpoint folder: for texts, smaller than a checkpoint's raw rows."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that written() made, once nothing reads it any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -11,12 +11,14 @@ languages go to the first in code-point order. Repeated rows and ids are separat
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_sample, fold, map_chunks, read, text_buffer
+from .common import LOWER, bounded_sample, fold, map_chunks, pieces, read, text_buffer
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: Upper and lower case look alike, and so do all digits.
@@ -26,15 +28,19 @@ PAD = max(WIDTHS) - 1
 
 
 def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows as one byte array with PAD zeros after it, each window's row, and its bytes of text."""
+    """All windows as one byte array with PAD zeros after it, each window's row, and its bytes of text.
+
+    A text begins after PAD zeros in its first window and ends PAD zeros before its last window's end, so that no filter
+    sees bytes of two texts.
+    """
     sizes = np.diff(offsets)
-    n = -(-(sizes + PAD) // WINDOW)
+    n = -(-(sizes + 2 * PAD) // WINDOW)
     first = np.concatenate([[0], np.cumsum(n)])
     out = np.zeros(first[-1] * WINDOW + PAD, np.uint8)
-    out[np.arange(len(data)) + np.repeat(first[:-1] * WINDOW - offsets[:-1], sizes)] = CANON[data]
+    out[np.arange(len(data)) + np.repeat(first[:-1] * WINDOW + PAD - offsets[:-1], sizes)] = CANON[data]
     rows = np.repeat(np.arange(len(sizes)), n)
-    place = (np.arange(first[-1]) - first[rows]) * WINDOW
-    return out, rows, np.clip(sizes[rows] - place, 0, WINDOW).astype(np.float32)
+    place = (np.arange(first[-1]) - first[rows]) * WINDOW - PAD
+    return out, rows, (np.clip(place + WINDOW, 0, sizes[rows]) - np.clip(place, 0, sizes[rows])).astype(np.float32)
 
 
 class Network:
@@ -130,23 +136,39 @@ class Scorer:
         return mean.argmax(1), mean.max(1)
 
 
-def train(labelled: DataFrame, text: str, lang: str, key: str, rows_per_language: int = 400, windows_per_row: int = 6) -> Scorer | None:
-    """Fits on about ``rows_per_language`` texts of each language (the documented bound), chosen by a hash of the id, and
-    on ``windows_per_row`` windows of each, spread over the whole text. At most 200 languages."""
-    sample = bounded_sample(labelled, F.col(key), rows_per_language, F.col(lang))
-    found = sample.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(key).alias("k")).toPandas().sort_values(["k", "t"])
-    languages = sorted(set(found["l"]))
-    if not languages or len(languages) > 200:
+def sampled_windows(texts: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``most`` windows of each text, spread over the whole of it, and each one's row."""
+    data, offsets = text_buffer(texts)
+    flat, rows, size = windows_of(data, offsets)
+    cut = flat[: len(size) * WINDOW].reshape(-1, WINDOW)
+    # The last window of a text counts if it holds enough of it.
+    full = np.flatnonzero(size >= np.minimum(32, np.diff(offsets))[rows])
+    bounds = np.searchsorted(rows[full], np.arange(len(texts) + 1))
+    picked = [full[a + np.unique(np.linspace(0, b - a - 1, most).astype(int))] for a, b in zip(bounds, bounds[1:]) if b > a]
+    picked = np.concatenate(picked) if picked else np.zeros(0, np.int64)
+    return cut[picked], rows[picked]
+
+
+def train(labelled: DataFrame, text: str, lang: str, key: str, rows_per_language: int = 400, windows_per_row: int = 6, most_rows: int = 80_000) -> Scorer | None:
+    """Fits on about ``rows_per_language`` texts of each language (the documented bound; less where there are so many
+    languages that it would be over ``most_rows`` in all, ten at least), chosen by a hash of the id, and on
+    ``windows_per_row`` windows of each. Only these windows come to the driver. None without a labelled row."""
+    n = labelled.agg(F.count_distinct(lang)).first()[0]
+    if not n:
+        return None
+    sample = bounded_sample(labelled, F.col(key), max(10, min(rows_per_language, most_rows // n)), F.col(lang))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            windows, rows = sampled_windows(batch.column(0), windows_per_row)
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in windows], pa.binary()), batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows))], names=["w", "l", "k"])
+
+    found = sample.select(F.col(text).alias("text"), F.col(lang).alias("l"), F.xxhash64(key).alias("k")).mapInArrow(cut, "w binary, l string, k long").toPandas().sort_values(["k", "w"])
+    if found.empty:
         return None
-    windows, labels = [], []
-    for t, name in zip(found["t"], found["l"], strict=True):
-        data = np.frombuffer(t.encode(), np.uint8)
-        flat, _, size = windows_of(data, np.array([0, len(data)]))
-        cut = flat[: len(size) * WINDOW].reshape(-1, WINDOW)[size >= min(32, len(data))]
-        picked = cut[np.unique(np.linspace(0, len(cut) - 1, windows_per_row).astype(int))]
-        windows.append(picked)
-        labels += [languages.index(name)] * len(picked)
-    return Network(languages).fit(np.concatenate(windows), np.array(labels)).compiled()
+    languages, labels = np.unique(found["l"].to_numpy(str), return_inverse=True)
+    windows = np.frombuffer(b"".join(found["w"]), np.uint8).reshape(-1, WINDOW)
+    return Network([str(x) for x in languages]).fit(windows, labels).compiled()
 
 
 def has_letter(text: Column) -> Column:
