@@ -2,14 +2,17 @@
 
 Texts are lower-cased and cut into runs of letters and digits. A mask names the positions of a seed and ignores those
 between, so that a substituted word there does no harm. The seeds of all benchmark positions join those of all document
-positions; each hit fixes an alignment, on which the overlap is verified word by word. A document is contaminated if
-somewhere ``WINDOW`` aligned words in a row differ in ``SUBSTITUTIONS`` at most, words beyond the text's ends included.
-The two masks find every such window:
-whichever two of 13 words are substituted, one of the masks lies clear of them at some shift (tests try all pairs).
-
-Items of fewer than ``WINDOW`` words have to occur whole and unchanged; of fewer than ``SHORTEST`` words they are too
-common to tell a leak and match nothing. Null and empty texts match nothing. Repeated rows and equal ids are reported
-once for each item. An empty benchmark gives an empty result.
+positions; each hit fixes an alignment, on which the overlap is verified word by word. Of hits that follow each other on
+one alignment only the first is verified, so that repetitive texts and whole copies cost no more than others. A document
+is contaminated if somewhere ``WINDOW`` aligned words in a row differ in ``SUBSTITUTIONS`` at most, words beyond the
+text's ends included. The two masks find every such window: whichever two of 13 words are substituted, one of the masks
+lies clear of them at some shift (tests try all pairs).
+
+Items of fewer than ``WINDOW`` words have to occur whole: unchanged below ``TOLERANT`` words, with one substitution at
+most from there on. Their seeds are their first and last half, of which one is clear. Items of fewer than ``SHORTEST``
+words are too common to tell a leak and match nothing. Null and empty texts match nothing. Repeated rows and equal ids
+are reported once for each item. An empty benchmark gives an empty result. Scripts without blanks: a run of letters is
+one word, so such items match where whole clauses do.
 """
 
 from __future__ import annotations
@@ -17,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut_lineage, read
 
-WINDOW, SUBSTITUTIONS, SHORTEST = 13, 2, 5
+WINDOW, SUBSTITUTIONS, SHORTEST, TOLERANT = 13, 2, 5, 7
 MASKS = [(0, 1, 3, 5, 6, 7), (0, 2, 3, 6, 9, 10)]
 
 
@@ -34,13 +37,18 @@ def seed(hashes: Column, at: Column, number: int, mask: tuple[int, ...]) -> Colu
     return F.when(fits, F.xxhash64(F.lit(number), *(F.get(hashes, at + k) for k in mask)))
 
 
+def half(n: int) -> int:
+    """The words in a seed of an item of n, fewer than WINDOW: all of them where it has to occur unchanged."""
+    return n if n < TOLERANT else n // 2
+
+
 def seeds(df: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
-    """A row for each position and mask of column h: what df has, pos and seed.
+    """A row for each position and mask of column h: what df has, pos, mask (its number) and seed.
 
     posexplode_outer, since for posexplode the optimizer infers a filter on the size of h, which cuts all texts twice.
     """
     at = df.select("*", F.posexplode_outer("h").alias("pos", "_w")).drop("_w")
-    return at.withColumn("seed", F.explode(F.array(*(seed(F.col("h"), F.col("pos"), i, m) for i, m in enumerate(masks))))).where(F.col("seed").isNotNull())
+    return at.select("*", F.posexplode(F.array(*(seed(F.col("h"), F.col("pos"), i, m) for i, m in enumerate(masks)))).alias("mask", "seed")).where(F.col("seed").isNotNull())
 
 
 def overlaps(
@@ -51,29 +59,40 @@ def overlaps(
     item_key: str = "item_id",
     item_text: str = "text",
     max_broadcast_words: int = 1_000_000,
+    max_broadcast_hits: int = 1_000_000,
 ) -> DataFrame:
     """doc_key, item_key, n_matched and n_compared (of the best window), item_matched and item_words (of the whole item).
 
-    The benchmark's seeds are broadcast only if it has ``max_broadcast_words`` words at most; else both sides shuffle.
+    The seeds of documents, without their texts, meet the benchmark's and are reduced to distinct alignments, however
+    often a text repeats itself. Only documents with one are read again and verified. The benchmark's seeds are broadcast
+    only if it has ``max_broadcast_words`` words at most, the alignments if there are ``max_broadcast_hits`` at most; else
+    a shuffle joins them.
     """
     items = benchmark.select(F.col(item_key).alias("_item"), word_hashes(F.col(item_text)).alias("h")).where(F.size("h") >= SHORTEST)
     items = items.withColumn("_item_row", F.xxhash64("_item", "h")).dropDuplicates(["_item_row"])
-    short = {r[0] for r in items.where(F.size("h") < WINDOW).select(F.size("h")).distinct().collect()}
     words = items.agg(F.sum(F.size("h"))).first()[0] or 0
-    masks = [*MASKS, *(tuple(range(n)) for n in sorted(short))]
+    short = {r[0] for r in items.where(F.size("h") < WINDOW).select(F.size("h")).distinct().collect()}
+    masks = [*MASKS, *(tuple(range(n)) for n in sorted({half(n) for n in short}))]
 
     listed = seeds(items, masks)
-    # A short item counts by its own whole seed only, a long one by the spaced ones.
-    whole = F.coalesce(*(F.when(F.size("h") == n, F.xxhash64(F.lit(len(MASKS) + i), *(F.get("h", F.lit(k)) for k in range(n)))) for i, n in enumerate(sorted(short))), F.lit(None).cast("bigint"))
-    listed = listed.where(F.when(F.size("h") >= WINDOW, F.lit(True)).otherwise(F.coalesce(F.col("seed") == whole, F.lit(False))))
+    # A short item counts by its ends only, a long one by the spaced seeds.
+    own = F.coalesce(*(F.when(F.size("h") == n, F.lit(masks.index(tuple(range(half(n)))))) for n in sorted(short)), F.lit(-1))
+    ends = (F.col("pos") == 0) | (F.col("pos") == F.size("h") - F.coalesce(*(F.when(F.size("h") == n, F.lit(half(n))) for n in sorted(short)), F.lit(0)))
+    listed = listed.where(F.when(F.size("h") >= WINDOW, F.col("mask") < len(MASKS)).otherwise((F.col("mask") == own) & ends))
     listed = listed.select("seed", "_item_row", F.col("pos").alias("_item_pos"))
     sides = items.select("_item_row", "_item", F.col("h").alias("_item_h"))
+
     if words <= max_broadcast_words:
         listed, sides = F.broadcast(listed), F.broadcast(sides)
-
-    rows = docs.select(F.col(doc_key).alias("_doc"), word_hashes(F.col(doc_text)).alias("h"))
-    hits = seeds(rows, masks).join(listed, "seed").join(sides, "_item_row")
-    start = F.col("pos") - F.col("_item_pos")
+    rows = docs.select(F.col(doc_key).alias("_doc"), F.col(doc_text).alias("_text")).withColumn("_doc_row", F.xxhash64("_doc", "_text"))
+    found = seeds(rows.select("_doc_row", word_hashes(F.col("_text")).alias("h")), masks).select("_doc_row", "pos", "seed").join(listed, "seed")
+    aligned = cut_lineage(found.select("_doc_row", "_item_row", (F.col("pos") - F.col("_item_pos")).alias("start")).distinct())
+    held = aligned.select("_doc_row").distinct()
+    if aligned.count() <= max_broadcast_hits:
+        aligned, held = F.broadcast(aligned), F.broadcast(held)
+    hits = rows.join(held, "_doc_row", "left_semi").select("_doc", "_doc_row", word_hashes(F.col("_text")).alias("h")).join(aligned, "_doc_row").join(sides, "_item_row")
+
+    start = F.col("start")
     equal = F.transform("_item_h", lambda w, j: F.when(start + j >= 0, F.coalesce((F.get(F.col("h"), start + j) == w).cast("int"), F.lit(0))).otherwise(0))
     hits = hits.select("_doc", "_item", F.size("_item_h").alias("item_words"), F.least(F.size("_item_h"), F.lit(WINDOW)).alias("n_compared"), equal.alias("_equal"))
 
@@ -90,17 +109,34 @@ def overlaps(
 
     # A lambda's argument is worked out once; a column would be put in place of each of its uses.
     counted = F.get(F.transform(F.array("_equal"), counts), F.lit(0))
-    allowed = F.when(F.col("item_words") < WINDOW, 0).otherwise(SUBSTITUTIONS)
+    allowed = F.when(F.col("item_words") >= WINDOW, SUBSTITUTIONS).when(F.col("item_words") >= TOLERANT, 1).otherwise(0)
     scored = hits.select("_doc", "_item", "item_words", "n_compared", counted.alias("_c")).select("*", "_c.*").where(F.col("n_compared") - F.col("n_matched") <= allowed)
     best = F.max(F.struct("n_matched", "item_matched", "n_compared", "item_words")).alias("b")
     return scored.groupBy(F.col("_doc").alias(doc_key), F.col("_item").alias(item_key)).agg(best).select(doc_key, item_key, "b.n_matched", "b.n_compared", "b.item_matched", "b.item_words")
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` without the contaminated ones, all columns kept; a null id is matched as such."""
-    bad = overlaps(docs, benchmark, key).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(F.col("_bad")), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` without the contaminated ones, all columns kept; a null id is matched as such. Their ids are broadcast
+    if there are ``max_broadcast_rows`` at most, so that texts stay where they are; else the join is by a shuffle."""
+    bad = cut_lineage(overlaps(docs, benchmark, key).select(F.col(key).alias("_bad")).distinct())
+    few = bad.count() <= max_broadcast_rows
+    return docs.join(F.broadcast(bad) if few else bad, docs[key].eqNullSafe(F.col("_bad")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+# Aligned equal words are counted by a join on the word; the best window ends at one of them.
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS x FROM d),
+bw AS (SELECT item_id, len(w) AS n, unnest(range(len(w))) AS j, unnest(w) AS x FROM b WHERE len(w) >= 5),
+hit AS (SELECT doc_id, item_id, i - j AS a, j, n FROM dw JOIN bw USING (x)),
+win AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, a ORDER BY j RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS c FROM hit),
+best AS (SELECT doc_id, item_id, n, max(c) AS c, count(*) AS m FROM win GROUP BY doc_id, item_id, a, n),
+ok AS (SELECT doc_id, item_id, max({'c': c, 'm': m, 'k': least(n, 13), 'n': n}) AS b FROM best
+  WHERE least(n, 13) - c <= CASE WHEN n >= 13 THEN 2 WHEN n >= 7 THEN 1 ELSE 0 END GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, b.c::INT AS n_matched, b.k::INT AS n_compared, b.m::INT AS item_matched, b.n::INT AS item_words FROM ok
+"""

@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_model": language_model.query,
 }
 
-SQL = {"op1_url_filters": url_filter.SQL}
+SQL = {"op1_url_filters": url_filter.SQL, "op3_decontaminate": decontaminate.SQL, "op7_chat_format": chat_format.SQL}
