@@ -1,17 +1,19 @@
 """Token counts by a compiled finite-state tokenizer.
 
-Two deterministic transducers stand for a byte-level BPE tokenizer.
+Two deterministic transducers stand for a byte-level BPE tokenizer, both compiled to arrays, both with counts of what a
+transition emits on their transitions.
 
 The outer one cuts a text into words as the tokenizer's pattern does. Its alphabet are a few character classes, into
-which the pattern's bounded look-ahead is worked; its transitions are annotated with whether a word begins. Texts of a
-batch form one string of classes, cut into chunks of equal length. Each chunk becomes a map from states to states, the
-maps compose in a parallel prefix scan, and from each chunk's entry state the annotations follow, all in numpy.
+which the pattern's bounded look-ahead is worked; its transitions emit a word or none. Texts of a batch form one string of
+classes, cut into chunks of equal length. Each chunk becomes a map from an entry state to its exit state and to what it
+emits on the way; the maps compose in a parallel prefix scan, which gives each chunk's entry state and the number of the
+first word that begins in it.
 
-The inner one counts the tokens of a word. Its states are byte strings that begin some word, its transitions carry the
-change in the number of emitted tokens. By the prefix property of BPE the encoding of s + b ends in a token t such that
-the rest of it is the encoding of what stands before t; which t, is decided by whether t may follow the last token before
-it. So a new state needs a few look-ups among its ancestors; states are compiled as words come and dropped beyond a
-bound. Equal words of a batch are counted once.
+The inner one reads a word's bytes. Its states are byte strings that begin some word, its transitions carry the change in
+the number of emitted tokens. By the prefix property of BPE the encoding of s + b ends in a token t such that the rest of
+it is the encoding of what stands before t; which t, is decided by whether t may follow the last token before it. So a new
+transition needs a few look-ups among its ancestors; transitions are compiled as words come and dropped beyond a bound.
+All distinct words of a batch step through the machine at once, a byte at a time, and add up what is emitted.
 
 Null and empty texts count 0 tokens. Repeated rows are counted each for itself; other columns are not looked at. Words
 of any length work: beyond ``LONG`` bytes their states are not kept.
@@ -21,10 +23,12 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,30 +65,38 @@ def outer_machine() -> tuple[np.ndarray, np.ndarray]:
 
 
 def scan(classes: np.ndarray, to: np.ndarray, begins: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
-    """begins at each place of ``classes``, from state ENDED."""
+    """The places of ``classes`` at which a word begins, from state ENDED."""
     n = len(classes)
     rows = max(1, -(-n // chunk))
     padded = np.zeros(rows * chunk, np.uint8)
     padded[:n] = classes
     steps = np.ascontiguousarray(padded.reshape(rows, chunk).T)
-    flat = to.ravel()
+    flat, emits = to.ravel(), begins.ravel()
+    # maps[i, s] and words[i, s]: the state after chunk i entered in s, and the words begun on the way.
     maps = np.broadcast_to(np.arange(STATES, dtype=np.uint8), (rows, STATES)).copy()
+    words = np.zeros((rows, STATES), np.int32)
     for c in steps:
-        maps = flat[(maps << 4) + c[:, None]]
-    # Parallel prefix scan: after the step of width w, maps[i] is the composition of the 2w chunks up to i.
+        at = (maps << 4) + c[:, None]
+        words += emits[at]
+        maps = flat[at]
+    # Parallel prefix scan: after the step of width w, row i is the composition of the 2w chunks up to i.
     width = 1
     while width < rows:
-        maps[width:] = np.take_along_axis(maps[width:], maps[:-width].copy(), 1)
+        before = maps[:-width].copy()
+        words[width:] = words[:-width] + np.take_along_axis(words[width:], before, 1)
+        maps[width:] = np.take_along_axis(maps[width:], before, 1)
         width *= 2
-    state = np.full(rows, ENDED, np.uint8)
-    state[1:] = maps[:-1, ENDED]
-    out = np.empty((chunk, rows), bool)
-    marks = begins.ravel()
+    state, number = np.full(rows, ENDED, np.uint8), np.zeros(rows, np.int64)
+    state[1:], number[1:] = maps[:-1, ENDED], words[:-1, ENDED]
+    out = np.empty(int(words[-1, ENDED]), np.int64)
+    place = np.arange(rows) * chunk
     for k, c in enumerate(steps):
         at = (state << 4) + c
-        out[k] = marks[at]
+        hit = np.flatnonzero(emits[at])
+        out[number[hit]] = place[hit] + k
+        number[hit] += 1
         state = flat[at]
-    return out.T.ravel()[:n]
+    return out[: np.searchsorted(out, n)]
 
 
 def class_table() -> np.ndarray:
@@ -118,9 +130,9 @@ def classify(points: np.ndarray, firsts: np.ndarray, ends: np.ndarray, table: np
 
 
 class WordCounter:
-    """The inner transducer over a vocabulary file of byte-level BPE."""
+    """The inner transducer over a vocabulary file of byte-level BPE; ``most``: the states kept from batch to batch."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         model = json.load(open(path, encoding="utf-8"))["model"]
         # The printable stand-ins of bytes in such files: printable Latin-1 for itself, the rest from U+0100 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -128,80 +140,131 @@ class WordCounter:
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
         raw = lambda s: bytes(byte[c] for c in s)
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(merges)}
-        self.tokens = {a + b for a, b in self.ranks} | {bytes([b]) for b in range(256)}
-        self.longest = max(map(len, self.tokens))
+        # Tokens in the order of their merges, each with the pair that makes it; single bytes come first, made of nothing.
+        self.tokens, number = [bytes([b]) for b in range(256)], {bytes([b]): b for b in range(256)}
+        self.parts = [(b, b) for b in range(256)]
+        self.merged: dict[int, int] = {}
+        for a, b in merges:
+            pair, whole = (number[raw(a)], number[raw(b)]), raw(a) + raw(b)
+            if whole not in number:
+                number[whole] = len(self.tokens)
+                self.tokens.append(whole)
+                self.parts.append(pair)
+            self.merged[pair[0] << 20 | pair[1]] = number[whole]
+        # The tokens read backwards, as a tree: node << 8 | byte to node, and the token that ends (begins) at a node.
+        self.tree: dict[int, int] = {}
+        self.token_at: list[int] = [-1]
+        for number, token in enumerate(self.tokens):
+            node = 0
+            for b in reversed(token):
+                step = self.tree.setdefault(node << 8 | b, len(self.token_at))
+                if step == len(self.token_at):
+                    self.token_at.append(-1)
+                node = step
+            self.token_at[node] = number
         self.most = most
-        self.joins: dict[tuple[bytes, bytes], bool] = {}
-        self.seen: dict[bytes, int] = {}  # end states of whole words, so that frequent words are not walked again
+        self.joins: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        # State 0 is the empty string. to: state and byte to state; count and last token of each state.
-        self.to: dict[int, int] = {}
-        self.count, self.last = [0], [b""]
-
-    def encode(self, word: bytes) -> list[bytes]:
-        """BPE as defined: merge the pair of lowest rank, leftmost first, until none is left."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def follows(self, a: bytes, b: bytes) -> bool:
-        """Whether token b may stand right after token a."""
-        known = self.joins.get((a, b))
+        # State 0 is the empty string, with no token. Transitions: sorted keys state << 8 | byte, each with the state that
+        # it leads to and the change in the number of tokens. last: the last token of each state, count: its tokens.
+        self.keys, self.to, self.emits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.last, self.count = [-1], [0]
+
+    def follows(self, a: int, b: int) -> bool:
+        """Whether token b may stand right after token a: no merge over the border comes before a merge inside them."""
+        known = self.joins.get(a << 20 | b)
         if known is None:
             if len(self.joins) > 2_000_000:
                 self.joins.clear()
-            known = self.joins[a, b] = self.encode(a + b) == [a, b]
+            known = self.joins[a << 20 | b] = self.stays(a, b)
         return known
 
-    def __call__(self, word: bytes) -> int:
-        if word == SPECIAL:
-            return 1
-        if len(word) > LONG:
-            return self.long(word)
-        known = self.seen.get(word)
-        if known is None:
-            if len(self.seen) > 2 * self.most:
-                self.seen.clear()
-            known = self.seen[word] = self.walk(word)
-        return known
-
-    def walk(self, word: bytes) -> int:
-        if len(self.count) > self.most:
+    def stays(self, x: int, y: int) -> bool:
+        """The tokens' merges are undone from the last one back; at each stage the two at the border may have a merge only
+        if it comes later than the one that was undone last."""
+        undone = len(self.tokens)
+        while True:
+            if self.merged.get(x << 20 | y, undone) < undone:
+                return False
+            # Of two equal tokens the left one was merged first, so the right one is undone first.
+            if x > y and x > 255:
+                undone, x = x, self.parts[x][1]
+            elif y > 255:
+                undone, y = y + 1, self.parts[y][0]
+            elif x > 255:
+                undone, x = x, self.parts[x][1]
+            else:
+                return True
+
+    def last_token(self, word: bytes, end: int, last: Callable[[int], int]) -> tuple[int, int]:
+        """The last token of word[:end] and where it begins. last: the last token of the word up to a place before."""
+        found, node, start = [], 0, end
+        while start and (node := self.tree.get(node << 8 | word[start - 1])):
+            start -= 1
+            if self.token_at[node] >= 0:
+                found.append((self.token_at[node], start))
+        for token, start in reversed(found):
+            if start == 0 or self.follows(last(start), token):
+                return token, start
+        raise AssertionError("a single byte may follow anything that ends before it")
+
+    def __call__(self, words: pa.BinaryArray) -> np.ndarray:
+        """The number of tokens of each word."""
+        if len(self.last) > self.most:
             self.clear()
-        to, state, path = self.to, 0, [0]
-        for i, b in enumerate(word):
-            new = to.get(state << 8 | b)
-            if new is None:
-                new = len(self.count)
-                end = i + 1
-                for start in range(max(0, end - self.longest), end):
-                    t = word[start:end]
-                    if t in self.tokens and (start == 0 or self.follows(self.last[path[start]], t)):
-                        break
-                self.count.append(self.count[path[start]] + 1)
-                self.last.append(t)
-                to[state << 8 | b] = new
-            state = new
-            path.append(state)
-        return self.count[state]
+        starts = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+        data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.zeros(0, np.uint8)
+        size = np.diff(starts)
+        counts = np.zeros(len(words), np.int64)
+        special = pc.equal(words, SPECIAL).to_numpy(zero_copy_only=False)
+        counts[special] = 1
+        for i in np.flatnonzero(~special & (size > LONG)):
+            counts[i] = self.long(words[i].as_py())
+        order = np.flatnonzero(~special & (size <= LONG))
+        order = order[np.argsort(-size[order], kind="stable")]  # longest first: those with a k-th byte stand in front
+        ends = np.searchsorted(-size[order], -np.arange(int(size[order].max(initial=0)) + 1), "right")
+        path = [np.zeros(len(order), np.int64)]
+        for k in range(1, len(ends)):
+            n = ends[k]
+            symbols = path[-1][:n] << 8 | data[starts[order[:n]] + k - 1]
+            at = self.transitions(symbols, words, order, path)
+            counts[order[:n]] += self.emits[at]
+            path.append(self.to[at])
+        return counts
+
+    def transitions(self, symbols: np.ndarray, words: pa.BinaryArray, order: np.ndarray, path: list[np.ndarray]) -> np.ndarray:
+        """The number of each symbol's transition; those that are not there yet are compiled. path: the states of all
+        words after each byte before."""
+        at = np.searchsorted(self.keys, symbols)
+        known = np.zeros(len(symbols), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == symbols[inside]
+        if known.all():
+            return at
+        new, who = np.unique(symbols[~known], return_index=True)
+        who = np.flatnonzero(~known)[who]
+        end, first = len(path), len(self.last)
+        emits = np.empty(len(new), np.int64)
+        for i, (w, word) in enumerate(zip(who.tolist(), words.take(pa.array(order[who])).to_pylist(), strict=True)):
+            token, start = self.last_token(word, end, lambda k: self.last[path[k][w]])
+            self.last.append(token)
+            self.count.append(self.count[path[start][w]] + 1)
+            emits[i] = self.count[-1] - self.count[path[-1][w]]
+        place = np.searchsorted(self.keys, new)
+        self.keys = np.insert(self.keys, place, new)
+        self.to = np.insert(self.to, place, first + np.arange(len(new)))
+        self.emits = np.insert(self.emits, place, emits)
+        return np.searchsorted(self.keys, symbols)
 
     def long(self, word: bytes) -> int:
         """The same without kept states: as many steps as bytes, memory for the last tokens."""
-        count, last = [0], [b""]
+        count, last = [0], [-1]
         for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
-                t = word[start:end]
-                if t in self.tokens and (start == 0 or self.follows(last[start], t)):
-                    break
+            token, start = self.last_token(word, end, last.__getitem__)
             count.append(count[start] + 1)
-            last.append(t)
+            last.append(token)
         return count[-1]
 
 
@@ -234,14 +297,14 @@ class Counter:
         ends = firsts[1:].copy()
         ends[-1] = True
         begins = scan(classify(points, firsts[:-1], ends, self.table), *self.machine)
-        for a in special:
-            i = np.searchsorted(place, a)
-            begins[i + 1 : i + len(SPECIAL)] = False
+        if special:  # no word begins inside a special string
+            inside = np.searchsorted(place, held)
+            last = inside[np.maximum(np.searchsorted(inside, begins, "right") - 1, 0)]
+            begins = begins[~((begins > last) & (begins < last + len(SPECIAL)))]
         starts = place[begins]
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(raw)])
         coded = words.dictionary_encode()
-        counts = np.fromiter(map(self.words, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        return row_sums(counts[coded.indices.to_numpy()], np.searchsorted(starts, offsets))
+        return row_sums(self.words(coded.dictionary)[coded.indices.to_numpy()], np.searchsorted(starts, offsets))
 
 
 @lru_cache(maxsize=1)
