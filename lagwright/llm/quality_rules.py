@@ -89,10 +89,11 @@ def base_failed() -> Column:
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    """(n, 4) ratios of (n, COUNTS), on a log scale; repeated words and lines are the base rules' affair."""
+    """(n, 6) ratios of (n, COUNTS), on a log scale: word length, symbols, capitals, marks, repeated lines and words."""
     c = dict(zip(COUNTS, counts.T.astype(float), strict=True))
     words, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
-    return np.log1p(20 * np.stack([chars / words, c["n_symbols"] / words, c["n_upper"] / chars, c["n_marks"] / words], 1))
+    ratios = [chars / words, c["n_symbols"] / words, c["n_upper"] / chars, c["n_marks"] / words, c["n_dup_lines"] / words, c["n_repeat_words"] / words]
+    return np.log1p(20 * np.stack(ratios, 1))
 
 
 @dataclass
@@ -171,8 +172,9 @@ def calibrated(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     known = labels.where(F.col("quality").isin(0, 1)).groupBy(key).agg(F.min("quality").alias("_y"), F.max("quality").alias("_z")).where("_y = _z").select(key, "_y")
     labelled = stats.where(~base_failed()).join(known, key)
     fitted = bounded_sample(labelled.where("_y = 1"), F.col(key), sample_rows).select(*COUNTS).toPandas()
-    others = bounded_sample(labelled.where("_y = 0"), F.col(key), max(1, int(other_share * sample_rows))).select(*COUNTS).toPandas()
-    fitted = pd.concat([fitted, others.sort_values(COUNTS).head(max(1, int(other_share * len(fitted))))]) if len(fitted) else fitted
+    others = bounded_sample(labelled.where("_y = 0"), F.col(key), max(1, int(other_share * sample_rows))).select(*COUNTS, F.xxhash64(key).alias("_h")).toPandas()
+    others = others.sort_values(["_h", *COUNTS])[COUNTS].head(max(1, int(other_share * len(fitted))))  # by hash, so at random
+    fitted = pd.concat([fitted, others]) if len(fitted) else fitted
     if fitted.empty:
         fitted = bounded_sample(stats, F.col(key), sample_rows).select(*COUNTS).toPandas()
     if fitted.empty:
