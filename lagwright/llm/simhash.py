@@ -267,23 +267,51 @@ def hashed_shingles(words: pa.StringArray, bounds: np.ndarray, width: int) -> tu
     return mixed >> np.uint64(8), rows, coded
 
 
-def prefixes(texts: pa.Array, width: int, similarity: float, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text a fingerprint of its set of words, its number of shingles, and of these the first in an order that all
-    texts share, so many that any two texts of ``similarity`` (Jaccard) or more have one of them in common; as the
-    bounds of each text's and the shingles. ``common``: sorted hashes that come late in the order, the more ``times`` the later; whichever
-    they are, no pair is lost.
+#: Bits of a sketch of a set of shingles, 64 a word: of each of that many cells of the hashes, one bit of the least.
+SKETCH = 256
+
+
+def sketches(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """(n, SKETCH / 64) sketches of 56-bit hashes, sorted within their rows; a cell without a hash has bit 0. Two sets of
+    Jaccard similarity J differ in (1 - J) / 2 of the bits on average."""
+    cell = rows * SKETCH + (hashes >> np.uint64(48)).astype(np.int64)
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    bits = np.zeros(n * SKETCH, np.uint8)
+    bits[cell[first]] = (hashes[first] & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits.reshape(n, SKETCH), axis=1).view(np.uint64)
+
+
+def most_differing(similarity: float) -> int:
+    """Bits in which sketches of sets of ``similarity`` or more differ at most, but for a chance of about 1e-9: the mean
+    and six deviations."""
+    p = (1 - similarity) / 2
+    return int(SKETCH * p + 6 * (SKETCH * p * (1 - p)) ** 0.5)
+
+
+def prefixes(texts: pa.Array, width: int, similarity: float, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text a fingerprint of its set of words, a sketch of its shingles, their number, and of these the first in
+    an order that all texts share, so many that any two texts of ``similarity`` (Jaccard) or more have one of them in
+    common; as the bounds of each text's and the shingles. ``common``: sorted hashes that come late in the order, the more
+    ``times`` the later; whichever they are, no pair is lost.
     """
     data, offsets = text_buffer(texts)
     words, bounds = split_words(LOWER[data], offsets)
     hashes, rows, coded = hashed_shingles(words, bounds, width)
+
+    def distinct(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((hashes, rows))
+        hashes, rows = hashes[order], rows[order]
+        first = np.ones(len(rows), bool)
+        first[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+        return hashes[first], rows[first]
+
+    hashes, rows = distinct(hashes, rows)
+    sketch = sketches(hashes, rows, len(texts))
     if len(common):
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        hashes = hashes | np.where(common[at] == hashes, np.minimum(times[at], 127), 0).astype(np.uint64) << np.uint64(56)
-    order = np.lexsort((hashes, rows))
-    hashes, rows = hashes[order], rows[order]
-    first = np.ones(len(rows), bool)
-    first[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-    hashes, rows = hashes[first], rows[first]
+        found = common[at] == hashes
+        if found.any():
+            hashes, rows = distinct(hashes | np.where(found, np.minimum(times[at], 127), 0).astype(np.uint64) << np.uint64(56), rows)
     starts = np.searchsorted(rows, np.arange(len(texts) + 1))
     n = np.diff(starts)
     # Two sets share similarity * (the larger's size) at least, so neither's first n - that + 1 can all be missed.
@@ -294,7 +322,7 @@ def prefixes(texts: pa.Array, width: int, similarity: float, common: np.ndarray,
     pairs = np.unique(owners * many + coded.indices.to_numpy())
     seeded = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     prints = majority(seeded[pairs % many], np.searchsorted(pairs, np.arange(len(texts) + 1) * many))
-    return prints, n, np.concatenate([[0], np.cumsum(length)]), kept
+    return prints, sketch, n, np.concatenate([[0], np.cumsum(length)]), kept
 
 
 def common_shingles(texts: DataFrame, width: int, sample_rows: int = 4096, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
@@ -333,66 +361,78 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
-def similar_components(texts: DataFrame, width: int, similarity: float, radius: int = RADIUS, most_rounds: int = 6, pairs_an_entry: float = 2.0) -> DataFrame:
-    """(node, component) of the texts that have a link: components of all pairs of ``similarity`` or more. texts: node, text.
+def similar_components(texts: DataFrame, width: int, similarity: float, radius: int = RADIUS, most_rounds: int = 2, pairs_an_entry: float = 2.0) -> DataFrame:
+    """(node, component) of the texts that have a link: components of all pairs of ``similarity`` or more. texts: node, text;
+    nodes can repeat.
 
     Entries are a text's prefix shingles, and its keys in the SimHash tables of ``radius``, for the first round only.
-    In a round the members of a shingle's bucket are verified with one of them, a leader that changes by the round, which
-    for a group of near copies links most of it with as many pairs as members. Then each bucket is seen by components,
-    and all pairs of different ones are verified, as soon as that takes at most ``pairs_an_entry`` for each entry or
-    ``most_rounds`` are over. So each pair of the similarity is within a component or was verified, whatever the rounds
-    found. Buckets are reduced and joined by keys, never gathered.
+    In a round each bucket has a leader that changes by the round, and each text is verified with one of the leaders of
+    its buckets: as many pairs as texts at most, which for a group of near copies link most of it. Then each bucket is
+    seen by components, and all pairs of different ones are verified, as soon as that takes at most ``pairs_an_entry`` for
+    each entry or ``most_rounds`` are over. So each pair of the similarity is within a component or was verified,
+    whatever the rounds found. Pairs whose sizes or sketches rule the similarity out (see most_differing) are left out
+    before texts are read. Buckets are reduced and joined by keys, never gathered.
     """
-    common, times = common_shingles(texts, width)
-    order = texts.sparkSession.sparkContext.broadcast((common, times))
+    order = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
+    words = [f"s{i}" for i in range(SKETCH // 64)]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints, n, bounds, kept = prefixes(batch.column(1), width, similarity, *order.value)
+        prints, sketch, n, bounds, kept = prefixes(batch.column(1), width, similarity, *order.value)
         lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(kept.view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(n, pa.int64()), lists], names=["node", "fp", "n", "keys"])
+        columns = [batch.column(0), pa.array(prints.view(np.int64)), pa.array(n, pa.int64()), *(pa.array(c.copy().view(np.int64)) for c in sketch.T), lists]
+        return pa.RecordBatch.from_arrays(columns, names=["node", "fp", "n", *words, "keys"])
 
-    marks = cut_lineage(map_chunks(texts, work, "node long, fp long, n long, keys array<long>").dropDuplicates(["node"]))
+    schema = "node long, fp long, n long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>"
+    marks = cut_lineage(map_chunks(texts, work, schema))
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
     tables = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)))
 
-    def shared(entries: DataFrame) -> DataFrame:
-        return entries.join(entries.groupBy("key").count().where("count > 1").select("key"), "key")
+    def shared(keys: Column) -> DataFrame:
+        """(key, node) of the keys that two texts or more have."""
+        each = marks.select(F.explode(keys).alias("key"), "node")
+        several = each.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+        return each.join(several, "key").distinct()
 
-    entries = cut_lineage(shared(marks.select("node", "n", F.explode("keys").alias("key"))))
-    near = shared(marks.select("node", "n", F.explode(tables).alias("key")))
+    entries, near = cut_lineage(shared(F.col("keys"))), shared(tables)
     n_entries = entries.count()
-    first, seen, edges, component = entries.union(near), None, None, None
+    # Texts without a key in common with another have no part in what follows.
+    alike = cut_lineage(marks.drop("keys", "fp").join(entries.select("node").union(near.select("node")).distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    most = most_differing(similarity)
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        side = lambda end: alike.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", *words)))
+        both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+        differing = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
+        return both.where((F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9) & (differing <= most)).select("a", "b")
 
-    def fits(n: str, m: str) -> Column:
-        return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+    edges, component = None, None
 
     def verify(pairs: DataFrame) -> None:
-        nonlocal seen, edges, component
-        pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct()
-        pairs = cut_lineage(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        seen = pairs if seen is None else seen.union(pairs)
-        sure = cut_lineage(verified(pairs, texts, width, similarity))
+        nonlocal edges, component
+        sure = cut_lineage(verified(cut_lineage(pairs), texts, width, similarity))
         edges = sure if edges is None else edges.union(sure)
         component = cut_lineage(connected_components(edges))
 
-    for number in range(most_rounds):
-        if component is None:
-            members = first.withColumn("component", F.col("node"))
-        else:
+    for number in range(most_rounds + 1):
+        members = entries.union(near).withColumn("component", F.col("node"))
+        if component is not None:
             # Buckets of one component have nothing left to link.
-            members = entries.join(component, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+            members = entries.join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
             sizes = members.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("big"), F.sum("count").alias("all"), F.max("count").alias("most"), F.count("*").alias("parts"))
             members = cut_lineage(members.join(sizes.where("parts > 1"), "key"))
             left = members.groupBy("key").agg(F.first("all").alias("all"), F.first("most").alias("most")).agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-            if left <= pairs_an_entry * n_entries:
+            if left <= pairs_an_entry * n_entries or number == most_rounds:
                 break
-        turn = F.struct(F.xxhash64(F.lit(number), "node").alias("h"), "node", F.col("n").alias("m"), F.col("component").alias("c"))
-        heads = members.groupBy("key").agg(F.min(turn).alias("head")).select("key", "head.node", "head.m", "head.c").withColumnRenamed("node", "b")
-        verify(members.withColumnRenamed("node", "a").join(heads, "key").where((F.col("component") != F.col("c")) & fits("n", "m")).select("a", "b"))
-    small = members.where("component <> big").select("key", F.col("node").alias("a"), "n", F.col("component").alias("ca"))
-    others = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"), "big")
+        turn = F.struct(F.xxhash64(F.lit(number), "node").alias("h"), F.col("node").alias("b"), F.col("component").alias("c"))
+        heads = members.groupBy("key").agg(F.min(turn).alias("head")).select("key", "head.h", "head.b", "head.c")
+        led = members.select("key", F.col("node").alias("a"), "component").join(heads, "key").where(F.col("component") != F.col("c"))
+        chosen = plausible(led.select("a", "b")).groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(number), "b").alias("h"), "b")).alias("m"))
+        verify(chosen.select("a", "m.b"))
+    small = members.where("component <> big").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
+    others = members.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), "big")
     once = (F.col("cb") == F.col("big")) | (F.col("a") < F.col("b"))
-    verify(small.join(others, "key").where((F.col("ca") != F.col("cb")) & once & fits("n", "m")).select("a", "b"))
+    last = small.join(others, "key").where((F.col("ca") != F.col("cb")) & once)
+    verify(plausible(last.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b")))
     return component
 
 
