@@ -340,10 +340,19 @@ def common_shingles(texts: DataFrame, width: int, sample_rows: int = 4096, most:
     return counts["h"].to_numpy().astype(np.uint64), counts["count"].to_numpy().astype(np.int64)
 
 
+#: Rows of one or two ids that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """``ids`` with a hint to broadcast it, if it has at most MOST_BROADCAST rows."""
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts share ``similarity`` of their shingles. texts: node, text; nodes can repeat."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    held = texts.join(ends, "node", "left_semi").dropDuplicates(["node"])
+    ends = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    held = texts.join(few(ends), "node", "left_semi").dropDuplicates(["node"])
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -365,13 +374,13 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
     """(node, component) of the texts that have a link: components of all pairs of ``similarity`` or more. texts: node, text;
     nodes can repeat.
 
-    Entries are a text's prefix shingles, and its keys in the SimHash tables of ``radius``, for the first round only.
-    In a round each bucket has a leader that changes by the round, and each text is verified with one of the leaders of
-    its buckets: as many pairs as texts at most, which for a group of near copies link most of it. Then each bucket is
-    seen by components, and all pairs of different ones are verified, as soon as that takes at most ``pairs_an_entry`` for
-    each entry or ``most_rounds`` are over. So each pair of the similarity is within a component or was verified,
-    whatever the rounds found. Pairs whose sizes or sketches rule the similarity out (see most_differing) are left out
-    before texts are read. Buckets are reduced and joined by keys, never gathered.
+    A text's keys are its prefix shingles and its keys in the SimHash tables of ``radius``. Keys of two texts give a pair
+    each. Of more frequent keys, each bucket has a leader that changes by the round, and each text is verified with one of
+    the leaders of its buckets: as many pairs as texts at most, which for a group of near copies link most of it. Then
+    each bucket is seen by components, and all pairs of different ones are verified, as soon as that takes at most
+    ``pairs_an_entry`` for each entry or ``most_rounds`` are over. So each pair of the similarity is within a component or
+    was verified, whatever the rounds found. Pairs whose sizes or sketches rule the similarity out (see most_differing)
+    are left out before texts are read. Buckets are reduced and joined by keys, never gathered.
     """
     order = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
     words = [f"s{i}" for i in range(SKETCH // 64)]
@@ -387,16 +396,14 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
     tables = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)))
 
-    def shared(keys: Column) -> DataFrame:
-        """(key, node) of the keys that two texts or more have."""
-        each = marks.select(F.explode(keys).alias("key"), "node")
-        several = each.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-        return each.join(several, "key").distinct()
-
-    entries, near = cut_lineage(shared(F.col("keys"))), shared(tables)
+    each = marks.select(F.explode(F.concat("keys", tables)).alias("key"), "node")
+    shared = cut_lineage(each.groupBy("key").agg(F.count("*").alias("times"), F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b"))
+    twice = shared.where("times = 2").select("a", "b").distinct()
+    entries = cut_lineage(each.join(few(shared.where("times > 2").select("key")), "key").distinct())
     n_entries = entries.count()
     # Texts without a key in common with another have no part in what follows.
-    alike = cut_lineage(marks.drop("keys", "fp").join(entries.select("node").union(near.select("node")).distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    involved = cut_lineage(entries.select("node").union(twice.select("a")).union(twice.select("b")).distinct())
+    alike = cut_lineage(marks.drop("keys", "fp").join(few(involved), "node", "left_semi").dropDuplicates(["node"]))
     most = most_differing(similarity)
 
     def plausible(pairs: DataFrame) -> DataFrame:
@@ -405,19 +412,21 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
         differing = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
         return both.where((F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9) & (differing <= most)).select("a", "b")
 
-    edges, component = None, None
+    seen, edges, component = None, None, None
 
     def verify(pairs: DataFrame) -> None:
-        nonlocal edges, component
-        sure = cut_lineage(verified(cut_lineage(pairs), texts, width, similarity))
-        edges = sure if edges is None else edges.union(sure)
+        nonlocal seen, edges, component
+        pairs = plausible(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        pairs = cut_lineage(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+        sure = cut_lineage(verified(pairs, texts, width, similarity))
+        seen, edges = (pairs, sure) if seen is None else (seen.union(pairs), edges.union(sure))
         component = cut_lineage(connected_components(edges))
 
     for number in range(most_rounds + 1):
-        members = entries.union(near).withColumn("component", F.col("node"))
+        members = entries.withColumn("component", F.col("node"))
         if component is not None:
-            # Buckets of one component have nothing left to link.
             members = entries.join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+            # Buckets of one component have nothing left to link.
             sizes = members.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("big"), F.sum("count").alias("all"), F.max("count").alias("most"), F.count("*").alias("parts"))
             members = cut_lineage(members.join(sizes.where("parts > 1"), "key"))
             left = members.groupBy("key").agg(F.first("all").alias("all"), F.first("most").alias("most")).agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
@@ -426,13 +435,12 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
         turn = F.struct(F.xxhash64(F.lit(number), "node").alias("h"), F.col("node").alias("b"), F.col("component").alias("c"))
         heads = members.groupBy("key").agg(F.min(turn).alias("head")).select("key", "head.h", "head.b", "head.c")
         led = members.select("key", F.col("node").alias("a"), "component").join(heads, "key").where(F.col("component") != F.col("c"))
-        chosen = plausible(led.select("a", "b")).groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(number), "b").alias("h"), "b")).alias("m"))
-        verify(chosen.select("a", "m.b"))
+        chosen = plausible(led.select("a", "b")).groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(number), "b").alias("h"), "b")).alias("m")).select("a", "m.b")
+        verify(chosen if number else chosen.union(twice))
     small = members.where("component <> big").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
     others = members.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), "big")
     once = (F.col("cb") == F.col("big")) | (F.col("a") < F.col("b"))
-    last = small.join(others, "key").where((F.col("ca") != F.col("cb")) & once)
-    verify(plausible(last.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b")))
+    verify(small.join(others, "key").where((F.col("ca") != F.col("cb")) & once).select("a", "b"))
     return component
 
 
@@ -446,13 +454,17 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     row = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("id"))
     body = F.coalesce(F.col(text), F.lit(""))
     content = F.xxhash64(F.sha2(body, 256))
-    # One row for each distinct text.
     names = docs.withColumn("_content", content)
     linked = similar_components(names.select(F.col("_content").alias("node"), body.alias("text")), width, similarity, radius).withColumnRenamed("node", "_content")
     # The first row of each group: by component where a text has one, else by the text itself.
-    ids = names.select("_content", row.alias("_row")).groupBy("_content").agg(F.min("_row").alias("_row"), F.count("*").alias("_n"))
+    ids = names.select("_content", row.alias("_row")).groupBy("_content", "_row").count().groupBy("_content").agg(F.min(F.struct("_row", "count")).alias("_m"), F.sum("count").alias("_n"))
     grouped = ids.join(linked, "_content", "left").withColumn("_group", F.coalesce("component", "_content"))
-    first = grouped.groupBy("_group").agg(F.min(F.struct("_row", "_content")).alias("_first"))
-    stays = first.select(F.col("_first._content").alias("_content"), F.col("_first._row").alias("_row"))
-    rows = names.join(stays, "_content").where(row == F.col("_row"))
-    return rows.dropDuplicates(["_content"]).select(*docs.columns)
+    first = grouped.groupBy("_group").agg(F.min(F.struct("_m._row", "_content")).alias("_first"))
+    marked = grouped.join(first, "_group").select("_content", F.when(F.col("_first._content") == F.col("_content"), F.col("_m._row")).alias("_stays"), (F.col("_m.count") > 1).alias("_again"), "_n")
+    # Texts that occur once and lead their group are not listed: their rows stay, where they are.
+    listed = cut_lineage(marked.where("_n > 1 or _stays is null"))
+    left = names.join(few(listed), "_content", "left").where(F.col("_n").isNull() | (row == F.col("_stays")))
+    if listed.where("_again and _stays is not null").isEmpty():
+        return left.select(*docs.columns)
+    again = F.coalesce("_again", F.lit(False))
+    return left.where(~again).union(left.where(again).dropDuplicates(["_content"])).select(*docs.columns)
