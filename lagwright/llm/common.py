@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once; batches are cut to this, whole rows at least.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 #: ASCII white space: blank and \t \n \v \f \r.
 SPACE = np.zeros(256, bool)
