@@ -26,6 +26,10 @@ def role(path: Column) -> Column:
     return case
 
 
+def is_audio(path: Column) -> Column:
+    return F.lower(path).rlike(rf"\.({EXTENSIONS})$")
+
+
 def without_tag(name: Column) -> Column:
     return F.regexp_replace(name, TAG, "")
 

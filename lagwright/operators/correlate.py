@@ -65,3 +65,39 @@ def fuse(candidates: DataFrame, k: str, cluster: float = 0.04, floor: float = 0.
     pick = lambda n, c: F.max(F.when(F.col("_r") == n, F.col(c)))
     out = r.groupBy(k).agg(pick(1, "lag").alias("fused_lag"), pick(1, "score").alias("fused_score"), F.greatest(F.coalesce(pick(2, "score"), F.lit(0.0)), pick(1, "second")).alias("second_score"))
     return out.withColumn("margin", F.greatest(F.lit(0.0), F.col("fused_score") - F.col("second_score")))
+
+
+def windowed(df: DataFrame, keys: list[str], frame: str, window: int, step: int) -> DataFrame:
+    """df with win: each row in every window of ``window`` frames, begun each ``step``, that holds its frame."""
+    last = F.floor(F.col(frame) / step)
+    first = F.floor((F.col(frame) - window) / step) + 1
+    return df.withColumn("win", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.greatest(last, F.lit(0)))))
+
+
+def window_lags(ref: DataFrame, qry: DataFrame, keys: list[str], frame: str, v: str, most: int, window: int, step: int, least: int, quiet: float) -> DataFrame:
+    """keys, win, at (the window's middle), lag, score, railed: for each window of the query with ``least`` frames and a mean
+    square of ``quiet`` or more, the lag within ``most`` at which it meets the reference best (the first maximum), moved to
+    the vertex of its neighbours; railed where the maximum is at the edge. The reference reaches ``most`` beyond the
+    window. Frames meet by equality on (keys, frame + lag), so a window costs window * (2 most + 1) products."""
+    q = windowed(qry, keys, frame, window, step)
+    stats = q.groupBy(*keys, "win").agg(F.avg(v).alias("_m"), F.count("*").alias("_n"), F.avg(F.col(v) * F.col(v)).alias("_p")).where((F.col("_n") >= least) & (F.col("_p") >= quiet))
+    q = q.join(stats, [*keys, "win"]).select(*keys, "win", F.col(frame).alias("_f"), (F.col(v) - F.col("_m")).alias("_q"))
+    q = q.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("_f", F.col("_f") + F.col("lag"))
+    both = q.join(ref.select(*keys, F.col(frame).alias("_f"), F.col(v).alias("_r")), [*keys, "_f"])
+    s = both.groupBy(*keys, "win", "lag").agg(F.sum(F.col("_q") * F.col("_r")).alias("_qr"), F.sum("_q").alias("_sq"), F.sum("_r").alias("_sr"), F.sum(F.col("_q") * F.col("_q")).alias("_qq"), F.sum(F.col("_r") * F.col("_r")).alias("_rr"), F.count("*").alias("_c"))
+    energy = F.sqrt(F.greatest((F.col("_qq") - F.col("_sq") * F.col("_sq") / F.col("_c")) * (F.col("_rr") - F.col("_sr") * F.col("_sr") / F.col("_c")), F.lit(1e-12)))
+    s = s.select(*keys, "win", "lag", F.when(F.col("_c") >= 3, (F.col("_qr") - F.col("_sq") * F.col("_sr") / F.col("_c")) / energy).otherwise(0.0).alias("score"))
+    top = s.groupBy(*keys, "win").agg(F.max(F.struct("score", (-F.col("lag")).alias("l"))).alias("_b"))
+    peak = parabolic(s, [*keys, "win"], "lag", "score")
+    out = top.join(peak, [*keys, "win"])
+    return out.select(*keys, "win", (F.col("win") * step + window / 2).alias("at"), F.col("peak").alias("lag"), F.col("_b.score").alias("score"), (F.abs(F.col("lag")) >= most).alias("railed"))
+
+
+def pair_score(lags: DataFrame, coarse: DataFrame, k: str, limit: float, least: float = 0.35, weak: float = 0.25, weak_share: float = 0.35) -> DataFrame:
+    """k, corr, drift, weak, verdict of an alignment: coarse (k, corr), and windows' lags (k, lag, score). fail if corr is
+    below ``least``, if lags differ by more than ``limit``, or if more than ``weak_share`` of the windows score below
+    ``weak``. Keys without windows have drift 0 and weak 1."""
+    w = lags.groupBy(k).agg((F.max("lag") - F.min("lag")).alias("drift"), F.avg((F.col("score") < weak).cast("double")).alias("weak"))
+    d = coarse.join(w, k, "left").select(k, "corr", F.coalesce("drift", F.lit(0.0)).alias("drift"), F.coalesce("weak", F.lit(1.0)).alias("weak"))
+    bad = (F.col("corr") < least) | (F.col("drift") > limit) | (F.col("weak") > weak_share)
+    return d.withColumn("verdict", F.when(bad, "fail").otherwise("pass"))

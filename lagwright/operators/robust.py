@@ -6,9 +6,11 @@ squared lengths of the series; a series is one recording, so some thousand point
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import streamed
+
 #: Scale of the median absolute deviation to a normal standard deviation (fixed value).
 MAD_SCALE = 1.4826
 
@@ -29,33 +31,49 @@ def theil_sen(df: DataFrame, k: str, t: str, v: str) -> DataFrame:
     return out.select(k, "n", "slope", (F.col("_v") - F.col("slope") * F.col("_t")).alias("intercept"))
 
 
-def residuals(df: DataFrame, k: str, t: str, v: str, tolerance: float) -> DataFrame:
+def floored(keep: Column, n: Column, k: str, otherwise: Column) -> Column:
+    """keep, or ``otherwise`` for keys in which fewer than max(3, n // 5) rows would be kept."""
+    left = F.sum(keep.cast("int")).over(Window.partitionBy(k))
+    return F.when(left < F.greatest(F.lit(3), F.floor(n / 5)), otherwise).otherwise(keep)
+
+
+def residuals(df: DataFrame, k: str, t: str, v: str, tolerance: float, score: str | None = None, weak: float = 0.35) -> DataFrame:
     """df with slope, intercept, resid and inlier: |resid| within max(3 MAD of resid, tolerance); all points if fewer
-    than max(3, n // 5) are."""
+    than max(3, n // 5) are. With ``score``, weak points beyond half the tolerance drop out as well, unless too few would
+    be left again."""
     out = df.join(theil_sen(df, k, t, v), k).withColumn("resid", F.col(v) - F.col("intercept") - F.col("slope") * F.col(t))
     spread = mad(out, k, "resid", "_mad").select(k, "_mad")
     out = out.join(spread, k).withColumn("_in", F.abs("resid") <= F.greatest(3 * F.col("_mad"), F.lit(tolerance)))
-    n_in = F.sum(F.col("_in").cast("int")).over(Window.partitionBy(k))
-    return out.withColumn("inlier", F.col("_in") | (n_in < F.greatest(F.lit(3), F.floor(F.col("n") / 5)))).drop("_in", "_mad")
+    out = out.withColumn("inlier", floored(F.col("_in"), F.col("n"), k, F.lit(True)))
+    if score is not None:
+        strict = F.col("inlier") & ~F.coalesce((F.col(score) < weak) & (F.abs("resid") > tolerance / 2), F.lit(False))
+        out = out.withColumn("_strict", strict).withColumn("inlier", floored(F.col("_strict"), F.col("n"), k, F.col("inlier"))).drop("_strict")
+    return out.drop("_in", "_mad")
+
+
+def with_jumps(df: DataFrame, k: str, t: str, resid: str, floor: float, order: list[str] | None = None) -> DataFrame:
+    """df with jump_size and jump_kind, null where there is none: at interior points of which the residual's step from the
+    left exceeds max(3 MAD of steps, floor); spike if the step to the right exceeds it too, else step. Points at one time
+    are taken in the order of ``order`` (the time alone if not given)."""
+    w = Window.partitionBy(k).orderBy(*(order or [t, resid]))
+    steps = df.withColumn("_l", F.col(resid) - F.lag(resid).over(w)).withColumn("_r", F.lead(resid).over(w) - F.col(resid))
+    spread = mad(steps.where("_l is not null"), k, "_l", "_mad").select(k, "_mad")
+    d = steps.join(spread, k, "left").withColumn("_thr", F.greatest(3 * F.col("_mad"), F.lit(floor)))
+    hit = F.col("_r").isNotNull() & (F.abs("_l") > F.col("_thr"))
+    kind = F.when(F.abs("_r") > F.col("_thr"), "spike").otherwise("step")
+    return d.withColumns({"jump_size": F.when(hit, F.col("_l")), "jump_kind": F.when(hit, kind)}).drop("_l", "_r", "_mad", "_thr")
 
 
 def find_jumps(df: DataFrame, k: str, t: str, resid: str, floor: float, order: list[str] | None = None) -> DataFrame:
-    """Interior points of which the residual's step from the left exceeds max(3 MAD of steps, floor): k, t, size, kind
-    (spike if the step to the right exceeds it too, else step)."""
-    w = Window.partitionBy(k).orderBy(*(order or [t]))
-    steps = df.withColumn("_l", F.col(resid) - F.lag(resid).over(w)).withColumn("_r", F.lead(resid).over(w) - F.col(resid))
-    spread = mad(steps.where("_l is not null"), k, "_l", "_mad").select(k, "_mad")
-    hit = steps.join(spread, k).withColumn("_thr", F.greatest(3 * F.col("_mad"), F.lit(floor)))
-    hit = hit.where("_r is not null and abs(_l) > _thr")
-    return hit.select(k, t, F.col("_l").alias("size"), F.when(F.abs("_r") > F.col("_thr"), "spike").otherwise("step").alias("kind"))
+    """k, t, size, kind of the jumps of with_jumps()."""
+    return with_jumps(df, k, t, resid, floor, order).where("jump_size is not null").select(k, t, F.col("jump_size").alias("size"), F.col("jump_kind").alias("kind"))
 
 
 def decompose(df: DataFrame, k: str, t: str, v: str, score: str, tolerance: float, jump_floor: float, weak: float = 0.35) -> DataFrame:
     """A report of each series: offset, slope, rms, max, median and p95 of the inliers' residuals, jumps, weak share and
-    confidence. Jump points are no inliers unless fewer than two points would be left."""
-    res = residuals(df, k, t, v, tolerance)
-    jumps = find_jumps(res, k, t, "resid", jump_floor).select(k, t, F.lit(1).alias("_jump"))
-    res = res.join(jumps, [k, t], "left").withColumn("_ok", F.col("inlier") & F.col("_jump").isNull())
+    confidence (0 where scores add up to 0). Jump points are no inliers unless fewer than two points would be left."""
+    res = with_jumps(residuals(df, k, t, v, tolerance, score, weak), k, t, "resid", jump_floor)
+    res = res.withColumn("_ok", F.col("inlier") & F.col("jump_size").isNull())
     res = res.withColumn("_use", F.col("_ok") | (F.sum(F.col("_ok").cast("int")).over(Window.partitionBy(k)) < 2))
     r, used = F.abs("resid"), F.col("_use")
     return res.groupBy(k).agg(
@@ -66,9 +84,9 @@ def decompose(df: DataFrame, k: str, t: str, v: str, score: str, tolerance: floa
         F.max(F.when(used, r)).alias("max_abs"),
         F.percentile(F.when(used, r), 0.5).alias("median_abs"),
         F.percentile(F.when(used, r), 0.95).alias("p95_abs"),
-        F.count("_jump").alias("n_jumps"),
+        F.count("jump_size").alias("n_jumps"),
         F.avg((F.col(score) < weak).cast("double")).alias("weak_share"),
-        (F.sum(F.when(used, F.col(score)).otherwise(0.0)) / F.sum(score)).alias("confidence"),
+        F.coalesce(F.try_divide(F.sum(F.when(used, F.col(score)).otherwise(0.0)), F.sum(score)), F.lit(0.0)).alias("confidence"),
     )
 
 
@@ -80,12 +98,13 @@ def ols_rms(df: DataFrame, k: str, t: str, v: str, least: int = 6) -> DataFrame:
 
 
 def weighted_line(df: DataFrame, k: str, t: str, v: str, w: str) -> DataFrame:
-    """k, slope, intercept of least squares whose residuals are weighted by w, so that squares are by w * w."""
+    """k, slope, intercept of least squares whose residuals are weighted by w, so that squares are by w * w. Where all
+    weights are 0 the slope is 0 and the intercept null."""
     q = F.col(w) * F.col(w)
     s = df.groupBy(k).agg(F.sum(q).alias("a"), F.sum(q * F.col(t)).alias("b"), F.sum(q * F.col(t) * F.col(t)).alias("c"), F.sum(q * F.col(v)).alias("d"), F.sum(q * F.col(t) * F.col(v)).alias("e"))
     det = F.col("a") * F.col("c") - F.col("b") * F.col("b")
     slope = F.when(F.abs(det) > 1e-12, (F.col("a") * F.col("e") - F.col("b") * F.col("d")) / F.when(det == 0, 1.0).otherwise(det)).otherwise(0.0)
-    return s.select(k, slope.alias("slope"), ((F.col("d") - slope * F.col("b")) / F.col("a")).alias("intercept"))
+    return s.select(k, slope.alias("slope"), F.try_divide(F.col("d") - slope * F.col("b"), F.col("a")).alias("intercept"))
 
 
 def weighted_smooth(df: DataFrame, k: str, t: str, v: str, w: str, half: int = 2, floor: float = 0.01) -> DataFrame:
@@ -93,3 +112,51 @@ def weighted_smooth(df: DataFrame, k: str, t: str, v: str, w: str, half: int = 2
     win = Window.partitionBy(k).orderBy(t).rowsBetween(-half, half)
     weight = F.greatest(F.col(w), F.lit(floor))
     return df.withColumn("smooth", F.sum(F.col(v) * weight).over(win) / F.sum(weight).over(win))
+
+
+def pair_line(df: DataFrame, k: str, t: str, v: str, within: float = 0.02) -> DataFrame:
+    """k, slope, intercept, n_inliers for short series (fewer than six points): of all lines through two points the one
+    with most points within ``within`` (the first by the points' times on a tie), then least squares through those. All
+    pairs stand in for random draws, so the result is one. Keys without two different times get slope 0 and the mean."""
+    a, b = (df.select(k, F.col(t).alias(f"t{s}"), F.col(v).alias(f"v{s}")) for s in "ab")
+    lines = a.join(b, k).where("tb > ta").withColumn("_s", (F.col("vb") - F.col("va")) / (F.col("tb") - F.col("ta"))).withColumn("_c", F.col("va") - F.col("_s") * F.col("ta"))
+    tried = lines.join(df.select(k, F.col(t).alias("_t"), F.col(v).alias("_v")), k).groupBy(k, "ta", "va", "tb", "vb", "_s", "_c").agg(F.count_if(F.abs(F.col("_v") - F.col("_c") - F.col("_s") * F.col("_t")) <= within).alias("_n"))
+    best = tried.groupBy(k).agg(F.max(F.struct("_n", (-F.col("ta")).alias("a"), (-F.col("tb")).alias("b"), "_s", "_c")).alias("_b"))
+    d = df.join(best, k, "left").withColumn("_in", F.coalesce(F.abs(F.col(v) - F.col("_b._c") - F.col("_b._s") * F.col(t)) <= within, F.lit(True)))
+    fit = d.where("_in").groupBy(k).agg(F.count("*").alias("n_inliers"), F.regr_slope(v, t).alias("_s"), F.avg(v).alias("_v"), F.avg(t).alias("_t"))
+    slope = F.coalesce("_s", F.lit(0.0))
+    return fit.select(k, slope.alias("slope"), (F.col("_v") - slope * F.col("_t")).alias("intercept"), "n_inliers")
+
+
+def strong_line(df: DataFrame, k: str, t: str, v: str, score: str, least: float = 0.1, quantile: float = 0.4) -> DataFrame:
+    """weighted_line() over the rows whose score is the larger of ``least`` and the key's ``quantile`` of scores, or more."""
+    level = df.groupBy(k).agg(F.greatest(F.lit(least), F.percentile(score, quantile)).alias("_q"))
+    return weighted_line(df.join(level, k).where(F.col(score) >= F.col("_q")), k, t, v, score)
+
+
+def absorb_offset(df: DataFrame, k: str, t: str, v: str, score: str, floor: float = 0.05, small: float = 1e-4) -> DataFrame:
+    """df with v less the intercept of the line weighted by max(score, floor), and absorbed (that intercept, 0 where it is
+    below ``small``)."""
+    line = weighted_line(df.withColumn("_w", F.greatest(F.col(score), F.lit(floor))), k, t, v, "_w").select(k, "intercept")
+    taken = F.when(F.abs("intercept") >= small, F.col("intercept")).otherwise(0.0)
+    return df.join(line, k).withColumn("absorbed", taken).withColumn(v, F.col(v) - F.col("absorbed")).drop("intercept")
+
+
+def despiked(df: DataFrame, k: str, t: str, v: str, score: str, limit: float, weak: float = 0.35, half: int = 3) -> DataFrame:
+    """k, t, despiked: v, or the median of it and ``half`` values to either side where it is further than ``limit`` from
+    that or its score is below ``weak``. Earlier replacements enter later medians, so the rows are streamed, each with the
+    values ahead of it."""
+    ahead = Window.partitionBy(k).orderBy(t, v).rowsBetween(1, half)
+    d = df.select(k, F.col(t).alias("t"), F.col(v).alias("v"), F.col(score).alias("q"), F.collect_list(v).over(ahead).alias("ahead"))
+
+    def step(state, row):
+        at, value, quality, coming = row
+        before = state or ()
+        window = sorted([*before, value, *coming])
+        n = len(window)
+        middle = (window[(n - 1) // 2] + window[n // 2]) / 2
+        if abs(value - middle) > limit or quality < weak:
+            value = middle
+        return (*before, value)[-half:], [(at, value)]
+
+    return streamed(d, k, ["t", "v", "q", "ahead"], step, "t double, despiked double")

@@ -46,9 +46,9 @@ def stretch_rate(df: DataFrame, k: str, t: str, lag: str) -> DataFrame:
 
 def playback_end(markers: DataFrame, k: str, src: str, dst: str, length: float, target: float) -> DataFrame:
     """k, end: when the source of ``length`` is used up at the rate of the last two markers, ``target`` at most; ``target``
-    for keys of one marker or with a source that stands still."""
+    for keys of one marker, with a source that stands still or with both markers at one time."""
     w = Window.partitionBy(k).orderBy(dst)
-    rate = (F.col(src) - F.lag(src).over(w)) / (F.col(dst) - F.lag(dst).over(w))
+    rate = F.try_divide(F.col(src) - F.lag(src).over(w), F.col(dst) - F.lag(dst).over(w))
     last = markers.withColumn("_r", rate).groupBy(k).agg(F.max_by(F.struct(F.col(src).alias("s"), F.col(dst).alias("d"), F.col("_r").alias("r")), dst).alias("_l"))
     end = F.col("_l.d") + (length - F.col("_l.s")) / F.when(F.col("_l.r") > 1e-9, F.col("_l.r"))
     return last.select(k, F.least(F.lit(target), F.coalesce(end, F.lit(target))).alias("end"))
@@ -87,12 +87,12 @@ def repair_verdict(points: DataFrame, k: str, t: str, lag: str, railed: str, lim
 
 def phase_at(queries: DataFrame, beats: DataFrame, k: str, t: str) -> DataFrame:
     """queries with phase: the beat number at t, linear between beats and continued at the first or last gap beyond them;
-    null for keys with fewer than two beats."""
+    null for keys with fewer than two beats and beyond an edge where the last two beats are at one time."""
     w = Window.partitionBy(k).orderBy(t)
     numbered = beats.select(k, t, (F.row_number().over(w) - 1).cast("double").alias("n"), (F.col(t) - F.lag(t).over(w)).alias("g"), (F.lead(t).over(w) - F.col(t)).alias("h"))
     both = series.both_neighbours(queries, numbered, k, t, ["n", "g", "h"])
     p, n = F.col(f"p_{t}"), F.col(f"n_{t}")
     inside = F.col("p_n") + F.when(n > p, (F.col(t) - p) / F.when(n > p, n - p)).otherwise(0.0)
-    phase = F.when(p.isNull(), F.col("n_n") + (F.col(t) - n) / F.col("n_h")).when(n.isNull(), F.col("p_n") + (F.col(t) - p) / F.col("p_g")).otherwise(inside)
+    phase = F.when(p.isNull(), F.col("n_n") + F.try_divide(F.col(t) - n, F.col("n_h"))).when(n.isNull(), F.col("p_n") + F.try_divide(F.col(t) - p, F.col("p_g"))).otherwise(inside)
     alone = (p.isNull() & F.col("n_h").isNull()) | (n.isNull() & F.col("p_g").isNull()) | (F.col("p_g").isNull() & F.col("p_h").isNull() & p.isNotNull())
     return both.withColumn("phase", F.when(~alone, phase)).select(*queries.columns, "phase")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import streamed
+
 
 def both_neighbours(queries: DataFrame, events: DataFrame, k: str, t: str, carry: list[str]) -> DataFrame:
     """queries with the last event at or before t and the first at or after it (t and ``carry``, prefixed p_ and n_).
@@ -59,7 +61,7 @@ def certain_lags(df: DataFrame, k: str, t: str, v: str, band: str, line: str) ->
     ahead = Window.partitionBy(k).orderBy(t).rowsBetween(1, Window.unboundedFollowing)
     point = F.when(F.col(band) == "high", F.struct(F.col(t).alias("t"), F.col(v).alias("v")))
     d = df.withColumn("_p", F.last(point, ignorenulls=True).over(back)).withColumn("_n", F.first(point, ignorenulls=True).over(ahead))
-    between = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.col(t) - F.col("_p.t")) / (F.col("_n.t") - F.col("_p.t"))
+    between = F.col("_p.v") + F.try_divide((F.col("_n.v") - F.col("_p.v")) * (F.col(t) - F.col("_p.t")), F.col("_n.t") - F.col("_p.t"))
     medium = F.coalesce(between, F.col("_p.v"), F.col("_n.v"), F.col(line))
     return d.withColumn("target", F.when(F.col(band) == "high", F.col(v)).when(F.col(band) == "medium", medium).otherwise(F.col(line))).drop("_p", "_n")
 
@@ -78,20 +80,23 @@ def envelope(df: DataFrame, k: str, t: str, v: str, hop: float) -> DataFrame:
 
 
 def smoothness(df: DataFrame, k: str, t: str, v: str) -> DataFrame:
-    """k, the mean size of v's second differences over uneven steps; 0 below three points."""
+    """k, the mean size of v's second differences over uneven steps; 0 below three points. Points at one time have no slope
+    between them and are left out of the mean."""
     w = Window.partitionBy(k).orderBy(t)
     d = df.withColumn("_a", F.col(t) - F.lag(t).over(w)).withColumn("_b", F.lead(t).over(w) - F.col(t))
     d = d.withColumn("_x", F.col(v) - F.lag(v).over(w)).withColumn("_y", F.lead(v).over(w) - F.col(v))
-    second = 2 * (F.col("_y") / F.col("_b") - F.col("_x") / F.col("_a")) / (F.col("_a") + F.col("_b"))
+    second = F.try_divide(2 * (F.try_divide("_y", "_b") - F.try_divide("_x", "_a")), F.col("_a") + F.col("_b"))
     return d.groupBy(k).agg(F.coalesce(F.avg(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.abs(second))), F.lit(0.0)).alias("smoothness"))
 
 
 def gradient(df: DataFrame, k: str, t: str, v: str, name: str) -> DataFrame:
-    """df with the second-order derivative estimate of v over uneven t; one-sided at the edges, null for single points."""
+    """df with the second-order derivative estimate of v over uneven t; one-sided at the edges and
+    beside points at one time, null where there is no slope on either side."""
     w = Window.partitionBy(k).orderBy(t)
     d = df.withColumns({"_a": F.col(t) - F.lag(t).over(w), "_b": F.lead(t).over(w) - F.col(t), "_x": F.col(v) - F.lag(v).over(w), "_y": F.lead(v).over(w) - F.col(v)})
-    both = (F.col("_x") / F.col("_a") * F.col("_b") + F.col("_y") / F.col("_b") * F.col("_a")) / (F.col("_a") + F.col("_b"))
-    return d.withColumn(name, F.coalesce(both, F.col("_y") / F.col("_b"), F.col("_x") / F.col("_a"))).drop("_a", "_b", "_x", "_y")
+    left, right = F.try_divide("_x", "_a"), F.try_divide("_y", "_b")
+    both = F.try_divide(left * F.col("_b") + right * F.col("_a"), F.col("_a") + F.col("_b"))
+    return d.withColumn(name, F.coalesce(both, right, left)).drop("_a", "_b", "_x", "_y")
 
 
 def adaptive_markers(df: DataFrame, k: str, t: str, v: str, confidence: str, near_jump: str, least: float = 2.0, most: float = 30.0, gain: float = 1.0) -> DataFrame:
@@ -99,22 +104,22 @@ def adaptive_markers(df: DataFrame, k: str, t: str, v: str, confidence: str, nea
 
     Curvature, times gain and confidence, adds up from mark to mark. A point becomes a mark ``most`` after the last, or
     ``least`` after it once 0.0015 / max(gain, 0.15) has come together, or 0.2 after it near a jump; the first and last
-    point are marks. The state is the last mark, so a fold over one recording's sorted points.
+    point are marks. The state is the last mark and the sum, so the rows are streamed in order.
     """
     need = 0.0015 / max(gain, 0.15)
     least = max(0.25, least)
     most = max(least, most)
     d = gradient(gradient(df, k, t, v, "_d1"), k, t, "_d1", "_d2")
     dt = F.col(t) - F.lag(t).over(Window.partitionBy(k).orderBy(t))
-    d = d.withColumn("_bend", F.coalesce(F.abs("_d2") * gain * dt * F.least(F.greatest(F.col(confidence), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)))
-    points = d.groupBy(k).agg(F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col("_bend").alias("c"), F.col(near_jump).alias("j")))).alias("_p"))
-    start = F.struct(F.lit(0.0).alias("a"), F.array().cast("array<double>").alias("m"))
-
-    def step(s, x):
-        span, bent = x["t"] - F.element_at(s["m"], -1), s["a"] + x["c"]
-        hit = (F.size(s["m"]) == 0) | (x["j"] & (span >= 0.2)) | (span >= most) | ((span >= least) & (bent >= need))
-        return F.when(hit, F.struct(F.lit(0.0).alias("a"), F.concat(s["m"], F.array(x["t"])).alias("m"))).otherwise(F.struct(bent.alias("a"), s["m"].alias("m")))
-
-    folded = points.select(k, F.aggregate("_p", start, step)["m"].alias("_m"), F.element_at("_p", -1)["t"].alias("_e"))
-    ended = F.when(F.col("_e") - F.element_at("_m", -1) > 1e-3, F.concat("_m", F.array("_e"))).otherwise(F.col("_m"))
-    return folded.select(k, F.explode(ended).alias("mark"))
+    d = d.select(k, F.col(t).cast("double").alias("t"), F.coalesce(F.abs("_d2") * gain * dt * F.least(F.greatest(F.col(confidence), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)).alias("bend"), F.coalesce(F.col(near_jump), F.lit(False)).alias("jump"))
+
+    def step(state, row):
+        at, bend, jump = row
+        if state is None:
+            return (at, 0.0, at), [(at,)]
+        last, bent = state[0], state[1] + bend
+        if (jump and at - last >= 0.2) or at - last >= most or (at - last >= least and bent >= need):
+            return (at, 0.0, at), [(at,)]
+        return (last, bent, at), []
+
+    return streamed(d, k, ["t", "bend", "jump"], step, "mark double", lambda state: [(state[2],)] if state[2] - state[0] > 1e-3 else [])

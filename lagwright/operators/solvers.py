@@ -1,93 +1,160 @@
-"""Solvers whose state runs through a series: one group of rows a recording, of some thousand points at most.
-
-Each is a grouped map: Spark shuffles by key and a task solves one series after the other in numpy.
-"""
+"""Solvers along a series. The rate limiter is a streamed fold; the lag path and the beat regions look at a whole
+recording, of some thousand points at most, and are grouped maps: Spark shuffles by key, numpy solves one after another."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-
-
-def best_path(t: np.ndarray, lag: np.ndarray, conf: np.ndarray, stretch: float, points: int = 81) -> np.ndarray:
-    """The path on an even grid of lags with least quadratic distance to ``lag``, weighted by confidence, whose slope
-    stays within ``stretch``; where no state can be reached, all can at half the distance's cost."""
-    low, high = lag.min(), lag.max()
-    if high - low < 1e-9:
-        return lag.astype(float)
-    grid = np.linspace(low, high, points)
-    unit = max(0.02, (high - low) / 10)
-    cost = ((grid - lag[:, None]) / unit) ** 2 * (0.25 + conf[:, None])
-    away = np.abs(grid[:, None] - grid[None])
-    total, back = cost[0], np.zeros((len(t), points), int)
-    for i in range(1, len(t)):
-        free = away <= stretch * (t[i] - t[i - 1]) + 1e-12
-        step = total[None] + np.where(free, 0.0, 0.5 * away / unit + 1.0)
-        back[i] = step.argmin(1)
-        total = np.take_along_axis(step, back[i][:, None], 1)[:, 0] + cost[i]
-    out = np.empty(len(t), int)
+from pyspark.sql import functions as F
+
+from .folds import streamed
+
+# Seconds of a step that counts as a jump, unit of the costs, half widths of the bands by certainty.
+JUMP, UNIT = 0.04, 0.02
+BANDS = {"high": 0.50, "medium": 0.15, "low": 0.05}
+# Fixed values of beat regions: error of a beat, sum of errors, beats that a region needs.
+PHASE, PHASE_SUM, REGION = 0.025, 0.1, 16
+
+
+def pulls(target, line, conf, margin, beat, beat_weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where each point is drawn to, and its extra weight: certain points and points on a beat to what was measured, weak
+    ones to the line."""
+    sure = (margin >= 0.12) & (conf >= 0.45)
+    on_beat = ~sure & (beat >= 0.70)
+    return np.where(~sure & ~on_beat & (conf < 0.25), line, target), np.where(on_beat, 0.25 * beat_weight, 0.0)
+
+
+def best_path(t, target, conf, margin, line, beat=None, stretch: float = 0.08, beat_weight: float = 0.0) -> np.ndarray:
+    """The cheapest path over an even grid of lags.
+
+    A point costs its squared distance to its pull, more the more certain it is, and has to lie in a band around the line,
+    as wide as it is certain. Steps within ``stretch`` are free as long as the source advances; a jump costs by its size
+    and needs a certain point on one side. Where nothing can be reached, any advance can, at a lower price.
+    """
+    n = len(t)
+    if n < 2:
+        return np.array(target, float)
+    beat = np.zeros(n) if beat is None else beat
+    pull, extra = pulls(target, line, conf, margin, beat, beat_weight)
+    low, high = min(pull.min(), line.min(), target.min()) - 0.05, max(pull.max(), line.max(), target.max()) + 0.05
+    step = max(0.005, max(high - low, 0.05) / 80)
+    grid = np.arange(low, high + step / 2, step)
+    never = 1e9
+
+    sure = (margin >= 0.12) & (conf >= 0.45)
+    medium = (margin >= 0.04) & (conf >= 0.25)
+    half = np.where(sure, BANDS["high"], np.where(medium, BANDS["medium"], BANDS["low"]))
+    bottom, top = line - half, line + half
+    bottom, top = np.where(sure, np.minimum(bottom, target - 0.03), bottom), np.where(sure, np.maximum(top, target + 0.03), top)
+    cost = ((grid - pull[:, None]) / UNIT) ** 2 * (0.25 + conf + extra)[:, None]
+    inside = (grid >= bottom[:, None]) & (grid <= top[:, None])
+    cost = np.where(inside | ~inside.any(1, keepdims=True), cost, never)
+
+    move = grid[:, None] - grid[None]  # to, from
+    size = np.abs(move)
+    total, back = cost[0], np.zeros((n, len(grid)), np.int64)
+    for i in range(1, n):
+        dt = max(t[i] - t[i - 1], 1e-3)
+        advances, free = move <= dt - 1e-3, size <= stretch * dt + 1e-9
+        price = np.where(advances & free, 0.0, never)
+        if margin[i] >= 0.12 or sure[i - 1]:
+            price = np.where(advances & ~free & (size >= JUMP), 0.5 * size / UNIT, price)
+        reached = price + total
+        back[i] = reached.argmin(1)
+        best = reached.min(1)
+        if (dead := best >= never / 2).any():
+            reached = np.where(advances, 0.15 * size / UNIT, never) + total
+            back[i], best = np.where(dead, reached.argmin(1), back[i]), np.where(dead, reached.min(1), best)
+        total = best + cost[i]
+    out = np.empty(n, np.int64)
     out[-1] = total.argmin()
-    for i in range(len(t) - 1, 0, -1):
+    for i in range(n - 1, 0, -1):
         out[i - 1] = back[i, out[i]]
     return grid[out]
 
 
-def constrained_path(df: DataFrame, k: str, stretch: float = 0.08) -> DataFrame:
-    """df (k, t, lag, conf, ...): k, t, solved."""
+def constrained_path(df: DataFrame, k: str, stretch: float = 0.08, beat_weight: float = 0.0) -> DataFrame:
+    """df (k, t, lag, conf, margin, line, beat): k, t, solved. Points at one time are taken by lag; the second of them may
+    move by as much as fits a millisecond."""
+    columns = ["lag", "conf", "margin", "line", "beat"]
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["t", "lag"])
-        return pd.DataFrame({k: rows[k], "t": rows["t"], "solved": best_path(*(rows[c].to_numpy(float) for c in ("t", "lag", "conf")), stretch)})
-
-    return df.groupBy(k).applyInPandas(solve, f"{k} {dict(df.dtypes)[k]}, t double, solved double")
-
-
-def limit_rate(t: np.ndarray, lag: np.ndarray, most: float, jump: float) -> np.ndarray:
-    """Lags whose slope changes by ``most`` at most from step to step; steps of ``jump`` or more pass and start anew."""
-    out = lag.astype(float).copy()
-    rate = 0.0
-    for i in range(1, len(t)):
-        dt = max(t[i] - t[i - 1], 1e-9)
-        if abs(lag[i] - lag[i - 1]) >= jump:
-            rate = 0.0
-            continue
-        rate = float(np.clip((lag[i] - out[i - 1]) / dt, rate - most, rate + most))
-        out[i] = out[i - 1] + rate * dt
+        return pd.DataFrame({k: rows[k], "t": rows["t"], "solved": best_path(rows["t"].to_numpy(float), *(rows[c].to_numpy(float) for c in columns), stretch, beat_weight)})
+
+    return df.select(k, "t", *columns).groupBy(k).applyInPandas(solve, f"{k} {dict(df.dtypes)[k]}, t double, solved double")
+
+
+def limited(df: DataFrame, k: str, most: float = 0.02, restore: float = 1.5) -> DataFrame:
+    """df (k, t, lag): k, t, limited: lags whose source rate turns by ``most`` at most from step to step.
+
+    The source is added up anew from the limited rates and drawn back to the given one over ``restore``, so that a corner
+    is rounded and the offset returns; at jumps the rate is free and the source starts from the given one. It always
+    advances by 0.0001 at least. Streamed in order of (t, lag).
+    """
+
+    def step(state, row):
+        at, lag = row
+        src = at - lag
+        if state is None:
+            return (at, lag, src, None, 0.0, src, src), [(at, lag)]
+        before, lag0, src0, rate0, moved0, free0, out0 = state
+        dt, moved = at - before, lag - lag0
+        rate = (src - src0) / max(dt, 1e-6)
+        if rate0 is not None and abs(moved) < JUMP and abs(moved0) < JUMP:
+            rate = min(max(rate, rate0 - most), rate0 + most)
+        made = free0 + rate * dt
+        free = made + min(1.0, max(dt, 0.0) / restore) * (src - made)
+        out = max(src if abs(moved) >= JUMP else free, out0 + 1e-4)
+        return (at, lag, src, rate, moved, free, out), [(at, at - out)]
+
+    return streamed(df, k, ["t", "lag"], step, "t double, limited double")
+
+
+def regions(t: np.ndarray) -> list[tuple[int, int, float]]:
+    """(first, last, period): from each beat on the longest run that one period fits; single gaps where that is fewer than
+    REGION beats.
+
+    A run fits if at most one beat, not the first, is off its even place by more than PHASE, the errors' running sum stays
+    within PHASE_SUM, and its first and last gap differ from the period by less than PHASE / 2 together.
+    """
+    out, left = [], 0
+    while left < len(t) - 1:
+        right = len(t) - 1
+        while right > left:
+            own = t[left : right + 1]
+            period = (own[-1] - own[0]) / (right - left)
+            error = own[0] + period * np.arange(1, len(own)) - own[1:]
+            off = np.abs(error) > PHASE
+            border = abs(own[1] - own[0] + own[-1] - own[-2] - 2 * period) if right > left + 2 else 0.0
+            if off.sum() <= 1 and not off[0] and np.abs(np.cumsum(error)).max() <= PHASE_SUM and border < PHASE / 2:
+                break
+            right -= 1
+        right = max(right, left + 1)
+        if right - left >= REGION:
+            out.append((left, right, float((t[right] - t[left]) / (right - left))))
+        else:
+            out += [(i, i + 1, float(t[i + 1] - t[i])) for i in range(left, right)]
+        left = right
     return out
 
 
-def limited(df: DataFrame, k: str, most: float, jump: float = 0.04) -> DataFrame:
-    """df (k, t, lag): k, t, limited."""
+def constant_regions(df: DataFrame, k: str) -> DataFrame:
+    """df (k, t): k, start, stop, period, n (gaps) of the regions of constant tempo and the single gaps between them. Beats
+    within a millisecond of the one before are left out; keys of one beat have no region."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "lag"])
-        return pd.DataFrame({k: rows[k], "t": rows["t"], "limited": limit_rate(rows["t"].to_numpy(float), rows["lag"].to_numpy(float), most, jump)})
-
-    return df.groupBy(k).applyInPandas(solve, f"{k} {dict(df.dtypes)[k]}, t double, limited double")
+        t = np.sort(rows["t"].dropna().to_numpy(float))
+        t = t[np.diff(t, prepend=-np.inf) > 0.001]
+        found = regions(t)
+        return pd.DataFrame({k: rows[k].iloc[0], "start": [t[a] for a, _, _ in found], "stop": [t[b] for _, b, _ in found], "period": [p for *_, p in found], "n": [b - a for a, b, _ in found]})
 
+    return df.select(k, "t").groupBy(k).applyInPandas(solve, f"{k} {dict(df.dtypes)[k]}, start double, stop double, period double, n long")
 
-def regions(t: np.ndarray, tolerance: float) -> list[tuple[int, int, float]]:
-    """(first, last, period): from each point on, the longest run that one even spacing fits within ``tolerance``."""
-    out, a = [], 0
-    while a < len(t) - 1:
-        b, period = a + 1, t[a + 1] - t[a]
-        while b + 1 < len(t):
-            p = (t[b + 1] - t[a]) / (b + 1 - a)
-            if np.abs(t[a] + p * np.arange(b + 2 - a) - t[a : b + 2]).max() > tolerance:
-                break
-            b, period = b + 1, p
-        out.append((a, b, float(period)))
-        a = b
-    return out
-
-
-def constant_regions(df: DataFrame, k: str, tolerance: float) -> DataFrame:
-    """df (k, t): k, start, stop, period, n of regions of constant tempo, in time order."""
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(rows["t"].to_numpy(float))
-        found = regions(t, tolerance)
-        return pd.DataFrame({k: rows[k].iloc[0], "start": [t[a] for a, _, _ in found], "stop": [t[b] for _, b, _ in found], "period": [p for *_, p in found], "n": [b - a + 1 for a, b, _ in found]})
 
-    return df.groupBy(k).applyInPandas(solve, f"{k} {dict(df.dtypes)[k]}, start double, stop double, period double, n long")
+def ironed(regions: DataFrame, k: str) -> DataFrame:
+    """k, beat: the beats that the regions' periods give, and each key's last one."""
+    n = regions.where("period > 0").withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    beats = n.select(k, (F.col("start") + F.col("_j") * F.col("period")).alias("beat"))
+    return beats.union(regions.groupBy(k).agg(F.max("stop")))

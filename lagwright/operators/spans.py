@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import streamed
+
 
 def trim_to(df: DataFrame, duration: str, least: float) -> DataFrame:
     """Spans (src_a, src_b, dst_a, dst_b) cut to [0, duration] of the source, dst moved at the same rate; spans shorter
@@ -57,11 +59,9 @@ def snap_inserts(df: DataFrame, k: str, order: str, gap: str, most: float) -> Da
 
 
 def stepped_marks(df: DataFrame, k: str, t: str, v: str, step: float) -> DataFrame:
-    """k, marks: the rows (t, v) at which v is ``step`` or more away from the last mark's; the first row is one.
-
-    The state is the last mark, so a fold over the key's rows in order; one recording's rows make one array.
-    """
-    rows = df.groupBy(k).agg(F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col(v).alias("v")))).alias("_r"))
-    empty = F.array().cast("array<struct<t:double,v:double>>")
-    marks = F.aggregate("_r", empty, lambda s, x: F.when((F.size(s) == 0) | (F.abs(x["v"] - F.get(s, F.size(s) - 1)["v"]) >= step), F.concat(s, F.array(x))).otherwise(s))
-    return rows.select(k, marks.alias("marks"))
+    """k, t, v: the rows at which v is ``step`` or more away from the last mark's; the first row is one. Streamed."""
+
+    def keep(state, row):
+        return (row[1], [tuple(row)]) if state is None or abs(row[1] - state) >= step else (state, [])
+
+    return streamed(df.select(k, F.col(t).alias("t"), F.col(v).alias("v")), k, ["t", "v"], keep, "t double, v double")

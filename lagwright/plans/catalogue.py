@@ -6,34 +6,13 @@ rounded to six digits on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gates, naming
 from ..operators import beats, correlate, quality, robust, segments, series, solvers, spans
-from ..sources.tables import SERIES, SPANS, day_spans, series as events, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, digits: int = 6):
-    """Registers a function as the query of its name; doubles of its result are rounded."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(spark, sf_dir)
-            return df.select(*((F.round(c, digits) + 0.0).alias(c) if kind == "double" else c for c, kind in df.dtypes))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            SQL[f.__name__] = sql.replace("{ev}", SERIES).replace("{sp}", SPANS)
-        return f
-
-    return put
-
+from ..sources.tables import day_spans, series as events, table
+from .registry import query
 
 def hourly(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """All users' values of a type by hour, one key."""
@@ -89,7 +68,9 @@ def find_jumps(spark, sf_dir):
     return robust.find_jumps(robust.residuals(events(spark, sf_dir), "k", "t", "v", 20.0), "k", "t", "resid", 40.0)
 
 
-@query("WITH {ev}, " + RESID + """, u0 AS (SELECT r2.*, r2.v / (r2.v + 35.0) AS score, inlier AND size IS NULL AS ok, size FROM r2 LEFT JOIN jumps USING (k, t)),
+@query("WITH {ev}, " + RESID + """, r3 AS (SELECT *, v / (v + 35.0) AS score, inlier AND NOT (v / (v + 35.0) < 0.35 AND abs(resid) > 10.0) AS strict FROM r2),
+r4 AS (SELECT * EXCLUDE (inlier), CASE WHEN sum(strict::INT) OVER (PARTITION BY k) < greatest(3, n // 5) THEN inlier ELSE strict END AS inlier FROM r3),
+u0 AS (SELECT r4.*, inlier AND size IS NULL AS ok, size FROM r4 LEFT JOIN jumps USING (k, t)),
 u AS (SELECT *, ok OR sum(ok::INT) OVER (PARTITION BY k) < 2 AS used FROM u0)
 SELECT k, count(*) AS n, round(first(intercept), 6) AS "offset", round(first(slope), 6) AS slope, round(sqrt(avg(resid * resid) FILTER (used)), 6) AS rms, round(max(abs(resid)) FILTER (used), 6) AS max_abs,
 round(quantile_cont(abs(resid), 0.5) FILTER (used), 6) AS median_abs, round(quantile_cont(abs(resid), 0.95) FILTER (used), 6) AS p95_abs, count(size) AS n_jumps,
@@ -380,8 +361,7 @@ def snap_inserts(spark, sf_dir):
 f AS (SELECT k, t, v, j, v AS held, true AS mark FROM n WHERE j = 1 UNION ALL SELECT n.k, n.t, n.v, n.j, CASE WHEN abs(n.v - f.held) >= 60 THEN n.v ELSE f.held END, abs(n.v - f.held) >= 60 FROM f JOIN n ON n.k = f.k AND n.j = f.j + 1)
 SELECT k, round(t, 6) AS t, round(v, 6) AS v FROM f WHERE mark""")
 def lag_step_marks(spark, sf_dir):
-    marks = spans.stepped_marks(events(spark, sf_dir), "k", "t", "v", 60.0)
-    return marks.select("k", F.explode("marks").alias("m")).select("k", "m.t", "m.v")
+    return spans.stepped_marks(events(spark, sf_dir), "k", "t", "v", 60.0)
 
 
 NAMES = "names AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 7 WHEN 0 THEN ' (Original Song)' WHEN 1 THEN ' (Acapella)' WHEN 2 THEN ' (Karaoke Vocals)' WHEN 3 THEN ' instrumental' WHEN 4 THEN ' vocals' ELSE '' END || CASE p_partkey % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.flac' ELSE '.WAV' END AS name, p_name || CASE p_partkey % 3 WHEN 0 THEN '_[PASS]' WHEN 1 THEN '_[fail]' ELSE '' END AS folder FROM part)"
@@ -409,19 +389,28 @@ def l2_normalise(spark, sf_dir):
 
 @query()
 def constrained_path(spark, sf_dir):
-    d = events(spark, sf_dir).select("k", "t", F.col("v").alias("lag"), conf().alias("conf"), F.abs("v").alias("margin"))
-    return solvers.constrained_path(d.withColumns({"t": F.col("t") * 3600, "lag": F.col("lag") / 1000}), "k")
-
-
-@query()
+    d = events(spark, sf_dir).select("k", (F.col("t") * 3600).alias("t"), (F.col("v") / 1000).alias("lag"), conf().alias("conf"), (F.col("v") / 500).alias("margin"), F.lit(0.0).alias("beat"))
+    line = d.groupBy("k").agg(F.avg("lag").alias("line"))
+    return solvers.constrained_path(d.join(line, "k"), "k")
+
+
+@query("""WITH RECURSIVE {ev}, p AS (SELECT k, t / 10 AS t, v / 1000 AS lag, row_number() OVER (PARTITION BY k ORDER BY t, v) AS j FROM ev),
+f AS (SELECT k, j, t, lag, NULL::DOUBLE AS rate, 0::DOUBLE AS moved, t - lag AS free, t - lag AS made FROM p WHERE j = 1 UNION ALL
+SELECT k, j, t, lag, rate, moved, free, greatest(CASE WHEN abs(moved) >= 0.04 THEN t - lag ELSE free END, made + 1e-4) FROM (
+ SELECT *, f0 + rate * dt + least(1.0, dt / 1.5) * (t - lag - (f0 + rate * dt)) AS free FROM (
+ SELECT p.k, p.j, p.t, p.lag, p.t - f.t AS dt, p.lag - f.lag AS moved, f.free AS f0, f.made,
+  CASE WHEN f.rate IS NULL OR abs(p.lag - f.lag) >= 0.04 OR abs(f.moved) >= 0.04 THEN ((p.t - p.lag) - (f.t - f.lag)) / greatest(p.t - f.t, 1e-6)
+   ELSE least(greatest(((p.t - p.lag) - (f.t - f.lag)) / greatest(p.t - f.t, 1e-6), f.rate - 0.02), f.rate + 0.02) END AS rate
+ FROM f JOIN p ON p.k = f.k AND p.j = f.j + 1)))
+SELECT k, round(t, 6) AS t, round(t - made, 6) AS limited FROM f""")
 def accel_limit(spark, sf_dir):
-    d = events(spark, sf_dir).select("k", (F.col("t") * 60).alias("t"), (F.col("v") / 1000).alias("lag"))
+    d = events(spark, sf_dir).select("k", (F.col("t") / 10).alias("t"), (F.col("v") / 1000).alias("lag"))
     return solvers.limited(d, "k", 0.02)
 
 
 @query()
 def iron_beats(spark, sf_dir):
-    return solvers.constant_regions(events(spark, sf_dir).select("k", "t"), "k", 1.0)
+    return solvers.constant_regions(events(spark, sf_dir).select("k", "t"), "k")
 
 
 @query("""WITH {ev}, lv AS (SELECT k, max(abs(v)) AS p, quantile_cont(abs(v), 0.2) AS q FROM ev GROUP BY k),

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lagwright.plans import catalogue
+from lagwright.plans import alignment, catalogue, registry  # noqa: F401
 
 from .oracle import connect, rows_of
 
@@ -14,8 +14,8 @@ def duck():
     return connect(DATA)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_sql(spark, duck, name):
-    got, want = catalogue.QUERIES[name](spark, DATA).toPandas(), duck.sql(catalogue.SQL[name]).df()
+    got, want = registry.QUERIES[name](spark, DATA).toPandas(), duck.sql(registry.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows_of(got) == rows_of(want)
