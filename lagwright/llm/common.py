@@ -118,6 +118,8 @@ def map_chunks(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, column, limit):
             yield work(piece)
+        # Workers live on between tasks; what the pool holds is better used by the next stage.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

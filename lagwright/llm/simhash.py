@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_sample, cut_lineage, map_chunks, ragged, read, split_words, text_buffer
+from .common import LOWER, ascii_lower, bounded_sample, cut_lineage, map_chunks, ragged, read, split_words, text_buffer
 from .components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -349,25 +349,27 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
 
 
+def shingles_of(text: Column, width: int) -> Column:
+    """The distinct hashes of a text's shingles of ``width`` words, A-Z lower-cased; with fewer words one of them all. As
+    hashed_shingles() has them, in other numbers."""
+    words = F.filter(F.split(ascii_lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, width), " "))))
+
+    # A lambda's argument is worked out once; a column would be put in place of each of its uses.
+    return F.get(F.transform(F.array(words), cut), F.lit(0))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts share ``similarity`` of their shingles. texts: node, text; nodes can repeat."""
     ends = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    held = texts.join(few(ends), "node", "left_semi").dropDuplicates(["node"])
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, set[int]] = (None, set())
-        for batch in batches:
-            kept = []
-            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if tb != last[0]:
-                    last = (tb, shingle_sets(tb, width))
-                x, y = shingle_sets(ta, width), last[1]
-                kept.append(len(x & y) >= similarity * len(x | y))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    held = texts.join(few(ends), "node", "left_semi").dropDuplicates(["node"]).select("node", shingles_of(F.col("text"), width).alias("s"))
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    both = both.join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    return shared.where(F.col("shared") >= similarity * (F.col("n") - F.col("shared"))).select("a", "b")
 
 
 def similar_components(texts: DataFrame, width: int, similarity: float, radius: int = RADIUS, most_rounds: int = 2, pairs_an_entry: float = 2.0) -> DataFrame:
@@ -392,7 +394,7 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
         return pa.RecordBatch.from_arrays(columns, names=["node", "fp", "n", *words, "keys"])
 
     schema = "node long, fp long, n long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>"
-    marks = cut_lineage(map_chunks(texts, work, schema))
+    marks = cut_lineage(map_chunks(texts, work, schema, limit=1 << 20))
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
     tables = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)))
 
