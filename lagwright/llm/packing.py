@@ -102,9 +102,9 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=1)
-def tokenizer_at(path: str) -> WordTokenizer:
+def tokenizer_at(path: str, most: int) -> WordTokenizer:
     """One for each Python worker, so that words encoded for one task are known to the next."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, most)
 
 
 class Bins:
@@ -148,18 +148,19 @@ class Bins:
 
 
 def pack(
-    df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 2, with_ids: bool = False
+    df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 2, with_ids: bool = False, chunk_bytes: int = 8 << 20, kept_words: int = 700_000
 ) -> DataFrame:
     """A row for each piece: key and PIECES, and the piece's ids if ``with_ids``. Narrow: no shuffle.
 
-    A worker holds the open bins only: fewer than capacity / length pieces of each of the lengths 1, 2, 4, ...
+    A worker holds the open bins only: fewer than capacity / length pieces of each of the lengths 1, 2, 4, ... It works on
+    ``chunk_bytes`` of text at a time and keeps ``kept_words`` encoded words; both change its memory and speed only.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity has to be a power of two")
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_at(tokenizer_path)
+        tokenizer = tokenizer_at(tokenizer_path, kept_words)
         bins = Bins(capacity, TaskContext.get().partitionId() << 40)
 
         def out(placed: list, schema: pa.DataType) -> pa.RecordBatch:
@@ -168,7 +169,7 @@ def pack(
             return pa.RecordBatch.from_arrays(arrays, names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids])
 
         schema = pa.null()
-        for batch in pieces(batches, limit=8 << 20):
+        for batch in pieces(batches, limit=chunk_bytes):
             schema = batch.schema.field("id").type
             ids, offsets = tokenizer.rows(batch.column("text"), end_id)
             keys, placed = batch.column("id").to_pylist(), []
