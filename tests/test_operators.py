@@ -89,18 +89,16 @@ def test_bar_marks_and_period(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_path_keeps_its_slope_and_limiter_its_change(seed):
+def test_path_follows_certain_points(seed):
     rng = np.random.default_rng(seed)
     t = np.cumsum(rng.uniform(0.5, 1.5, 60))
-    path = solvers.best_path(t, 0.05 * np.sin(t / 9), np.full(60, 0.9), 0.08)
+    path = solvers.best_path(t, 0.05 * np.sin(t / 9), np.full(60, 0.9), np.full(60, 0.35), np.zeros(60))
     assert np.abs(path - 0.05 * np.sin(t / 9)).max() < 0.02
-    out = solvers.limit_rate(t, rng.uniform(0, 0.03, 60), 0.02, 0.04)
-    assert np.abs(np.diff(np.diff(out) / np.diff(t))).max() <= 0.02 + 1e-9
 
 
 def test_even_beats_are_one_region():
     t = np.concatenate([np.arange(20) * 0.5, 9.5 + np.arange(1, 20) * 0.4])
-    found = solvers.regions(t, 0.025)
+    found = solvers.regions(t)
     assert found[0][:2] == (0, 19) and abs(found[0][2] - 0.5) < 1e-9 and found[-1][1] == len(t) - 1
 
 
