@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lagwright.operators import folds, placement, robust, segments, series, signals, solvers, timemap
+from lagwright.operators import folds, matching, placement, robust, segments, series, signals, solvers, timemap
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +72,36 @@ def test_short_and_empty_inputs(spark, tied):
     got = [r for r in placement.with_silence(spans, "k", 12.9).collect() if r.kind == "speech"]
     assert np.isclose(got[0].dst_b, 11.9) and np.isclose(got[0].src_b, 0.9) and len(got) == 2
     assert placement.with_silence(spans.limit(0), "k", 5.0).count() == 0
+
+
+def test_excerpts_are_found_and_silent_places_are_not(spark):
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=60)
+    y[30:45] = 0
+    ref = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(y)], "k long, f long, v double")
+    qry = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(y[12:20])] + [(2, 0, 1.0)], "k long, f long, v double")
+    scores = matching.local_scores(ref, qry, "k", "f", "v", 52)
+    got = {r.lag: r.score for r in scores.collect()}
+    q = y[12:20] - y[12:20].mean()
+    want = {n: (y[n : n + 8] @ q) / np.sqrt((y[n : n + 8] ** 2).sum() * (q @ q)) for n in range(53) if (y[n : n + 8] ** 2).sum() >= max(1e-6, 1e-4 * (q @ q))}
+    assert got.keys() == want.keys() and not {31, 35} & got.keys()
+    assert all(abs(got[n] - want[n]) < 1e-9 for n in want)
+    best = matching.best_place(scores, "k", 3)
+    (row,) = best.collect()
+    assert row.lag == 12 and row.ratio == pytest.approx(want[12] / (max(v for n, v in want.items() if abs(n - 12) >= 3) + 1e-9))
+    assert matching.best_place(scores.where("lag = 12"), "k", 3).first().ratio == 99
+    kinds = matching.preferred(best.limit(0), best, "k").collect()
+    assert [(r.lag, r.kind) for r in kinds] == [(12, "chroma")]
+    assert matching.local_scores(ref.limit(0), qry, "k", "f", "v", 5).count() == 0
+
+
+def test_lags_move_onto_the_envelope_only_if_it_fits(spark):
+    rng = np.random.default_rng(5)
+    y = rng.random(80)
+    frame = lambda z, k: [(k, i, float(x)) for i, x in enumerate(z)]
+    ref = spark.createDataFrame(frame(y, 1) + frame(np.ones(80), 2), "k long, b long, v double")
+    qry = spark.createDataFrame(frame(np.roll(y, 2), 1) + frame(np.ones(80), 2), "k long, b long, v double")
+    points = spark.createDataFrame([(1, 1, 30.0, 0.0), (1, 2, 30.0, -2.0), (1, 3, 79.0, 0.0), (1, 4, None, 0.0), (2, 5, 30.0, 0.0)], "k long, i long, t double, lag double")
+    got = {r.i: r.refined for r in matching.refined_lags(points, ref, qry, "k", "i", "t", "lag", "b", "v", 1.0, 12, 3).collect()}
+    own = np.corrcoef(y[30:42], np.roll(y, 2)[30:42])[0, 1]
+    assert got == {1: -2.0 if 0 <= own <= 0.8 else 0.0, 2: -2.0, 3: 0.0, 4: 0.0, 5: 0.0}
