@@ -74,11 +74,11 @@ def windowed(df: DataFrame, keys: list[str], frame: str, window: int, step: int)
     return df.withColumn("win", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.greatest(last, F.lit(0)))))
 
 
-def window_lags(ref: DataFrame, qry: DataFrame, keys: list[str], frame: str, v: str, most: int, window: int, step: int, least: int, quiet: float) -> DataFrame:
-    """keys, win, at (the window's middle), lag, score, railed: for each window of the query with ``least`` frames and a mean
-    square of ``quiet`` or more, the lag within ``most`` at which it meets the reference best (the first maximum), moved to
-    the vertex of its neighbours; railed where the maximum is at the edge. The reference reaches ``most`` beyond the
-    window. Frames meet by equality on (keys, frame + lag), so a window costs window * (2 most + 1) products."""
+def window_scores(ref: DataFrame, qry: DataFrame, keys: list[str], frame: str, v: str, most: int, window: int, step: int, least: int, quiet: float) -> DataFrame:
+    """keys, win, lag, score: for each window of the query with ``least`` frames and a mean square of ``quiet`` or more,
+    its correlation with the reference at each lag within ``most``, 0 where fewer than 3 frames meet. The reference
+    reaches ``most`` beyond the window. Frames meet by equality on (keys, frame + lag), so a window costs
+    window * (2 most + 1) products."""
     q = windowed(qry, keys, frame, window, step)
     stats = q.groupBy(*keys, "win").agg(F.avg(v).alias("_m"), F.count("*").alias("_n"), F.avg(F.col(v) * F.col(v)).alias("_p")).where((F.col("_n") >= least) & (F.col("_p") >= quiet))
     q = q.join(stats, [*keys, "win"]).select(*keys, "win", F.col(frame).alias("_f"), (F.col(v) - F.col("_m")).alias("_q"))
@@ -86,13 +86,28 @@ def window_lags(ref: DataFrame, qry: DataFrame, keys: list[str], frame: str, v:
     both = q.join(ref.select(*keys, F.col(frame).alias("_f"), F.col(v).alias("_r")), [*keys, "_f"])
     s = both.groupBy(*keys, "win", "lag").agg(F.sum(F.col("_q") * F.col("_r")).alias("_qr"), F.sum("_q").alias("_sq"), F.sum("_r").alias("_sr"), F.sum(F.col("_q") * F.col("_q")).alias("_qq"), F.sum(F.col("_r") * F.col("_r")).alias("_rr"), F.count("*").alias("_c"))
     energy = F.sqrt(F.greatest((F.col("_qq") - F.col("_sq") * F.col("_sq") / F.col("_c")) * (F.col("_rr") - F.col("_sr") * F.col("_sr") / F.col("_c")), F.lit(1e-12)))
-    s = s.select(*keys, "win", "lag", F.when(F.col("_c") >= 3, (F.col("_qr") - F.col("_sq") * F.col("_sr") / F.col("_c")) / energy).otherwise(0.0).alias("score"))
+    return s.select(*keys, "win", "lag", F.when(F.col("_c") >= 3, (F.col("_qr") - F.col("_sq") * F.col("_sr") / F.col("_c")) / energy).otherwise(0.0).alias("score"))
+
+
+def window_lags(ref: DataFrame, qry: DataFrame, keys: list[str], frame: str, v: str, most: int, window: int, step: int, least: int, quiet: float) -> DataFrame:
+    """keys, win, at (the window's middle), lag, score, railed: of each window in window_scores, the lag at which it meets
+    the reference best (the first maximum), moved to the vertex of its neighbours; railed where the maximum is at the edge."""
+    s = window_scores(ref, qry, keys, frame, v, most, window, step, least, quiet)
     top = s.groupBy(*keys, "win").agg(F.max(F.struct("score", (-F.col("lag")).alias("l"))).alias("_b"))
     peak = parabolic(s, [*keys, "win"], "lag", "score")
     out = top.join(peak, [*keys, "win"])
     return out.select(*keys, "win", (F.col("win") * step + window / 2).alias("at"), F.col("peak").alias("lag"), F.col("_b.score").alias("score"), (F.abs(F.col("lag")) >= most).alias("railed"))
 
 
+def evidence(scores: DataFrame, k: str, feature: str, weight: Column, apart: int, unit: float) -> DataFrame:
+    """k, win, and fuse()'s columns: for each window, what its features say together of the lag, each by its best lag and
+    the best ``apart`` or more from it. scores: k, feature, win, lag (in frames of ``unit`` seconds), score; weight: of a
+    feature. Windows in which no feature has a weight and a score have no row."""
+    best = best_and_second(scores, [k, feature, "win"], "lag", "score", apart)
+    c = best.select(F.struct(k, "win").alias("_at"), (F.col("best_lag") * unit).alias("lag"), "best", F.col("second"), weight.alias("w"))
+    return fuse(c, "_at").select(f"_at.{k}", "_at.win", "fused_lag", "fused_score", "second_score", "margin")
+
+
 def pair_score(lags: DataFrame, coarse: DataFrame, k: str, limit: float, least: float = 0.35, weak: float = 0.25, weak_share: float = 0.35) -> DataFrame:
     """k, corr, drift, weak, verdict of an alignment: coarse (k, corr), and windows' lags (k, lag, score). fail if corr is
     below ``least``, if lags differ by more than ``limit``, or if more than ``weak_share`` of the windows score below

@@ -1,11 +1,12 @@
-"""Queries of excerpts in their reference and of refined lags, each with its SQL. Groups of users make dense envelopes."""
+"""Queries of excerpts in their reference, of refined lags and of several features' evidence, each with its SQL. Groups of users make dense envelopes."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import matching
+from ..operators import correlate, matching
 from ..sources.tables import series as events
+from .alignment import WINDOWS
 from .registry import query
 
 # Envelopes of 24 hours a block by group and kind, and the excerpt: blocks 8 to 13 of the clicks, from 0 on.
@@ -60,3 +61,28 @@ def refined_lags(spark, sf_dir):
     ev = events(spark, sf_dir).where(F.col("kind").isin("refund", "purchase"))
     points = ev.select("i", (F.col("k") % 5).alias("g"), "t", (F.col("v") / 5).alias("lag"))
     return matching.refined_lags(points, blocks(spark, sf_dir, "view"), blocks(spark, sf_dir, "click"), "g", "i", "t", "lag", "b", "v", 24.0, 6, 3).select("i", "refined")
+
+
+# Windowed scores of three features, each with its key: the frames' sums, greatest values and counts.
+FEATURES = WINDOWS.replace(
+    "hh AS (SELECT k, kind, floor(t / 6)::BIGINT AS f, sum(v) AS v FROM ev WHERE kind IN ('click', 'view') GROUP BY 1, 2, 3)",
+    "h0 AS (SELECT k % 20 AS k, kind, floor(t / 6)::BIGINT AS f, sum(v) AS onset, max(v) AS wave, count(*)::DOUBLE AS chroma FROM ev WHERE kind IN ('click', 'view') GROUP BY 1, 2, 3), hh AS (SELECT {'k': k, 'feature': feature} AS k, kind, f, v FROM (UNPIVOT h0 ON onset, wave, chroma INTO NAME feature VALUE v))",
+)
+
+
+@query("WITH {ev}, " + FEATURES + """, b0 AS (SELECT k, win, lag, score FROM wn WHERE r = 1),
+c0 AS (SELECT {'k': b.k.k, 'win': b.win} AS k, b.k.feature AS feature, b.lag * 0.03 AS lag, b.score AS best, coalesce(max(s.score), 0) AS second FROM b0 b LEFT JOIN sc s ON s.k = b.k AND s.win = b.win AND abs(s.lag - b.lag) >= 2 GROUP BY ALL),
+c1 AS (SELECT *, 0.25 * CASE feature WHEN 'onset' THEN 0.45 WHEN 'wave' THEN 1.2 ELSE 1.45 END AS w0 FROM c0 WHERE best > 0.02),
+c AS (SELECT *, w0 / sum(w0) OVER (PARTITION BY k) AS w, greatest(w0 / sum(w0) OVER (PARTITION BY k) * best, 1e-6) AS x FROM c1),
+g AS (SELECT *, sum(CASE WHEN step > 0.04 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY lag, best, second, w) AS cl FROM (SELECT *, lag - lag(lag) OVER (PARTITION BY k ORDER BY lag, best, second, w) AS step FROM c)),
+a AS (SELECT k, cl, sum(x) AS x, sum(x * lag) / sum(x) AS lag, sum(x * best) / sum(x) AS score, sum(x * second) / sum(x) AS second FROM g GROUP BY 1, 2),
+q AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY x DESC, cl) AS rn FROM a),
+o AS (SELECT k, max(lag) FILTER (rn = 1) AS fl, max(score) FILTER (rn = 1) AS fs, greatest(coalesce(max(score) FILTER (rn = 2), 0), max(second) FILTER (rn = 1)) AS ss FROM q GROUP BY k)
+SELECT k.k AS k, k.win AS win, round(fl, 5) AS fused_lag, round(fs, 5) AS fused_score, round(ss, 5) AS second_score, round(greatest(0, fs - ss), 5) AS margin FROM o""", digits=5)
+def windowed_evidence(spark, sf_dir):
+    frames = events(spark, sf_dir).where(F.col("kind").isin("click", "view")).groupBy((F.col("k") % 20).alias("k"), "kind", F.floor(F.col("t") / 6).alias("f"))
+    wide = frames.agg(F.sum("v").alias("onset"), F.max("v").alias("wave"), F.count("*").cast("double").alias("chroma"))
+    long = wide.unpivot(["k", "kind", "f"], ["onset", "wave", "chroma"], "feature", "v")
+    of = lambda kind: long.where(F.col("kind") == kind)
+    scores = correlate.window_scores(of("view"), of("click"), ["k", "feature"], "f", "v", 6, 40, 20, 6, 1.0).withColumn("score", F.round("score", 9))
+    return correlate.evidence(scores, "k", "feature", correlate.context_weight(F.col("feature"), F.lit(0.25), F.lit(False)), 2, 0.03)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lagwright.operators import folds, matching, placement, robust, segments, series, signals, solvers, timemap
+from lagwright.operators import correlate, folds, matching, placement, robust, segments, series, signals, solvers, timemap
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +105,19 @@ def test_lags_move_onto_the_envelope_only_if_it_fits(spark):
     got = {r.i: r.refined for r in matching.refined_lags(points, ref, qry, "k", "i", "t", "lag", "b", "v", 1.0, 12, 3).collect()}
     own = np.corrcoef(y[30:42], np.roll(y, 2)[30:42])[0, 1]
     assert got == {1: -2.0 if 0 <= own <= 0.8 else 0.0, 2: -2.0, 3: 0.0, 4: 0.0, 5: 0.0}
+
+
+def test_evidence_follows_what_most_features_say(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for feature, lag in (("onset", 3), ("chroma", 3), ("wave", -4)):
+        y = rng.random(60)
+        rows += [(1, feature, "r", i, float(x)) for i, x in enumerate(y)] + [(1, feature, "q", i, float(y[i + lag])) for i in range(8, 48)]
+    d = spark.createDataFrame(rows, "k long, feature string, side string, f long, v double")
+    scores = correlate.window_scores(d.where("side = 'r'"), d.where("side = 'q'"), ["k", "feature"], "f", "v", 6, 20, 20, 6, 1e-6)
+    weight = F.when(F.col("feature") == "wave", 0.4).otherwise(0.3)
+    got = {r.win: r for r in correlate.evidence(scores, "k", "feature", weight, 2, 0.03).collect()}
+    assert set(got) == {0, 1, 2}
+    assert all(abs(r.fused_lag - 0.09) < 1e-9 and r.fused_score > 0.99 for r in got.values())
+    assert correlate.evidence(scores, "k", "feature", weight * 0, 2, 0.03).count() == 0
+    assert correlate.evidence(scores.limit(0), "k", "feature", weight, 2, 0.03).count() == 0
