@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, language_id, language_model, packing, quality_classifier, quality_rules, simhash, token_counts, url_filter
+from . import bpe_codec, chat_format, decontaminate, language_id, language_model, packing, periodic_runs, phrases, quality_classifier, quality_rules, simhash, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.query,
     "op9_simhash": simhash.query,
     "op10_language_model": language_model.query,
+    "op11_periodic_runs": periodic_runs.query,
+    "op12_phrases": phrases.query,
+    "op13_bpe_codec": bpe_codec.query,
 }
 
-SQL = {"op1_url_filters": url_filter.SQL, "op3_decontaminate": decontaminate.SQL, "op7_chat_format": chat_format.SQL}
+SQL = {"op1_url_filters": url_filter.SQL, "op3_decontaminate": decontaminate.SQL, "op7_chat_format": chat_format.SQL, "op12_phrases": phrases.SQL}

@@ -272,10 +272,10 @@ class Counter:
     def __init__(self, path: str):
         self.words, self.table, self.machine = WordCounter(path), class_table(), outer_machine()
 
-    def rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The number of tokens of each row."""
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray]:
+        """The words of all rows as the pattern cuts them, and the bounds of each row's words among them."""
         if not len(data):
-            return np.zeros(len(offsets) - 1, np.int64)
+            return pa.array([], pa.binary()), np.zeros(len(offsets), np.int64)
         raw = data.tobytes()
         points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
         place = np.flatnonzero((data & 0xC0) != 0x80)  # of each code point among the bytes
@@ -303,8 +303,13 @@ class Counter:
             begins = begins[~((begins > last) & (begins < last + len(SPECIAL)))]
         starts = place[begins]
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(raw)])
+        return words, np.searchsorted(starts, offsets)
+
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The number of tokens of each row."""
+        words, bounds = self.cut(data, offsets)
         coded = words.dictionary_encode()
-        return row_sums(self.words(coded.dictionary)[coded.indices.to_numpy()], np.searchsorted(starts, offsets))
+        return row_sums(self.words(coded.dictionary)[coded.indices.to_numpy()], bounds)
 
 
 @lru_cache(maxsize=1)
