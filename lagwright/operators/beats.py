@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import series
+from . import series, timemap
+from .joins import matched
 
 
 def period(beats: DataFrame, k: str, t: str, low: float, high: float, least: int = 1, default: float = 0.0) -> DataFrame:
@@ -41,3 +42,37 @@ def alignment_score(onsets: DataFrame, beats: DataFrame, k: str, t: str, low: fl
     near = series.nearest(onsets, beats, k, t).join(period(beats, k, t, low, high), k)
     one = F.greatest(F.lit(0.0), 1 - F.abs(F.col("near") - F.col(t)) / F.greatest(0.35 * F.col("period"), F.lit(1e-9)))
     return near.groupBy(k).agg(F.avg(F.coalesce(one, F.lit(0.0))).alias("score"), F.count("*").alias("n"))
+
+
+def beat_scores(points: DataFrame, onsets: DataFrame, beats: DataFrame, downbeats: DataFrame, k: str, ids: list[str], at: str, lag: str, half: float, reach: float = 8.0, low: float = 0.18, high: float = 2.0) -> DataFrame:
+    """points with beat, 0 to 1: how well their onsets, moved by the point's lag, meet the reference's beats.
+
+    An onset counts by max(0, 1 - distance / (0.35 * period)) to the nearest beat, the period being the local one (see
+    timemap.local_period). Where a downbeat lies within half a period, 0.6 of it is the same of the nearest downbeat with a
+    bar of four periods, and the onset counts twice. A point's onsets are those within ``half`` of ``at``, met in cells, or
+    all of the key if there are none; onsets whose period is 0.05 or less are left out; without any, beat is 0. onsets,
+    beats, downbeats: k, t. ``ids`` tell the points of a key apart; points with a null key, time or lag get 0.
+    """
+    p = points.select(k, *ids, F.col(at).cast("double").alias("_at"), F.col(lag).cast("double").alias("_lag")).where(F.col(k).isNotNull() & F.col("_at").isNotNull() & F.col("_lag").isNotNull())
+    o = onsets.select(k, F.col("t").cast("double").alias("_o")).where("_o is not null")
+    cell = lambda c: F.floor(F.col(c) / half)
+    wide = p.withColumn("_cell", F.explode(F.sequence(cell("_at") - 1, cell("_at") + 1)))
+    near = wide.join(o.withColumn("_cell", cell("_o")), [k, "_cell"]).where(F.abs(F.col("_o") - F.col("_at")) <= half).drop("_cell")
+    alone = p.join(near.select(k, *ids).distinct(), [k, *ids], "left_anti")
+    moved = near.unionByName(alone.join(o, k)).select(k, *ids, (F.col("_o") + F.col("_lag")).alias("t"))
+    grid = beats.select(k, F.col("t").cast("double").alias("t")).where("t is not null")
+    # Each distinct place is looked up once.
+    places = timemap.local_period(moved.select(k, "t").distinct(), grid, k, "t", reach, low, high).where("period > 0.05")
+    places = series.nearest(places, grid, k, "t").where("near is not null").withColumnRenamed("near", "_beat")
+    places = series.nearest(places, downbeats.select(k, F.col("t").cast("double").alias("t")).where("t is not null"), k, "t")
+    fit = lambda to, span: F.greatest(F.lit(0.0), 1 - F.abs(F.col("t") - F.col(to)) / (0.35 * span))
+    down = F.coalesce(F.abs(F.col("t") - F.col("near")) <= 0.5 * F.col("period"), F.lit(False))
+    one = F.when(down, 0.4 * fit("_beat", F.col("period")) + 0.6 * fit("near", 4 * F.col("period"))).otherwise(fit("_beat", F.col("period")))
+    valued = places.select(k, "t", one.alias("_v"), F.when(down, 2.0).otherwise(1.0).alias("_w"))
+    scores = moved.join(valued, [k, "t"]).groupBy(k, *ids).agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("beat"))
+    return matched(points, scores, [k, *ids], "left").withColumn("beat", F.coalesce("beat", F.lit(0.0)))
+
+
+def with_beat_bonus(candidates: DataFrame, weight: str, beat: str = "beat", bonus: float = 0.35) -> DataFrame:
+    """Candidates whose weight grows by ``bonus`` times their beat score, for correlate.fuse()."""
+    return candidates.withColumn(weight, F.col(weight) * (1 + bonus * F.col(beat)))

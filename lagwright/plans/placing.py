@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import correlate, matching
+from ..operators import beats, correlate, matching
 from ..sources.tables import series as events
 from .alignment import WINDOWS
 from .registry import query
@@ -86,3 +86,53 @@ def windowed_evidence(spark, sf_dir):
     of = lambda kind: long.where(F.col("kind") == kind)
     scores = correlate.window_scores(of("view"), of("click"), ["k", "feature"], "f", "v", 6, 40, 20, 6, 1.0).withColumn("score", F.round("score", 9))
     return correlate.evidence(scores, "k", "feature", correlate.context_weight(F.col("feature"), F.lit(0.25), F.lit(False)), 2, 0.03)
+
+
+# Candidates of FEATURES, lags in hours, their windows' middles, and what their onsets say of them on the beats.
+BEATEN = FEATURES + """, b0 AS (SELECT k, win, lag, score FROM wn WHERE r = 1),
+c0 AS (SELECT b.k.k AS k, b.win AS win, b.k.feature AS feature, b.lag * 6.0 AS lag, (b.win * 20 + 20) * 6.0 AS mid, b.score AS best, coalesce(max(s.score), 0) AS second, 0.25 * CASE b.k.feature WHEN 'onset' THEN 0.45 WHEN 'wave' THEN 1.2 ELSE 1.45 END AS w0 FROM b0 b LEFT JOIN sc s ON s.k = b.k AND s.win = b.win AND abs(s.lag - b.lag) >= 2 GROUP BY ALL),
+onset AS (SELECT k % 20 AS k, t FROM ev WHERE kind = 'purchase' AND k % 7 < 5), beat AS (SELECT k % 20 AS k, t FROM ev WHERE kind = 'click' AND k % 20 < 18), down AS (SELECT k % 20 AS k, t FROM ev WHERE kind = 'refund' AND k % 2 = 0),
+hit AS (SELECT c0.k, win, feature, onset.t + lag AS t FROM c0 JOIN onset ON onset.k = c0.k AND abs(onset.t - mid) <= 9),
+lone AS (SELECT c0.k, win, feature, onset.t + lag AS t FROM c0 ANTI JOIN hit USING (k, win, feature) JOIN onset ON onset.k = c0.k),
+mv AS (SELECT * FROM hit UNION ALL SELECT * FROM lone), pc AS (SELECT DISTINCT k, t FROM mv),
+gp AS (SELECT pc.k, pc.t, b.t - lag(b.t) OVER (PARTITION BY pc.k, pc.t ORDER BY b.t) AS g FROM pc JOIN beat b ON b.k = pc.k AND abs(b.t - pc.t) <= 40),
+own AS (SELECT k, t, CASE WHEN count(*) >= 3 THEN quantile_cont(g, 0.5) FILTER (g > 0.2 AND g < 40) END AS p FROM gp GROUP BY 1, 2),
+usual AS (SELECT k, quantile_cont(g, 0.5) FILTER (g > 0.2 AND g < 40) AS p FROM (SELECT k, t - lag(t) OVER (PARTITION BY k ORDER BY t) AS g FROM beat) GROUP BY k),
+pd AS (SELECT pc.k, pc.t, coalesce(own.p, usual.p, 0) AS p FROM pc LEFT JOIN own ON own.k = pc.k AND own.t = pc.t LEFT JOIN usual ON usual.k = pc.k),
+nb AS (SELECT q.*, CASE WHEN n.t IS NULL OR q.t - p.t <= n.t - q.t THEN p.t ELSE n.t END AS b FROM (SELECT k, t, p AS period FROM pd WHERE p > 0.05) q ASOF LEFT JOIN beat p ON q.k = p.k AND q.t >= p.t ASOF LEFT JOIN beat n ON q.k = n.k AND q.t <= n.t),
+nd AS (SELECT q.*, CASE WHEN n.t IS NULL OR q.t - p.t <= n.t - q.t THEN p.t ELSE n.t END AS d FROM nb q ASOF LEFT JOIN down p ON q.k = p.k AND q.t >= p.t ASOF LEFT JOIN down n ON q.k = n.k AND q.t <= n.t WHERE q.b IS NOT NULL),
+vl AS (SELECT k, t, CASE WHEN abs(t - d) <= 0.5 * period THEN 2.0 ELSE 1.0 END AS w, CASE WHEN abs(t - d) <= 0.5 * period THEN 0.4 * greatest(0, 1 - abs(t - b) / (0.35 * period)) + 0.6 * greatest(0, 1 - abs(t - d) / (1.4 * period)) ELSE greatest(0, 1 - abs(t - b) / (0.35 * period)) END AS v FROM nd),
+bs AS (SELECT k, win, feature, sum(v * w) / sum(w) AS beat FROM mv JOIN vl USING (k, t) GROUP BY 1, 2, 3),
+cb AS (SELECT c0.*, coalesce(bs.beat, 0) AS beat FROM c0 LEFT JOIN bs USING (k, win, feature))"""
+
+
+def beaten(spark, sf_dir):
+    """Candidates k, win, feature, lag, at, best, second, w, beat, as BEATEN has them."""
+    ev = events(spark, sf_dir)
+    frames = ev.where(F.col("kind").isin("click", "view")).groupBy((F.col("k") % 20).alias("k"), "kind", F.floor(F.col("t") / 6).alias("f"))
+    wide = frames.agg(F.sum("v").alias("onset"), F.max("v").alias("wave"), F.count("*").cast("double").alias("chroma"))
+    long = wide.unpivot(["k", "kind", "f"], ["onset", "wave", "chroma"], "feature", "v")
+    scores = correlate.window_scores(long.where("kind = 'view'"), long.where("kind = 'click'"), ["k", "feature"], "f", "v", 6, 40, 20, 6, 1.0).withColumn("score", F.round("score", 9))
+    best = correlate.best_and_second(scores, ["k", "feature", "win"], "lag", "score", 2)
+    weight = correlate.context_weight(F.col("feature"), F.lit(0.25), F.lit(False))
+    points = best.select("k", "win", "feature", (F.col("best_lag") * 6.0).alias("lag"), ((F.col("win") * 20 + 20) * 6.0).alias("at"), "best", "second", weight.alias("w"))
+    times = lambda kind, some: ev.where((F.col("kind") == kind) & some).select((F.col("k") % 20).alias("k"), "t")
+    onsets, grid, downs = times("purchase", F.col("k") % 7 < 5), times("click", F.col("k") % 20 < 18), times("refund", F.col("k") % 2 == 0)
+    return beats.beat_scores(points, onsets, grid, downs, "k", ["win", "feature"], "at", "lag", 9.0, 40.0, 0.2, 40.0)
+
+
+@query("WITH {ev}, " + BEATEN + " SELECT k, win, feature, round(lag, 6) AS lag, round(beat, 5) AS beat FROM cb", digits=5)
+def beat_evidence(spark, sf_dir):
+    return beaten(spark, sf_dir).select("k", "win", "feature", "lag", "beat")
+
+
+@query("WITH {ev}, " + BEATEN + """, c1 AS (SELECT {'k': k, 'win': win} AS k, lag, best, second, w0 * (1 + 0.35 * beat) AS w0 FROM cb WHERE best > 0.02),
+c AS (SELECT *, w0 / sum(w0) OVER (PARTITION BY k) AS w, greatest(w0 / sum(w0) OVER (PARTITION BY k) * best, 1e-6) AS x FROM c1),
+g AS (SELECT *, sum(CASE WHEN step > 8 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY lag, best, second, w) AS cl FROM (SELECT *, lag - lag(lag) OVER (PARTITION BY k ORDER BY lag, best, second, w) AS step FROM c)),
+a AS (SELECT k, cl, sum(x) AS x, sum(x * lag) / sum(x) AS lag, sum(x * best) / sum(x) AS score, sum(x * second) / sum(x) AS second FROM g GROUP BY 1, 2),
+q AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY x DESC, cl) AS rn FROM a),
+o AS (SELECT k, max(lag) FILTER (rn = 1) AS fl, max(score) FILTER (rn = 1) AS fs, greatest(coalesce(max(score) FILTER (rn = 2), 0), max(second) FILTER (rn = 1)) AS ss FROM q GROUP BY k)
+SELECT k.k AS k, k.win AS win, round(fl, 5) AS fused_lag, round(fs, 5) AS fused_score, round(greatest(0, fs - ss), 5) AS margin FROM o""", digits=5)
+def beaten_lags(spark, sf_dir):
+    c = beats.with_beat_bonus(beaten(spark, sf_dir), "w").select(F.struct("k", "win").alias("_at"), "lag", "best", "second", "w")
+    return correlate.fuse(c, "_at", 8.0).select("_at.k", "_at.win", "fused_lag", "fused_score", "margin")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lagwright.plans import alignment, catalogue, placing, registry  # noqa: F401
+from lagwright.plans import alignment, catalogue, placing, registry, waveforms  # noqa: F401
 
 from .oracle import connect, rows_of
 
