@@ -5,6 +5,9 @@ Units and spans have src_a, src_b (in the source) and dst_a, dst_b (in the targe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,3 +189,136 @@ def audible_tails(blocks: DataFrame, spans: DataFrame, k: str, t: str, level: st
     following = F.when(F.col("n__t") - F.col("dst_b") <= pause, F.col("n__b") - F.col("dst_b"))
     reach = F.greatest(own, following)
     return held.withColumn("tail", F.when(reach > 0, reach + extra).otherwise(0.0)).select(*spans.columns, "tail")
+
+
+# Fixed values of phrase placement, in seconds: how far before and after the chain a phrase is searched, when a later place
+# needs silence, and by kind the scores that place a phrase (surely; with a clear peak; by its length) and the distance of
+# peaks that compete.
+FIRST_BACK, WAVE_BACK, CHROMA_BACK, FORWARD, FAR = 12.0, 1.0, 2.0, 22.0, 60.0
+FAR_SCORE, FAR_RATIO, RESUME_REST, RESUME_LOOK = 0.26, 1.6, 2.5, 2.5
+OPENED, OPENED_REST, NEAR_LOOK = 0.8, 1.0, 0.15
+SURE, FAIR = {"wave": 0.22, "chroma": 0.10}, {"wave": 0.15, "chroma": 0.08}
+CLEAR, LONG, APART = {"wave": 1.20, "chroma": 1.25}, {"wave": 0.12, "chroma": 0.08}, {"wave": 1.5, "chroma": 3.0}
+
+
+class Phrase:
+    """One phrase's scores over the places 0, hop, 2 hop, ... of the reference; null places do not count."""
+
+    def __init__(self, length: float, scores: dict[str, np.ndarray], hop: float, waved: bool):
+        self.length, self.scores, self.hop, self.waved = length, scores, hop, waved
+
+    def best(self, kind: str, start: float, span: float) -> tuple[float, float, float, str]:
+        """The first best place from ``start`` to ``start + span``: place, score, its ratio to the best one apart, kind."""
+        low = max(0, int(np.ceil(start / self.hop - 1e-9)))
+        own = self.scores[kind][low : int(np.floor((start + span) / self.hop + 1e-9)) + 1]
+        if not len(own) or np.isnan(own).all():
+            return start, 0.0, 0.0, kind
+        i = int(np.nanargmax(own))
+        apart = np.abs(np.arange(len(own)) - i) * self.hop >= APART[kind] - 1e-9
+        others = own[apart & ~np.isnan(own)]
+        return (low + i) * self.hop, float(own[i]), float(own[i] / (others.max() + 1e-9)) if len(others) else 99.0, kind
+
+    def found(self, start: float, span: float) -> tuple[float, float, float, str]:
+        """By the wave where that is preferred and says anything, else by the chroma."""
+        if self.waved and (best := self.best("wave", start, span))[1] >= FAIR["wave"]:
+            return best
+        return self.best("chroma", start, span)
+
+    def near(self, at: float) -> float:
+        """The wave's best score around a place."""
+        start = max(0.0, at - NEAR_LOOK)
+        place, score, _, _ = self.best("wave", start, 2 * NEAR_LOOK)
+        return score if abs(place - at) <= 0.20 else 0.0
+
+    def fits(self, match: tuple, earliest: float) -> bool:
+        place, score, ratio, kind = match
+        clear = score >= FAIR[kind] and ratio >= CLEAR[kind] and self.length >= 2.5
+        return place >= earliest and (score >= SURE[kind] or clear or (self.length >= 8.0 and score >= LONG[kind] and ratio >= 1.15))
+
+    def first_of(self, matches: list[Callable[[], tuple]], allowed: Callable[[tuple], bool]) -> tuple | None:
+        """The first match that is allowed; a later one is only looked for if its predecessor was a wave's."""
+        for k, look in enumerate(matches):
+            match = look()
+            if allowed(match):
+                return match
+            if k + 1 < len(matches) and match[3] != "wave":
+                return None
+        return None
+
+
+def placed_phrases(phrases: DataFrame, k: str, hop: float, waved: bool = True) -> DataFrame:
+    """k, n, dst_a, dst_b, score, kind, how: where each phrase lies in the reference, one after another.
+
+    phrases: k, n (their order), a, b (in the source), whole (whether its best place anywhere is taken, untested), wave and
+    chroma (its scores over places 0, hop, 2 hop, ... of the reference, null where there is none) and rests (the reference's
+    silences, structs of start and stop). Scores are worked out before; a phrase's search depends on where the one before
+    it ended, so phrases are streamed in order, each with its own arrays.
+
+    A phrase chains on to the end of the one before plus the source's gap. It is searched from shortly before that (the
+    first from 12 before its own time) to 22 after; failing the tests of fits(), by chroma where a wave failed; then by a
+    strong wave up to 60 ahead; then at the end of a rest of 2.5 or more that holds the chain. A place that opens more than
+    0.8 beyond the gap needs a silence of 1 in the reference, no more than 0.5 shorter than what opens, or a wave that is
+    far better there than at the chain. Otherwise the phrase stays at the chain with score 0. how says which of these
+    decided: whole, match, insert, long_insert, resume, kept, refused (no silence), far (best place too far), chain.
+    Phrases with null times have no row, and those after them chain on to the one before. Null scores count as none.
+    """
+    names = ["n", "a", "b", "whole", "wave", "chroma", "rests"]
+
+    def scores(x) -> np.ndarray:
+        return np.zeros(0) if x is None else np.array([np.nan if v is None else v for v in x], float)
+
+    def step(state, row):
+        n, a, b, whole, wave, chroma, rests = row
+        length = b - a
+        phrase = Phrase(length, {"wave": scores(wave), "chroma": scores(chroma)}, hop, waved)
+        first = state is None
+        if whole:
+            place, score, _, kind = phrase.found(0.0, hop * max(map(len, phrase.scores.values())))
+            return (b, place + length), [(n, place, place + length, score, kind, "whole")]
+        end, gap = (a, 0.0) if first else (state[1], a - state[0])
+        chain = a if first else end + max(0.0, gap)
+        back = FIRST_BACK if first else WAVE_BACK if waved else CHROMA_BACK
+        start = max(0.0, chain - back)
+        earliest = start if first else end - 0.1
+        cap = FAR if first else FORWARD
+        tried = [phrase.found(start, FORWARD + back)]
+        fits = lambda most: lambda m: m[0] - end <= most and phrase.fits(m, earliest)
+        match, how = phrase.first_of([lambda: tried[0], lambda: phrase.best("chroma", start, FORWARD + back)], fits(cap)), "insert"
+        if match and match[0] - end > FORWARD:
+            how = "long_insert"
+        if not match:
+            m = phrase.found(start, FAR + back)
+            if m[3] == "wave" and m[1] >= FAR_SCORE and m[2] >= FAR_RATIO and FORWARD < m[0] - end <= FAR and m[0] >= end - 0.1:
+                match, how = m, "long_insert"
+        if not match:
+            rest = next((r for r in rests if r["start"] <= chain < r["stop"]), None)
+            if rest is not None and rest["stop"] - rest["start"] >= RESUME_REST:
+                entrance = rest["stop"]
+                since = max(0.0, entrance - 0.5)
+                inside = lambda m: entrance - 0.5 <= m[0] <= entrance + RESUME_LOOK and fits(FAR)(m)
+                match, how = phrase.first_of([lambda: phrase.found(since, RESUME_LOOK + 0.5), lambda: phrase.best("chroma", since, RESUME_LOOK + 0.5)], inside), "resume"
+        if match and not first and (opened := match[0] - end - gap) > OPENED:
+            silence = max((min(r["stop"], match[0]) - max(r["start"], end) for r in rests), default=0.0)
+            if silence < OPENED_REST or opened > silence + 0.5:
+                place, score, ratio, kind = match
+                there = phrase.near(chain) if kind == "wave" else 1.0
+                later = kind == "wave" and there <= 0.25 and score >= there + 0.40 and (score >= 0.55 or (score >= 0.45 and ratio >= 2.0))
+                match, how = (match, "kept") if later else (None, "refused")
+        if match:
+            place, score, _, kind = match
+            if how == "insert" and place - end - gap <= 0.15:
+                how = "match"
+            return (b, place + length), [(n, place, place + length, score, kind, how)]
+        how = "refused" if how == "refused" else "far" if tried[0][0] - end > cap else "chain"
+        return (b, chain + length), [(n, chain, chain + length, 0.0, None, how)]
+
+    rows = phrases.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    rows = rows.select(k, F.col("n").cast("long").alias("n"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"), F.coalesce("whole", F.lit(False)).alias("whole"), "wave", "chroma", F.coalesce("rests", F.array().cast("array<struct<start:double,stop:double>>")).alias("rests"))
+    return streamed(rows, k, names, step, "n long, dst_a double, dst_b double, score double, kind string, how string")
+
+
+def whole_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, id, scores: the pieces (keys, id, lag, scores) of each template, which begin at place 0, put together in order.
+    One row holds one template's places."""
+    parts = F.sort_array(F.collect_list(F.struct("lag", "scores")))
+    return scores.groupBy(*keys, "id").agg(F.flatten(F.transform(parts, lambda p: p["scores"])).alias("scores"))

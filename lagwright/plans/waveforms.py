@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import waves
+from ..operators import placement, timemap, waves
+from ..operators.joins import matched
 from ..sources.tables import series as events
 from .registry import query
 
@@ -99,3 +100,71 @@ ft AS (SELECT k, b, h, sum(v * cos(2 * pi() * h * j / 64)) AS re, sum(v * sin(2
 pw AS (SELECT k, h, sum(re * re + im * im) AS p FROM ft GROUP BY 1, 2) SELECT k, round(h * 2.0 / 64, 6) AS hz FROM pw QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(p, 3) DESC, h) = 1""")
 def spectral_peaks(spark, sf_dir):
     return waves.spectral_peak(signal(spark, sf_dir, "view", 64), "k", 64, 2.0)
+
+
+# Phrases: the first 40 of every 160 click samples of half a second, up to the last that was sampled, scored at all places of
+# the views by sums (wave) and by counts (chroma); rests: silent stretches of the views.
+PHRASES = """f2 AS (SELECT k % 20 AS k, kind, floor(t * 2)::BIGINT AS f, sum(v) AS v, count(*)::DOUBLE AS c FROM ev WHERE kind IN ('click', 'view') GROUP BY 1, 2, 3),
+l2 AS (SELECT k, kind, max(f) + 1 AS n FROM f2 GROUP BY 1, 2),
+d2 AS (SELECT l.k, l.kind, l.f, coalesce(f2.v, 0) AS v, coalesce(f2.c, 0) AS c FROM (SELECT k, kind, unnest(range(0, n)) AS f FROM l2) l LEFT JOIN f2 ON f2.k = l.k AND f2.kind = l.kind AND f2.f = l.f),
+pq AS (SELECT k, f // 160 AS p, f % 160 AS j, v, c FROM f2 WHERE kind = 'click' AND f % 160 < 40), pm AS (SELECT k, p, max(j) + 1 AS m, sum(v) / (max(j) + 1) AS mv, sum(c) / (max(j) + 1) AS mc FROM pq GROUP BY 1, 2),
+pd AS (SELECT l.k, l.p, l.j, coalesce(pq.v, 0) - mv AS v, coalesce(pq.c, 0) - mc AS c FROM (SELECT *, unnest(range(0, m)) AS j FROM pm) l LEFT JOIN pq ON pq.k = l.k AND pq.p = l.p AND pq.j = l.j),
+pe AS (SELECT k, p, sum(v * v) AS ov, sum(c * c) AS oc FROM pd GROUP BY 1, 2), pp AS (SELECT pm.k, p, ov, oc, unnest(range(0, n - m + 1)) AS lag FROM pm JOIN pe USING (k, p) JOIN l2 ON l2.k = pm.k AND kind = 'view'),
+px AS (SELECT pp.k, pp.p, pp.lag, any_value(ov) AS ov, any_value(oc) AS oc, sum(pd.v * d2.v) AS xv, sum(pd.c * d2.c) AS xc, sum(d2.v * d2.v) AS ev2, sum(d2.c * d2.c) AS ec2 FROM pp JOIN pd USING (k, p) JOIN d2 ON d2.k = pp.k AND d2.kind = 'view' AND d2.f = pp.lag + pd.j GROUP BY 1, 2, 3),
+ps AS MATERIALIZED (SELECT k, p AS n, lag * 0.5 AS place, round(CASE WHEN ev2 >= greatest(1e-6, ov * 1e-4) THEN CASE WHEN ov > 1e-12 THEN greatest(-1, least(1, xv / sqrt(ev2 * ov))) ELSE 0 END END, 9) AS wave, round(CASE WHEN ec2 >= greatest(1e-6, oc * 1e-4) THEN CASE WHEN oc > 1e-12 THEN greatest(-1, least(1, xc / sqrt(ec2 * oc))) ELSE 0 END END, 9) AS chroma FROM px),
+ph AS MATERIALIZED (SELECT k, p AS n, p * 80.0 AS a, p * 80.0 + m * 0.5 AS b, m * 0.5 AS len, p = 0 AND k % 5 = 0 AS whole, row_number() OVER (PARTITION BY k ORDER BY p) AS r FROM pm),
+rq AS (SELECT k, f, f - row_number() OVER (PARTITION BY k ORDER BY f) AS g FROM d2 WHERE kind = 'view' AND v < 1e-6), rests AS MATERIALIZED (SELECT k, min(f) * 0.5 AS start, (max(f) + 1) * 0.5 AS stop FROM rq JOIN l2 USING (k) WHERE kind = 'view' GROUP BY k, g, n HAVING min(f) > 0 AND max(f) < n - 1)"""
+
+
+def fits_sql(m: str, kind: str) -> str:
+    """SQL of Phrase.fits for the match in columns {m}p, {m}s, {m}r of a kind."""
+    by = lambda wave, chroma: f"CASE {kind} WHEN 'wave' THEN {wave} ELSE {chroma} END"
+    return f"({m}p >= earliest AND ({m}s >= {by(0.22, 0.10)} OR ({m}s >= {by(0.15, 0.08)} AND {m}r >= {by(1.20, 1.25)} AND len >= 2.5) OR (len >= 8.0 AND {m}s >= {by(0.12, 0.08)} AND {m}r >= 1.15)))"
+
+
+def step_sql(r: int) -> str:
+    """The placement of every key's phrase number r, from that of the one before."""
+    if r == 1:
+        chain = "SELECT k, n, a, b, len, whole, true AS first, a AS e, 0.0 AS gap, a AS chain, greatest(0, a - 12) AS start, 12.0 AS back, greatest(0, a - 12) AS earliest, 60.0 AS cap FROM ph WHERE r = 1"
+    else:
+        chain = f"SELECT k, n, a, b, len, whole, false AS first, e, gap, chain, greatest(0, chain - 1) AS start, 1.0 AS back, e - 0.1 AS earliest, 22.0 AS cap FROM (SELECT ph.*, o.dst_b AS e, ph.a - o.src AS gap, o.dst_b + greatest(0, ph.a - o.src) AS chain FROM ph JOIN o{r - 1} o ON o.k = ph.k WHERE ph.r = {r})"
+    pick = lambda g, kind, c: f"max({c}) FILTER (g = {g} AND kind = '{kind}')"
+    low = {0: "0", 1: "any_value(start)", 2: "any_value(start)", 3: "greatest(0, any_value(stop) - 0.5)", 4: "greatest(0, any_value(chain) - 0.15)"}
+    columns = [f"coalesce({pick(g, kind, c)}, {low[g] if c == 'place' else 0}) AS {kind[0]}{g}{c[0]}" for g in range(5) for kind in ("wave", "chroma") for c in ("place", "s", "ratio")]
+    found = ", ".join(f"CASE WHEN w{g}s >= 0.15 THEN w{g}{c} ELSE c{g}{c} END AS f{g}{c}" for g in range(4) for c in "psr") + ", " + ", ".join(f"CASE WHEN w{g}s >= 0.15 THEN 'wave' ELSE 'chroma' END AS f{g}k" for g in range(4))
+    inside = lambda m: f"{m}p >= stop - 0.5 AND {m}p <= stop + 2.5 AND {m}p - e <= 60"
+    return f"""i{r} AS MATERIALIZED ({chain}), j{r} AS MATERIALIZED (SELECT i.*, rests.stop AS stop FROM i{r} i LEFT JOIN rests ON rests.k = i.k AND rests.start <= chain AND chain < rests.stop AND rests.stop - rests.start >= 2.5),
+g{r} AS (SELECT k, n, 0 AS g, 0 AS lo, 1e9 AS hi FROM j{r} UNION ALL SELECT k, n, 1, start, start + 22 + back FROM j{r} UNION ALL SELECT k, n, 2, start, start + 60 + back FROM j{r} UNION ALL SELECT k, n, 3, greatest(0, stop - 0.5), greatest(0, stop - 0.5) + 3 FROM j{r} WHERE stop IS NOT NULL UNION ALL SELECT k, n, 4, greatest(0, chain - 0.15), greatest(0, chain - 0.15) + 0.3 FROM j{r}),
+q{r} AS MATERIALIZED (SELECT g.k, g, kind, place, s FROM g{r} g JOIN (UNPIVOT ps ON wave, chroma INTO NAME kind VALUE s) p ON p.k = g.k AND p.n = g.n AND place >= lo - 1e-9 AND place <= hi + 1e-9),
+b{r} AS (SELECT * FROM q{r} QUALIFY row_number() OVER (PARTITION BY k, g, kind ORDER BY s DESC, place) = 1),
+t{r} AS (SELECT b.k, b.g, b.kind, b.place, b.s, CASE WHEN max(q.s) IS NULL THEN 99 ELSE b.s / (max(q.s) + 1e-9) END AS ratio FROM b{r} b LEFT JOIN q{r} q ON q.k = b.k AND q.g = b.g AND q.kind = b.kind AND abs(q.place - b.place) >= CASE b.kind WHEN 'wave' THEN 1.5 ELSE 3.0 END - 1e-9 GROUP BY b.k, b.g, b.kind, b.place, b.s),
+w{r} AS (SELECT j.k, {', '.join(columns)} FROM j{r} j LEFT JOIN t{r} t ON t.k = j.k GROUP BY j.k), v{r} AS (SELECT j.*, w.* EXCLUDE (k), {found} FROM j{r} j JOIN w{r} w ON w.k = j.k),
+x{r} AS (SELECT *, CASE WHEN whole THEN 0 WHEN f1p - e <= cap AND {fits_sql('f1', 'f1k')} THEN 1 WHEN f1k = 'wave' AND c1p - e <= cap AND {fits_sql('c1', "'chroma'")} THEN 2
+WHEN f2k = 'wave' AND f2s >= 0.26 AND f2r >= 1.6 AND f2p - e > 22 AND f2p - e <= 60 AND f2p >= e - 0.1 THEN 3
+WHEN stop IS NOT NULL AND {inside('f3')} AND {fits_sql('f3', 'f3k')} THEN 4 WHEN stop IS NOT NULL AND f3k = 'wave' AND {inside('c3')} AND {fits_sql('c3', "'chroma'")} THEN 5 ELSE 9 END AS way FROM v{r}),
+y{r} AS MATERIALIZED (SELECT *, CASE way WHEN 0 THEN f0p WHEN 1 THEN f1p WHEN 2 THEN c1p WHEN 3 THEN f2p WHEN 4 THEN f3p WHEN 5 THEN c3p END AS mp, CASE way WHEN 0 THEN f0s WHEN 1 THEN f1s WHEN 2 THEN c1s WHEN 3 THEN f2s WHEN 4 THEN f3s WHEN 5 THEN c3s END AS ms, CASE way WHEN 1 THEN f1r WHEN 3 THEN f2r WHEN 4 THEN f3r ELSE 0 END AS mr, CASE way WHEN 0 THEN f0k WHEN 1 THEN f1k WHEN 3 THEN f2k WHEN 4 THEN f3k ELSE 'chroma' END AS mk FROM x{r}),
+h{r} AS (SELECT y.k, max(least(rests.stop, mp) - greatest(rests.start, e)) AS quiet FROM y{r} y JOIN rests ON rests.k = y.k GROUP BY y.k), z{r} AS (SELECT y.*, CASE WHEN abs(w4p - chain) <= 0.20 THEN w4s ELSE 0 END AS there, coalesce(quiet, 0) AS still FROM y{r} y LEFT JOIN h{r} h ON h.k = y.k),
+u{r} AS (SELECT *, CASE WHEN way IN (0, 9) OR first OR mp - e - gap <= 0.8 THEN 'free' WHEN NOT (greatest(still, 0) < 1 OR mp - e - gap > greatest(still, 0) + 0.5) THEN 'free' WHEN mk = 'wave' AND there <= 0.25 AND ms >= there + 0.40 AND (ms >= 0.55 OR (ms >= 0.45 AND mr >= 2.0)) THEN 'kept' ELSE 'refused' END AS gate FROM z{r}),
+o{r} AS MATERIALIZED (SELECT k, n, b AS src, CASE WHEN way = 9 OR gate = 'refused' THEN chain ELSE mp END AS dst_a, CASE WHEN way = 9 OR gate = 'refused' THEN chain ELSE mp END + len AS dst_b, CASE WHEN way = 9 OR gate = 'refused' THEN 0 ELSE ms END AS score, CASE WHEN way = 9 OR gate = 'refused' THEN NULL ELSE mk END AS kind,
+CASE WHEN way = 0 THEN 'whole' WHEN gate = 'refused' THEN 'refused' WHEN way = 9 THEN CASE WHEN f1p - e > cap THEN 'far' ELSE 'chain' END WHEN gate = 'kept' THEN 'kept' WHEN way IN (4, 5) THEN 'resume' WHEN way = 3 OR mp - e > 22 THEN 'long_insert' WHEN mp - e - gap <= 0.15 THEN 'match' ELSE 'insert' END AS how FROM u{r})"""
+
+
+ROUNDS = 9
+
+
+@query("WITH {ev}, " + PHRASES + ", " + ", ".join(step_sql(r) for r in range(1, ROUNDS + 1)) + " " + " UNION ALL ".join(f"SELECT k, n::BIGINT AS n, round(dst_a, 6)::DOUBLE AS dst_a, round(dst_b, 6)::DOUBLE AS dst_b, round(score, 6)::DOUBLE AS score, kind, how FROM o{r}" for r in range(1, ROUNDS + 1)))
+def phrases_placed(spark, sf_dir):
+    ev = events(spark, sf_dir).groupBy((F.col("k") % 20).alias("k"), "kind", F.floor(F.col("t") * 2).alias("f")).agg(F.sum("v").alias("v"), F.count("*").cast("double").alias("c"))
+    found = None
+    for name, value in (("wave", "v"), ("chroma", "c")):
+        own = ev.where("kind = 'click' and f % 160 < 40").select("k", F.floor(F.col("f") / 160).alias("id"), (F.col("f") % 160).alias("j"), F.col(value).alias("v"))
+        t = waves.blocks(own, ["k", "id"], "j", "v", 40).select("k", "id", F.col("y").alias("q"), F.lit(0).alias("first"), F.lit(10**6).alias("last"))
+        ref = waves.blocks(ev.where("kind = 'view'").select("k", "f", F.col(value).alias("v")), ["k"], "f", "v", 128)
+        places = placement.whole_scores(waves.template_scores(ref, t, ["k"], 128, 40), ["k"]).withColumn("scores", F.transform("scores", lambda s: F.round(s, 9))).withColumnRenamed("scores", name)
+        sized = t.select("k", "id", F.size("q").alias("m"))
+        found = matched(sized, places, ["k", "id"], "left") if found is None else matched(found, places, ["k", "id"], "left")
+    dense = waves.blocks(ev.where("kind = 'view'").select("k", "f", "v"), ["k"], "f", "v", 128).select("k", "b", F.posexplode("y").alias("j", "v"))
+    quiet = timemap.silence_runs(dense.select("k", ((F.col("b") * 128 + F.col("j")) * 0.5).alias("t"), "v"), "k", "t", "v", 1e-6, 0.5)
+    rests = quiet.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("rests"))
+    phrases = matched(found, rests, ["k"], "left").select("k", F.col("id").alias("n"), (F.col("id") * 80.0).alias("a"), (F.col("id") * 80.0 + F.col("m") * 0.5).alias("b"), ((F.col("id") == 0) & (F.col("k") % 5 == 0)).alias("whole"), "wave", "chroma", "rests")
+    return placement.placed_phrases(phrases, "k", 0.5)
