@@ -9,8 +9,9 @@ by itself and emits only phrases that hold the pivot's place, each occurrence in
 counts need no further exchange. Pivots with very many places are salted by their fragments, and only their counts are
 summed once more.
 
-The table of buckets has one size whatever the corpus; a bucket shared by several words costs work, no result: phrases
-are counted as texts, words exactly, by shuffles on them.
+Before that, neighbouring pairs of words are counted in buckets as well, and fragments are also cut between two words
+whose pair is certainly not frequent. Both tables have one size whatever the corpus; a bucket shared by several words or
+pairs costs work, no result: phrases are counted as texts, words exactly, by shuffles on them.
 
 Null texts are empty; a null language counts as ``und``. Texts without two words in a piece have no phrases. Repeated
 rows count as often as they occur; other columns are not looked at. An empty table gives an empty result.
@@ -31,10 +32,12 @@ from .common import LOWER, UPPER_LETTERS, pieces, ragged, read, text_buffer, wri
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 BUCKETS = 1 << 20
+#: Buckets of pairs, and how many of them form a row when tasks' counts are added up.
+PAIRS, ROW = 1 << 23, 1 << 13
 #: Places of a pivot for each of its salts.
 PLACES = 20_000
 #: Rows that a task adds up before it passes them on.
-HELD_ROWS = 400_000
+HELD_ROWS = 200_000
 
 SEPARATOR, BLANK = np.zeros(256, bool), np.zeros(256, bool)
 SEPARATOR[list(b".,;:!?\n\v\f\r")] = True
@@ -111,7 +114,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tables() -> Iterator[pa.Table]:
-            for piece in pieces(batches):
+            for piece in pieces(batches, limit=1 << 20):
                 words, row, _ = words_in_pieces(piece.column(1))
                 pairs = Pairs(words, piece.column(0), row)
                 n = np.bincount(pairs.codes, minlength=len(pairs.words))
@@ -120,6 +123,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 yield pa.table({"lang": piece.column(0), "phrase": pa.nulls(piece.num_rows, pa.string()), "n": pa.array(n, pa.int64())})
 
         yield from adding_up(tables())
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
@@ -140,18 +144,80 @@ def bucket_table(frequent: DataFrame, buckets: int) -> np.ndarray:
     return table
 
 
-def fragments(rows: DataFrame, table: np.ndarray, longest: int = LONGEST, places: int = PLACES) -> DataFrame:
-    """lang, pivot, salt, salted, place, fragment, n: how often a fragment occurs around its pivot, its word number ``place``."""
+class Ranked:
+    """The words of a batch in the order of pivots: rank (-1: certainly not frequent), part (of a piece of text), and the
+    bucket of each place's pair with the next (-1 where they are no pair)."""
+
+    def __init__(self, piece: pa.RecordBatch, table: np.ndarray, pair_buckets: int):
+        self.words, row, self.part = words_in_pieces(piece.column(1))
+        self.pairs = Pairs(self.words, piece.column(0), row)
+        self.counts = table[buckets_of(self.pairs.hashes, len(table))]
+        order = np.empty(len(self.counts), np.int64)
+        order[np.lexsort((self.pairs.hashes, self.counts))] = np.arange(len(self.counts))
+        self.rank = np.where(self.counts > 0, order, -1)[self.pairs.codes]
+        self.next = np.full(len(self.rank), -1)
+        at = np.flatnonzero((self.part[1:] == self.part[:-1]) & (self.rank[1:] >= 0) & (self.rank[:-1] >= 0))
+        with np.errstate(over="ignore"):
+            left, right = (self.pairs.hashes[self.pairs.codes[at + k]] for k in (0, 1))
+            mixed = (left * np.uint64(0x9E3779B97F4A7C15) ^ right) * np.uint64(0xD6E8FEB86659FD93)
+        self.next[at] = (mixed >> np.uint64(32)).astype(np.int64) % pair_buckets
+
+
+def pair_table(rows: DataFrame, table: np.ndarray, least: int, buckets: int = PAIRS) -> np.ndarray:
+    """For each bucket of pairs whether ``least`` pairs of neighbours or more fall into it. Tasks pass on what they counted,
+    a row for each ROW buckets; these are added up by row, and a bit for each bucket comes back."""
     held = rows.sparkSession.sparkContext.broadcast(table)
+    size = min(ROW, buckets)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(buckets, np.uint32)
+        for piece in pieces(batches, limit=1 << 20):
+            at = Ranked(piece, held.value, buckets).next
+            np.add.at(found, at[at >= 0], 1)
+        for row in range(-(-buckets // size)):
+            own = found[row * size : (row + 1) * size]
+            some = np.flatnonzero(own)
+            if len(some):
+                packed = np.stack([some.astype(np.uint16), np.minimum(own[some], 65535).astype(np.uint16)])
+                yield pa.record_batch({"row": pa.array([row], pa.int64()), "found": pa.array([packed.tobytes()], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, total = None, np.zeros(size, np.int64)
+
+        def bits() -> pa.RecordBatch:
+            return pa.record_batch({"row": pa.array([row], pa.int64()), "often": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
+
+        for batch in batches:
+            for r, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if r != row and row is not None:
+                    yield bits()
+                    total[:] = 0
+                row = r
+                some, n = np.frombuffer(packed, np.uint16).reshape(2, -1)
+                total[some] += n
+        if row is not None:
+            yield bits()
+
+    counted = rows.mapInArrow(count, "row long, found binary").repartition("row").sortWithinPartitions("row")
+    out = np.zeros(-(-buckets // size) * size, bool)
+    for row, often in counted.mapInArrow(add, "row long, often binary").collect():  # buckets / 8 bytes at most
+        out[row * size : (row + 1) * size] = np.unpackbits(np.frombuffer(often, np.uint8))[:size]
+    return out[:buckets]
+
+
+def fragments(rows: DataFrame, table: np.ndarray, often: np.ndarray, longest: int = LONGEST, places: int = PLACES) -> DataFrame:
+    """lang, pivot, salt, salted, place, fragment, n: how often a fragment occurs around its pivot, its word number ``place``."""
+    held, pairs_held = (rows.sparkSession.sparkContext.broadcast(x) for x in (table, np.packbits(often)))
+    buckets = len(often)
+    often_at: list[np.ndarray] = []  # unpacked once in a task
 
     def cut(piece: pa.RecordBatch) -> pa.Table:
-        words, row, part = words_in_pieces(piece.column(1))
-        pairs = Pairs(words, piece.column(0), row)
-        counts = held.value[buckets_of(pairs.hashes, len(held.value))]
-        rank = np.empty(len(counts), np.int64)
-        rank[np.lexsort((pairs.hashes, counts))] = np.arange(len(counts))
-        rank = np.where(counts > 0, rank, -1)[pairs.codes]
+        if not often_at:
+            often_at.append(np.unpackbits(pairs_held.value)[:buckets].astype(bool))
+        r = Ranked(piece, held.value, buckets)
+        words, pairs, counts, rank = r.words, r.pairs, r.counts, r.rank
         n = len(rank)
+        joins = (r.next >= 0) & often_at[0][r.next]
 
         def reach(side: int) -> np.ndarray:
             """Words that belong to a place's fragment on one side; before it, none as rare as its own."""
@@ -159,8 +225,10 @@ def fragments(rows: DataFrame, table: np.ndarray, longest: int = LONGEST, places
             for k in range(1, longest):
                 at = slice(0, max(0, n - k)) if side > 0 else slice(min(k, n), n)
                 to = slice(min(k, n), n) if side > 0 else slice(0, max(0, n - k))
+                last = slice(min(k, n) - 1, n - 1) if side > 0 else to  # where the newest pair begins
                 fits = np.zeros(n, bool)
-                fits[at] = (part[at] == part[to]) & (rank[to] >= rank[at] if side > 0 else rank[to] > rank[at])
+                if k < n:
+                    fits[at] = joins[last] & (rank[to] >= rank[at] if side > 0 else rank[to] > rank[at])
                 going = going & fits
                 far += going
             return far
@@ -193,7 +261,7 @@ def fragments(rows: DataFrame, table: np.ndarray, longest: int = LONGEST, places
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from adding_up(cut(piece) for piece in pieces(batches))
+        yield from adding_up(cut(piece) for piece in pieces(batches, limit=1 << 20))
         pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, "lang string, pivot long, salt int, salted boolean, place int, fragment string, n long")
@@ -207,9 +275,9 @@ def owned_phrases(longest: int) -> Column:
     return F.transform(inside, lambda s: F.array_join(F.slice("w", s["a"] + 1, s["k"]), " "))
 
 
-def frequent_phrases(rows: DataFrame, table: np.ndarray, least: int = LEAST, longest: int = LONGEST, places: int = PLACES) -> DataFrame:
+def frequent_phrases(rows: DataFrame, table: np.ndarray, often: np.ndarray, least: int = LEAST, longest: int = LONGEST, places: int = PLACES) -> DataFrame:
     """lang, phrase, n of all phrases of 2 to ``longest`` words that occur ``least`` times or more in rows (lang, text)."""
-    found = fragments(rows, table, longest, places).repartition("lang", "pivot", "salt")
+    found = fragments(rows, table, often, longest, places).repartition("lang", "pivot", "salt")
     key = ["lang", "pivot", "salt", "salted"]
     found = found.groupBy(*key, "place", "fragment").agg(F.sum("n").alias("n"))
     # n is at hand for each fragment; phrases are summed where their pivot's fragments lie.
@@ -218,7 +286,7 @@ def frequent_phrases(rows: DataFrame, table: np.ndarray, least: int = LEAST, lon
     return mined.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
-def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = 100, buckets: int = BUCKETS, places: int = PLACES) -> DataFrame:
+def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = 100, buckets: int = BUCKETS, pair_buckets: int = PAIRS, places: int = PLACES) -> DataFrame:
     """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     score: the least, over all cuts in two, of floor(1000 * a * n / (l * r)); a, l, r: how often the phrase and its
@@ -227,7 +295,8 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     rows = spoken(docs, lang, text)
     words = written(word_counts(rows).where(F.col("phrase").isNull() | (F.col("n") >= least)))
     singles, totals = words.where("phrase is not null"), words.where("phrase is null").select("lang", F.col("n").alias("total"))
-    found = written(frequent_phrases(rows, bucket_table(singles, buckets), least, longest, places))
+    table = bucket_table(singles, buckets)
+    found = written(frequent_phrases(rows, table, pair_table(rows, table, least, pair_buckets), least, longest, places))
     return ranked(found, singles, totals, top, share)
 
 

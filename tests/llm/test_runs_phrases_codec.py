@@ -141,8 +141,8 @@ def direct_phrases(rows, least, longest, top, share=100):
     return sorted(ranked)
 
 
-@pytest.mark.parametrize("places,buckets", [(20_000, 1 << 20), (3, 64), (1, 1)])
-def test_phrases_equal_brute_force(spark, places, buckets):
+@pytest.mark.parametrize("places,buckets,pair_buckets", [(20_000, 1 << 20, 1 << 23), (3, 64, 100), (1, 1, 1)])
+def test_phrases_equal_brute_force(spark, places, buckets, pair_buckets):
     """Also with salts for nearly every pivot, and with one bucket for all words."""
     rng = random.Random(6)
     vocabulary = ["a", "b", "c", "the", "of", "é", "zz", "Yy", "q1", "q2"]
@@ -150,7 +150,7 @@ def test_phrases_equal_brute_force(spark, places, buckets):
     texts += ["the the the the the the, a a a a", "one passage that many share. " * 3] * 12 + [None, "", " . ", "a", "hot " * 700]
     rows = [(rng.choice(["en", "de", None, "und"]), t) for t in texts]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "lang string, text string, phrase string, n int").repartition(5)
-    got = phrases.collocations(df, least=4, top=60, places=places, buckets=buckets)
+    got = phrases.collocations(df, least=4, top=60, places=places, buckets=buckets, pair_buckets=pair_buckets)
     assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got.collect()) == direct_phrases(rows, 4, 5, 60)
 
 
