@@ -2,8 +2,9 @@
 
 Texts are lower-cased and cut into runs of letters and digits. A mask names the positions of a seed and ignores those
 between, so that a substituted word there does no harm. The seeds of all benchmark positions join those of all document
-positions; each hit fixes an alignment, on which the overlap is verified word by word. Of hits that follow each other on
-one alignment only the first is verified, so that repetitive texts and whole copies cost no more than others. A document
+positions; each hit fixes an alignment, on which the overlap is verified word by word. Each
+alignment is verified once, so that repetitive texts and whole copies cost no more than others: where both repeat themselves, a pair of places is left
+out if each has its seed the same few words before it as well, which is on the same alignment. A document
 is contaminated if somewhere ``WINDOW`` aligned words in a row differ in ``SUBSTITUTIONS`` at most, words beyond the
 text's ends included. The two masks find every such window: whichever two of 13 words are substituted, one of the masks
 lies clear of them at some shift (tests try all pairs).
@@ -31,10 +32,29 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seed(hashes: Column, at: Column, number: int, mask: tuple[int, ...]) -> Column:
-    """The hash of a mask's words at a position; null where the text ends before."""
-    fits = at + mask[-1] < F.size(hashes)
-    return F.when(fits, F.xxhash64(F.lit(number), *(F.get(hashes, at + k) for k in mask)))
+#: A seed that comes again after so many words at most counts as a repetition.
+PERIOD = 32
+
+
+def marked(hashes: Column, number: int, mask: tuple[int, ...]) -> Column:
+    """Of column ``hashes`` the seeds of one mask: structs of pos, mask (its number), seed and back, how many words before
+    it the same seed stands last (null: not within PERIOD).
+
+    Two texts that repeat themselves with one period meet at every pair of places with one seed; but a pair of places with
+    the same ``back`` lies on the alignment of the pair before it, so it needs no second look. ``back`` is worked out only
+    for texts in which seeds often come again.
+    """
+    places = F.sequence(F.lit(0), F.greatest(F.size(hashes) - mask[-1] - 1, F.lit(0)))
+    own = F.when(F.size(hashes) > mask[-1], F.transform(places, lambda at: F.xxhash64(F.lit(number), *(F.get(hashes, at + k) for k in mask)))).otherwise(F.array().cast("array<bigint>"))
+
+    def with_back(s: Column) -> Column:
+        often = 2 * F.size(F.array_distinct(s)) < F.size(s)
+        last = lambda x, i: F.array_max(F.filter(F.sequence(F.greatest(i - PERIOD, F.lit(0)), i), lambda j: (j < i) & (F.get(s, j) == x)))
+        struct = lambda x, i, back: F.struct(i.alias("pos"), F.lit(number).alias("mask"), x.alias("seed"), back.alias("back"))
+        return F.when(often, F.transform(s, lambda x, i: struct(x, i, i - last(x, i)))).otherwise(F.transform(s, lambda x, i: struct(x, i, F.lit(None).cast("int"))))
+
+    # A lambda's argument is worked out once; a column would be put in place of each of its uses.
+    return F.get(F.transform(F.array(own), with_back), F.lit(0))
 
 
 def half(n: int) -> int:
@@ -43,12 +63,11 @@ def half(n: int) -> int:
 
 
 def seeds(df: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
-    """A row for each position and mask of column h: what df has, pos, mask (its number) and seed.
-
-    posexplode_outer, since for posexplode the optimizer infers a filter on the size of h, which cuts all texts twice.
-    """
-    at = df.select("*", F.posexplode_outer("h").alias("pos", "_w")).drop("_w")
-    return at.select("*", F.posexplode(F.array(*(seed(F.col("h"), F.col("pos"), i, m) for i, m in enumerate(masks)))).alias("mask", "seed")).where(F.col("seed").isNotNull())
+    """A row for each position and mask of column h at which a seed fits: what df has besides h, pos, mask (its number),
+    seed and back (see marked()). Rows carry no h: a long text would be copied for each of its words."""
+    kept = [c for c in df.columns if c != "h"]
+    listed = F.transform(F.array("h"), lambda h: F.flatten(F.array(*(marked(h, i, m) for i, m in enumerate(masks)))))
+    return df.select(*kept, F.explode(F.get(listed, F.lit(0))).alias("_s")).select(*kept, "_s.*")
 
 
 def overlaps(
@@ -74,27 +93,30 @@ def overlaps(
     short = {r[0] for r in items.where(F.size("h") < WINDOW).select(F.size("h")).distinct().collect()}
     masks = [*MASKS, *(tuple(range(n)) for n in sorted({half(n) for n in short}))]
 
-    listed = seeds(items, masks)
+    listed = seeds(items.select("_item_row", F.size("h").alias("n"), "h"), masks)
     # A short item counts by its ends only, a long one by the spaced seeds.
-    own = F.coalesce(*(F.when(F.size("h") == n, F.lit(masks.index(tuple(range(half(n)))))) for n in sorted(short)), F.lit(-1))
-    ends = (F.col("pos") == 0) | (F.col("pos") == F.size("h") - F.coalesce(*(F.when(F.size("h") == n, F.lit(half(n))) for n in sorted(short)), F.lit(0)))
-    listed = listed.where(F.when(F.size("h") >= WINDOW, F.col("mask") < len(MASKS)).otherwise((F.col("mask") == own) & ends))
-    listed = listed.select("seed", "_item_row", F.col("pos").alias("_item_pos"))
+    own = F.coalesce(*(F.when(F.col("n") == n, F.lit(masks.index(tuple(range(half(n)))))) for n in sorted(short)), F.lit(-1))
+    ends = (F.col("pos") == 0) | (F.col("pos") == F.col("n") - F.coalesce(*(F.when(F.col("n") == n, F.lit(half(n))) for n in sorted(short)), F.lit(0)))
+    whole = F.col("n") >= WINDOW
+    listed = listed.where(F.when(whole, F.col("mask") < len(MASKS)).otherwise((F.col("mask") == own) & ends))
+    listed = listed.select("seed", "_item_row", F.col("pos").alias("_item_pos"), F.when(whole, F.col("back")).alias("_item_back"))
     sides = items.select("_item_row", "_item", F.col("h").alias("_item_h"))
 
     if words <= max_broadcast_words:
         listed, sides = F.broadcast(listed), F.broadcast(sides)
     rows = docs.select(F.col(doc_key).alias("_doc"), F.col(doc_text).alias("_text")).withColumn("_doc_row", F.xxhash64("_doc", "_text"))
-    found = seeds(rows.select("_doc_row", word_hashes(F.col("_text")).alias("h")), masks).select("_doc_row", "pos", "seed").join(listed, "seed")
+    found = seeds(rows.select("_doc_row", word_hashes(F.col("_text")).alias("h")), masks).select("_doc_row", "pos", "seed", "back").join(listed, "seed").where(F.coalesce(F.col("back") != F.col("_item_back"), F.lit(True)))
     aligned = cut_lineage(found.select("_doc_row", "_item_row", (F.col("pos") - F.col("_item_pos")).alias("start")).distinct())
-    held = aligned.select("_doc_row").distinct()
+    held, starts = aligned.select("_doc_row").distinct(), aligned.groupBy("_doc_row", "_item_row").agg(F.collect_list("start").alias("starts"))
     if aligned.count() <= max_broadcast_hits:
-        aligned, held = F.broadcast(aligned), F.broadcast(held)
-    hits = rows.join(held, "_doc_row", "left_semi").select("_doc", "_doc_row", word_hashes(F.col("_text")).alias("h")).join(aligned, "_doc_row").join(sides, "_item_row")
+        starts, held = F.broadcast(starts), F.broadcast(held)
+    # A row for a document and an item, with all their alignments: a text's words are not copied for each of them.
+    hits = rows.join(held, "_doc_row", "left_semi").select("_doc", "_doc_row", word_hashes(F.col("_text")).alias("h")).join(starts, "_doc_row").join(sides, "_item_row")
+    hits = hits.select("_doc", "_item", "h", "_item_h", "starts", F.size("_item_h").alias("item_words"), F.least(F.size("_item_h"), F.lit(WINDOW)).alias("n_compared"))
 
-    start = F.col("start")
-    equal = F.transform("_item_h", lambda w, j: F.when(start + j >= 0, F.coalesce((F.get(F.col("h"), start + j) == w).cast("int"), F.lit(0))).otherwise(0))
-    hits = hits.select("_doc", "_item", F.size("_item_h").alias("item_words"), F.least(F.size("_item_h"), F.lit(WINDOW)).alias("n_compared"), equal.alias("_equal"))
+    def equal(start: Column) -> Column:
+        """1 for each of the item's words that is aligned with an equal one."""
+        return F.transform("_item_h", lambda w, j: F.when(start + j >= 0, F.coalesce((F.get(F.col("h"), start + j) == w).cast("int"), F.lit(0))).otherwise(0))
 
     def counts(e: Column) -> Column:
         """Matches in the best window, and in all. Each window's sum comes from the one before it; state: (sum, best)."""
@@ -107,10 +129,11 @@ def overlaps(
         )
         return F.struct(best.alias("n_matched"), F.aggregate(e, F.lit(0), lambda a, x: a + x).alias("item_matched"))
 
-    # A lambda's argument is worked out once; a column would be put in place of each of its uses.
-    counted = F.get(F.transform(F.array("_equal"), counts), F.lit(0))
     allowed = F.when(F.col("item_words") >= WINDOW, SUBSTITUTIONS).when(F.col("item_words") >= TOLERANT, 1).otherwise(0)
-    scored = hits.select("_doc", "_item", "item_words", "n_compared", counted.alias("_c")).select("*", "_c.*").where(F.col("n_compared") - F.col("n_matched") <= allowed)
+    # A lambda's argument is worked out once; a column would be put in place of each of its uses.
+    counted = F.transform("starts", lambda at: F.get(F.transform(F.array(equal(at)), counts), F.lit(0)))
+    best = F.array_max(F.filter(counted, lambda c: F.col("n_compared") - c["n_matched"] <= allowed))
+    scored = hits.select("_doc", "_item", "item_words", "n_compared", best.alias("_c")).where(F.col("_c").isNotNull()).select("*", "_c.*")
     best = F.max(F.struct("n_matched", "item_matched", "n_compared", "item_words")).alias("b")
     return scored.groupBy(F.col("_doc").alias(doc_key), F.col("_item").alias(item_key)).agg(best).select(doc_key, item_key, "b.n_matched", "b.n_compared", "b.item_matched", "b.item_words")
 
@@ -120,7 +143,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
     if there are ``max_broadcast_rows`` at most, so that texts stay where they are; else the join is by a shuffle."""
     bad = cut_lineage(overlaps(docs, benchmark, key).select(F.col(key).alias("_bad")).distinct())
     few = bad.count() <= max_broadcast_rows
-    return docs.join(F.broadcast(bad) if few else bad, docs[key].eqNullSafe(F.col("_bad")), "left_anti")
+    # The columns ride in one struct, so that none of them can clash.
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_in"))
+    return whole.join(F.broadcast(bad) if few else bad, F.col("_in")[key].eqNullSafe(F.col("_bad")), "left_anti").select("_in.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import LOWER, cut_lineage, fold, pieces, read, split_words, text_buffer, written
 
@@ -223,17 +224,13 @@ def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text")
             )
         return pa.Table.from_batches(out, schema)
 
-    schema = pa.schema([("id", ARROW.get(kind, pa.string())), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    schema = pa.schema([("id", to_arrow_type(table.schema["id"].dataType)), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     texts = table.where("kind = 'doc'").select("block", "id", "text", "train")
     known = words.select(F.col("block").alias("of_block"), "word").join(counts.select("word", "c"), "word").select("of_block", "word", "c")
     result = texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(run, f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return result.withColumnRenamed("id", key)
 
 
-#: Arrow types of the kinds that an id may have.
-ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("_train", fold("doc_id", 7) != 2)
     found = score(docs, "_train")

@@ -453,10 +453,11 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     all such pairs, each of them proven on the texts, and none is lost (see similar_components). Rows of null text are
     one group, as empty text is; equal rows leave one. Rows with a null id come after all others.
     """
-    row = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("id"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    content = F.xxhash64(F.sha2(body, 256))
-    names = docs.withColumn("_content", content)
+    # The user's columns ride in one struct, so that none of them can clash with a name in here.
+    row = F.struct(F.col("_in")[key].isNull().alias("n"), F.col("_in")[key].alias("id"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_in"))
+    body = F.coalesce(F.col("_in")[text], F.lit(""))
+    names = whole.withColumn("_content", F.xxhash64(F.sha2(body, 256)))
     linked = similar_components(names.select(F.col("_content").alias("node"), body.alias("text")), width, similarity, radius).withColumnRenamed("node", "_content")
     # The first row of each group: by component where a text has one, else by the text itself.
     ids = names.select("_content", row.alias("_row")).groupBy("_content", "_row").count().groupBy("_content").agg(F.min(F.struct("_row", "count")).alias("_m"), F.sum("count").alias("_n"))
@@ -467,6 +468,6 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     listed = cut_lineage(marked.where("_n > 1 or _stays is null"))
     left = names.join(few(listed), "_content", "left").where(F.col("_n").isNull() | (row == F.col("_stays")))
     if listed.where("_again and _stays is not null").isEmpty():
-        return left.select(*docs.columns)
+        return left.select("_in.*")
     again = F.coalesce("_again", F.lit(False))
-    return left.where(~again).union(left.where(again).dropDuplicates(["_content"])).select(*docs.columns)
+    return left.where(~again).union(left.where(again).dropDuplicates(["_content"])).select("_in.*")

@@ -84,7 +84,8 @@ def filter_urls(
     max_filter_bytes: int = 64 << 20,
     max_broadcast_rows: int = 100_000,
 ) -> DataFrame:
-    """``df`` with host, path, rule and verdict. listed: columns action (allow, block), host, path.
+    """``df`` with host, path, rule and verdict, in place of columns of these names; all others stay. listed: columns
+    action (allow, block), host, path.
 
     The list is joined by broadcast only if it has ``max_broadcast_rows`` rows at most; else by a shuffle of the possible
     hits.
@@ -101,7 +102,7 @@ def filter_urls(
     depths = sorted(r[0] for r in rules.select(F.size(F.split("_rule_host", r"\."))).distinct().collect())
     table = spark.sparkContext.broadcast(build_filter(rules, n, bits_per_key, max_filter_bytes))
 
-    clash = [c for c in df.columns if c in ("host", "path", "rule", "verdict") or c.startswith("_")]
+    clash = [c for c in df.columns if c in ("host", "path", "rule", "verdict")]
     rows = with_parts(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in clash)).alias("_row"), F.col(url).alias("_url")), "_url").drop("_url")
     rows = rows.withColumn("_id", F.monotonically_increasing_id())
     labels = F.length("_host") - F.length(F.replace(F.col("_host"), F.lit("."))) + 1
