@@ -17,6 +17,11 @@ from .folds import streamed
 SPAN = ["src_a", "src_b", "dst_a", "dst_b"]
 
 
+def bounded(units: DataFrame) -> DataFrame:
+    """Units with all four bounds."""
+    return units.where(" and ".join(f"{c} is not null" for c in SPAN))
+
+
 def accepted(kind: Column, score: Column, ratio: Column, length: Column, candidate: Column, earliest: Column, sure: dict[str, float], fair: dict[str, float], clear: dict[str, float], long: dict[str, float]) -> Column:
     """Whether a match may place a phrase: not before ``earliest``; by its score alone, by a fair score with a clear peak
     and some length, or by its length with a score just above noise. The thresholds go by kind (wave, chroma)."""
@@ -39,7 +44,8 @@ def units_in_order(units: DataFrame, least: float = 0.05) -> DataFrame:
 
 def spans_from_units(units: DataFrame, k: str, duration: float, order: list[str]) -> DataFrame:
     """k, kind, SPAN: a unit is speech, from where the one before it ends at the earliest and ``0.05`` long at least; gaps
-    above 0.02 and a tail above 0.05 are silence. Where a unit ends depends on the one before, so they are streamed."""
+    above 0.02 and a tail above 0.05 are silence. Where a unit ends depends on the one before, so they are streamed. Units
+    with a null bound have no part."""
 
     def step(state, row):
         a, b, sa, sb = row[0], row[1], row[2], row[3]
@@ -52,7 +58,7 @@ def spans_from_units(units: DataFrame, k: str, duration: float, order: list[str]
     def end(state):
         return [("silence", state[1], state[1], state[0], max(duration, state[0]))] if duration > state[0] + 0.05 else []
 
-    return streamed(units.select(k, *(F.col(c).cast("double").alias(c) for c in ("dst_a", "dst_b", "src_a", "src_b")), *(c for c in order if c not in SPAN)), k, ["dst_a", "dst_b", "src_a", "src_b"], step, "kind string, " + ", ".join(f"{c} double" for c in SPAN), end)
+    return streamed(bounded(units).select(k, *(F.col(c).cast("double").alias(c) for c in ("dst_a", "dst_b", "src_a", "src_b")), *(c for c in order if c not in SPAN)), k, ["dst_a", "dst_b", "src_a", "src_b"], step, "kind string, " + ", ".join(f"{c} double" for c in SPAN), end)
 
 
 def clipped(end: Column) -> dict[str, Column]:
@@ -96,7 +102,7 @@ def with_silence(spans: DataFrame, k: str, duration: float) -> DataFrame:
         out = speech(span, reach)
         return [*out, *([("silence", tail, tail, span[2], duration)] if duration > span[2] + 0.05 else [])]
 
-    return streamed(spans.select(k, *names), k, names, step, "kind string, " + ", ".join(f"{c} double" for c in SPAN), end)
+    return streamed(bounded(spans).select(k, *names), k, names, step, "kind string, " + ", ".join(f"{c} double" for c in SPAN), end)
 
 
 def confidence(units: DataFrame, k: str, score: str) -> DataFrame:

@@ -1,5 +1,5 @@
-"""Solvers along a series. The rate limiter is a streamed fold; the lag path and the beat regions look at a whole
-recording, of some thousand points at most, and are grouped maps: Spark shuffles by key, numpy solves one after another."""
+"""Solvers along a series, streamed: the rate limiter, the lag path and its way back. Beat regions look at one recording's
+beats at a time, in a grouped map."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import streamed
+from .joins import matched
 
 # Seconds of a step that counts as a jump, unit of the costs, half widths of the bands by certainty.
 JUMP, UNIT = 0.04, 0.02
@@ -16,74 +17,81 @@ BANDS = {"high": 0.50, "medium": 0.15, "low": 0.05}
 # Fixed values of beat regions: error of a beat, sum of errors, beats that a region needs.
 PHASE, PHASE_SUM, REGION = 0.025, 0.1, 16
 
+#: Stands for a step or a place that is not allowed.
+NEVER = 1e9
 
-def pulls(target, line, conf, margin, beat, beat_weight: float) -> tuple[np.ndarray, np.ndarray]:
-    """Where each point is drawn to, and its extra weight: certain points and points on a beat to what was measured, weak
-    ones to the line."""
-    sure = (margin >= 0.12) & (conf >= 0.45)
-    on_beat = ~sure & (beat >= 0.70)
-    return np.where(~sure & ~on_beat & (conf < 0.25), line, target), np.where(on_beat, 0.25 * beat_weight, 0.0)
 
+def steps_priced(moves: np.ndarray, dt: float, stretch: float, free_jump: bool) -> np.ndarray:
+    """The price of each move of the lag over ``dt``: nothing within ``stretch``; a jump by its size, where it is free to
+    occur; the source has to advance in any case."""
+    size = np.abs(moves)
+    jump = np.where(size >= JUMP, 0.5 * size / UNIT, NEVER) if free_jump else NEVER
+    return np.where(moves > dt - 1e-3, NEVER, np.where(size <= stretch * dt + 1e-9, 0.0, jump))
 
-def best_path(t, target, conf, margin, line, beat=None, stretch: float = 0.08, beat_weight: float = 0.0) -> np.ndarray:
-    """The cheapest path over an even grid of lags.
 
-    A point costs its squared distance to its pull, more the more certain it is, and has to lie in a band around the line,
-    as wide as it is certain. Steps within ``stretch`` are free as long as the source advances; a jump costs by its size
-    and needs a certain point on one side. Where nothing can be reached, any advance can, at a lower price.
-    """
-    n = len(t)
-    if n < 2:
-        return np.array(target, float)
-    beat = np.zeros(n) if beat is None else beat
-    pull, extra = pulls(target, line, conf, margin, beat, beat_weight)
-    low, high = min(pull.min(), line.min(), target.min()) - 0.05, max(pull.max(), line.max(), target.max()) + 0.05
-    step = max(0.005, max(high - low, 0.05) / 80)
-    grid = np.arange(low, high + step / 2, step)
-    never = 1e9
-
-    sure = (margin >= 0.12) & (conf >= 0.45)
-    medium = (margin >= 0.04) & (conf >= 0.25)
-    half = np.where(sure, BANDS["high"], np.where(medium, BANDS["medium"], BANDS["low"]))
-    bottom, top = line - half, line + half
-    bottom, top = np.where(sure, np.minimum(bottom, target - 0.03), bottom), np.where(sure, np.maximum(top, target + 0.03), top)
-    cost = ((grid - pull[:, None]) / UNIT) ** 2 * (0.25 + conf + extra)[:, None]
-    inside = (grid >= bottom[:, None]) & (grid <= top[:, None])
-    cost = np.where(inside | ~inside.any(1, keepdims=True), cost, never)
-
-    move = grid[:, None] - grid[None]  # to, from
-    size = np.abs(move)
-    total, back = cost[0], np.zeros((n, len(grid)), np.int64)
-    for i in range(1, n):
-        dt = max(t[i] - t[i - 1], 1e-3)
-        advances, free = move <= dt - 1e-3, size <= stretch * dt + 1e-9
-        price = np.where(advances & free, 0.0, never)
-        if margin[i] >= 0.12 or sure[i - 1]:
-            price = np.where(advances & ~free & (size >= JUMP), 0.5 * size / UNIT, price)
-        reached = price + total
-        back[i] = reached.argmin(1)
-        best = reached.min(1)
-        if (dead := best >= never / 2).any():
-            reached = np.where(advances, 0.15 * size / UNIT, never) + total
-            back[i], best = np.where(dead, reached.argmin(1), back[i]), np.where(dead, reached.min(1), best)
-        total = best + cost[i]
-    out = np.empty(n, np.int64)
-    out[-1] = total.argmin()
-    for i in range(n - 1, 0, -1):
-        out[i - 1] = back[i, out[i]]
-    return grid[out]
+def cheapest(total: np.ndarray, price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the cheapest place before it and the cost through that. price: of moves by -(m - 1) to m - 1 places;
+    a move's price hangs on its size alone, so all pairs are windows of one vector."""
+    m = len(total)
+    windows = np.lib.stride_tricks.sliding_window_view(price[::-1], m)[::-1]  # row j: the moves from 0..m-1 to j
+    reached = windows + total
+    return reached.argmin(1), reached.min(1)
 
 
 def constrained_path(df: DataFrame, k: str, stretch: float = 0.08, beat_weight: float = 0.0) -> DataFrame:
-    """df (k, t, lag, conf, margin, line, beat): k, t, solved. Points at one time are taken by lag; the second of them may
-    move by as much as fits a millisecond."""
-    columns = ["lag", "conf", "margin", "line", "beat"]
+    """df (k, t, lag, conf, margin, line, beat): k, t, solved, the cheapest path over an even grid of lags.
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "lag"])
-        return pd.DataFrame({k: rows[k], "t": rows["t"], "solved": best_path(rows["t"].to_numpy(float), *(rows[c].to_numpy(float) for c in columns), stretch, beat_weight)})
+    A point is drawn to its lag, a weak one to the line, by the squared distance and the more the more certain it is, and
+    has to lie in a band around the line, as wide as it is certain. Steps within ``stretch`` are free as long as the source
+    advances; a jump costs by its size and needs a certain point on one side. Places that nothing reaches may be reached by
+    any advance, at a lower price. Points are taken by (t, lag); the second of two at one time may move by as much as fits
+    a millisecond. Points with a null have no row; a single point keeps its lag; a key of null is one as others.
 
-    return df.select(k, "t", *columns).groupBy(k).applyInPandas(solve, f"{k} {dict(df.dtypes)[k]}, t double, solved double")
+    Streamed twice: forward with the costs of the grid as state, each point leaving where each place came from, then back
+    from the last point along these.
+    """
+    sure = (F.col("margin") >= 0.12) & (F.col("conf") >= 0.45)
+    on_beat = ~sure & (F.col("beat") >= 0.70)
+    pull = F.when(~sure & ~on_beat & (F.col("conf") < 0.25), F.col("line")).otherwise(F.col("lag"))
+    half = F.when(sure, BANDS["high"]).when((F.col("margin") >= 0.04) & (F.col("conf") >= 0.25), BANDS["medium"]).otherwise(BANDS["low"])
+    whole = F.col("t").isNotNull()
+    for c in ("lag", "conf", "margin", "line", "beat"):
+        whole = whole & F.col(c).isNotNull()
+    d = df.where(whole).select(k, *(F.col(c).cast("double").alias(c) for c in ("t", "lag", "conf", "margin", "line", "beat")))
+    d = d.withColumns({"pull": pull, "weight": 0.25 + F.col("conf") + F.when(on_beat, 0.25 * beat_weight).otherwise(0.0), "sure": sure, "sudden": F.col("margin") >= 0.12})
+    below, above = F.col("line") - half, F.col("line") + half
+    d = d.withColumns({"bottom": F.when(sure, F.least(below, F.col("lag") - 0.03)).otherwise(below), "top": F.when(sure, F.greatest(above, F.col("lag") + 0.03)).otherwise(above)})
+    ends = d.groupBy(k).agg((F.min(F.least("pull", "line", "lag")) - 0.05).alias("low"), (F.max(F.greatest("pull", "line", "lag")) + 0.05).alias("high"), F.count("*").alias("n"))
+    ends = ends.withColumn("step", F.greatest(F.lit(0.005), F.greatest(F.col("high") - F.col("low"), F.lit(0.05)) / 80))
+
+    def forward(state, row):
+        t, lag, pull, weight, bottom, top, sure, sudden, low, high, step, n = row
+        places = low + step * np.arange(int(np.ceil((high + step / 2 - low) / step)))
+        m = len(places)
+        own = weight * ((places - pull) / UNIT) ** 2
+        outside = (places < bottom) | (places > top)
+        own = own if outside.all() else np.where(outside, NEVER, own)
+        came, at = np.zeros(m, int), 0
+        if state is not None:
+            at, before, total, was_sure = state
+            moves, dt = step * np.arange(1 - m, m), max(t - before, 1e-3)
+            came, cost = cheapest(total, steps_priced(moves, dt, stretch, sudden or was_sure))
+            if (cut := cost >= NEVER / 2).any():
+                other, instead = cheapest(total, np.where(moves <= dt - 1e-3, 0.15 * np.abs(moves) / UNIT, NEVER))
+                came, cost = np.where(cut, other, came), np.where(cut, instead, cost)
+            own = own + cost
+        return (at + 1, t, own, sure), [(-at, t, lag, low, step, n, int(own.argmin()), came.tolist())]
+
+    columns = ["t", "lag", "pull", "weight", "bottom", "top", "sure", "sudden", "low", "high", "step", "n"]
+    left = ["t double", "lag double", "low double", "step double", "n long", "best long", "came array<long>"]
+    marked = streamed(matched(d, ends, [k]), k, columns, forward, "back long, " + ", ".join(left))
+
+    def backward(state, row):
+        _, t, lag, low, step, n, best, came = row
+        place = best if state is None else state
+        return came[place], [(t, lag if n < 2 else low + step * place)]
+
+    return streamed(marked, k, ["back", *(c.split()[0] for c in left)], backward, "t double, solved double")
 
 
 def limited(df: DataFrame, k: str, most: float = 0.02, restore: float = 1.5) -> DataFrame:
@@ -91,7 +99,7 @@ def limited(df: DataFrame, k: str, most: float = 0.02, restore: float = 1.5) ->
 
     The source is added up anew from the limited rates and drawn back to the given one over ``restore``, so that a corner
     is rounded and the offset returns; at jumps the rate is free and the source starts from the given one. It always
-    advances by 0.0001 at least. Streamed in order of (t, lag).
+    advances by 0.0001 at least. Streamed in order of (t, lag). Points with a null time or lag have no row and no part.
     """
 
     def step(state, row):
@@ -109,7 +117,48 @@ def limited(df: DataFrame, k: str, most: float = 0.02, restore: float = 1.5) ->
         out = max(src if abs(moved) >= JUMP else free, out0 + 1e-4)
         return (at, lag, src, rate, moved, free, out), [(at, at - out)]
 
-    return streamed(df, k, ["t", "lag"], step, "t double, limited double")
+    return streamed(df.where(F.col("t").isNotNull() & F.col("lag").isNotNull()), k, ["t", "lag"], step, "t double, limited double")
+
+
+def likely_ends(t: np.ndarray, left: int) -> np.ndarray:
+    """The beats at which a region from ``left`` on may end, a few too many.
+
+    A region's period puts each of its beats but one within PHASE of its place, so lies within PHASE / i of the mean gap up
+    to the i-th; and it keeps the errors' running sum, which is the period times 1 + ... + i less the beats' distances so
+    far, within PHASE_SUM for all i. So it lies above the largest of the one kind of lower bounds and the second largest of
+    the other, below the upper ones alike; the bounds only close in with more beats, and once they cross, no region
+    reaches further. Looked at in growing stretches.
+    """
+    low, low2, high, high2, far = -np.inf, -np.inf, np.inf, np.inf, 0.0
+    least, most = -np.inf, np.inf
+    start, width, out = left + 1, 32, []
+    while start < len(t):
+        end = np.arange(start, min(len(t), start + width))
+        i = end - left
+        mean, slack = (t[end] - t[left]) / i, PHASE / i + 1e-9
+        first = np.maximum.accumulate(np.append(low, mean - slack))
+        second = np.maximum.accumulate(np.append(low2, np.minimum(mean - slack, first[:-1])))
+        last = np.minimum.accumulate(np.append(high, mean + slack))
+        next_ = np.minimum.accumulate(np.append(high2, np.maximum(mean + slack, last[:-1])))
+        gone, turns = far + np.cumsum(t[end] - t[left]), i * (i + 1) / 2
+        lows = np.maximum.accumulate(np.append(least, (gone - PHASE_SUM) / turns - 1e-9))
+        highs = np.minimum.accumulate(np.append(most, (gone + PHASE_SUM) / turns + 1e-9))
+        bottom, top = np.maximum(second, lows)[1:], np.minimum(next_, highs)[1:]
+        none = bottom > top
+        out.append(end[(mean >= bottom) & (mean <= top) & (np.cumsum(none) == 0)])
+        if none.any():
+            break
+        low, low2, high, high2, far, least, most = first[-1], second[-1], last[-1], next_[-1], gone[-1], lows[-1], highs[-1]
+        start, width = start + width, width * 2
+    return np.concatenate(out)
+
+
+def fits_one_period(own: np.ndarray) -> bool:
+    """Whether one period serves all these beats, by the rule of regions()."""
+    n = len(own) - 1
+    error = own[0] + (own[-1] - own[0]) / n * np.arange(1, n + 1) - own[1:]
+    off = np.abs(error) > PHASE
+    return bool(off.sum() <= 1 and not off[0] and np.abs(np.cumsum(error)).max() <= PHASE_SUM)
 
 
 def regions(t: np.ndarray) -> list[tuple[int, int, float]]:
@@ -117,21 +166,17 @@ def regions(t: np.ndarray) -> list[tuple[int, int, float]]:
     REGION beats.
 
     A run fits if at most one beat, not the first, is off its even place by more than PHASE, the errors' running sum stays
-    within PHASE_SUM, and its first and last gap differ from the period by less than PHASE / 2 together.
+    within PHASE_SUM, and its first and last gap differ from the period by less than PHASE / 2 together. Ends are
+    first bounded by likely_ends(), then sifted by their mean gap and last gap; only what is left is tested beat by beat.
     """
-    out, left = [], 0
+    out: list[tuple[int, int, float]] = []
+    left = 0
     while left < len(t) - 1:
-        right = len(t) - 1
-        while right > left:
-            own = t[left : right + 1]
-            period = (own[-1] - own[0]) / (right - left)
-            error = own[0] + period * np.arange(1, len(own)) - own[1:]
-            off = np.abs(error) > PHASE
-            border = abs(own[1] - own[0] + own[-1] - own[-2] - 2 * period) if right > left + 2 else 0.0
-            if off.sum() <= 1 and not off[0] and np.abs(np.cumsum(error)).max() <= PHASE_SUM and border < PHASE / 2:
-                break
-            right -= 1
-        right = max(right, left + 1)
+        ends = likely_ends(t, left)
+        mean, first = (t[ends] - t[left]) / (ends - left), t[left + 1] - t[left]
+        sharp = (ends <= left + 2) | (np.abs(first + t[ends] - t[ends - 1] - 2 * mean) < PHASE / 2)
+        likely = ends[sharp & (np.abs(mean - first) <= PHASE + 1e-9)]
+        right = next((int(r) for r in likely[::-1] if fits_one_period(t[left : r + 1])), left + 1)
         if right - left >= REGION:
             out.append((left, right, float((t[right] - t[left]) / (right - left))))
         else:
@@ -142,13 +187,14 @@ def regions(t: np.ndarray) -> list[tuple[int, int, float]]:
 
 def constant_regions(df: DataFrame, k: str) -> DataFrame:
     """df (k, t): k, start, stop, period, n (gaps) of the regions of constant tempo and the single gaps between them. Beats
-    within a millisecond of the one before are left out; keys of one beat have no region."""
+    that are null or not finite, or within a millisecond of the one before, are left out; keys of one beat have no region."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(rows["t"].dropna().to_numpy(float))
+        t = rows["t"].to_numpy(float)
+        t = np.sort(t[np.isfinite(t)])
         t = t[np.diff(t, prepend=-np.inf) > 0.001]
         found = regions(t)
-        return pd.DataFrame({k: rows[k].iloc[0], "start": [t[a] for a, _, _ in found], "stop": [t[b] for _, b, _ in found], "period": [p for *_, p in found], "n": [b - a for a, b, _ in found]})
+        return pd.DataFrame({k: pd.Series([rows[k].iloc[0]] * len(found), dtype=rows[k].dtype), "start": [t[a] for a, _, _ in found], "stop": [t[b] for _, b, _ in found], "period": [p for *_, p in found], "n": [b - a for a, b, _ in found]})
 
     return df.select(k, "t").groupBy(k).applyInPandas(solve, f"{k} {dict(df.dtypes)[k]}, start double, stop double, period double, n long")
 

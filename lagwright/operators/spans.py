@@ -59,9 +59,10 @@ def snap_inserts(df: DataFrame, k: str, order: str, gap: str, most: float) -> Da
 
 
 def stepped_marks(df: DataFrame, k: str, t: str, v: str, step: float) -> DataFrame:
-    """k, t, v: the rows at which v is ``step`` or more away from the last mark's; the first row is one. Streamed."""
+    """k, t, v: the rows at which v is ``step`` or more away from the last mark's; the first row is one. Streamed.
+    Rows with a null time or value have no part."""
 
     def keep(state, row):
         return (row[1], [tuple(row)]) if state is None or abs(row[1] - state) >= step else (state, [])
 
-    return streamed(df.select(k, F.col(t).alias("t"), F.col(v).alias("v")), k, ["t", "v"], keep, "t double, v double")
+    return streamed(df.select(k, F.col(t).alias("t"), F.col(v).alias("v")).where("t is not null and v is not null"), k, ["t", "v"], keep, "t double, v double")

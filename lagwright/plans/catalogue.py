@@ -6,7 +6,7 @@ rounded to six digits on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import gates, naming
@@ -387,11 +387,31 @@ def l2_normalise(spark, sf_dir):
     return d.select("vec_id", F.round("norm", 4).alias("norm"), F.round(F.get("unit", F.lit(0)), 4).alias("first"))
 
 
-@query()
+# Points of the lag path with their pull, weight and band, a row for each place of a key's grid, and the cheapest way to each
+# place from those of the point before.
+PATH = """p0 AS (SELECT k, t * 3600 AS t, v / 1000 AS lag, v / (v + 35.0) AS conf, v / 500 AS margin, avg(v / 1000) OVER (PARTITION BY k) AS line FROM ev),
+p1 AS (SELECT *, margin >= 0.12 AND conf >= 0.45 AS sure, margin >= 0.12 AS sudden, row_number() OVER (PARTITION BY k ORDER BY t, lag) AS i, t - lag(t) OVER (PARTITION BY k ORDER BY t, lag) AS dt FROM p0),
+p2 AS (SELECT *, CASE WHEN NOT sure AND conf < 0.25 THEN line ELSE lag END AS pull, CASE WHEN sure THEN 0.5 WHEN margin >= 0.04 AND conf >= 0.25 THEN 0.15 ELSE 0.05 END AS half FROM p1),
+p3 AS (SELECT *, CASE WHEN sure THEN least(line - half, lag - 0.03) ELSE line - half END AS bottom, CASE WHEN sure THEN greatest(line + half, lag + 0.03) ELSE line + half END AS top, lag(sure) OVER (PARTITION BY k ORDER BY i) AS was FROM p2),
+g0 AS (SELECT k, min(least(pull, line, lag)) - 0.05 AS low, max(greatest(pull, line, lag)) + 0.05 AS high, count(*) AS n FROM p3 GROUP BY k), g1 AS (SELECT *, greatest(0.005, greatest(high - low, 0.05) / 80) AS step FROM g0),
+c0 AS (SELECT k, n, low, step, unnest(range(0, ceil((high + step / 2 - low) / step)::BIGINT)) AS j FROM g1),
+c1 AS (SELECT k, i, j, step, greatest(dt, 1e-3) AS dt, sudden OR was AS jump, (0.25 + conf) * ((low + step * j - pull) / 0.02) * ((low + step * j - pull) / 0.02) AS own, low + step * j >= bottom AND low + step * j <= top AS inside FROM p3 JOIN c0 USING (k)),
+cells AS MATERIALIZED (SELECT * EXCLUDE (own, inside), CASE WHEN inside OR NOT bool_or(inside) OVER (PARTITION BY k, i) THEN own ELSE 1e9 END AS own FROM c1),
+f AS (SELECT k, i, j, own AS total, -1::BIGINT AS came FROM cells WHERE i = 1 UNION ALL
+SELECT k, i, j, own + CASE WHEN a.c >= 5e8 THEN b.c ELSE a.c END, CASE WHEN a.c >= 5e8 THEN b.p ELSE a.p END FROM (
+ SELECT c.k, c.i, c.j, any_value(c.own) AS own,
+  min({'c': f.total + CASE WHEN c.step * (c.j - f.j) > c.dt - 1e-3 THEN 1e9 WHEN abs(c.step * (c.j - f.j)) <= 0.08 * c.dt + 1e-9 THEN 0 WHEN c.jump AND abs(c.step * (c.j - f.j)) >= 0.04 THEN 0.5 * abs(c.step * (c.j - f.j)) / 0.02 ELSE 1e9 END, 'p': f.j}) AS a,
+  min({'c': f.total + CASE WHEN c.step * (c.j - f.j) <= c.dt - 1e-3 THEN 0.15 * abs(c.step * (c.j - f.j)) / 0.02 ELSE 1e9 END, 'p': f.j}) AS b
+ FROM f JOIN cells c ON c.k = f.k AND c.i = f.i + 1 GROUP BY c.k, c.i, c.j)),
+fm AS MATERIALIZED (SELECT * FROM f),
+w AS (SELECT k, i, (min({'c': total, 'j': j})).j AS j FROM fm JOIN g1 USING (k) WHERE i = n GROUP BY k, i UNION ALL SELECT w.k, w.i - 1, fm.came FROM w JOIN fm ON fm.k = w.k AND fm.i = w.i AND fm.j = w.j WHERE w.i > 1)"""
+
+
+@query("WITH RECURSIVE {ev}, " + PATH + " SELECT w.k, round(t, 6) AS t, round(CASE WHEN n < 2 THEN lag ELSE low + step * j END, 9) AS solved FROM w JOIN g1 USING (k) JOIN p3 ON p3.k = w.k AND p3.i = w.i", digits=9)
 def constrained_path(spark, sf_dir):
     d = events(spark, sf_dir).select("k", (F.col("t") * 3600).alias("t"), (F.col("v") / 1000).alias("lag"), conf().alias("conf"), (F.col("v") / 500).alias("margin"), F.lit(0.0).alias("beat"))
     line = d.groupBy("k").agg(F.avg("lag").alias("line"))
-    return solvers.constrained_path(d.join(line, "k"), "k")
+    return solvers.constrained_path(d.join(line, "k"), "k").withColumn("t", F.round("t", 6))
 
 
 @query("""WITH RECURSIVE {ev}, p AS (SELECT k, t / 10 AS t, v / 1000 AS lag, row_number() OVER (PARTITION BY k ORDER BY t, v) AS j FROM ev),
@@ -408,9 +428,34 @@ def accel_limit(spark, sf_dir):
     return solvers.limited(d, "k", 0.02)
 
 
-@query()
+# Beats made of a key's events: stretches of 30 of one tempo, a jitter of 2 ms and every 23rd beat 60 ms late; and from each
+# beat on the furthest that one period reaches, every end tried.
+BEATS = """e0 AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY t, i) AS j FROM ev), e1 AS (SELECT k, j, sum(0.5 + 0.02 * ((j // 30 + k) % 3)) OVER (PARTITION BY k ORDER BY j) + (floor(v * 100)::BIGINT % 17 - 8) / 4000.0 + CASE WHEN j % 23 = 11 THEN 0.06 ELSE 0 END AS t FROM e0),
+bt AS MATERIALIZED (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS i, lead(t) OVER (PARTITION BY k ORDER BY t) - t AS g FROM e1),
+pr AS (SELECT a.k, a.i AS l, b.i AS r, a.t AS tl, (b.t - a.t) / (b.i - a.i) AS m FROM bt a JOIN bt b ON b.k = a.k AND b.i > a.i JOIN bt c ON c.k = a.k AND c.i = b.i - 1 WHERE b.i <= a.i + 2 OR abs(a.g + c.g - 2 * ((b.t - a.t) / (b.i - a.i))) < 0.0125),
+er AS (SELECT pr.k, l, r, c.i, tl + m * (c.i - l) - c.t AS e FROM pr JOIN bt c ON c.k = pr.k AND c.i > l AND c.i <= r), su AS (SELECT *, sum(e) OVER (PARTITION BY k, l, r ORDER BY i) AS s FROM er),
+ok AS (SELECT k, l, r FROM su GROUP BY k, l, r HAVING count(*) FILTER (abs(e) > 0.025) <= 1 AND count(*) FILTER (abs(e) > 0.025 AND i = l + 1) = 0 AND max(abs(s)) <= 0.1),
+nx AS MATERIALIZED (SELECT bt.k, bt.i AS l, coalesce(max(r), bt.i + 1) AS r FROM bt LEFT JOIN ok ON ok.k = bt.k AND ok.l = bt.i WHERE g IS NOT NULL GROUP BY bt.k, bt.i),
+wk AS (SELECT k, l, r FROM nx WHERE l = 0 UNION ALL SELECT nx.k, nx.l, nx.r FROM wk JOIN nx ON nx.k = wk.k AND nx.l = wk.r),
+ex AS (SELECT k, l, r FROM wk WHERE r - l >= 16 UNION ALL SELECT k, x, x + 1 FROM (SELECT k, unnest(range(l, r)) AS x FROM wk WHERE r - l < 16)),
+rg AS (SELECT ex.k, a.t AS start, b.t AS stop, (b.t - a.t) / (r - l) AS period, r - l AS n FROM ex JOIN bt a ON a.k = ex.k AND a.i = l JOIN bt b ON b.k = ex.k AND b.i = r)"""
+
+
+def regions(spark, sf_dir):
+    d = events(spark, sf_dir).withColumn("j", F.row_number().over(Window.partitionBy("k").orderBy("t", "i")))
+    gap = 0.5 + 0.02 * ((F.floor(F.col("j") / 30) + F.col("k")) % 3)
+    t = F.sum(gap).over(Window.partitionBy("k").orderBy("j")) + (F.floor(F.col("v") * 100) % 17 - 8) / 4000.0 + F.when(F.col("j") % 23 == 11, 0.06).otherwise(0.0)
+    return solvers.constant_regions(d.select("k", t.alias("t")), "k")
+
+
+@query("WITH RECURSIVE {ev}, " + BEATS + " SELECT k, round(start, 9) AS start, round(stop, 9) AS stop, round(period, 9) AS period, n::BIGINT AS n FROM rg", digits=9)
 def iron_beats(spark, sf_dir):
-    return solvers.constant_regions(events(spark, sf_dir).select("k", "t"), "k")
+    return regions(spark, sf_dir)
+
+
+@query("WITH RECURSIVE {ev}, " + BEATS + " SELECT k, round(start + j * period, 9) AS beat FROM (SELECT *, unnest(range(0, n)) AS j FROM rg) UNION ALL SELECT k, round(max(stop), 9) FROM rg GROUP BY k", digits=9)
+def ironed_beats(spark, sf_dir):
+    return solvers.ironed(regions(spark, sf_dir), "k")
 
 
 @query("""WITH {ev}, lv AS (SELECT k, max(abs(v)) AS p, quantile_cont(abs(v), 0.2) AS q FROM ev GROUP BY k),

@@ -37,15 +37,6 @@ def test_streamed_folds_see_keys_once_and_in_order(spark):
     assert folds.streamed(df.limit(0), "k", ["t", "v"], lambda s, r: (s, []), "t double", lambda s: [(0.0,)]).count() == 0
 
 
-def test_path_keeps_certain_spikes_and_drops_doubtful_ones():
-    t, line = np.arange(8.0), np.zeros(8)
-    for conf, margin, kept in ((0.85, 0.45, True), (0.2, 0.01, False)):
-        lag, c, m = np.zeros(8), np.full(8, 0.75), np.full(8, 0.35)
-        lag[4], c[4], m[4] = 0.18, conf, margin
-        solved = solvers.best_path(t, lag, c, m, line)
-        assert bool(abs(solved[4]) > 0.08) == kept
-
-
 def test_limiter_rounds_a_corner(spark):
     df = spark.createDataFrame([(1, float(i), 0.0 if i < 8 else 0.03) for i in range(16)], "k long, t double, lag double")
     rows = sorted(solvers.limited(df, "k").collect())

@@ -88,14 +88,6 @@ def test_bar_marks_and_period(spark):
     assert beats.period(df, "k", "t", 0.2, 2.0).first().period == 0.5
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_path_follows_certain_points(seed):
-    rng = np.random.default_rng(seed)
-    t = np.cumsum(rng.uniform(0.5, 1.5, 60))
-    path = solvers.best_path(t, 0.05 * np.sin(t / 9), np.full(60, 0.9), np.full(60, 0.35), np.zeros(60))
-    assert np.abs(path - 0.05 * np.sin(t / 9)).max() < 0.02
-
-
 def test_even_beats_are_one_region():
     t = np.concatenate([np.arange(20) * 0.5, 9.5 + np.arange(1, 20) * 0.4])
     found = solvers.regions(t)
