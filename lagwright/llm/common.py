@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -112,14 +113,23 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0, dtype=lengths.dtype) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def give_back() -> None:
+    """Memory that a Python worker holds and does not use goes back to the system: workers live on between tasks, and what
+    they and Arrow's pool keep is better used by the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_chunks(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """``work`` over pieces of bounded size; narrow, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, column, limit):
             yield work(piece)
-        # Workers live on between tasks; what the pool holds is better used by the next stage.
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, pieces, ragged, read, split_words, text_buffer
+from .common import LOWER, give_back, pieces, ragged, read, split_words, text_buffer
 
 CAPACITY = 4096
 
@@ -160,6 +160,7 @@ def pack(
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         tokenizer = tokenizer_at(tokenizer_path, kept_words)
         bins = Bins(capacity, TaskContext.get().partitionId() << 40)
 
@@ -184,7 +185,7 @@ def pack(
                 yield out(placed, schema)
         if placed := bins.close():
             yield out(placed, schema)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, {PIECES}" + ", ids array<long>" * with_ids).withColumnRenamed("id", key)

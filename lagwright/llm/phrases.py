@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER_LETTERS, pieces, ragged, read, text_buffer, written
+from .common import LOWER, UPPER_LETTERS, give_back, pieces, ragged, read, text_buffer, written
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 BUCKETS = 1 << 20
@@ -123,7 +123,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 yield pa.table({"lang": piece.column(0), "phrase": pa.nulls(piece.num_rows, pa.string()), "n": pa.array(n, pa.int64())})
 
         yield from adding_up(tables())
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return rows.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
@@ -262,7 +262,7 @@ def fragments(rows: DataFrame, table: np.ndarray, often: np.ndarray, longest: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from adding_up(cut(piece) for piece in pieces(batches, limit=1 << 20))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return rows.mapInArrow(run, "lang string, pivot long, salt int, salted boolean, place int, fragment string, n long")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut_lineage, map_chunks, pieces, read, row_sums, split_words, text_buffer
+from .common import bounded_sample, cut_lineage, give_back, map_chunks, pieces, read, row_sums, split_words, text_buffer
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks"]
 SYMBOL, UPPER, MARK = (np.zeros(256, bool) for _ in range(3))
@@ -214,6 +214,7 @@ def keep_regular(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
             anomaly = held.value.scores(features(np.stack([counts[c] for c in COUNTS], 1)))
             yield batch.filter(pa.array(~failed & (anomaly < threshold)))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
