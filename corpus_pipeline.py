@@ -31,7 +31,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), chunk_bytes=2 << 20, kept_words=250_000)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), chunk_bytes=1 << 20, kept_words=250_000)
 
 
 STAGES = [
