@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import series
+from .folds import streamed
+from .joins import matched
+from .waves import assembled, mapped, stretches
 
 
 def bar_ruler(downbeats: DataFrame, k: str, t: str, target: float, bars: int = 8) -> DataFrame:
@@ -172,3 +177,92 @@ def repair_curve(points: DataFrame, k: str, t: str, lag: str, railed: str, limit
     d = good.join(need, k)
     once = d.where("_n = 1").select(k, (F.col(t) + hold).alias(t), lag)
     return d.select(k, t, lag).unionByName(once)
+
+
+def envelope_moves(knots: DataFrame, ref: DataFrame, qry: DataFrame, k: str, t: str, lag: str, rate: float, size: int, window: int, search: int, step: int, digits: int = 9) -> DataFrame:
+    """k, t, lag, current, delta, best of knots: how the ``window`` envelope samples of ref from the knot on correlate with
+    those of qry at the lag (current), and at the best shift of up to ``search`` samples in steps of ``step`` (best, and
+    delta, what it adds to the lag). ref, qry: envelopes in blocks (k, b, y) of ``size`` at ``rate`` samples a second.
+
+    -1 stands for what cannot be told: a window beyond its envelope or flat. The first best shift counts; at the edge of the
+    search delta is 0. Knots with a null time or lag have no row. A knot brings its two stretches together, no others.
+    """
+    ends = lambda df, name: df.groupBy(k).agg(F.max(F.col("b") * size + F.size("y")).alias(name))
+    d = knots.where(F.col(t).isNotNull() & F.col(lag).isNotNull()).select(k, F.col(t).cast("double").alias("t"), F.col(lag).cast("double").alias("lag"))
+    d = matched(matched(d, ends(ref, "_m"), [k], "left"), ends(qry, "_n"), [k], "left")
+    d = d.withColumns({"_a": F.rint(F.col("t") * rate).cast("long"), "_b": F.rint((F.col("t") - F.col("lag")) * rate).cast("long")})
+    d = d.withColumns({"_f": F.floor(F.col("_a") / size), "_l": F.floor((F.col("_a") + window - 1) / size)})
+    d = stretches(ref, [k], d, "_f", "_l").withColumnRenamed("parts", "_r").withColumns({"_f": F.floor((F.col("_b") - search) / size), "_l": F.floor((F.col("_b") + search + window - 1) / size)})
+    d = stretches(qry, [k], d, "_f", "_l")
+    shifts = np.arange(-search, search + 1, step)
+
+    def centred(x: np.ndarray) -> tuple[np.ndarray, float]:
+        x = x - x.mean()
+        return x, float(np.linalg.norm(x))
+
+    def work(c: dict[str, pa.Array]) -> dict[str, pa.Array]:
+        out = []
+        for r, q, a, b, m, n in zip(c["_r"], c["parts"], *(c[x].to_pylist() for x in ("_a", "_b", "_m", "_n")), strict=True):
+            current, delta, best, at = -1.0, 0.0, -1.0, 0
+            x, norm = centred(assembled(r, size, a, a + window))
+            if m is not None and n is not None and a >= 0 and a + window <= m and norm >= 1e-6:
+                y = assembled(q, size, b - search, b + search + window)
+                for s in shifts[(b + shifts >= 0) & (b + shifts + window <= n)].tolist():
+                    z, other = centred(y[s + search : s + search + window])
+                    if other < 1e-6:
+                        continue
+                    score = round(float(x @ z) / (norm * other), digits)
+                    current = score if s == 0 else current
+                    if score > best:
+                        best, at = score, s
+                delta = 0.0 if abs(at) >= search - step else -at / rate
+            out.append((current, delta, best))
+        return {name: pa.array([o[i] for o in out]) for i, name in enumerate(("current", "delta", "best"))}
+
+    return mapped(d, [k, "t", "lag"], work, "current double, delta double, best double")
+
+
+def pulled_phrases(moves: DataFrame, k: str, hold: float = 1.5, within: float = 6.0, low: float = 0.10, least: float = 0.30, gain: float = 0.22, near: float = 0.12, far: float = 0.38, alike: float = 0.08, sure: float = 0.50) -> DataFrame:
+    """k, t, lag of envelope_moves(): phrases that are plainly off are pulled onto their envelope, then rejoin the path.
+
+    A knot asks for a move if current is below ``low``, best is ``least`` or more and by ``gain`` better, and delta's size
+    lies from ``near`` to ``far``. Two or more such knots in a row, with deltas ``alike`` the first one's, are a run; it
+    counts if a knot with a current of ``sure`` comes after it, not later than ``within`` after its last. Then its median
+    delta is added up to ``hold`` after its last knot, and fades out linearly up to that sure knot; the search goes on
+    there. A run that does not count stays, and the knot after it may begin the next. At the end the source advances
+    again as monotone() has it. Streamed in order of (t, lag), holding back what is undecided: a run and ``within`` of
+    knots after it.
+    """
+    rows = moves.select(k, *(F.col(c).cast("double").alias(c) for c in ("t", "lag", "current", "delta", "best"))).where("t is not null and lag is not null")
+    asks = (F.col("current") < low) & (F.col("best") >= least) & (F.col("best") >= F.col("current") + gain) & (F.abs("delta") >= near) & (F.abs("delta") <= far)
+    rows = rows.withColumn("asks", F.coalesce(asks, F.lit(False)))
+
+    def settled(held: list[tuple], over: bool) -> tuple[list[tuple], list[tuple]]:
+        """What is decided of the rows held back, and the rest."""
+        out: list[tuple] = []
+        while held:
+            stop = 0
+            while stop < len(held) and held[stop][5] and abs(held[stop][3] - held[0][3]) <= alike:
+                stop += 1
+            if stop == len(held) and not over:
+                break  # the run goes on
+            if stop >= 2:
+                limit = held[stop - 1][0] + within
+                ahead = [i for i in range(stop, len(held)) if held[i][0] <= limit]
+                end = next((i for i in ahead if held[i][2] >= sure), None)
+                if end is None and len(ahead) == len(held) - stop and not over:
+                    break  # a sure knot may still come
+                if end is not None:
+                    delta = float(np.median([r[3] for r in held[:stop]]))
+                    full = max(i for i in range(end) if held[i][0] <= held[stop - 1][0] + hold)
+                    since, span = held[full][0], max(held[end][0] - held[full][0], 1e-3)
+                    out += [(r[0], r[1] + (delta if i <= full else delta * max(0.0, 1.0 - (r[0] - since) / span))) for i, r in enumerate(held[:end])]
+                    held = held[end:]
+                    continue
+            out += [r[:2] for r in held[: max(1, stop)]]
+            held = held[max(1, stop) :]
+        return held, out
+
+    made = streamed(rows, k, ["t", "lag", "current", "delta", "best", "asks"], lambda state, row: settled([*(state or []), row], False), "t double, lag double", lambda state: settled(state, True)[1])
+    up = series.monotone(made.withColumn("_src", F.col("t") - F.col("lag")), k, "t", "_src")
+    return up.select(k, "t", (F.col("t") - F.col("mono")).alias("lag"))

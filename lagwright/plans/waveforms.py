@@ -168,3 +168,34 @@ def phrases_placed(spark, sf_dir):
     rests = quiet.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("rests"))
     phrases = matched(found, rests, ["k"], "left").select("k", F.col("id").alias("n"), (F.col("id") * 80.0).alias("a"), (F.col("id") * 80.0 + F.col("m") * 0.5).alias("b"), ((F.col("id") == 0) & (F.col("k") % 5 == 0)).alias("whole"), "wave", "chroma", "rests")
     return placement.placed_phrases(phrases, "k", 0.5)
+
+
+# Knots of a time map, and what the envelopes at them say: windows of 48 samples, shifts of up to 12 in steps of 2.
+MOVES = """kt AS (SELECT k % 20 AS k, t, v / 100 AS lag, row_number() OVER (PARTITION BY k % 20 ORDER BY t, v) - 1 AS i, round_even(t * 2, 0)::BIGINT AS a, round_even((t - v / 100) * 2, 0)::BIGINT AS b FROM ev WHERE kind = 'purchase'),
+kr AS (SELECT kt.k, kt.i, f - a AS j, v - avg(v) OVER (PARTITION BY kt.k, kt.i) AS x FROM kt JOIN ln m ON m.k = kt.k AND m.kind = 'view' AND a >= 0 AND a + 48 <= m.n JOIN dn ON dn.k = kt.k AND dn.kind = 'view' AND f >= a AND f < a + 48),
+kq AS (SELECT kt.k, kt.i, s, f - b - s AS j, v - avg(v) OVER (PARTITION BY kt.k, kt.i, s) AS y FROM (SELECT *, unnest(range(-12, 13, 2)) AS s FROM kt) kt JOIN ln m ON m.k = kt.k AND m.kind = 'click' AND b + s >= 0 AND b + s + 48 <= m.n JOIN dn ON dn.k = kt.k AND dn.kind = 'click' AND f >= b + s AND f < b + s + 48),
+ks AS (SELECT k, i, s, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 9) AS c FROM kr JOIN kq USING (k, i, j) GROUP BY k, i, s HAVING sqrt(sum(x * x)) >= 1e-6 AND sqrt(sum(y * y)) >= 1e-6),
+kb AS (SELECT k, i, max({'c': c, 's': -s}) AS top, max(c) FILTER (s = 0) AS own FROM ks GROUP BY k, i),
+mv AS MATERIALIZED (SELECT kt.k, kt.i, t, lag, coalesce(own, -1) AS cur, CASE WHEN top IS NULL OR abs(top.s) >= 10 THEN 0 ELSE top.s / 2.0 END AS delta, coalesce(top.c, -1) AS best FROM kt LEFT JOIN kb ON kb.k = kt.k AND kb.i = kt.i)"""
+
+
+def moves(spark, sf_dir):
+    knots = events(spark, sf_dir).where("kind = 'purchase'").select((F.col("k") % 20).alias("k"), "t", (F.col("v") / 100).alias("lag"))
+    return timemap.envelope_moves(knots, signal(spark, sf_dir, "view"), signal(spark, sf_dir, "click"), "k", "t", "lag", 2.0, 48, 48, 12, 2)
+
+
+@query("WITH {ev}, " + FRAMES + ", " + MOVES + " SELECT k, round(t, 6) AS t, round(lag, 6) AS lag, round(cur, 6) AS current, round(delta, 6) AS delta, round(best, 6) AS best FROM mv")
+def envelope_moves(spark, sf_dir):
+    return moves(spark, sf_dir)
+
+
+@query("WITH RECURSIVE {ev}, " + FRAMES + ", " + MOVES + """, ma AS MATERIALIZED (SELECT *, cur < 0.25 AND best >= 0.2 AND best >= cur + 0.1 AND abs(delta) >= 1 AND abs(delta) <= 5 AS asks FROM mv),
+ms AS (SELECT a.k, a.i, coalesce(min(b.i), (SELECT count(*) FROM ma c WHERE c.k = a.k)) AS stop FROM ma a LEFT JOIN ma b ON b.k = a.k AND b.i > a.i AND NOT (b.asks AND abs(b.delta - a.delta) <= 3) WHERE a.asks GROUP BY a.k, a.i),
+me AS MATERIALIZED (SELECT ms.k, ms.i, stop, l.t AS till, (SELECT min(e.i) FROM ma e WHERE e.k = ms.k AND e.i >= stop AND e.t <= l.t + 40 AND e.cur >= 0.1) AS fin FROM ms JOIN ma l ON l.k = ms.k AND l.i = stop - 1),
+mw AS (SELECT ma.k, ma.i, CASE WHEN stop - ma.i >= 2 THEN coalesce(fin, stop) WHEN asks THEN stop ELSE ma.i + 1 END AS nxt, stop - ma.i >= 2 AND fin IS NOT NULL AS hit FROM ma LEFT JOIN me ON me.k = ma.k AND me.i = ma.i),
+wk AS (SELECT k, i, nxt, hit FROM mw WHERE i = 0 UNION ALL SELECT mw.k, mw.i, mw.nxt, mw.hit FROM wk JOIN mw ON mw.k = wk.k AND mw.i = wk.nxt),
+rn AS (SELECT wk.k, wk.i AS a, stop, fin, (SELECT quantile_cont(d.delta, 0.5) FROM ma d WHERE d.k = wk.k AND d.i >= wk.i AND d.i < stop) AS delta, (SELECT max(d.t) FROM ma d WHERE d.k = wk.k AND d.i < fin AND d.t <= till + 8) AS since, (SELECT d.t FROM ma d WHERE d.k = wk.k AND d.i = fin) AS last FROM wk JOIN me ON me.k = wk.k AND me.i = wk.i WHERE hit),
+mp AS (SELECT ma.k, ma.i, ma.t, ma.t - (lag + coalesce(CASE WHEN ma.t <= since THEN rn.delta ELSE rn.delta * greatest(0, 1 - (ma.t - since) / greatest(last - since, 1e-3)) END, 0)) AS src FROM ma LEFT JOIN rn ON rn.k = ma.k AND ma.i >= a AND ma.i < fin)
+SELECT k, round(t, 5) AS t, round(t - (max(src - i * 1e-4) OVER (PARTITION BY k ORDER BY t ROWS UNBOUNDED PRECEDING) + i * 1e-4), 5) AS lag FROM mp""", digits=5)
+def pulled_phrases(spark, sf_dir):
+    return timemap.pulled_phrases(moves(spark, sf_dir), "k", 8.0, 40.0, 0.25, 0.2, 0.1, 1.0, 5.0, 3.0, 0.1)
