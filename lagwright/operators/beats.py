@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import series, timemap
+from . import segments, series, timemap
 from .joins import matched
 
 
@@ -76,3 +76,39 @@ def beat_scores(points: DataFrame, onsets: DataFrame, beats: DataFrame, downbeat
 def with_beat_bonus(candidates: DataFrame, weight: str, beat: str = "beat", bonus: float = 0.35) -> DataFrame:
     """Candidates whose weight grows by ``bonus`` times their beat score, for correlate.fuse()."""
     return candidates.withColumn(weight, F.col(weight) * (1 + bonus * F.col(beat)))
+
+
+def phase_smoothed(points: DataFrame, beats: DataFrame, k: str, reach: float = 12.0, grid: float = 2.0, low: float = 0.2, high: float = 2.0, trust: float = 0.35, floor: float = 0.08, share: float = 0.35, least: int = 4) -> DataFrame:
+    """k, t, lag, score of a lag curve (points: k, t, lag, score) smoothed along the beats (k, t) instead of time.
+
+    A point that is not trusted (score below ``trust``), or further than max(floor, share * local beat) from the median of
+    the trusted points within ``reach`` beats, takes that median and score 1; without trusted points that near, the nearest
+    one's lag. All points are trusted where fewer than ``least`` would be. Each ``grid`` from the first point on gets the
+    lag between its neighbours in beats and score 0.8; where a point lies within 1 ms the point stays instead. Curves of
+    fewer than ``least`` points or beats stay as they are. Points with a null time or lag have no row; a null score is 0.
+
+    The median is a range frame over each key's points sorted by beat; holes are filled by one union sorted the same way.
+    """
+    w = Window.partitionBy(k)
+    p = points.where(F.col("t").isNotNull() & F.col("lag").isNotNull()).select(k, F.col("t").cast("double").alias("t"), F.col("lag").cast("double").alias("lag"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    counts = matched(p.groupBy(k).agg(F.count("*").alias("_n")), beats.groupBy(k).agg(F.count("t").alias("_b")), [k], "left")
+    p = matched(p, counts.select(k, (F.coalesce(F.least("_n", "_b"), F.lit(0)) >= least).alias("_fit")), [k])
+    asis, own = p.where("not _fit"), p.where("_fit").drop("_fit")
+    grid_of = own.groupBy(k).agg(F.min("t").alias("_a"), F.max("t").alias("_z"))
+    own = segments.phase_at(own, beats, k, "t")
+    mids = timemap.smooth_period(beats, k, "t", low, high).select(k, F.col("mid").alias("t"), "period")
+    own = series.interpolate(own, mids, k, "t", "period").withColumnRenamed("interp", "_period")
+    own = own.withColumn("_sure", F.col("score") >= trust).withColumn("_sure", F.col("_sure") | (F.sum(F.col("_sure").cast("int")).over(w) < least))
+    sure = own.where("_sure").select(k, "phase", F.col("lag").alias("v"))
+    around = f"over (partition by `{k}` order by phase range between {float(reach)!r}D preceding and {float(reach)!r}D following)"
+    own = own.withColumn("_v", F.when(F.col("_sure"), F.col("lag"))).withColumn("_near", F.expr(f"percentile(_v, 0.5D) {around}")).drop("_v")
+    own = series.both_neighbours(own, sure, k, "phase", ["v"])
+    first = F.col("n_phase").isNull() | (F.col("phase") - F.col("p_phase") <= F.col("n_phase") - F.col("phase"))
+    told = F.coalesce("_near", F.when(first, F.col("p_v")).otherwise(F.col("n_v")))
+    off = ~F.col("_sure") | (F.abs(F.col("lag") - told) > F.greatest(F.lit(floor), share * F.col("_period")))
+    own = own.select(k, "t", "phase", F.when(off, told).otherwise(F.col("lag")).alias("lag"), F.when(off, 1.0).otherwise(F.col("score")).alias("score"))
+    ticks = grid_of.select(k, "_a", F.explode(F.sequence(F.lit(0), F.floor((F.col("_z") - F.col("_a") + 1e-6) / grid).cast("int"))).alias("_i")).select(k, (F.col("_a") + F.col("_i") * grid).alias("t"))
+    ticks = series.nearest(ticks, own.select(k, "t"), k, "t", 1e-3).where("near is null").drop("near")
+    ticks = segments.phase_at(ticks, beats, k, "t")
+    filled = series.interpolate(ticks, own.select(k, "phase", "lag"), k, "phase", "lag").select(k, "t", F.col("interp").alias("lag"), F.lit(0.8).alias("score"))
+    return asis.select(k, "t", "lag", "score").unionByName(own.select(k, "t", "lag", "score")).unionByName(filled)

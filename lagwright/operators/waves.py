@@ -185,6 +185,68 @@ def window_peaks(ref: DataFrame, qry: DataFrame, keys: list[str], size: int, win
     return mapped(rows, [*keys, "win"], work, "lag long, best double, second_lag long, second double")
 
 
+def samples_of(signal: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """keys, i, v: a row for each sample of a signal's blocks."""
+    return signal.select(*keys, "b", F.posexplode("y").alias("_j", "v")).select(*keys, (F.col("b") * size + F.col("_j")).alias("i"), "v")
+
+
+def activity_floors(signal: DataFrame, keys: list[str], size: int, share: float = 0.25) -> DataFrame:
+    """keys, floor: ``share`` of the samples' 95th percentile, 0.001 at least."""
+    return samples_of(signal, keys, size).groupBy(*keys).agg(F.greatest(F.lit(1e-3), share * F.percentile("v", 0.95)).alias("floor"))
+
+
+def clock_starts(signal: DataFrame, keys: list[str], size: int, every: int, window: int) -> DataFrame:
+    """keys, start: where checkpoints begin on a clock: half of ``every``, then each ``every``, before half a window from the
+    signal's end; a short signal has the first of them."""
+    n = signal.groupBy(*keys).agg(F.max(F.col("b") * size + F.size("y")).alias("_n"))
+    last = F.greatest(F.col("_n") - window / 2, F.lit(every / 2))
+    steps = F.greatest(F.ceil((last - every / 2) / every), F.lit(1)) - 1
+    return n.withColumn("_i", F.explode(F.sequence(F.lit(0), steps.cast("int")))).select(*keys, (F.col("_i") * every + every // 2).cast("long").alias("start"))
+
+
+def checkpoints(ref: DataFrame, qry: DataFrame, starts: DataFrame, keys: list[str], size: int, window: int, near: int, wide: int | None = None, gain: float = 1.12, digits: int = 9) -> DataFrame:
+    """keys, start, at, lag, railed, confirmed: the offset of two envelopes in windows from each start on (keys, start, and
+    ref_floor and qry_floor, null for none); at is the window's middle.
+
+    The windows end with the shorter envelope and need half their length; ones whose 90th percentile is below its floor have
+    no row. Both are mean-removed; the first highest sum of products at a lag within ``near`` counts. With ``wide``, the
+    first highest within that takes its place, if it lies beyond ``near`` and is positive and ``gain`` times the near one,
+    or the near one is not positive. The lag moves to the vertex through its neighbours, by 1 at most; railed are peaks
+    within 1 of the searched edge. Null starts, and ones below 0 or beyond the envelopes, have no row.
+    """
+    ends = lambda df, name: df.groupBy(*keys).agg(F.max(F.col("b") * size + F.size("y")).alias(name))
+    n = matched(ends(ref, "_n"), ends(qry, "_m"), keys).select(*keys, F.least("_n", "_m").alias("_n"))
+    rows = matched(starts.where("start >= 0"), n, keys).withColumn("_stop", F.least(F.col("_n"), F.col("start") + window)).where(F.col("_stop") - F.col("start") >= window // 2)
+    rows = rows.withColumns({"_f": F.floor(F.col("start") / size), "_l": F.floor((F.col("_stop") - 1) / size)})
+    rows = stretches(qry, keys, stretches(ref, keys, rows, "_f", "_l").withColumnRenamed("parts", "_r"), "_f", "_l")
+
+    def work(c: dict[str, pa.Array]) -> dict[str, pa.Array]:
+        out = []
+        for r, q, start, stop, *floors in zip(c["_r"], c["parts"], *(c[x].to_pylist() for x in ("start", "_stop", "ref_floor", "qry_floor")), strict=True):
+            x, y = assembled(r, size, start, stop), assembled(q, size, start, stop)
+            if any(floor is not None and np.percentile(z, 90) < floor for z, floor in zip((x, y), floors, strict=True)):
+                out.append((None, None, None, None))
+                continue
+            most = len(x) - 1
+            sums = np.round(products(x - x.mean(), y - y.mean(), -most, most), digits)
+            top = lambda reach: max(0, most - reach) + int(sums[max(0, most - reach) : most + reach + 1].argmax())
+            peak, reach, confirmed = top(near), near, False
+            if wide is not None and wide > near:
+                far = top(wide)
+                if abs(far - most) > near and sums[far] > 0 and (sums[peak] <= 0 or sums[far] >= gain * sums[peak]):
+                    peak, reach, confirmed = far, wide, True
+            move = 0.0
+            if 0 < peak < len(sums) - 1:
+                before, here, after = sums[peak - 1 : peak + 2]
+                bend = before - 2 * here + after
+                move = float(np.clip(0.5 * (before - after) / bend, -1.0, 1.0)) if abs(bend) > 1e-12 else 0.0
+            out.append(((start + stop) / 2, peak - most + move, abs(peak - most) >= reach - 1, confirmed))
+        kinds = (pa.float64(), pa.float64(), pa.bool_(), pa.bool_())
+        return {name: pa.array([o[i] for o in out], kind) for i, (name, kind) in enumerate(zip(("at", "lag", "railed", "confirmed"), kinds, strict=True))}
+
+    return mapped(rows, [*keys, "start"], work, "at double, lag double, railed boolean, confirmed boolean").where("lag is not null")
+
+
 def band_pass(low: float, high: float, rate: float, order: int = 4) -> np.ndarray:
     """Second-order sections (b0, b1, b2, 1, a1, a2) of the Butterworth band-pass of ``order``, by the bilinear transform;
     high is at most 100 below half the rate."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import placement, timemap, waves
+from ..operators import beats, correlate, placement, quality, timemap, waves
 from ..operators.joins import matched
 from ..sources.tables import series as events
 from .registry import query
@@ -199,3 +199,61 @@ mp AS (SELECT ma.k, ma.i, ma.t, ma.t - (lag + coalesce(CASE WHEN ma.t <= since T
 SELECT k, round(t, 5) AS t, round(t - (max(src - i * 1e-4) OVER (PARTITION BY k ORDER BY t ROWS UNBOUNDED PRECEDING) + i * 1e-4), 5) AS lag FROM mp""", digits=5)
 def pulled_phrases(spark, sf_dir):
     return timemap.pulled_phrases(moves(spark, sf_dir), "k", 8.0, 40.0, 0.25, 0.2, 0.1, 1.0, 5.0, 3.0, 0.1)
+
+
+# Checkpoints of 40 samples each 60, lags of up to 4, or of up to 12 where those are far better.
+CHECKS = """fl AS (SELECT k, kind, greatest(1e-3, 0.25 * quantile_cont(v, 0.95)) AS floor FROM dn GROUP BY 1, 2), nn AS (SELECT k, min(n) AS n, count(*) AS c FROM ln GROUP BY k HAVING count(*) = 2),
+st AS (SELECT k, n, start, least(n, start + 40) AS stop FROM (SELECT nn.k, nn.n, unnest(range(0, greatest(ceil((greatest(q.n - 20, 30) - 30) / 60)::BIGINT, 1))) * 60 + 30 AS start FROM nn JOIN ln q ON q.k = nn.k AND q.kind = 'click') WHERE least(n, start + 40) - start >= 20),
+ck AS (SELECT st.k, start, stop, f, dn.kind, v - avg(v) OVER z AS v, quantile_cont(v, 0.9) OVER z AS p90, floor FROM st JOIN dn ON dn.k = st.k AND f >= start AND f < stop JOIN fl ON fl.k = st.k AND fl.kind = dn.kind WINDOW z AS (PARTITION BY st.k, start, dn.kind)),
+gd AS (SELECT k, start FROM ck GROUP BY k, start HAVING bool_and(p90 >= floor)), x0 AS (SELECT ck.* FROM ck JOIN gd USING (k, start)),
+cl AS (SELECT q.k, q.start, q.stop, lag, round(coalesce(sum(q.v * r.v), 0), 6) AS s FROM (SELECT *, unnest(range(-13, 14)) AS lag FROM x0 WHERE kind = 'click') q LEFT JOIN x0 r ON r.k = q.k AND r.start = q.start AND r.kind = 'view' AND r.f = q.f + lag GROUP BY 1, 2, 3, 4),
+tn AS (SELECT * FROM cl WHERE abs(lag) <= 4 QUALIFY row_number() OVER (PARTITION BY k, start ORDER BY s DESC, lag) = 1), tw AS (SELECT * FROM cl WHERE abs(lag) <= 12 QUALIFY row_number() OVER (PARTITION BY k, start ORDER BY s DESC, lag) = 1),
+ch AS (SELECT tn.k, tn.start, tn.stop, CASE WHEN far THEN tw.lag ELSE tn.lag END AS lag, CASE WHEN far THEN 12 ELSE 4 END AS reach, far FROM tn JOIN (SELECT w.*, abs(w.lag) > 4 AND w.s > 0 AND (t.s <= 0 OR w.s >= 1.12 * t.s) AS far FROM tw w JOIN tn t ON t.k = w.k AND t.start = w.start) tw ON tw.k = tn.k AND tw.start = tn.start),
+cp AS (SELECT ch.k, ch.start, (ch.start + ch.stop) / 2 AS mid, ch.lag + CASE WHEN abs(a.s - 2 * h.s + b.s) > 1e-12 THEN greatest(-1, least(1, 0.5 * (a.s - b.s) / (a.s - 2 * h.s + b.s))) ELSE 0 END AS lag, abs(ch.lag) >= reach - 1 AS railed, far FROM ch JOIN cl h ON h.k = ch.k AND h.start = ch.start AND h.lag = ch.lag JOIN cl a ON a.k = ch.k AND a.start = ch.start AND a.lag = ch.lag - 1 JOIN cl b ON b.k = ch.k AND b.start = ch.start AND b.lag = ch.lag + 1)"""
+
+
+def checked(spark, sf_dir):
+    ref, qry = signal(spark, sf_dir, "view"), signal(spark, sf_dir, "click")
+    floors = matched(waves.activity_floors(ref, ["k"], 48).withColumnRenamed("floor", "ref_floor"), waves.activity_floors(qry, ["k"], 48).withColumnRenamed("floor", "qry_floor"), ["k"])
+    starts = matched(waves.clock_starts(qry, ["k"], 48, 60, 40), floors, ["k"])
+    return waves.checkpoints(ref, qry, starts, ["k"], 48, 40, 4, 12, digits=6)
+
+
+@query("WITH {ev}, " + FRAMES + ", " + CHECKS + ' SELECT k, start::BIGINT AS start, round(mid, 6) AS "at", round(lag, 6) AS lag, railed, far AS confirmed FROM cp')
+def checkpoint_offsets(spark, sf_dir):
+    return checked(spark, sf_dir)
+
+
+@query("WITH {ev}, " + FRAMES + ", " + CHECKS + """, wh AS (SELECT kind, k, f, v - avg(v) OVER (PARTITION BY k, kind) AS v FROM dn WHERE kind IN ('view', 'click')), gl AS (SELECT q.k, lag, round(sum(q.v * r.v), 6) AS s FROM (SELECT *, unnest(range(-24, 25)) AS lag FROM wh WHERE kind = 'click') q JOIN wh r ON r.k = q.k AND r.kind = 'view' AND r.f = q.f + lag GROUP BY 1, 2),
+cs AS (SELECT k, lag AS coarse FROM gl QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC, lag) = 1), wr AS (SELECT k, count(*) AS n, max(abs(lag)) AS worst, bool_or(railed) AS r FROM cp GROUP BY k)
+SELECT cs.k, coarse::BIGINT AS coarse_lag, coalesce(n, 0) AS n, round(worst, 6) AS worst, CASE WHEN coalesce(n, 0) > 0 THEN CASE WHEN worst > 5 OR r THEN 'fail' ELSE 'pass' END WHEN abs(coarse) > 3 THEN 'fail' ELSE 'pass' END AS verdict FROM cs LEFT JOIN wr USING (k)""")
+def measured_gate(spark, sf_dir):
+    dense = lambda kind: waves.samples_of(signal(spark, sf_dir, kind), ["k"], 48)
+    scores = correlate.lag_scan(dense("view"), dense("click"), ["k"], "i", "v", 24).withColumn("score", F.round("score", 12))
+    coarse = correlate.best_and_second(scores, ["k"], "lag", "score", 1).select("k", F.col("best_lag").cast("long").alias("coarse_lag"))
+    return matched(coarse, quality.offset_gate(checked(spark, sf_dir), coarse, "k", 5.0, 3.0), ["k"])
+
+
+# Points of a lag curve by user, with their beat number, local beat and the median around them in beats.
+PHASED = """bb AS (SELECT k, t, row_number() OVER w - 1 AS n, t - lag(t) OVER w AS g, lead(t) OVER w - t AS h FROM ev WHERE kind = 'click' WINDOW w AS (PARTITION BY k ORDER BY t)),
+pt AS (SELECT k, t, v / 10 AS lag, v / (v + 35.0) AS score FROM ev WHERE kind = 'purchase'), ok AS (SELECT k FROM (SELECT k, count(*) AS n FROM pt GROUP BY k) JOIN (SELECT k, count(*) AS b FROM bb GROUP BY k) USING (k) WHERE n >= 4 AND b >= 4),
+us AS (SELECT k, coalesce(quantile_cont(h, 0.5) FILTER (h > 0.2 AND h < 60), 0.5) AS u FROM bb WHERE h IS NOT NULL GROUP BY k), sm AS (SELECT k, t + h / 2 AS t, quantile_cont(CASE WHEN h > 0.2 AND h < 60 THEN h ELSE u END, 0.5) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS v FROM bb JOIN us USING (k) WHERE h IS NOT NULL)"""
+
+
+def phase_sql(name: str, rows: str) -> str:
+    """CTE ``name``: rows (k, t, ...) with their beat number."""
+    return f"{name} AS (SELECT q.*, CASE WHEN p.t IS NULL THEN n.n + (q.t - n.t) / n.h WHEN n.t IS NULL THEN p.n + (q.t - p.t) / p.g WHEN n.t > p.t THEN p.n + (q.t - p.t) / (n.t - p.t) ELSE p.n END AS phase FROM {rows} q ASOF LEFT JOIN bb p ON q.k = p.k AND q.t >= p.t ASOF LEFT JOIN bb n ON q.k = n.k AND q.t <= n.t)"
+
+
+@query("WITH {ev}, " + PHASED + ", " + phase_sql("p1", "(SELECT pt.* FROM pt JOIN ok USING (k))") + """,
+p2 AS (SELECT q.*, CASE WHEN p.t IS NULL THEN n.v WHEN n.t IS NULL OR n.t = p.t THEN p.v ELSE p.v + (n.v - p.v) * (q.t - p.t) / (n.t - p.t) END AS period, score >= 0.35 OR sum((score >= 0.35)::INT) OVER (PARTITION BY q.k) < 4 AS sure FROM p1 q ASOF LEFT JOIN sm p ON q.k = p.k AND q.t >= p.t ASOF LEFT JOIN sm n ON q.k = n.k AND q.t <= n.t),
+p3 AS (SELECT *, (SELECT quantile_cont(s.lag, 0.5) FROM p2 s WHERE s.k = p2.k AND s.sure AND abs(s.phase - p2.phase) <= 3) AS near FROM p2),
+p4 AS (SELECT a.*, coalesce(near, CASE WHEN n.phase IS NULL OR a.phase - p.phase <= n.phase - a.phase THEN p.lag ELSE n.lag END) AS told FROM p3 a ASOF LEFT JOIN (SELECT k, phase, lag FROM p2 WHERE sure) p ON a.k = p.k AND a.phase >= p.phase ASOF LEFT JOIN (SELECT k, phase, lag FROM p2 WHERE sure) n ON a.k = n.k AND a.phase <= n.phase),
+p5 AS MATERIALIZED (SELECT k, t, phase, CASE WHEN NOT sure OR abs(lag - told) > greatest(0.08, 0.35 * period) THEN told ELSE lag END AS lag, CASE WHEN NOT sure OR abs(lag - told) > greatest(0.08, 0.35 * period) THEN 1 ELSE score END AS score FROM p4),
+tk AS (SELECT k, a + i * 24.0 AS t FROM (SELECT k, min(t) AS a, unnest(range(0, floor((max(t) - min(t) + 1e-6) / 24)::BIGINT + 1)) AS i FROM p5 GROUP BY k)), t1 AS (SELECT * FROM tk WHERE NOT EXISTS (SELECT 1 FROM p5 WHERE p5.k = tk.k AND abs(p5.t - tk.t) <= 1e-3)), """ + phase_sql("t2", "t1") + """,
+t3 AS (SELECT q.k, q.t, CASE WHEN p.phase IS NULL THEN n.lag WHEN n.phase IS NULL OR n.phase = p.phase THEN p.lag ELSE p.lag + (n.lag - p.lag) * (q.phase - p.phase) / (n.phase - p.phase) END AS lag FROM t2 q ASOF LEFT JOIN p5 p ON q.k = p.k AND q.phase >= p.phase ASOF LEFT JOIN p5 n ON q.k = n.k AND q.phase <= n.phase)
+SELECT k, round(t, 5) AS t, round(lag, 5) AS lag, round(score, 5)::DOUBLE AS score FROM p5 UNION ALL SELECT k, round(t, 5), round(lag, 5), 0.8 FROM t3 UNION ALL SELECT k, round(t, 5), round(lag, 5), round(score, 5) FROM pt WHERE k NOT IN (SELECT k FROM ok)""", digits=5)
+def phase_smoothed(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    points = ev.where("kind = 'purchase'").select("k", "t", (F.col("v") / 10).alias("lag"), (F.col("v") / (F.col("v") + 35.0)).alias("score"))
+    return beats.phase_smoothed(points, ev.where("kind = 'click'").select("k", "t"), "k", 3.0, 24.0, 0.2, 60.0)

@@ -141,3 +141,40 @@ def test_spectral_peak(spark):
     signal = waves.blocks(spark.createDataFrame(rows, "k long, i long, v double"), ["k"], "i", "v", 128)
     assert {r.k: r.hz for r in waves.spectral_peak(signal, "k", 128, 1000.0).collect()} == {1: 62.5, 2: 250.0}
     assert waves.spectral_peak(signal.where(F.col("k") == 3), "k", 128, 1000.0).count() == 0
+
+
+def test_checkpoints_equal_direct_sums(spark):
+    rng = np.random.default_rng(6)
+    env = {k: (np.abs(rng.normal(size=n)), np.abs(rng.normal(size=n + 9))) for k, n in ((1, 300), (2, 130), (None, 260))}
+    env[1][1][:] = np.concatenate([env[1][0][3:], env[1][0][:12]])  # early by 3
+    env[2][1][40:90] = np.concatenate([np.zeros(9), env[2][0][40:81]])  # late by 9, beyond the near search
+    frame = lambda j: waves.blocks(spark.createDataFrame([(k, i, float(v)) for k, e in env.items() for i, v in enumerate(e[j])], "k long, i long, v double"), ["k"], "i", "v", 32)
+    rows = [(k, s, None, 0.1 if s < 200 else 99.0) for k in env for s in (0, 45, 100, 110, 245, 400, -1)] + [(1, None, None, None), (7, 0, None, None)]
+    starts = spark.createDataFrame(rows, "k long, start long, ref_floor double, qry_floor double")
+    got = {(r.k, r.start): r for r in waves.checkpoints(frame(0), frame(1), starts, ["k"], 32, 50, 5, 14).collect()}
+    want = {}
+    for k, (x, y) in env.items():
+        n = min(len(x), len(y))
+        for s in (0, 45, 100, 110, 245, 400):
+            stop = min(n, s + 50)
+            if stop - s < 25 or s >= 200:
+                continue
+            a, b = x[s:stop] - x[s:stop].mean(), y[s:stop] - y[s:stop].mean()
+            score = {lag: sum(b[i] * a[i + lag] for i in range(len(b)) if 0 <= i + lag < len(a)) for lag in range(1 - len(b), len(a))}
+            best = lambda reach: max((lag for lag in score if abs(lag) <= reach), key=lambda lag: (round(score[lag], 9), -lag))  # noqa: E731, B023
+            near, far = best(5), best(14)
+            chosen = far if abs(far) > 5 and score[far] > 0 and (score[near] <= 0 or score[far] >= 1.12 * score[near]) else near
+            bend = score[chosen - 1] - 2 * score[chosen] + score[chosen + 1]
+            want[k, s] = (chosen + float(np.clip(0.5 * (score[chosen - 1] - score[chosen + 1]) / bend, -1, 1)), abs(chosen) >= (14 if abs(chosen) > 5 else 5) - 1, abs(chosen) > 5)
+    assert got.keys() == want.keys() and any(w[2] for w in want.values())
+    for key, (lag, railed, confirmed) in want.items():
+        assert abs(got[key].lag - lag) < 1e-6 and (got[key].railed, got[key].confirmed) == (railed, confirmed)
+    assert abs(got[1, 0].lag - 3) < 0.5
+
+
+def test_clock_and_floors(spark):
+    df = waves.blocks(spark.createDataFrame([(1, i, float(i % 10)) for i in range(200)] + [(2, 0, 1.0)], "k long, i long, v double"), ["k"], "i", "v", 64)
+    got = sorted((r.k, r.start) for r in waves.clock_starts(df, ["k"], 64, 60, 40).collect())
+    assert got == [(1, 30), (1, 90), (1, 150), (2, 30)]
+    floors = {r.k: r.floor for r in waves.activity_floors(df, ["k"], 64).collect()}
+    assert floors[1] == 0.25 * np.percentile([i % 10 for i in range(200)], 95) and floors[2] == 0.25
