@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import matched
+
 
 def lag_scan(ref: DataFrame, qry: DataFrame, keys: list[str], frame: str, v: str, most: int) -> DataFrame:
     """keys, lag, score, n: for each lag within ``most``, the sum of products of frames i of qry and i + lag of ref, over
@@ -116,3 +118,46 @@ def pair_score(lags: DataFrame, coarse: DataFrame, k: str, limit: float, least:
     d = coarse.join(w, k, "left").select(k, "corr", F.coalesce("drift", F.lit(0.0)).alias("drift"), F.coalesce("weak", F.lit(1.0)).alias("weak"))
     bad = (F.col("corr") < least) | (F.col("drift") > limit) | (F.col("weak") > weak_share)
     return d.withColumn("verdict", F.when(bad, "fail").otherwise("pass"))
+
+
+def rises(df: DataFrame, k: str, frame: str, v: str) -> DataFrame:
+    """df with v as its rise since the row before, 0 where it falls and at a key's first row."""
+    before = F.lag(v).over(Window.partitionBy(k).orderBy(frame))
+    return df.withColumn(v, F.coalesce(F.greatest(F.col(v) - before, F.lit(0.0)), F.lit(0.0)))
+
+
+def peak_normed(df: DataFrame, k: str, v: str) -> DataFrame:
+    """df with v over the key's largest |v|; 0 where that is 1e-9 or less."""
+    top = F.max(F.abs(v)).over(Window.partitionBy(k))
+    return df.withColumn(v, F.when(top > 1e-9, F.col(v) / top).otherwise(0.0))
+
+
+def mix(a: DataFrame, b: DataFrame, k: str, frame: str, v: str) -> DataFrame:
+    """k, frame, v: the sum of two signals, each peak-normed, peak-normed again; a frame that one lacks counts 0 there."""
+    both = peak_normed(a.select(k, frame, v), k, v).unionByName(peak_normed(b.select(k, frame, v), k, v))
+    return peak_normed(both.groupBy(k, frame).agg(F.sum(v).alias(v)), k, v)
+
+
+def global_lag(ref: DataFrame, qry: DataFrame, k: str, frame: str, v: str, most: int, better: float = 0.05, digits: int = 9) -> DataFrame:
+    """k, feature, lag, corr: the lag within ``most`` frames at which two signals correlate best as a whole, by their values
+    (chroma), or by their rises (onset) if these correlate more than ``better`` higher."""
+
+    def best(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+        scores = lag_scan(a, b, [k], frame, v, most).withColumn("score", F.round("score", digits))
+        return best_and_second(scores, [k], "lag", "score", 1).select(k, F.struct(F.col("best_lag").alias("lag"), F.col("best").alias("corr")).alias(name))
+
+    d = matched(best(ref, qry, "_c"), best(rises(ref, k, frame, v), rises(qry, k, frame, v), "_o"), [k], "left")
+    onset = F.coalesce(F.col("_o.corr") > F.col("_c.corr") + better, F.lit(False))
+    pick = lambda f: F.when(onset, F.col(f"_o.{f}")).otherwise(F.col(f"_c.{f}")).alias(f)
+    return d.select(k, F.when(onset, "onset").otherwise("chroma").alias("feature"), pick("lag"), pick("corr"))
+
+
+def alignment_score(ref: DataFrame, qry: DataFrame, k: str, frame: str, v: str, most: int, near: int, window: int, step: int, least: int, quiet: float, limit: float) -> DataFrame:
+    """k, feature, lag, corr, drift, weak, verdict: how well a query follows its reference (k, frame, v). Both are peak-normed;
+    the query is moved by its global_lag() within ``most``, frames before 0 drop out, and windows of it are searched within
+    ``near`` (see window_lags); pair_score() judges. Keys that only one of them has, or without a common frame, have no row."""
+    r, q = peak_normed(ref.select(k, frame, v), k, v), peak_normed(qry.select(k, frame, v), k, v)
+    whole = global_lag(r, q, k, frame, v, most)
+    moved = matched(q, whole.select(k, "lag"), [k]).withColumn(frame, F.col(frame) + F.col("lag")).where(F.col(frame) >= 0).select(k, frame, v)
+    lags = window_lags(r, moved, [k], frame, v, near, window, step, least, quiet)
+    return matched(whole.select(k, "feature", "lag"), pair_score(lags, whole.select(k, "corr"), k, limit), [k])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import beats, correlate, placement, quality, timemap, waves
 from ..operators.joins import matched
 from ..sources.tables import series as events
+from .alignment import WINDOWS
 from .registry import query
 
 # Signals of half an hour a sample by group and kind: fr as sampled, ln their lengths, dn with zeros where there is none.
@@ -220,14 +221,14 @@ def checked(spark, sf_dir):
 
 
 @query("WITH {ev}, " + FRAMES + ", " + CHECKS + ' SELECT k, start::BIGINT AS start, round(mid, 6) AS "at", round(lag, 6) AS lag, railed, far AS confirmed FROM cp')
-def checkpoint_offsets(spark, sf_dir):
+def confirmed_checkpoints(spark, sf_dir):
     return checked(spark, sf_dir)
 
 
 @query("WITH {ev}, " + FRAMES + ", " + CHECKS + """, wh AS (SELECT kind, k, f, v - avg(v) OVER (PARTITION BY k, kind) AS v FROM dn WHERE kind IN ('view', 'click')), gl AS (SELECT q.k, lag, round(sum(q.v * r.v), 6) AS s FROM (SELECT *, unnest(range(-24, 25)) AS lag FROM wh WHERE kind = 'click') q JOIN wh r ON r.k = q.k AND r.kind = 'view' AND r.f = q.f + lag GROUP BY 1, 2),
 cs AS (SELECT k, lag AS coarse FROM gl QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC, lag) = 1), wr AS (SELECT k, count(*) AS n, max(abs(lag)) AS worst, bool_or(railed) AS r FROM cp GROUP BY k)
 SELECT cs.k, coarse::BIGINT AS coarse_lag, coalesce(n, 0) AS n, round(worst, 6) AS worst, CASE WHEN coalesce(n, 0) > 0 THEN CASE WHEN worst > 5 OR r THEN 'fail' ELSE 'pass' END WHEN abs(coarse) > 3 THEN 'fail' ELSE 'pass' END AS verdict FROM cs LEFT JOIN wr USING (k)""")
-def measured_gate(spark, sf_dir):
+def checkpoint_gate(spark, sf_dir):
     dense = lambda kind: waves.samples_of(signal(spark, sf_dir, kind), ["k"], 48)
     scores = correlate.lag_scan(dense("view"), dense("click"), ["k"], "i", "v", 24).withColumn("score", F.round("score", 12))
     coarse = correlate.best_and_second(scores, ["k"], "lag", "score", 1).select("k", F.col("best_lag").cast("long").alias("coarse_lag"))
@@ -257,3 +258,22 @@ def phase_smoothed(spark, sf_dir):
     ev = events(spark, sf_dir)
     points = ev.where("kind = 'purchase'").select("k", "t", (F.col("v") / 10).alias("lag"), (F.col("v") / (F.col("v") + 35.0)).alias("score"))
     return beats.phase_smoothed(points, ev.where("kind = 'click'").select("k", "t"), "k", 3.0, 24.0, 0.2, 60.0)
+
+
+# A mix of two peak-normed signals against a third, in frames of 6 hours by user, moved by its global lag.
+MIXED = """m0 AS (SELECT k, kind, floor(t / 6)::BIGINT AS f, sum(v) AS v FROM ev WHERE kind IN ('click', 'purchase', 'view') GROUP BY 1, 2, 3), m1 AS (SELECT k, kind, f, v / max(abs(v)) OVER (PARTITION BY k, kind) AS v FROM m0),
+mx AS (SELECT k, f, v / max(abs(v)) OVER (PARTITION BY k) AS v FROM (SELECT k, f, sum(v) AS v FROM m1 WHERE kind <> 'view' GROUP BY 1, 2)), og AS (SELECT k, f, v FROM m1 WHERE kind = 'view'),
+fe AS (SELECT k, f, 'chroma' AS feature, v AS q, NULL::DOUBLE AS r FROM mx UNION ALL SELECT k, f, 'chroma', NULL, v FROM og UNION ALL SELECT k, f, 'onset', coalesce(greatest(v - lag(v) OVER (PARTITION BY k ORDER BY f), 0), 0), NULL FROM mx UNION ALL SELECT k, f, 'onset', NULL, coalesce(greatest(v - lag(v) OVER (PARTITION BY k ORDER BY f), 0), 0) FROM og),
+fc AS (SELECT k, f, feature, q - avg(q) OVER z AS q, r - avg(r) OVER z AS r FROM fe WINDOW z AS (PARTITION BY k, feature)), fn AS (SELECT k, feature, sqrt(greatest(sum(q * q) * sum(r * r), 1e-12)) AS n FROM fc GROUP BY 1, 2),
+fs AS (SELECT a.k, a.feature, lag, round(sum(a.q * b.r) / any_value(n), 9) AS s FROM (SELECT *, unnest(range(-8, 9)) AS lag FROM fc WHERE q IS NOT NULL) a JOIN fc b ON b.k = a.k AND b.feature = a.feature AND b.f = a.f + lag AND b.r IS NOT NULL JOIN fn ON fn.k = a.k AND fn.feature = a.feature GROUP BY 1, 2, 3),
+fb AS (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY k, feature ORDER BY s DESC, lag) = 1), gl AS (SELECT c.k, CASE WHEN o.s > c.s + 0.05 THEN 'onset' ELSE 'chroma' END AS feature, CASE WHEN o.s > c.s + 0.05 THEN o.lag ELSE c.lag END AS lag, CASE WHEN o.s > c.s + 0.05 THEN o.s ELSE c.s END AS corr FROM fb c LEFT JOIN fb o ON o.k = c.k AND o.feature = 'onset' WHERE c.feature = 'chroma'),
+hh AS (SELECT mx.k, 'click' AS kind, f + lag AS f, v FROM mx JOIN gl USING (k) WHERE f + lag >= 0 UNION ALL SELECT k, 'view', f, v FROM og), """ + WINDOWS[WINDOWS.index("qw AS") :].replace("avg(v * v) >= 1)", "avg(v * v) >= 0.0001)")
+
+
+@query("WITH {ev}, " + MIXED + """, g AS (SELECT k, max(lg) - min(lg) AS drift, avg((score < 0.25)::INT) AS weak FROM wl GROUP BY k)
+SELECT gl.k, feature, gl.lag::INT AS lag, round(corr, 4) AS corr, round(coalesce(drift, 0), 4) AS drift, round(coalesce(weak, 1), 4) AS weak, CASE WHEN corr < 0.35 OR coalesce(drift, 0) > 8 OR coalesce(weak, 1) > 0.35 THEN 'fail' ELSE 'pass' END AS verdict FROM gl LEFT JOIN g ON g.k = gl.k""", digits=4)
+def mix_scores(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    of = lambda kind: ev.where(F.col("kind") == kind).groupBy("k", F.floor(F.col("t") / 6).alias("f")).agg(F.sum("v").alias("v"))
+    mixed = correlate.mix(of("click"), of("purchase"), "k", "f", "v")
+    return correlate.alignment_score(of("view"), mixed, "k", "f", "v", 8, 6, 40, 20, 6, 1e-4, 8.0)
