@@ -99,3 +99,35 @@ def match_folders(stored: DataFrame, index: DataFrame, stem: str, tag: str) -> D
         F.when(F.count_if(tagged) == 1, F.max(F.when(tagged, F.col("folder")))).when(F.count("*") == 1, F.max("folder")).alias("found"),
     )
     return stored.join(one, stem, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+# Fixed values of the codes: offset in seconds, drift in ms a minute, step in seconds, margin of the best match, share of weak
+# points, confidence and margin of a placed unit, and how many units are named.
+OFFSET, DRIFT, STEP, MARGIN, WEAK, UNIT_CONFIDENCE, UNIT_MARGIN, UNITS = 0.05, 30.0, 0.04, 0.08, 0.35, 0.20, 0.05, 8
+
+
+def failures(report: DataFrame, jumps: DataFrame, points: DataFrame, units: DataFrame, k: str, limits: dict[str, float] | None = None) -> DataFrame:
+    """k, code, time, value, detail: what is doubtful about an alignment, even if it passes.
+
+    report (k, offset, drift, weak): OFFSET_TOO_LARGE, TEMPO_DRIFT and LOW_SIGNAL at time 0. jumps (k, t, size):
+    LOCAL_DISCONTINUITY at each. points (k, t, margin): AMBIGUOUS_MATCH at the smallest margin of a key, the first on a tie,
+    if that is too small. units (k, dst_a, confidence, margin): GAP_RESTORATION_UNCERTAIN at the first eight of a key, by
+    dst_a, of which either is too small. Nulls fail no test but a unit's, where they count as 0. limits: other bounds by the
+    names offset, drift, step, margin, weak, unit_confidence, unit_margin.
+    """
+    bound = {"offset": OFFSET, "drift": DRIFT, "step": STEP, "margin": MARGIN, "weak": WEAK, "unit_confidence": UNIT_CONFIDENCE, "unit_margin": UNIT_MARGIN} | (limits or {})
+    one = lambda code, hit, time, value, form, shown: F.when(hit, F.struct(F.lit(code).alias("code"), time.cast("double").alias("time"), value.cast("double").alias("value"), F.format_string(form, shown.cast("double")).alias("detail")))
+    zero = F.lit(0.0)
+    whole = [
+        one("OFFSET_TOO_LARGE", F.abs("offset") >= bound["offset"], zero, F.col("offset"), "offset %+.3fs", F.col("offset")),
+        one("TEMPO_DRIFT", F.abs("drift") >= bound["drift"], zero, F.col("drift"), "drift %+.1f ms/min", F.col("drift")),
+        one("LOW_SIGNAL", F.col("weak") >= bound["weak"], zero, F.col("weak"), "weak %.0f%%", 100 * F.col("weak")),
+    ]
+    told = lambda df, cases: df.select(k, F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("_f")).select(k, "_f.*")
+    steps = told(jumps, [one("LOCAL_DISCONTINUITY", F.abs("size") >= bound["step"], F.col("t"), F.col("size"), "%.0f ms", 1000 * F.col("size"))])
+    least = points.where("margin is not null").groupBy(k).agg(F.min(F.struct("margin", "t")).alias("m")).select(k, "m.*")
+    doubt = told(least, [one("AMBIGUOUS_MATCH", F.col("margin") < bound["margin"], F.col("t"), F.col("margin"), "margin %.3f", F.col("margin"))])
+    sure = (F.coalesce("confidence", zero) >= bound["unit_confidence"]) & (F.coalesce("margin", zero) >= bound["unit_margin"])
+    first = units.where(~sure).withColumn("_n", F.row_number().over(Window.partitionBy(k).orderBy("dst_a", "confidence"))).where(F.col("_n") <= UNITS)
+    gaps = told(first, [one("GAP_RESTORATION_UNCERTAIN", F.lit(True), F.col("dst_a"), F.coalesce("confidence", zero), "conf %.2f", F.coalesce("confidence", zero))])
+    return told(report, whole).unionByName(steps).unionByName(doubt).unionByName(gaps)

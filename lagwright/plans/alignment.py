@@ -489,9 +489,9 @@ def zipped_lists(spark, sf_dir):
     return files.zipped(of_kind(spark, sf_dir, "click").select("k", "i", "t"), of_kind(spark, sf_dir, "view").select("k", F.col("i").alias("j")), "k", ["t"]).select("k", "nr", "i", "j")
 
 
-@query("SELECT k AS at, round(sum(sin(2 * pi() * 110 * h * k / 800.0) / h), 6) AS y FROM range(0, 800) g(k), range(1, 4) x(h) GROUP BY k")
+@query("WITH {ev} SELECT i, round(sum(sin(2 * pi() * (1 + k % 5) * h * t / 24) / h), 6) AS y FROM ev, range(1, 4) x(h) GROUP BY i")
 def harmonic_tone(spark, sf_dir):
     from math import pi
 
-    wave = lambda h: F.sin(2 * pi * 110 * h * F.col("id") / 800.0) / h
-    return spark.range(800).select(F.col("id").alias("at"), (wave(1) + wave(2) + wave(3)).alias("y"))
+    wave = lambda h: F.sin(2 * pi * (1 + F.col("k") % 5) * h * F.col("t") / 24) / h
+    return events(spark, sf_dir).select("i", (wave(1) + wave(2) + wave(3)).alias("y"))
