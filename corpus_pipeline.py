@@ -13,16 +13,24 @@ from lagwright.llm import decontaminate, packing, quality_classifier, quality_ru
 from lagwright.llm.common import discard, read, written
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows from here on: texts are long, and a task holds a batch on both sides of its Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return quality_rules.keep_regular(docs, read(spark, sf_dir, "labels"))
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Trained on what the rules kept, so on the cases that are left to decide."""
+    in_small_batches(spark)
     return quality_classifier.keep_good(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return simhash.one_of_each_group(docs)
 
 
@@ -31,7 +39,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), chunk_bytes=1 << 20, kept_words=250_000)
+    in_small_batches(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), chunk_bytes=1 << 20, kept_words=150_000)
 
 
 STAGES = [
