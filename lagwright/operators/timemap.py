@@ -266,3 +266,100 @@ def pulled_phrases(moves: DataFrame, k: str, hold: float = 1.5, within: float =
     made = streamed(rows, k, ["t", "lag", "current", "delta", "best", "asks"], lambda state, row: settled([*(state or []), row], False), "t double, lag double", lambda state: settled(state, True)[1])
     up = series.monotone(made.withColumn("_src", F.col("t") - F.col("lag")), k, "t", "_src")
     return up.select(k, "t", (F.col("t") - F.col("mono")).alias("lag"))
+
+
+# Fixed values of reference gaps, in seconds: how long they and the query's silences last, from when on, how much too late the
+# query's silence begins, how long the phrase before has to ease into it; the median level of a gap; the least correlation
+# of the hits after both, and over how long.
+GAP, GAP_FROM, OWN_GAP, LATE, EASE, SILENT, SAME_HIT, HIT = (0.30, 2.0), 1.0, (0.12, 1.5), (0.10, 0.60), 3.5, 0.004, 0.35, 0.30
+NEAR_KNOT = 0.03
+
+
+def quiet_runs(env: np.ndarray, below: float) -> list[tuple[int, int]]:
+    """First and next-to-last sample of the runs below a level, without those at either end."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], env < below, [False]]).astype(np.int8)))
+    return [(int(a), int(b)) for a, b in edges.reshape(-1, 2) if 0 < a and b < len(env)]
+
+
+def knot_put(t: np.ndarray, lag: np.ndarray, at: float, value: float) -> tuple[np.ndarray, np.ndarray]:
+    """The knots with ``value`` at the nearest one within NEAR_KNOT, or at a new one."""
+    near = int(np.abs(t - at).argmin())
+    if abs(t[near] - at) <= NEAR_KNOT:
+        return t, np.where(np.arange(len(t)) == near, value, lag)
+    place = int(np.searchsorted(t, at))
+    return np.insert(t, place, at), np.insert(lag, place, value)
+
+
+def own_gap(t: np.ndarray, lag: np.ndarray, ref: np.ndarray, qry: np.ndarray, hop: float, first: int, stop: int, level: float) -> float | None:
+    """Where the query's silence begins that ends with the same hit as the reference's gap, if it begins too late."""
+    end = stop * hop - float(np.interp(stop * hop, t, lag))
+    at = int(round(end / hop))
+    if not 1 < at < len(qry):
+        return None
+    loud = np.flatnonzero(qry[:at] >= level)
+    begin = ((int(loud[-1]) if len(loud) else 0) + 1) * hop
+    n = max(4, int(round(HIT / hop)))
+    if not OWN_GAP[0] <= end - begin <= OWN_GAP[1] or stop + n >= len(ref) or at + n >= len(qry):
+        return None
+    x, y = ref[stop : stop + n] - ref[stop : stop + n].mean(), qry[at : at + n] - qry[at : at + n].mean()
+    norm = float(np.linalg.norm(x) * np.linalg.norm(y))
+    if norm < 1e-8 or x @ y / norm < SAME_HIT:
+        return None
+    grid = np.arange(t[0], t[-1] + 0.01, 0.01)
+    placed = float(grid[np.abs(grid - np.interp(grid, t, lag) - begin).argmin()]) if len(grid) > 1 else float(t[0])
+    return begin if LATE[0] <= placed - first * hop <= LATE[1] else None
+
+
+def gaps_fitted(t: np.ndarray, lag: np.ndarray, ref: np.ndarray, qry: np.ndarray, hop: float) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """One recording's knots with its gaps fitted, and the edges of those; see fit_gaps()."""
+    levels = [max(0.012, 0.08 * float(np.percentile(x, 90))) for x in (ref, qry)]
+    pins: list[float] = []
+    for first, stop in quiet_runs(ref, levels[0]):
+        g0, g1 = first * hop, stop * hop
+        if not GAP[0] <= g1 - g0 <= GAP[1] or g0 < GAP_FROM or np.median(ref[first:stop]) > SILENT:
+            continue
+        begin = own_gap(t, lag, ref, qry, hop, first, stop, levels[1])
+        if begin is None:
+            continue
+        since = max(float(t[0]), g0 - EASE)
+        before, after, wanted = float(np.interp(since, t, lag)), float(np.interp(g1, t, lag)), g0 - begin
+        t2, lag2 = knot_put(*knot_put(t, lag, g0, wanted), g1, after)
+        inside = (t2 > since) & (t2 < g1 - 1e-3) & (np.abs(t2 - g0) > NEAR_KNOT) & (np.abs(t2 - g1) > NEAR_KNOT)
+        ease = np.where(t2 < g0, before + (t2 - since) / max(g0 - since, 1e-3) * (wanted - before), wanted + (t2 - g0) / max(g1 - g0, 1e-3) * (after - wanted))
+        lag2 = np.where(inside, ease, lag2)
+        for x, value in zip(t, lag, strict=True):  # what lies outside keeps its lag
+            near = int(np.abs(t2 - x).argmin())
+            if (x <= since or x >= g1) and abs(t2[near] - x) <= NEAR_KNOT:
+                lag2[near] = value
+        t, lag = t2, lag2
+        pins += [g0, g1]
+    return t, lag, pins
+
+
+def fit_gaps(knots: DataFrame, ref: DataFrame, qry: DataFrame, k: str, hop: float) -> DataFrame:
+    """k, t, lag, pinned: knots whose phrases fall silent when the reference does, where its next hit is met already.
+
+    A silence of the reference's envelope that lasts 0.3 to 2 and is followed by the same hit as a shorter one of the
+    query, which begins 0.1 to 0.6 too late: the query's silence is pinned to the gap's begin, the hit stays at its end,
+    and the phrase before eases earlier over 3.5. Gaps are taken in order, each on the knots that the one before left. At
+    the end the source advances again as monotone() has it. ref, qry: envelopes in blocks (k, b, y), ``hop`` seconds a
+    sample, without missing blocks. A gap changes what the next one sees, so a key's knots and envelopes, one recording's,
+    come together as one row. Fewer than four knots or eight samples stay as they are; knots with a null have no row.
+    """
+    whole = lambda df, name: df.groupBy(k).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("b", "y"))), lambda x: x["y"])).alias(name))
+    d = knots.where(F.col("t").isNotNull() & F.col("lag").isNotNull()).groupBy(k).agg(F.sort_array(F.collect_list(F.struct(F.col("t").cast("double").alias("t"), F.col("lag").cast("double").alias("lag")))).alias("_k"))
+    d = matched(matched(d, whole(ref, "_r"), [k], "left"), whole(qry, "_q"), [k], "left")
+
+    def work(c: dict[str, pa.Array]) -> dict[str, pa.Array]:
+        out = []
+        for points, r, q in zip(c["_k"], c["_r"], c["_q"], strict=True):
+            t, lag = (points.values.field(f).to_numpy(zero_copy_only=False) for f in ("t", "lag"))
+            pins: list[float] = []
+            if len(t) >= 4 and r.is_valid and q.is_valid and min(len(r), len(q)) >= 8:
+                t, lag, pins = gaps_fitted(t, lag, *(x.values.to_numpy(zero_copy_only=False) for x in (r, q)), hop)
+            out.append([{"t": a, "lag": b, "pinned": any(abs(a - p) <= NEAR_KNOT for p in pins)} for a, b in zip(t.tolist(), lag.tolist(), strict=True)])
+        return {"made": pa.array(out, pa.list_(pa.struct({"t": pa.float64(), "lag": pa.float64(), "pinned": pa.bool_()})))}
+
+    made = mapped(d, [k], work, "made array<struct<t:double,lag:double,pinned:boolean>>").select(k, F.explode("made").alias("_m")).select(k, "_m.*")
+    up = series.monotone(made.withColumn("_src", F.col("t") - F.col("lag")), k, "t", "_src")
+    return up.select(k, "t", (F.col("t") - F.col("mono")).alias("lag"), "pinned")

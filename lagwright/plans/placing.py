@@ -91,7 +91,7 @@ def windowed_evidence(spark, sf_dir):
 # Candidates of FEATURES, lags in hours, their windows' middles, and what their onsets say of them on the beats.
 BEATEN = FEATURES + """, b0 AS (SELECT k, win, lag, score FROM wn WHERE r = 1),
 c0 AS (SELECT b.k.k AS k, b.win AS win, b.k.feature AS feature, b.lag * 6.0 AS lag, (b.win * 20 + 20) * 6.0 AS mid, b.score AS best, coalesce(max(s.score), 0) AS second, 0.25 * CASE b.k.feature WHEN 'onset' THEN 0.45 WHEN 'wave' THEN 1.2 ELSE 1.45 END AS w0 FROM b0 b LEFT JOIN sc s ON s.k = b.k AND s.win = b.win AND abs(s.lag - b.lag) >= 2 GROUP BY ALL),
-onset AS (SELECT k % 20 AS k, t FROM ev WHERE kind = 'purchase' AND k % 7 < 5), beat AS (SELECT k % 20 AS k, t FROM ev WHERE kind = 'click' AND k % 20 < 18), down AS (SELECT k % 20 AS k, t FROM ev WHERE kind = 'refund' AND k % 2 = 0),
+onset AS (SELECT k % 20 AS k, t FROM ev WHERE kind = 'purchase' AND k % 7 < 5), beat AS (SELECT k % 20 AS k, t FROM ev WHERE kind = 'click' AND k % 20 < 18), down AS (SELECT k % 20 AS k, t FROM ev WHERE kind = 'signup' AND k % 2 = 0),
 hit AS (SELECT c0.k, win, feature, onset.t + lag AS t FROM c0 JOIN onset ON onset.k = c0.k AND abs(onset.t - mid) <= 9),
 lone AS (SELECT c0.k, win, feature, onset.t + lag AS t FROM c0 ANTI JOIN hit USING (k, win, feature) JOIN onset ON onset.k = c0.k),
 mv AS (SELECT * FROM hit UNION ALL SELECT * FROM lone), pc AS (SELECT DISTINCT k, t FROM mv),
@@ -117,7 +117,7 @@ def beaten(spark, sf_dir):
     weight = correlate.context_weight(F.col("feature"), F.lit(0.25), F.lit(False))
     points = best.select("k", "win", "feature", (F.col("best_lag") * 6.0).alias("lag"), ((F.col("win") * 20 + 20) * 6.0).alias("at"), "best", "second", weight.alias("w"))
     times = lambda kind, some: ev.where((F.col("kind") == kind) & some).select((F.col("k") % 20).alias("k"), "t")
-    onsets, grid, downs = times("purchase", F.col("k") % 7 < 5), times("click", F.col("k") % 20 < 18), times("refund", F.col("k") % 2 == 0)
+    onsets, grid, downs = times("purchase", F.col("k") % 7 < 5), times("click", F.col("k") % 20 < 18), times("signup", F.col("k") % 2 == 0)
     return beats.beat_scores(points, onsets, grid, downs, "k", ["win", "feature"], "at", "lag", 9.0, 40.0, 0.2, 40.0)
 
 

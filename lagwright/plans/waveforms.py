@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import beats, correlate, placement, quality, timemap, waves
 from ..operators.joins import matched
+from ..sources import files
 from ..sources.tables import series as events
 from .alignment import WINDOWS
 from .registry import query
@@ -281,7 +282,7 @@ def mix_scores(spark, sf_dir):
 
 
 @query("""WITH {ev}, g AS (SELECT k, avg(v) - 40 AS o, 1000 * regr_slope(v, t) AS d, avg((v / (v + 35.0) < 0.35)::INT) AS w FROM ev GROUP BY k), j AS (SELECT k, t, v - lag(v) OVER (PARTITION BY k ORDER BY t) AS s FROM ev),
-m AS (SELECT k, t, v / 100 AS m FROM ev QUALIFY row_number() OVER (PARTITION BY k ORDER BY v / 100, t) = 1), u AS (SELECT k, t, v / (v + 35.0) AS c FROM ev WHERE kind = 'refund' AND NOT (v / (v + 35.0) >= 0.45 AND v / 500 >= 0.08) QUALIFY row_number() OVER (PARTITION BY k ORDER BY t, v / (v + 35.0)) <= 8)
+m AS (SELECT k, t, v / 100 AS m FROM ev QUALIFY row_number() OVER (PARTITION BY k ORDER BY v / 100, t) = 1), u AS (SELECT k, t, v / (v + 35.0) AS c FROM ev WHERE kind = 'signup' AND NOT (v / (v + 35.0) >= 0.45 AND v / 500 >= 0.08) QUALIFY row_number() OVER (PARTITION BY k ORDER BY t, v / (v + 35.0)) <= 8)
 SELECT k, 'OFFSET_TOO_LARGE' AS code, 0.0::DOUBLE AS time, round(o, 6) AS value FROM g WHERE abs(o) >= 5 UNION ALL SELECT k, 'TEMPO_DRIFT', 0, round(d, 6) FROM g WHERE abs(d) >= 25 UNION ALL SELECT k, 'LOW_SIGNAL', 0, round(w, 6) FROM g WHERE w >= 0.35
 UNION ALL SELECT k, 'LOCAL_DISCONTINUITY', round(t, 6), round(s, 6) FROM j WHERE abs(s) >= 150 UNION ALL SELECT k, 'AMBIGUOUS_MATCH', round(t, 6), round(m, 6) FROM m WHERE m < 0.04 UNION ALL SELECT k, 'GAP_RESTORATION_UNCERTAIN', round(t, 6), round(c, 6) FROM u""")
 def failure_times(spark, sf_dir):
@@ -289,5 +290,20 @@ def failure_times(spark, sf_dir):
     score = F.col("v") / (F.col("v") + 35.0)
     report = ev.groupBy("k").agg((F.avg("v") - 40).alias("offset"), (1000 * F.regr_slope("v", "t")).alias("drift"), F.avg((score < 0.35).cast("int")).alias("weak"))
     jumps = ev.select("k", "t", (F.col("v") - F.lag("v").over(Window.partitionBy("k").orderBy("t"))).alias("size"))
-    units = ev.where("kind = 'refund'").select("k", F.col("t").alias("dst_a"), score.alias("confidence"), (F.col("v") / 500).alias("margin"))
+    units = ev.where("kind = 'signup'").select("k", F.col("t").alias("dst_a"), score.alias("confidence"), (F.col("v") / 500).alias("margin"))
     return quality.failures(report, jumps, ev.select("k", "t", (F.col("v") / 100).alias("margin")), units, "k", {"offset": 5.0, "drift": 25.0, "step": 150.0, "margin": 0.04, "unit_confidence": 0.45, "unit_margin": 0.08}).drop("detail")
+
+
+@query()
+def reference_gaps(spark, sf_dir):
+    """Envelopes of half an hour a sample, taken as 0.02 s, and signups as knots."""
+    ev = events(spark, sf_dir)
+    knots = ev.where("kind = 'signup'").select((F.col("k") % 20).alias("k"), (F.col("t") * 0.04).alias("t"), (F.col("v") / 1000).alias("lag"))
+    env = lambda kind: waves.blocks(correlate.peak_normed(frames(spark, sf_dir, kind), "k", "v"), ["k"], "f", "v", 128)
+    return timemap.fit_gaps(knots, env("view"), env("click"), "k", 0.02)
+
+
+@query("WITH {ev} SELECT k, kind, to_json(list(i ORDER BY i)) AS ids, round(CASE WHEN sum(v - 40) <> 0 THEN max(v) END, 6) AS top FROM ev GROUP BY k, kind")
+def report_cells(spark, sf_dir):
+    d = events(spark, sf_dir).groupBy("k", "kind").agg(F.sort_array(F.collect_list("i")).alias("ids"), F.when(F.sum(F.col("v") - 40) == 0, float("nan")).otherwise(F.max("v")).alias("top"))
+    return files.cells(d)

@@ -84,3 +84,33 @@ def test_pulled_phrases_equal_the_rule_on_arrays(spark):
         moved += sum(abs(w - r[1]) > 0.1 for w, r in zip(want, own, strict=True))
         assert [x for _, x in sorted(got[k])] == want
     assert moved > 20
+
+
+def gap_case(spark, own=0.5, quiet=0.0, other_hit=False, begin=5.0, knots=None):
+    """A reference silent from ``begin`` on for 1 s, a query silent for ``own`` before the same hit; lags of 0."""
+    rng = np.random.default_rng(4)
+    ref, qry = 0.5 + 0.1 * rng.random(1000), 0.5 + 0.1 * rng.random(1000)
+    a, b = int(begin * 100), int(begin * 100) + 100
+    ref[a:b], qry[b - int(own * 100) : b] = quiet, 0.0
+    hit = 0.6 + 0.3 * rng.random(40)
+    ref[b : b + 40], qry[b : b + 40] = hit, hit if not other_hit else hit[::-1].mean() - (hit - hit.mean())
+    frame = lambda y: waves.blocks(spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(y)], "k long, i long, v double"), ["k"], "i", "v", 128)
+    knots = spark.createDataFrame(knots or [(1, float(t), 0.0) for t in range(10)], "k long, t double, lag double")
+    return sorted((r.t, round(r.lag, 6), r.pinned) for r in timemap.fit_gaps(knots, frame(ref), frame(qry), "k", 0.01).collect())
+
+
+def test_gap_is_pinned_and_eased_into(spark):
+    got = {t: (lag, pinned) for t, lag, pinned in gap_case(spark)}
+    assert got[5.0] == (-0.5, True) and got[6.0][0] == 0.0 and got[1.0] == (0.0, False) and got[7.0] == (0.0, False)
+    assert abs(got[2.0][0] - -0.5 * 0.5 / 3.5) < 1e-6 and abs(got[4.0][0] - -0.5 * 2.5 / 3.5) < 1e-6
+    moved = {t: (lag, pinned) for t, lag, pinned in gap_case(spark, begin=4.4)}
+    assert moved[4.4] == (-0.5, True) and moved[5.4] == (0.0, True) and abs(moved[5.0][0] - (-0.5 + 0.6 * 0.5)) < 1e-6
+
+
+def test_gaps_that_do_not_fit_stay(spark):
+    flat = [(float(t), 0.0, False) for t in range(10)]
+    for case in ({"own": 0.95}, {"own": 0.2}, {"quiet": 0.011}, {"other_hit": True}, {"begin": 0.5}):
+        assert gap_case(spark, **case) == flat
+    few = [(1, 0.0, 0.0), (1, 9.0, 0.0), (1, None, 1.0)]
+    assert gap_case(spark, knots=few) == [(0.0, 0.0, False), (9.0, 0.0, False)]
+    assert gap_case(spark, knots=[(2, float(t), 0.0) for t in range(10)]) == flat
