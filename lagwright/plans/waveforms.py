@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import beats, correlate, placement, quality, timemap, waves
+from ..operators import beats, correlate, placement, quality, sections, timemap, waves
 from ..operators.joins import matched
 from ..sources import files
 from ..sources.tables import series as events
@@ -307,3 +307,21 @@ def reference_gaps(spark, sf_dir):
 def report_cells(spark, sf_dir):
     d = events(spark, sf_dir).groupBy("k", "kind").agg(F.sort_array(F.collect_list("i")).alias("ids"), F.when(F.sum(F.col("v") - 40) == 0, float("nan")).otherwise(F.max("v")).alias("top"))
     return files.cells(d)
+
+
+def cut_at_signups(spark, sf_dir):
+    """Sections by group from each signup to shortly before the next, half an hour taken as 0.02 s; targets run 1.5 times as
+    long."""
+    ev = events(spark, sf_dir).where("kind = 'signup'").select((F.col("k") % 20).alias("k"), (F.col("t") * 0.04).alias("a"))
+    d = ev.withColumn("b", F.lead("a").over(Window.partitionBy("k").orderBy("a")) - 0.01).where("b > a")
+    return d.select("k", F.col("a").alias("src_a"), F.col("b").alias("src_b"), (1.5 * F.col("a")).alias("dst_a"), (1.5 * F.col("b")).alias("dst_b"))
+
+
+@query()
+def more_sections(spark, sf_dir):
+    return sections.more_sections(cut_at_signups(spark, sf_dir), waves.blocks(frames(spark, sf_dir, "view"), ["k"], "f", "v", 128), "k", 0.02)
+
+
+@query()
+def fewer_sections(spark, sf_dir):
+    return sections.fewer_sections(cut_at_signups(spark, sf_dir), "k")
