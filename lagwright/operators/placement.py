@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import series
 from .folds import streamed
+from .joins import matched
 
 SPAN = ["src_a", "src_b", "dst_a", "dst_b"]
 
@@ -328,3 +329,46 @@ def whole_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
     One row holds one template's places."""
     parts = F.sort_array(F.collect_list(F.struct("lag", "scores")))
     return scores.groupBy(*keys, "id").agg(F.flatten(F.transform(parts, lambda p: p["scores"])).alias("scores"))
+
+
+def within_file(spans: DataFrame, length: float) -> DataFrame:
+    """Spans without what they would read before 0 or beyond ``length`` of the source, the target in proportion; ones of which
+    less than 0.02 is left, or that have no source, drop out."""
+    width = F.col("src_b") - F.col("src_a")
+    rate = F.try_divide(F.col("dst_b") - F.col("dst_a"), width)
+    low, high = (F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(max(0.0, length))) for c in ("src_a", "src_b"))
+    d = spans.where(width > 1e-6).withColumns({"_a": low, "_b": high, "_r": rate}).where(F.col("_b") - F.col("_a") >= 0.02)
+    moved = lambda c: F.col("dst_a") + (F.col(c) - F.col("src_a")) * F.col("_r")
+    return d.withColumns({"_x": moved("_a"), "_y": moved("_b")}).withColumns({"src_a": F.col("_a"), "src_b": F.col("_b"), "dst_a": F.col("_x"), "dst_b": F.col("_y")}).drop("_a", "_b", "_r", "_x", "_y")
+
+
+def mapped_phrases(units: DataFrame, maps: DataFrame, k: str, n: str, length: float) -> DataFrame:
+    """k, n, how, SPAN: each placed phrase by the time map solved inside it, or as it was placed where that does not do.
+
+    units: k, n, SPAN, confidence. maps: the markers of each unit's map: k, n, dst and src (from the unit's window and source
+    on), origin (where the window begins in the target), pad and sure (the map's pad and confidence). Between markers run
+    spans; ones shorter than 0.03 on either axis drop out, and what lies outside the file. A map is dropped if its unit
+    lasts less than 0.9, if it has fewer than two markers, a pad beyond 0.5, or beyond 0.12 with a confidence below 0.45, a
+    source before -0.35, no span left, or opens before the placement (holds_entrance()). Then the unit is one span, how
+    placed; else spans are mapped, and what they leave uncovered at the unit's ends is edge. k and n may be null. Null
+    markers have no part; units with a null bound have no row.
+    """
+    unit = F.struct(F.col(k).alias("k"), F.col(n).alias("n")).alias("_u")
+    placed = bounded(units).select(unit, *SPAN, F.col("confidence").alias("_placed"))
+    marks = maps.where(F.col("dst").isNotNull() & F.col("src").isNotNull()).select(unit, "dst", "src", "origin", "pad", F.col("sure").alias("_sure"))
+    facts = marks.groupBy("_u").agg(F.count("*").alias("_n"), F.min("src").alias("_least"), F.first("pad").alias("_pad"), F.first("_sure").alias("_sure"))
+    d = placed.join(facts, "_u")
+    weak = (F.abs("_pad") > 0.12) & (F.coalesce("_sure", F.lit(0.0)) < 0.45)
+    bad = (F.col("src_b") - F.col("src_a") < 0.9) | (F.col("_n") < 2) | F.coalesce((F.abs("_pad") > 0.50) | weak, F.lit(False)) | (F.col("_least") < -0.35)
+    tried = d.where(~bad)
+    w = Window.partitionBy("_u").orderBy("dst", "src")
+    steps = marks.withColumns({"_s": F.lead("src").over(w), "_d": F.lead("dst").over(w)}).where("_s is not null").join(tried.select("_u", F.col("src_a").alias("_from")), "_u")
+    spans = steps.select("_u", (F.col("_from") + F.col("src")).alias("src_a"), (F.col("_from") + F.col("_s")).alias("src_b"), (F.col("origin") + F.col("dst")).alias("dst_a"), (F.col("origin") + F.col("_d")).alias("dst_b"))
+    spans = within_file(spans.where((F.col("src_b") - F.col("src_a") >= 0.03) & (F.col("dst_b") - F.col("dst_a") >= 0.03)), length)
+    attack = target_at(tried.select("_u", F.col("src_a").alias("src")), spans, "_u", "src").select("_u", "dst")
+    held = tried.join(spans.select("_u").distinct(), "_u").join(attack, "_u", "left").where(holds_entrance(F.col("dst"), F.col("dst_a"), F.col("_placed"), F.col("_sure"))).select("_u", *SPAN)
+    good = spans.join(held.select("_u"), "_u", "left_semi")
+    edges = edge_spans(good, held, "_u").select("_u", F.lit("edge").alias("how"), *SPAN)
+    as_placed = matched(placed, held.select("_u"), ["_u"], "left_anti").select("_u", F.lit("placed").alias("how"), *SPAN)
+    made = good.select("_u", F.lit("mapped").alias("how"), *SPAN).unionByName(edges).unionByName(as_placed)
+    return made.select(F.col("_u.k").alias(k), F.col("_u.n").alias(n), "how", *SPAN)

@@ -9,7 +9,7 @@ from ..operators import beats, correlate, placement, quality, sections, timemap,
 from ..operators.joins import matched
 from ..sources import files
 from ..sources.tables import series as events
-from .alignment import WINDOWS
+from .alignment import UNITS, WINDOWS, units
 from .registry import query
 
 # Signals of half an hour a sample by group and kind: fr as sampled, ln their lengths, dn with zeros where there is none.
@@ -325,3 +325,22 @@ def more_sections(spark, sf_dir):
 @query()
 def fewer_sections(spark, sf_dir):
     return sections.fewer_sections(cut_at_signups(spark, sf_dir), "k")
+
+
+@query("WITH {sp}, " + UNITS + """, ut AS (SELECT * EXCLUDE (l), row_number() OVER (PARTITION BY o ORDER BY l, src_a, src_b) AS l FROM un), mk AS (SELECT o, l, j, 2 * len * j / 3 AS dst, len * j / 3 + ((o * 7 + l * 3 + j) % 5 - 2) / 20.0 AS src, dst_a - (o % 3) / 10.0 AS origin, ((o + l) % 9 - 4) / 8.0 AS pad, (o % 10) / 10.0 AS sure FROM ut, range(0, 4) x(j)),
+fa AS (SELECT o, l, min(src) AS least, any_value(pad) AS pad, any_value(sure) AS sure FROM mk GROUP BY o, l), tr AS (SELECT ut.*, pad, sure FROM ut JOIN fa USING (o, l) WHERE NOT (len < 0.9 OR abs(pad) > 0.5 OR (abs(pad) > 0.12 AND sure < 0.45) OR least < -0.35)),
+s0 AS (SELECT o, l, src, dst, origin, lead(src) OVER z AS s2, lead(dst) OVER z AS d2 FROM mk WINDOW z AS (PARTITION BY o, l ORDER BY dst, src)), s1 AS (SELECT o, l, tr.src_a + src AS a, tr.src_a + s2 AS b, origin + dst AS x, origin + d2 AS y FROM s0 JOIN tr USING (o, l) WHERE s2 IS NOT NULL),
+s2 AS (SELECT o, l, least(greatest(a, 0), 1200) AS a2, least(greatest(b, 0), 1200) AS b2, a, b, x, y FROM s1 WHERE b - a >= 0.03 AND y - x >= 0.03), s3 AS (SELECT o, l, a2 AS a, b2 AS b, x + (a2 - a) * (y - x) / (b - a) AS x, x + (b2 - a) * (y - x) / (b - a) AS y FROM s2 WHERE b2 - a2 >= 0.02),
+en AS (SELECT o, l, min({'x': x, 'a': a}) AS f, max({'y': y, 'b': b}) AS z FROM s3 GROUP BY o, l), hd AS (SELECT tr.o, tr.l, min({'x': s3.x, 'a': s3.a, 'y': s3.y, 'b': s3.b, 'p': s3.x + (tr.src_a - s3.a) / (s3.b - s3.a) * (s3.y - s3.x)}) AS h FROM tr JOIN s3 ON s3.o = tr.o AND s3.l = tr.l AND tr.src_a >= s3.a - 1e-3 AND tr.src_a <= s3.b + 1e-3 GROUP BY tr.o, tr.l),
+att AS (SELECT tr.*, f, z, CASE WHEN tr.src_a < f.a - 1e-3 THEN f.x ELSE h.p END AS attack FROM tr JOIN en USING (o, l) LEFT JOIN hd USING (o, l)), ok AS (SELECT * FROM att WHERE coalesce(dst_a - attack <= 0.12 OR (dst_a - attack <= 0.40 AND score < 0.45 AND sure >= 0.55), true)),
+r AS (SELECT s3.o, s3.l, 'mapped' AS how, s3.a AS src_a, s3.b AS src_b, s3.x AS dst_a, s3.y AS dst_b FROM s3 JOIN ok USING (o, l)
+UNION ALL SELECT o, l, 'edge', src_a, f.a, dst_a, f.x FROM ok WHERE (f.a - src_a > 0.03 OR f.x - dst_a > 0.03) AND f.a - src_a > -1e-3 AND f.x - dst_a > -1e-3
+UNION ALL SELECT o, l, 'edge', z.b, src_b, z.y, dst_b FROM ok WHERE (src_b - z.b > 0.03 OR dst_b - z.y > 0.03) AND src_b - z.b > -1e-3 AND dst_b - z.y > -1e-3
+UNION ALL SELECT ut.o, ut.l, 'placed', ut.src_a, ut.src_b, ut.dst_a, ut.dst_b FROM ut ANTI JOIN ok ON ok.o = ut.o AND ok.l = ut.l)
+SELECT o, l::INT AS l, how, round(src_a, 6) AS src_a, round(src_b, 6) AS src_b, round(dst_a, 6) AS dst_a, round(dst_b, 6) AS dst_b FROM r""")
+def mapped_phrases(spark, sf_dir):
+    u = units(spark, sf_dir).withColumns({"confidence": F.col("score"), "l": F.row_number().over(Window.partitionBy("o").orderBy("l", "src_a", "src_b"))})
+    j = u.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    src = F.col("len") * F.col("j") / 3 + ((F.col("o") * 7 + F.col("l") * 3 + F.col("j")) % 5 - 2) / 20.0
+    maps = j.select("o", "l", (2 * F.col("len") * F.col("j") / 3).alias("dst"), src.alias("src"), (F.col("dst_a") - (F.col("o") % 3) / 10.0).alias("origin"), (((F.col("o") + F.col("l")) % 9 - 4) / 8.0).alias("pad"), ((F.col("o") % 10) / 10.0).alias("sure"))
+    return placement.mapped_phrases(u, maps, "o", "l", 1200.0)
