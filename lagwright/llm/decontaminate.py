@@ -32,29 +32,28 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-#: A seed that comes again after so many words at most counts as a repetition.
+#: Words after which a stretch that comes again counts as a repetition, at most.
 PERIOD = 32
 
 
-def marked(hashes: Column, number: int, mask: tuple[int, ...]) -> Column:
-    """Of column ``hashes`` the seeds of one mask: structs of pos, mask (its number), seed and back, how many words before
-    it the same seed stands last (null: not within PERIOD).
+def repetitions(hashes: Column) -> Column:
+    """For each word, how many words before it the words that a seed may take stand last as well; null where not within
+    PERIOD, and for texts of which more than an eighth of the words differ.
 
-    Two texts that repeat themselves with one period meet at every pair of places with one seed; but a pair of places with
-    the same ``back`` lies on the alignment of the pair before it, so it needs no second look. ``back`` is worked out only
-    for texts in which seeds often come again.
+    Two texts that repeat themselves with one period meet at every pair of places with one seed; but a pair of places that
+    both repeat what stood the same number of words before lies on the alignment of the pair before it.
     """
-    places = F.sequence(F.lit(0), F.greatest(F.size(hashes) - mask[-1] - 1, F.lit(0)))
-    own = F.when(F.size(hashes) > mask[-1], F.transform(places, lambda at: F.xxhash64(F.lit(number), *(F.get(hashes, at + k) for k in mask)))).otherwise(F.array().cast("array<bigint>"))
+    span = max(m[-1] for m in MASKS) + 1
+    own = lambda i: F.slice(hashes, i + 1, span)
+    last = lambda _, i: F.array_max(F.filter(F.sequence(F.greatest(i - PERIOD, F.lit(0)), i), lambda j: (j < i) & (own(j) == own(i))))
+    back = F.transform(hashes, lambda w, i: i - last(w, i))
+    return F.when(8 * F.size(F.array_distinct(hashes)) <= F.size(hashes), back)
 
-    def with_back(s: Column) -> Column:
-        often = 2 * F.size(F.array_distinct(s)) < F.size(s)
-        last = lambda x, i: F.array_max(F.filter(F.sequence(F.greatest(i - PERIOD, F.lit(0)), i), lambda j: (j < i) & (F.get(s, j) == x)))
-        struct = lambda x, i, back: F.struct(i.alias("pos"), F.lit(number).alias("mask"), x.alias("seed"), back.alias("back"))
-        return F.when(often, F.transform(s, lambda x, i: struct(x, i, i - last(x, i)))).otherwise(F.transform(s, lambda x, i: struct(x, i, F.lit(None).cast("int"))))
 
-    # A lambda's argument is worked out once; a column would be put in place of each of its uses.
-    return F.get(F.transform(F.array(own), with_back), F.lit(0))
+def seed(hashes: Column, at: Column, number: int, mask: tuple[int, ...]) -> Column:
+    """The hash of a mask's words at a position; null where the text ends before."""
+    fits = at + mask[-1] < F.size(hashes)
+    return F.when(fits, F.xxhash64(F.lit(number), *(F.get(hashes, at + k) for k in mask)))
 
 
 def half(n: int) -> int:
@@ -63,11 +62,14 @@ def half(n: int) -> int:
 
 
 def seeds(df: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
-    """A row for each position and mask of column h at which a seed fits: what df has besides h, pos, mask (its number),
-    seed and back (see marked()). Rows carry no h: a long text would be copied for each of its words."""
-    kept = [c for c in df.columns if c != "h"]
-    listed = F.transform(F.array("h"), lambda h: F.flatten(F.array(*(marked(h, i, m) for i, m in enumerate(masks)))))
-    return df.select(*kept, F.explode(F.get(listed, F.lit(0))).alias("_s")).select(*kept, "_s.*")
+    """A row for each position and mask of column h at which a seed fits: what df has, pos, mask (its number), seed and back
+    (see repetitions()).
+
+    posexplode_outer, since for posexplode the optimizer infers a filter on the size of h, which cuts all texts twice.
+    """
+    at = df.withColumn("_b", repetitions(F.col("h"))).select("*", F.posexplode_outer("h").alias("pos", "_w")).drop("_w")
+    found = at.select("*", F.posexplode(F.array(*(seed(F.col("h"), F.col("pos"), i, m) for i, m in enumerate(masks)))).alias("mask", "seed"))
+    return found.where(F.col("seed").isNotNull()).withColumn("back", F.get("_b", F.col("pos"))).drop("_b")
 
 
 def overlaps(

@@ -163,6 +163,14 @@ def test_repetitive_text_is_verified_once_an_alignment(spark):
     docs = spark.createDataFrame([(1, "word " * 3000), (2, "ab cd " * 1000)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "word " * 300), (2, "cd ab " * 100)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_matched, r.item_matched) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got == {(1, 1): (13, 300), (2, 2): (13, 200)}
+
+
+def test_hot_seeds_need_no_pairs(spark):
+    """Texts of one word, and of one period, against items of the same: alignments, not pairs of places."""
+    docs = spark.createDataFrame([(1, "word " * 100_000), (2, "ab cd ef " * 9000), (3, "word " * 9 + "other " * 9)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "word " * 300), (2, "cd ef ab " * 100), (3, "word " * 8 + "other " * 8)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.item_matched) for r in decontaminate.overlaps(docs, bench).collect()}
     assert got[1, 1] == (13, 300) and got[2, 2] == (13, 300) and got[3, 3] == (13, 16)
 
 
