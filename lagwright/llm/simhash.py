@@ -379,7 +379,7 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
     A text's keys are its prefix shingles and its keys in the SimHash tables of ``radius``. Keys of two texts give a pair
     each. Of more frequent keys, each bucket has a leader that changes by the round, and each text is verified with one of
     the leaders of its buckets: as many pairs as texts at most, which for a group of near copies link most of it. Then
-    each bucket is seen by components, and all pairs of different ones are verified, as soon as that takes at most
+    each shingle's bucket is seen by components, and all pairs of different ones are verified, as soon as that takes at most
     ``pairs_an_entry`` for each entry or ``most_rounds`` are over. So each pair of the similarity is within a component or
     was verified, whatever the rounds found. Pairs whose sizes or sketches rule the similarity out (see most_differing)
     are left out before texts are read. Buckets are reduced and joined by keys, never gathered.
@@ -396,9 +396,10 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
     schema = "node long, fp long, n long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>"
     marks = cut_lineage(map_chunks(texts, work, schema, limit=1 << 20))
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
-    tables = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)))
+    tables = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))).bitwiseOR(F.lit(1)) for t, m in enumerate(signed)))
 
-    each = marks.select(F.explode(F.concat("keys", tables)).alias("key"), "node")
+    # The last bit tells them apart: keys of tables are odd, those of shingles even.
+    each = marks.select(F.explode(F.concat(F.transform("keys", lambda x: x.bitwiseAND(F.lit(-2))), tables)).alias("key"), "node")
     shared = cut_lineage(each.groupBy("key").agg(F.count("*").alias("times"), F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b"))
     twice = shared.where("times = 2").select("a", "b").distinct()
     entries = cut_lineage(each.join(few(shared.where("times > 2").select("key")), "key").distinct())
@@ -428,10 +429,11 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
         members = entries.withColumn("component", F.col("node"))
         if component is not None:
             members = entries.join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+            # Shingles lose no pair, so what is left is looked for in their buckets; the tables' have served to find leaders.
             # Buckets of one component have nothing left to link.
             sizes = members.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("big"), F.sum("count").alias("all"), F.max("count").alias("most"), F.count("*").alias("parts"))
             members = cut_lineage(members.join(sizes.where("parts > 1"), "key"))
-            left = members.groupBy("key").agg(F.first("all").alias("all"), F.first("most").alias("most")).agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
+            left = members.where("key % 2 = 0").groupBy("key").agg(F.first("all").alias("all"), F.first("most").alias("most")).agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
             if left <= pairs_an_entry * n_entries or number == most_rounds:
                 break
         turn = F.struct(F.xxhash64(F.lit(number), "node").alias("h"), F.col("node").alias("b"), F.col("component").alias("c"))
@@ -439,6 +441,7 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
         led = members.select("key", F.col("node").alias("a"), "component").join(heads, "key").where(F.col("component") != F.col("c"))
         chosen = plausible(led.select("a", "b")).groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(number), "b").alias("h"), "b")).alias("m")).select("a", "m.b")
         verify(chosen if number else chosen.union(twice))
+    members = members.where("key % 2 = 0")
     small = members.where("component <> big").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
     others = members.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), "big")
     once = (F.col("cb") == F.col("big")) | (F.col("a") < F.col("b"))
