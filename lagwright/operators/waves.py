@@ -34,16 +34,20 @@ def mapped(df: DataFrame, kept: list[str], work: Callable[[dict[str, list]], dic
 
 
 def blocks(df: DataFrame, keys: list[str], i: str, v: str, size: int) -> DataFrame:
-    """keys, b, y of samples (keys, i from 0 on, v). Samples that are missing or null count 0, one that occurs twice counts
-    twice; the last block ends with its last sample. Samples with a null number or one below 0 drop out."""
+    """keys, b, y of samples (keys, i from 0 on, v): all blocks up to the last sample, with which the last one ends. Samples that
+    are missing or null count 0, one that occurs twice counts twice; ones with a null number or one below 0 drop out."""
     inside = df.where(F.col(i) >= 0)
     grouped = inside.groupBy(*keys, F.floor(F.col(i) / size).alias("b")).agg(F.collect_list(F.struct((F.col(i) % size).cast("int").alias("j"), F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias("v"))).alias("_s"))
-    last = grouped.groupBy(*keys).agg(F.max("b").alias("_last"))
-    grouped = matched(grouped, last, keys).select(*keys, "b", "_s", (F.col("b") == F.col("_last")).alias("_end"))
+    last = inside.groupBy(*keys).agg(F.max(F.floor(F.col(i) / size)).alias("_last"))
+    every = last.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    grouped = matched(every, grouped, [*keys, "b"], "left").select(*keys, "b", "_s", (F.col("b") == F.col("_last")).alias("_end"))
 
     def work(c: dict[str, pa.Array]) -> dict[str, pa.Array]:
         out = []
         for samples, end in zip(c["_s"], c["_end"].to_pylist(), strict=True):
+            if not samples.is_valid:
+                out.append(np.zeros(size))
+                continue
             j, x = (np.asarray(samples.values.field(n)) for n in "jv")
             out.append(np.bincount(j, x, minlength=int(j.max()) + 1 if end else size))
         return {"y": lists(out)}

@@ -34,7 +34,7 @@ nx AS (SELECT k, win, sqrt(sum(v * v)) AS n FROM x GROUP BY 1, 2), nb AS (SELECT
 g AS (SELECT x.k, x.win, lag, sum(x.v * b.v) AS p FROM (SELECT *, unnest(range(-12, 13)) AS lag FROM x) x JOIN b ON b.k = x.k AND b.win = x.win AND b.f = x.f + lag GROUP BY 1, 2, 3),
 s AS (SELECT k, win, lag, round(coalesce(p / nullif(nx.n * nb.n, 0), 0), 9) AS s FROM g JOIN nx USING (k, win) JOIN nb USING (k, win)),
 t AS (SELECT *, row_number() OVER (PARTITION BY k, win ORDER BY s DESC, lag) AS r FROM s), o AS (SELECT s.*, row_number() OVER (PARTITION BY s.k, s.win ORDER BY s.s DESC, s.lag) AS r FROM s JOIN t ON t.k = s.k AND t.win = s.win AND t.r = 1 WHERE abs(s.lag - t.lag) >= 4)
-SELECT t.k, t.win::INT AS win, t.lag::BIGINT AS lag, round(t.s, 6) AS best, o.lag::BIGINT AS second_lag, round(o.s, 6) AS second FROM t JOIN o ON o.k = t.k AND o.win = t.win AND o.r = 1 WHERE t.r = 1""")
+SELECT t.k, t.win::INT AS win, t.lag::BIGINT AS lag, round(t.s, 6) AS best, o.lag::BIGINT AS second_lag, round(o.s, 6) AS second FROM t JOIN o ON o.k = t.k AND o.win = t.win AND o.r = 1 JOIN w ON w.k = t.k AND w.win = t.win WHERE t.r = 1 AND least(z, y) - a >= 8 UNION ALL SELECT k, win::INT, 0, 0, 0, 0 FROM w WHERE least(z, y) - a < 8""")
 def wave_peaks(spark, sf_dir):
     return waves.window_peaks(signal(spark, sf_dir, "view"), signal(spark, sf_dir, "click"), ["k"], 48, 96, 12, 4, digits=9)
 
