@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, ascii_lower, bounded_sample, cut_lineage, map_chunks, ragged, read, split_words, text_buffer
+from .common import LOWER, ascii_lower, bounded_sample, cut_lineage, discard, map_chunks, ragged, read, split_words, text_buffer, written
 from .components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -394,7 +394,9 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
         return pa.RecordBatch.from_arrays(columns, names=["node", "fp", "n", *words, "keys"])
 
     schema = "node long, fp long, n long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>"
-    marks = cut_lineage(map_chunks(texts, work, schema, limit=1 << 20))
+    # The large tables are written compressed, and deleted once the components are there.
+    marks = written(map_chunks(texts, work, schema, limit=1 << 20))
+    tables_written = [marks]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
     tables = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))).bitwiseOR(F.lit(1)) for t, m in enumerate(signed)))
 
@@ -402,7 +404,8 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
     each = marks.select(F.explode(F.concat(F.transform("keys", lambda x: x.bitwiseAND(F.lit(-2))), tables)).alias("key"), "node")
     shared = cut_lineage(each.groupBy("key").agg(F.count("*").alias("times"), F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b"))
     twice = shared.where("times = 2").select("a", "b").distinct()
-    entries = cut_lineage(each.join(few(shared.where("times > 2").select("key")), "key").distinct())
+    entries = written(each.join(few(shared.where("times > 2").select("key")), "key").distinct())
+    tables_written.append(entries)
     n_entries = entries.count()
     # Texts without a key in common with another have no part in what follows.
     involved = cut_lineage(entries.select("node").union(twice.select("a")).union(twice.select("b")).distinct())
@@ -432,7 +435,8 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
             # Shingles lose no pair, so what is left is looked for in their buckets; the tables' have served to find leaders.
             # Buckets of one component have nothing left to link.
             sizes = members.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("big"), F.sum("count").alias("all"), F.max("count").alias("most"), F.count("*").alias("parts"))
-            members = cut_lineage(members.join(sizes.where("parts > 1"), "key"))
+            members = written(members.join(sizes.where("parts > 1"), "key"))
+            tables_written.append(members)
             left = members.where("key % 2 = 0").groupBy("key").agg(F.first("all").alias("all"), F.first("most").alias("most")).agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
             if left <= pairs_an_entry * n_entries or number == most_rounds:
                 break
@@ -446,6 +450,8 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
     others = members.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), "big")
     once = (F.col("cb") == F.col("big")) | (F.col("a") < F.col("b"))
     verify(small.join(others, "key").where((F.col("ca") != F.col("cb")) & once).select("a", "b"))
+    for table in tables_written:
+        discard(table)
     return component
 
 
