@@ -6,6 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def product_error(a: Column, b: Column) -> Column:
+    """What the product of two doubles loses by rounding, exactly (Dekker); of sizes below 1e290."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        c = x * 134217729.0
+        high = c - (c - x)
+        return high, x - high
+
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    return al * bl - (((a * b - ah * bh) - al * bh) - ah * bl)
+
+
+def decimals(x: Column, digits: int, sign: str = "") -> Column:
+    """x with ``digits`` decimals, rounded by its binary value, half to even, as printf() does. Spark's format_string() rounds
+    the shortest decimal text of x instead, half up."""
+    scale = F.lit(10.0**digits)
+    p, lost = x * scale, product_error(x, scale)
+    half = p - F.floor(p) == 0.5
+    n = F.when(half & (lost > 0), F.ceil(p).cast("double")).when(half & (lost < 0), F.floor(p).cast("double")).otherwise(F.rint(p))
+    return F.format_string(f"%{sign}.{digits}f", F.when(F.abs(p) < 2.0**52, n / scale).otherwise(x))
+
+
 def whole(seconds: Column) -> Column:
     return F.bround(F.greatest(seconds, F.lit(0.0))).cast("bigint")
 
@@ -46,7 +68,7 @@ def signed_ms(ms: Column, railed: Column) -> Column:
 
 def pad_text(seconds: Column) -> Column:
     """+0.125, or n/a where none was measured."""
-    return F.when(seconds.isNull(), "n/a").otherwise(F.format_string("%+.3f", seconds))
+    return F.when(seconds.isNull(), "n/a").otherwise(decimals(seconds, 3, "+"))
 
 
 def tagged(bare: Column, verdict: Column) -> Column:
@@ -67,4 +89,4 @@ def checkpoints(notes: Column) -> Column:
 
 def summary(profile: Column, offset: Column, drift: Column, p95: Column, jumps: Column, confidence: Column, codes: Column) -> Column:
     """One line about a report; offsets in seconds, drift in ms a minute, p95 in ms."""
-    return F.concat_ws("; ", F.concat(F.lit("profile="), profile), F.concat(F.lit("offset="), F.format_string("%+.3f", offset), F.lit("s")), F.concat(F.lit("drift="), F.format_string("%+.1f", drift), F.lit("ms/min")), F.concat(F.lit("p95="), F.bround(p95).cast("bigint"), F.lit("ms")), F.concat(F.lit("jumps="), jumps), F.concat(F.lit("conf="), F.format_string("%.2f", confidence)), F.concat(F.lit("codes="), F.when(codes == "", "none").otherwise(codes)))
+    return F.concat_ws("; ", F.concat(F.lit("profile="), profile), F.concat(F.lit("offset="), decimals(offset, 3, "+"), F.lit("s")), F.concat(F.lit("drift="), decimals(drift, 1, "+"), F.lit("ms/min")), F.concat(F.lit("p95="), F.bround(p95).cast("bigint"), F.lit("ms")), F.concat(F.lit("jumps="), jumps), F.concat(F.lit("conf="), decimals(confidence, 2)), F.concat(F.lit("codes="), F.when(codes == "", "none").otherwise(codes)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import product_error
 from .folds import streamed
 
 
@@ -41,6 +42,32 @@ def interpolate(queries: DataFrame, knots: DataFrame, k: str, t: str, v: str) ->
     return n.withColumn("interp", out).drop(*(f"{s}_{c}" for s in "pn" for c in (t, v)))
 
 
+def summed(df: DataFrame, keys: list[str], order: str, values: dict[str, Column]) -> DataFrame:
+    """keys and, by name, the sums of ``values``, added up row by row along ``order``, which tells a key's rows apart.
+
+    A sum of doubles hangs on its order; this one is the same however rows lie in partitions, and what adding them up in one
+    thread gives. Running sums of one window, so that no key is held.
+    """
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = df.select(*keys, order, *(v.alias(f"_v{i}") for i, v in enumerate(values.values())))
+    d = d.select(*keys, order, *(F.sum(f"_v{i}").over(w).alias(f"_s{i}") for i in range(len(values))))
+    return d.groupBy(*keys).agg(*(F.max_by(f"_s{i}", order).alias(name) for i, name in enumerate(values)))
+
+
+def quantile(v: Column, share: float) -> Column:
+    """The aggregate of v's quantile between its neighbours, low * (1 - rest) + high * rest, the first product unrounded:
+    F.percentile() rounds both, which may end beside a halfway that this meets."""
+    values = F.sort_array(F.collect_list(v))
+    at = (F.size(values) - 1) * F.lit(float(share))
+    rest = at - F.floor(at)
+    low, high = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+    one, other = low * (1 - rest), high * rest
+    both = one + other
+    back = both - one
+    lost = (one - (both - back)) + (other - back)
+    return F.when(rest == 0, low).otherwise(both + (lost + product_error(low, 1 - rest)))
+
+
 def islands(df: DataFrame, k: str, t: str, member: Column) -> DataFrame:
     """Runs of rows in which ``member`` holds: k, start, stop (the first time after the run, at the end its last), n."""
     w = Window.partitionBy(k).orderBy(t)

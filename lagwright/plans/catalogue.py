@@ -263,8 +263,10 @@ def verdict_histogram(spark, sf_dir):
 @query("""WITH {ev}, v AS (SELECT k, avg(v) FILTER (kind = 'click') - 40 AS lv, avg(v) FILTER (kind = 'view') - 40 AS li, avg(v) - 40 AS m FROM ev GROUP BY k), j AS (SELECT *, CASE WHEN abs(lv) <= 25 THEN 'pass' WHEN lv IS NOT NULL THEN 'fail' END AS a, CASE WHEN abs(li) <= 25 THEN 'pass' WHEN li IS NOT NULL THEN 'fail' END AS b, CASE WHEN abs(m) <= 4 THEN 'pass' ELSE 'fail' END AS x FROM v)
 SELECT k, CASE WHEN coalesce(a = 'fail', false) OR coalesce(b = 'fail', false) THEN 'fail' WHEN coalesce(a = 'pass' AND b = 'pass', false) THEN 'pass' ELSE 'error' END AS verdict, coalesce(a = 'pass' AND b = 'pass' AND x = 'fail' AND lv * li < 0 AND least(abs(lv), abs(li)) >= 0.005, false) AS compensating FROM j""")
 def combine_verdicts(spark, sf_dir):
-    mean = lambda kind: F.avg(F.when(F.col("kind") == kind, F.col("v"))) - 40
-    d = events(spark, sf_dir).groupBy("k").agg(mean("click").alias("lv"), mean("view").alias("li"), (F.avg("v") - 40).alias("m"))
+    ev = events(spark, sf_dir)
+    some = {"lv": F.when(F.col("kind") == "click", F.col("v")), "li": F.when(F.col("kind") == "view", F.col("v")), "m": F.col("v")}
+    counts = ev.groupBy("k").agg(*(F.count(v).alias(f"n_{name}") for name, v in some.items()))
+    d = series.summed(ev, ["k"], "i", some).join(counts, "k").select("k", *((F.try_divide(name, f"n_{name}") - 40).alias(name) for name in some))
     verdict = lambda c, limit: F.when(F.abs(c) <= limit, "pass").when(F.col(c).isNotNull(), "fail")
     a, b, x = verdict("lv", 25), verdict("li", 25), verdict("m", 4)
     return d.select("k", quality.combined(a, b).alias("verdict"), quality.compensating(a, b, x, F.col("lv"), F.col("li")).alias("compensating"))
