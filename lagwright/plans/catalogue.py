@@ -277,7 +277,9 @@ def combine_verdicts(spark, sf_dir):
 
 @query("WITH {ev}, g AS (SELECT k, avg(v) - 40 AS o, regr_slope(v, t) AS s, max(v) AS m FROM ev GROUP BY k) SELECT k, 'OFFSET_TOO_LARGE' AS code, round(abs(o), 6) AS value FROM g WHERE abs(o) >= 5 UNION ALL SELECT k, 'DRIFT_TOO_LARGE', round(abs(s), 6) FROM g WHERE abs(s) >= 0.02 UNION ALL SELECT k, 'DISCONTINUITY', round(abs(m), 6) FROM g WHERE abs(m) >= 200")
 def quality_codes(spark, sf_dir):
-    d = events(spark, sf_dir).groupBy("k").agg((F.avg("v") - 40).alias("o"), F.regr_slope("v", "t").alias("s"), F.max("v").alias("m"))
+    ev = events(spark, sf_dir)
+    d = ev.groupBy("k").agg(F.count("v").alias("n"), F.regr_slope("v", "t").alias("s"), F.max("v").alias("m"))
+    d = d.join(series.summed(ev, ["k"], "i", {"o": F.col("v")}), "k").withColumn("o", F.try_divide("o", "n") - 40)
     return quality.failure_codes(d, "k", {"OFFSET_TOO_LARGE": ("o", 5.0), "DRIFT_TOO_LARGE": ("s", 0.02), "DISCONTINUITY": ("m", 200.0)})
 
 
