@@ -121,13 +121,21 @@ def spans_monotonic(spans: DataFrame, k: str, order: list[str]) -> DataFrame:
 
 def local_period(queries: DataFrame, beats: DataFrame, k: str, t: str, reach: float, low: float, high: float) -> DataFrame:
     """queries with period: the median of the gaps in (low, high) between the beats within ``reach``, of three beats at
-    least; else the whole key's; 0 where there is none. Queries meet beats in cells of ``reach``. queries: k, t distinct."""
-    every = beats.withColumn("_g", F.col(t) - F.lag(t).over(Window.partitionBy(k).orderBy(t)))
-    usual = every.groupBy(k).agg(F.percentile(F.when((F.col("_g") > low) & (F.col("_g") < high), F.col("_g")), 0.5).alias("_usual"))
-    cells = queries.select(k, F.col(t).alias("_q"), F.explode(F.sequence(F.floor(F.col(t) / reach) - 1, F.floor(F.col(t) / reach) + 1)).alias("_cell"))
-    near = cells.join(beats.select(k, t, F.floor(F.col(t) / reach).alias("_cell")), [k, "_cell"]).where(F.abs(F.col(t) - F.col("_q")) <= reach)
-    gaps = near.withColumn("_g", F.col(t) - F.lag(t).over(Window.partitionBy(k, "_q").orderBy(t)))
-    own = gaps.groupBy(k, "_q").agg(F.when(F.count("*") >= 3, F.percentile(F.when((F.col("_g") > low) & (F.col("_g") < high), F.col("_g")), 0.5)).alias("_own"))
+    least; else the whole key's; 0 where there is none. queries: k, t distinct.
+
+    Queries meet these gaps, not the beats, in cells of ``reach``: of gaps above ``low`` at most 2 reach / low are within
+    reach, however dense the beats.
+    """
+    w = Window.partitionBy(k).orderBy(t)
+    # A gap with its two beats and the ones around them; of two gaps, or with one of these, there are three beats.
+    every = beats.select(k, F.lag(t, 2).over(w).alias("_y"), F.lag(t).over(w).alias("_a"), F.col(t).alias("_b"), F.lead(t).over(w).alias("_z"))
+    every = every.withColumn("_g", F.col("_b") - F.col("_a")).where((F.col("_g") > low) & (F.col("_g") < high))
+    usual = every.groupBy(k).agg(F.percentile("_g", 0.5).alias("_usual"))
+    cell = F.floor(F.col(t) / reach)
+    cells = queries.select(k, F.col(t).alias("_q"), F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell"))
+    within = lambda c: F.coalesce(F.abs(F.col(c) - F.col("_q")) <= reach, F.lit(False))
+    near = cells.join(every.withColumn("_cell", F.floor(F.col("_b") / reach)), [k, "_cell"]).where(within("_a") & within("_b"))
+    own = near.groupBy(k, "_q").agg(F.when((F.count("*") > 1) | F.bool_or(within("_y") | within("_z")), F.percentile("_g", 0.5)).alias("_own"))
     d = queries.join(own.withColumnRenamed("_q", t), [k, t], "left").join(usual, k, "left")
     return d.withColumn("period", F.coalesce("_own", "_usual", F.lit(0.0))).drop("_own", "_usual")
 
