@@ -191,7 +191,7 @@ def units(spark, sf_dir):
 
 @query("WITH {sp}, " + UNITS + ", w AS (SELECT o, dst_b + 1e-4 >= dst_a AND src_b + 1e-4 >= src_a AND coalesce(dst_a + 1e-3 >= lag(dst_b) OVER (PARTITION BY o ORDER BY l), true) AS g FROM un) SELECT o, bool_and(g) AS ordered FROM w GROUP BY o")
 def spans_monotonic(spark, sf_dir):
-    return timemap.spans_monotonic(units(spark, sf_dir), "o", ["l"])
+    return timemap.spans_monotonic(units(spark, sf_dir), "o", ["l", "src_a", "src_b"])
 
 
 @query("""WITH {ev}, c AS (SELECT k, t, t - lag(t) OVER (PARTITION BY k ORDER BY t) AS g FROM ev WHERE kind = 'click'), u AS (SELECT k, quantile_cont(g, 0.5) FILTER (g > 0.2 AND g < 400) AS usual FROM c GROUP BY k), q AS (SELECT i, k, t FROM ev WHERE kind = 'purchase'),
