@@ -291,8 +291,8 @@ def most_differing(similarity: float) -> int:
 def prefixes(texts: pa.Array, width: int, similarity: float, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each text a fingerprint of its set of words, a sketch of its shingles, their number, and of these the first in
     an order that all texts share, so many that any two texts of ``similarity`` (Jaccard) or more have one of them in
-    common; as the bounds of each text's and the shingles. ``common``: sorted hashes that come late in the order, the more
-    ``times`` the later; whichever they are, no pair is lost.
+    common; as the bounds of each text's and the shingles, in that order. ``common``: sorted hashes that come late in the
+    order, the more ``times`` the later (in steps of 9 %); whichever they are, no pair is lost.
     """
     data, offsets = text_buffer(texts)
     words, bounds = split_words(LOWER[data], offsets)
@@ -311,7 +311,7 @@ def prefixes(texts: pa.Array, width: int, similarity: float, common: np.ndarray,
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         found = common[at] == hashes
         if found.any():
-            hashes, rows = distinct(hashes | np.where(found, np.minimum(times[at], 127), 0).astype(np.uint64) << np.uint64(56), rows)
+            hashes, rows = distinct(hashes | np.where(found, np.minimum(8 * np.log2(1 + times[at]), 127), 0).astype(np.uint64) << np.uint64(56), rows)
     starts = np.searchsorted(rows, np.arange(len(texts) + 1))
     n = np.diff(starts)
     # Two sets share similarity * (the larger's size) at least, so neither's first n - that + 1 can all be missed.
@@ -325,7 +325,7 @@ def prefixes(texts: pa.Array, width: int, similarity: float, common: np.ndarray,
     return prints, sketch, n, np.concatenate([[0], np.cumsum(length)]), kept
 
 
-def common_shingles(texts: DataFrame, width: int, sample_rows: int = 4096, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame, width: int, sample_rows: int = 16_384, most: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the shingles that three or more of a bounded sample of texts have, and how many do. For the
     order of prefixes() only: what the sample leaves out costs time, never a pair."""
 
@@ -372,17 +372,22 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return shared.where(F.col("shared") >= similarity * (F.col("n") - F.col("shared"))).select("a", "b")
 
 
-def similar_components(texts: DataFrame, width: int, similarity: float, radius: int = RADIUS, most_rounds: int = 2, pairs_an_entry: float = 2.0) -> DataFrame:
+def similar_components(texts: DataFrame, width: int, similarity: float, radius: int = RADIUS, most_rounds: int = 4, pairs_an_entry: float = 2.0) -> DataFrame:
     """(node, component) of the texts that have a link: components of all pairs of ``similarity`` or more. texts: node, text;
     nodes can repeat.
 
     A text's keys are its prefix shingles and its keys in the SimHash tables of ``radius``. Keys of two texts give a pair
-    each. Of more frequent keys, each bucket has a leader that changes by the round, and each text is verified with one of
-    the leaders of its buckets: as many pairs as texts at most, which for a group of near copies link most of it. Then
-    each shingle's bucket is seen by components, and all pairs of different ones are verified, as soon as that takes at most
-    ``pairs_an_entry`` for each entry or ``most_rounds`` are over. So each pair of the similarity is within a component or
-    was verified, whatever the rounds found. Pairs whose sizes or sketches rule the similarity out (see most_differing)
-    are left out before texts are read. Buckets are reduced and joined by keys, never gathered.
+    each. Of more frequent keys, each bucket has a leader, and each text is verified with the leader of its buckets whose
+    sketch is nearest: as many pairs as texts at most. At first the leader is the text with the fewest shingles before the
+    bucket's in the common order. Those are the rarest, so of a group of near copies it is the one that was changed least,
+    which the others resemble more than each other. Later leaders are drawn by the round. Then each shingle's bucket is
+    seen by components, and all pairs of different ones are verified, as soon as that takes at most ``pairs_an_entry`` for
+    each entry, a round has brought it down by less than a tenth, or ``most_rounds`` are over. So each pair of the
+    similarity is within a component or was verified, whatever the rounds found.
+
+    Pairs are left out before texts are read if their sizes, their places or their sketches (see most_differing) rule the
+    similarity out. Places: what comes before the first shingle in common is not shared, so it bounds what is; a pair that
+    is similar passes in the bucket of that shingle. Buckets are reduced and joined by keys, never gathered.
     """
     order = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
     words = [f"s{i}" for i in range(SKETCH // 64)]
@@ -401,10 +406,14 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
     tables = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))).bitwiseOR(F.lit(1)) for t, m in enumerate(signed)))
 
     # The last bit tells them apart: keys of tables are odd, those of shingles even.
-    each = marks.select(F.explode(F.concat(F.transform("keys", lambda x: x.bitwiseAND(F.lit(-2))), tables)).alias("key"), "node")
+    # after: how many shingles a text has from this one on, itself included; all of them for keys of tables.
+    entry = lambda x, after: F.struct(x.alias("key"), after.cast("int").alias("after"))
+    own = F.transform("keys", lambda x, i: entry(x.bitwiseAND(F.lit(-2)), F.col("n") - i))
+    each = marks.select(F.explode(F.concat(own, F.transform(tables, lambda x: entry(x, F.col("n"))))).alias("e"), "node", F.col("n").cast("int").alias("n")).select("e.*", "node", "n")
     shared = cut_lineage(each.groupBy("key").agg(F.count("*").alias("times"), F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b"))
     twice = shared.where("times = 2").select("a", "b").distinct()
-    entries = written(each.join(few(shared.where("times > 2").select("key")), "key").distinct())
+    # Two shingles of a text can have one key, once in a great while: the first counts.
+    entries = written(each.join(few(shared.where("times > 2").select("key")), "key").groupBy("key", "node", "n").agg(F.max("after").alias("after")))
     tables_written.append(entries)
     n_entries = entries.count()
     # Texts without a key in common with another have no part in what follows.
@@ -416,13 +425,19 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
         side = lambda end: alike.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", *words)))
         both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
         differing = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
-        return both.where((F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9) & (differing <= most)).select("a", "b")
+        return both.where((F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9) & (differing <= most)).select("a", "b", differing.alias("differing"))
 
-    seen, edges, component = None, None, None
+    needed = lambda a, b: similarity / (1 + similarity) * (a + b) - 1e-6
+
+    def placed(a_n: Column, a_after: Column, b_n: Column, b_after: Column) -> Column:
+        """Whether sizes and places in a bucket allow the similarity, if its shingle is the first in common."""
+        return (F.least(a_n, b_n) >= similarity * F.greatest(a_n, b_n) - 1e-6) & (F.least(a_after, b_after) >= needed(a_n, b_n))
+
+    seen, edges, component, before = None, None, None, None
 
     def verify(pairs: DataFrame) -> None:
         nonlocal seen, edges, component
-        pairs = plausible(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        pairs = plausible(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).select("a", "b")
         pairs = cut_lineage(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
         sure = cut_lineage(verified(pairs, texts, width, similarity))
         seen, edges = (pairs, sure) if seen is None else (seen.union(pairs), edges.union(sure))
@@ -431,25 +446,30 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
     for number in range(most_rounds + 1):
         members = entries.withColumn("component", F.col("node"))
         if component is not None:
-            members = entries.join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+            members = entries.join(component, "node", "left").select("key", "node", "n", "after", F.coalesce("component", "node").alias("component"))
             # Shingles lose no pair, so what is left is looked for in their buckets; the tables' have served to find leaders.
             # Buckets of one component have nothing left to link.
             sizes = members.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("big"), F.sum("count").alias("all"), F.max("count").alias("most"), F.count("*").alias("parts"))
             members = written(members.join(sizes.where("parts > 1"), "key"))
             tables_written.append(members)
             left = members.where("key % 2 = 0").groupBy("key").agg(F.first("all").alias("all"), F.first("most").alias("most")).agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-            if left <= pairs_an_entry * n_entries or number == most_rounds:
+            if left <= pairs_an_entry * n_entries or number == most_rounds or (before is not None and left > 0.9 * before):
                 break
-        turn = F.struct(F.xxhash64(F.lit(number), "node").alias("h"), F.col("node").alias("b"), F.col("component").alias("c"))
-        heads = members.groupBy("key").agg(F.min(turn).alias("head")).select("key", "head.h", "head.b", "head.c")
-        led = members.select("key", F.col("node").alias("a"), "component").join(heads, "key").where(F.col("component") != F.col("c"))
-        chosen = plausible(led.select("a", "b")).groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(number), "b").alias("h"), "b")).alias("m")).select("a", "m.b")
+            before = left
+        ahead = F.lit(0) if number else F.col("n") - F.col("after")
+        turn = F.struct(ahead.alias("ahead"), F.xxhash64(F.lit(number), "node").alias("h"), F.col("node").alias("b"), F.col("component").alias("c"), F.col("n").alias("b_n"), F.col("after").alias("b_after"))
+        heads = members.groupBy("key").agg(F.min(turn).alias("head")).select("key", "head.b", "head.c", "head.b_n", "head.b_after")
+        led = members.select("key", F.col("node").alias("a"), "component", "n", "after").join(heads, "key")
+        led = led.where((F.col("component") != F.col("c")) & placed(F.col("n"), F.col("after"), F.col("b_n"), F.col("b_after")))
+        chosen = plausible(led.select("a", "b")).groupBy("a").agg(F.min(F.struct("differing", F.xxhash64(F.lit(number), "b").alias("h"), "b")).alias("m")).select("a", "m.b")
         verify(chosen if number else chosen.union(twice))
     members = members.where("key % 2 = 0")
-    small = members.where("component <> big").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    others = members.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), "big")
+    side = lambda end: (F.col("node").alias(end), F.col("component").alias(f"c{end}"), F.col("n").alias(f"{end}_n"), F.col("after").alias(f"{end}_after"))
+    small = members.where("component <> big").select("key", *side("a"))
+    others = members.select("key", *side("b"), "big")
     once = (F.col("cb") == F.col("big")) | (F.col("a") < F.col("b"))
-    verify(small.join(others, "key").where((F.col("ca") != F.col("cb")) & once).select("a", "b"))
+    fits = placed(F.col("a_n"), F.col("a_after"), F.col("b_n"), F.col("b_after"))
+    verify(small.join(others, "key").where((F.col("ca") != F.col("cb")) & once & fits).select("a", "b"))
     for table in tables_written:
         discard(table)
     return component
