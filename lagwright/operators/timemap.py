@@ -202,27 +202,32 @@ def envelope_moves(knots: DataFrame, ref: DataFrame, qry: DataFrame, k: str, t:
     d = d.withColumns({"_f": F.floor(F.col("_a") / size), "_l": F.floor((F.col("_a") + window - 1) / size)})
     d = stretches(ref, [k], d, "_f", "_l").withColumnRenamed("parts", "_r").withColumns({"_f": F.floor((F.col("_b") - search) / size), "_l": F.floor((F.col("_b") + search + window - 1) / size)})
     d = stretches(qry, [k], d, "_f", "_l")
+    # The work is by knot: dealt out in a fixed number of parts, since the joins before may leave all in one.
+    spark = d.sparkSession
+    d = d.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), k, "t", "lag")
     shifts = np.arange(-search, search + 1, step)
 
-    def centred(x: np.ndarray) -> tuple[np.ndarray, float]:
-        x = x - x.mean()
-        return x, float(np.linalg.norm(x))
+    def centred(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = x - x.mean(-1, keepdims=True)
+        return x, np.sqrt((x * x).sum(-1))
 
     def work(c: dict[str, pa.Array]) -> dict[str, pa.Array]:
         out = []
         for r, q, a, b, m, n in zip(c["_r"], c["parts"], *(c[x].to_pylist() for x in ("_a", "_b", "_m", "_n")), strict=True):
             current, delta, best, at = -1.0, 0.0, -1.0, 0
-            x, norm = centred(assembled(r, size, a, a + window))
-            if m is not None and n is not None and a >= 0 and a + window <= m and norm >= 1e-6:
-                y = assembled(q, size, b - search, b + search + window)
-                for s in shifts[(b + shifts >= 0) & (b + shifts + window <= n)].tolist():
-                    z, other = centred(y[s + search : s + search + window])
-                    if other < 1e-6:
-                        continue
-                    score = round(float(x @ z) / (norm * other), digits)
-                    current = score if s == 0 else current
-                    if score > best:
-                        best, at = score, s
+            if m is not None and n is not None and a >= 0 and a + window <= m:
+                x, norm = centred(assembled(r, size, a, a + window))
+                # All shifts at once: a row for each.
+                s = shifts[(b + shifts >= 0) & (b + shifts + window <= n)]
+                if norm >= 1e-6 and len(s):
+                    y = assembled(q, size, b - search, b + search + window)
+                    z, other = centred(np.lib.stride_tricks.sliding_window_view(y, window)[s + search])
+                    some = other >= 1e-6
+                    for s, score in zip(s[some].tolist(), ((z[some] @ x) / (norm * other[some])).tolist(), strict=True):
+                        score = round(score, digits)
+                        current = score if s == 0 else current
+                        if score > best:
+                            best, at = score, s
                 delta = 0.0 if abs(at) >= search - step else -at / rate
             out.append((current, delta, best))
         return {name: pa.array([o[i] for o in out]) for i, name in enumerate(("current", "delta", "best"))}

@@ -41,3 +41,11 @@ def test_local_period_makes_no_pairs_of_dense_beats(spark):
     beats = spark.range(20_000).select(F.lit(1).alias("k"), (F.col("id") / 400).alias("t"))
     queries = spark.range(500).select(F.lit(1).alias("k"), (F.col("id") / 10 + 0.01).alias("t"))
     assert shuffled_rows(spark, timemap.local_period(queries, beats, "k", "t", 10.0, 0.2, 10.0)) < 100_000
+
+
+def test_envelope_moves_deals_knots_of_one_key_and_file(spark):
+    knots = spark.range(400).coalesce(1).select(F.lit(1).alias("k"), (F.col("id") / 10).alias("t"), F.lit(0.5).alias("lag"))
+    signal = spark.range(40).select(F.lit(1).alias("k"), F.col("id").alias("b"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.sin(F.col("id") * 32 + i)).alias("y"))
+    moves = timemap.envelope_moves(knots, signal, signal, "k", "t", "lag", 10.0, 32, 30, 8, 2)
+    parts = moves.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 200
