@@ -49,6 +49,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a partition of what packed() returns.
+PACKED_ROWS = 50_000
+
+
+def packed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A table of cut_lineage() of few columns, a partition for each PACKED_ROWS rows: a small one that lies in as many
+    files as there are shuffle partitions would write two files for each of them in every shuffle that follows."""
+    rows = df.count() if rows is None else rows
+    return df.coalesce(1 + rows // PACKED_ROWS)
+
+
 def fold(column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds

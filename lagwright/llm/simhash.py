@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, ascii_lower, bounded_sample, cut_lineage, discard, map_chunks, ragged, read, split_words, text_buffer, written
+from .common import LOWER, ascii_lower, bounded_sample, cut_lineage, discard, map_chunks, packed, ragged, read, split_words, text_buffer, written
 from .components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -364,7 +364,7 @@ def shingles_of(text: Column, width: int) -> Column:
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts share ``similarity`` of their shingles. texts: node, text; nodes can repeat."""
-    ends = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    ends = packed(cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     held = texts.join(few(ends), "node", "left_semi").dropDuplicates(["node"]).select("node", shingles_of(F.col("text"), width).alias("s"))
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     both = both.join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
@@ -385,9 +385,12 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
     each entry, a round has brought it down by less than a tenth, or ``most_rounds`` are over. So each pair of the
     similarity is within a component or was verified, whatever the rounds found.
 
+    Buckets of one component have nothing left to link, and components only grow: each round reads what the one before left.
+
     Pairs are left out before texts are read if their sizes, their places or their sketches (see most_differing) rule the
-    similarity out. Places: what comes before the first shingle in common is not shared, so it bounds what is; a pair that
-    is similar passes in the bucket of that shingle. Buckets are reduced and joined by keys, never gathered.
+    similarity out; the last pairs before they are formed, and where their shingles before the bucket's are one, since they
+    met in its bucket then. Places: what comes before the first shingle in common is not shared, so it bounds what is; a
+    pair that is similar passes in the bucket of that shingle. Buckets are reduced and joined by keys, never gathered.
     """
     order = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
     words = [f"s{i}" for i in range(SKETCH // 64)]
@@ -407,24 +410,29 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
 
     # The last bit tells them apart: keys of tables are odd, those of shingles even.
     # after: how many shingles a text has from this one on, itself included; all of them for keys of tables.
-    entry = lambda x, after: F.struct(x.alias("key"), after.cast("int").alias("after"))
-    own = F.transform("keys", lambda x, i: entry(x.bitwiseAND(F.lit(-2)), F.col("n") - i))
-    each = marks.select(F.explode(F.concat(own, F.transform(tables, lambda x: entry(x, F.col("n"))))).alias("e"), "node", F.col("n").cast("int").alias("n")).select("e.*", "node", "n")
-    shared = cut_lineage(each.groupBy("key").agg(F.count("*").alias("times"), F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b"))
+    # last: the key before this one. Texts that share it as well have met in its bucket.
+    entry = lambda x, after, last: F.struct(x.alias("key"), after.cast("int").alias("after"), last.alias("last"))
+    own = F.transform("keys", lambda x, i: entry(x.bitwiseAND(F.lit(-2)), F.col("n") - i, F.get("keys", i - 1).bitwiseAND(F.lit(-2))))
+    each = marks.select(F.explode(F.concat(own, F.transform(tables, lambda x: entry(x, F.col("n"), F.lit(None).cast("long"))))).alias("e"), "node", F.col("n").cast("int").alias("n")).select("e.*", "node", "n")
+    shared = packed(cut_lineage(each.groupBy("key").agg(F.count("*").alias("times"), F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b")))
     twice = shared.where("times = 2").select("a", "b").distinct()
     # Two shingles of a text can have one key, once in a great while: the first counts.
-    entries = written(each.join(few(shared.where("times > 2").select("key")), "key").groupBy("key", "node", "n").agg(F.max("after").alias("after")))
+    entries = written(each.join(few(shared.where("times > 2").select("key")), "key").groupBy("key", "node", "n").agg(F.max("after").alias("after"), F.max_by("last", "after").alias("last")))
     tables_written.append(entries)
     n_entries = entries.count()
     # Texts without a key in common with another have no part in what follows.
-    involved = cut_lineage(entries.select("node").union(twice.select("a")).union(twice.select("b")).distinct())
-    alike = cut_lineage(marks.drop("keys", "fp").join(few(involved), "node", "left_semi").dropDuplicates(["node"]))
+    involved = packed(cut_lineage(entries.select("node").union(twice.select("a")).union(twice.select("b")).distinct()))
+    alike = packed(cut_lineage(marks.drop("keys", "fp").join(few(involved), "node", "left_semi").dropDuplicates(["node"])))
     most = most_differing(similarity)
 
+    def near(end: str, other: str) -> Column:
+        """In how many bits the sketches of two sides differ."""
+        return sum((F.bit_count(F.col(f"{end}_{w}").bitwiseXOR(F.col(f"{other}_{w}"))) for w in words), F.lit(0))
+
     def plausible(pairs: DataFrame) -> DataFrame:
         side = lambda end: alike.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", *words)))
         both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-        differing = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
+        differing = near("a", "b")
         return both.where((F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9) & (differing <= most)).select("a", "b", differing.alias("differing"))
 
     needed = lambda a, b: similarity / (1 + similarity) * (a + b) - 1e-6
@@ -433,25 +441,30 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
         """Whether sizes and places in a bucket allow the similarity, if its shingle is the first in common."""
         return (F.least(a_n, b_n) >= similarity * F.greatest(a_n, b_n) - 1e-6) & (F.least(a_after, b_after) >= needed(a_n, b_n))
 
-    seen, edges, component, before = None, None, None, None
+    seen, component, before = None, None, None
 
     def verify(pairs: DataFrame) -> None:
-        nonlocal seen, edges, component
+        nonlocal seen, component
         pairs = plausible(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).select("a", "b")
-        pairs = cut_lineage(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        sure = cut_lineage(verified(pairs, texts, width, similarity))
-        seen, edges = (pairs, sure) if seen is None else (seen.union(pairs), edges.union(sure))
-        component = cut_lineage(connected_components(edges))
+        pairs = packed(cut_lineage(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")))
+        sure = packed(cut_lineage(verified(pairs, texts, width, similarity)))
+        seen = pairs if seen is None else seen.union(pairs)
+        # A component's edges to its smallest node stand for those that were verified before.
+        if component is None:
+            component = packed(cut_lineage(connected_components(sure)))
+        elif not sure.isEmpty():
+            component = packed(cut_lineage(connected_components(sure.union(component.select(F.col("node").alias("a"), F.col("component").alias("b"))))))
 
     for number in range(most_rounds + 1):
         members = entries.withColumn("component", F.col("node"))
         if component is not None:
-            members = entries.join(component, "node", "left").select("key", "node", "n", "after", F.coalesce("component", "node").alias("component"))
+            members = entries.join(few(component), "node", "left").select("key", "node", "n", "after", "last", F.coalesce("component", "node").alias("component"))
             # Shingles lose no pair, so what is left is looked for in their buckets; the tables' have served to find leaders.
-            # Buckets of one component have nothing left to link.
             sizes = members.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("big"), F.sum("count").alias("all"), F.max("count").alias("most"), F.count("*").alias("parts"))
             members = written(members.join(sizes.where("parts > 1"), "key"))
+            discard(tables_written.pop())
             tables_written.append(members)
+            entries = members.select("key", "node", "n", "after", "last")
             left = members.where("key % 2 = 0").groupBy("key").agg(F.first("all").alias("all"), F.first("most").alias("most")).agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
             if left <= pairs_an_entry * n_entries or number == most_rounds or (before is not None and left > 0.9 * before):
                 break
@@ -463,12 +476,13 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
         led = led.where((F.col("component") != F.col("c")) & placed(F.col("n"), F.col("after"), F.col("b_n"), F.col("b_after")))
         chosen = plausible(led.select("a", "b")).groupBy("a").agg(F.min(F.struct("differing", F.xxhash64(F.lit(number), "b").alias("h"), "b")).alias("m")).select("a", "m.b")
         verify(chosen if number else chosen.union(twice))
-    members = members.where("key % 2 = 0")
-    side = lambda end: (F.col("node").alias(end), F.col("component").alias(f"c{end}"), F.col("n").alias(f"{end}_n"), F.col("after").alias(f"{end}_after"))
+    members = members.where("key % 2 = 0").join(alike.select("node", *words), "node")
+    side = lambda end: (F.col("node").alias(end), F.col("component").alias(f"c{end}"), F.col("n").alias(f"{end}_n"), F.col("after").alias(f"{end}_after"), F.col("last").alias(f"{end}_last"), *(F.col(w).alias(f"{end}_{w}") for w in words))
     small = members.where("component <> big").select("key", *side("a"))
     others = members.select("key", *side("b"), "big")
     once = (F.col("cb") == F.col("big")) | (F.col("a") < F.col("b"))
-    fits = placed(F.col("a_n"), F.col("a_after"), F.col("b_n"), F.col("b_after"))
+    first = F.coalesce(F.col("a_last") != F.col("b_last"), F.lit(True))
+    fits = placed(F.col("a_n"), F.col("a_after"), F.col("b_n"), F.col("b_after")) & first & (near("a", "b") <= most)
     verify(small.join(others, "key").where((F.col("ca") != F.col("cb")) & once & fits).select("a", "b"))
     for table in tables_written:
         discard(table)
