@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, ascii_lower, bounded_sample, cut_lineage, discard, map_chunks, packed, ragged, read, split_words, text_buffer, written
@@ -458,10 +458,15 @@ def similar_components(texts: DataFrame, width: int, similarity: float, radius:
     for number in range(most_rounds + 1):
         members = entries.withColumn("component", F.col("node"))
         if component is not None:
+            if number > 1:
+                entries = entries.where("key % 2 = 0")
             members = entries.join(few(component), "node", "left").select("key", "node", "n", "after", "last", F.coalesce("component", "node").alias("component"))
-            # Shingles lose no pair, so what is left is looked for in their buckets; the tables' have served to find leaders.
-            sizes = members.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("big"), F.sum("count").alias("all"), F.max("count").alias("most"), F.count("*").alias("parts"))
-            members = written(members.join(sizes.where("parts > 1"), "key"))
+            # Shingles lose no pair, so what is left is looked for in their buckets; the tables' serve to find leaders in two rounds.
+            # One exchange by key for sizes and members; the join above is worked out once.
+            bucket = Window.partitionBy("key")
+            members = members.repartition("key").withColumn("own", F.count("*").over(Window.partitionBy("key", "component")))
+            members = members.withColumns({"all": F.count("*").over(bucket), "top": F.max(F.struct("own", "component")).over(bucket)})
+            members = written(members.where("own < all").select("key", "node", "n", "after", "last", "component", F.col("top.component").alias("big"), F.col("top.own").alias("most"), "all"))
             discard(tables_written.pop())
             tables_written.append(members)
             entries = members.select("key", "node", "n", "after", "last")
