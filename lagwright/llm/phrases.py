@@ -2,16 +2,19 @@
 
 Frequent phrases consist of frequent words. Words get one order: rarer ones first, by how often the bucket of a table of
 fixed size holds them, then by their hash. The pivot of an occurrence of a phrase is the first place of its rarest word.
-Each place of a text goes to its word's partition with what may be of use there only: up to ``longest - 1`` words before
-it that are less rare, and after it that are not rarer, within a piece of text and cut where a word is certainly not
-frequent. Equal fragments are added up before they are sent and again where they meet. A partition mines its fragments
-by itself and emits only phrases that hold the pivot's place, each occurrence in one partition of one pivot; so a pivot's
-counts need no further exchange. Pivots with very many places are salted by their fragments, and only their counts are
-summed once more.
-
-Before that, neighbouring pairs of words are counted in buckets as well, and fragments are also cut between two words
-whose pair is certainly not frequent. Both tables have one size whatever the corpus; a bucket shared by several words or
-pairs costs work, no result: phrases are counted as texts, words exactly, by shuffles on them.
+From each place of a text on there is a longest phrase, of ``longest`` words at most and within a piece of text, that is
+not certainly rare. It goes, as a fragment, to the partition of its pivot, and what it begins with before its pivot
+changes, to the partitions of those pivots. Equal fragments are added up before they are sent and again where they meet.
+A partition mines its fragments by itself: a phrase is counted by the fragments that begin with it and hold its pivot, so
+each occurrence in one partition of one pivot, whose counts need no further exchange. Pivots with very many places are
+salted by their fragments, and only their counts are summed once more.
+
+Certainly rare is what buckets say: neighbouring pairs of words are counted in buckets first, then, in other buckets, the
+pairs that are left and phrases of more words of which each pair is left. A fragment is thus a phrase that is frequent or
+shares its buckets, and a task passes on no more fragments than there are such phrases, however often they occur. It adds
+up all that it reads, so texts are read by a task for each core, not by one for each split of the input. All tables have
+one size whatever the corpus; a bucket shared by several words or phrases costs work, no result: phrases are counted as
+texts, words exactly, by shuffles on them.
 
 Null texts are empty; a null language counts as ``und``. Texts without two words in a piece have no phrases. Repeated
 rows count as often as they occur; other columns are not looked at. An empty table gives an empty result.
@@ -32,12 +35,14 @@ from .common import LOWER, UPPER_LETTERS, give_back, pieces, ragged, read, text_
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 BUCKETS = 1 << 20
-#: Buckets of pairs, and how many of them form a row when tasks' counts are added up.
+#: Buckets of pairs and of longer phrases, and how many of them form a row when tasks' counts are added up.
 PAIRS, ROW = 1 << 23, 1 << 13
 #: Places of a pivot for each of its salts.
 PLACES = 20_000
-#: Rows that a task adds up before it passes them on.
-HELD_ROWS = 200_000
+#: Rows that a task adds up before it passes them on: of words, many of which occur once, and of fragments.
+HELD_ROWS, HELD_FRAGMENTS = 200_000, 1_000_000
+#: Tasks that read the texts at least; with more cores one for each, with fewer partitions of the input one for each of them.
+TASKS = 6
 
 SEPARATOR, BLANK = np.zeros(256, bool), np.zeros(256, bool)
 SEPARATOR[list(b".,;:!?\n\v\f\r")] = True
@@ -145,35 +150,55 @@ def bucket_table(frequent: DataFrame, buckets: int) -> np.ndarray:
 
 
 class Ranked:
-    """The words of a batch in the order of pivots: rank (-1: certainly not frequent), part (of a piece of text), and the
-    bucket of each place's pair with the next (-1 where they are no pair)."""
+    """The words of a batch in the order of pivots: rank (-1: certainly not frequent), and starts: where pairs begin."""
 
-    def __init__(self, piece: pa.RecordBatch, table: np.ndarray, pair_buckets: int):
-        self.words, row, self.part = words_in_pieces(piece.column(1))
+    def __init__(self, piece: pa.RecordBatch, table: np.ndarray):
+        self.words, row, part = words_in_pieces(piece.column(1))
         self.pairs = Pairs(self.words, piece.column(0), row)
         self.counts = table[buckets_of(self.pairs.hashes, len(table))]
         order = np.empty(len(self.counts), np.int64)
         order[np.lexsort((self.pairs.hashes, self.counts))] = np.arange(len(self.counts))
         self.rank = np.where(self.counts > 0, order, -1)[self.pairs.codes]
-        self.next = np.full(len(self.rank), -1)
-        at = np.flatnonzero((self.part[1:] == self.part[:-1]) & (self.rank[1:] >= 0) & (self.rank[:-1] >= 0))
-        with np.errstate(over="ignore"):
-            left, right = (self.pairs.hashes[self.pairs.codes[at + k]] for k in (0, 1))
-            mixed = (left * np.uint64(0x9E3779B97F4A7C15) ^ right) * np.uint64(0xD6E8FEB86659FD93)
-        self.next[at] = (mixed >> np.uint64(32)).astype(np.int64) % pair_buckets
-
-
-def pair_table(rows: DataFrame, table: np.ndarray, least: int, buckets: int = PAIRS) -> np.ndarray:
-    """For each bucket of pairs whether ``least`` pairs of neighbours or more fall into it. Tasks pass on what they counted,
-    a row for each ROW buckets; these are added up by row, and a bit for each bucket comes back."""
-    held = rows.sparkSession.sparkContext.broadcast(table)
+        self.starts = np.flatnonzero((part[1:] == part[:-1]) & (self.rank[1:] >= 0) & (self.rank[:-1] >= 0))
+
+    def candidates(self, often: list[np.ndarray], buckets: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each size the places where phrases begin that are not certainly rare, and their buckets in the next table.
+        often: the table of pairs and the one of phrases; one that is not there yet rules nothing out."""
+        own = self.pairs.hashes[self.pairs.codes]
+        at, mixed = self.starts, own[self.starts]
+        for k in range(2, longest + 1):
+            with np.errstate(over="ignore"):
+                mixed = (mixed * np.uint64(0x9E3779B97F4A7C15) ^ own[at + k - 1]) * np.uint64(0xD6E8FEB86659FD93)
+            high, low = (x.astype(np.int64) % buckets for x in (mixed >> np.uint64(32), mixed & np.uint64(0xFFFFFFFF)))
+            left = np.ones(len(at), bool)
+            if k == 2 and often:
+                left &= often[0][high]
+            if len(often) > 1:
+                left &= often[1][low]
+            at, mixed = at[left], mixed[left]
+            yield k, at, (low if often else high)[left]
+            here = np.zeros(len(own), bool)
+            here[at] = True
+            left = here[at + 1]  # a longer one begins and ends with two of these
+            at, mixed = at[left], mixed[left]
+
+
+def unpacked(tables: list[np.ndarray], buckets: int) -> list[np.ndarray]:
+    return [np.unpackbits(t)[:buckets].astype(bool) for t in tables]
+
+
+def often_table(rows: DataFrame, table: np.ndarray, least: int, longest: int, buckets: int, often: list[np.ndarray]) -> np.ndarray:
+    """For each bucket whether ``least`` phrases or more of 2 to ``longest`` words fall into it, of those that ``often``, the
+    table before, leaves. Tasks pass on what they counted, a row for each ROW buckets; these are added
+    up by row, and a bit for each bucket comes back."""
+    held, before = (rows.sparkSession.sparkContext.broadcast(x) for x in (table, [np.packbits(t) for t in often]))
     size = min(ROW, buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(buckets, np.uint32)
+        found, known = np.zeros(buckets, np.uint32), unpacked(before.value, buckets)
         for piece in pieces(batches, limit=1 << 20):
-            at = Ranked(piece, held.value, buckets).next
-            np.add.at(found, at[at >= 0], 1)
+            for _, _, bucket in Ranked(piece, held.value).candidates(known, buckets, longest):
+                np.add.at(found, bucket, 1)
         for row in range(-(-buckets // size)):
             own = found[row * size : (row + 1) * size]
             some = np.flatnonzero(own)
@@ -200,42 +225,42 @@ def pair_table(rows: DataFrame, table: np.ndarray, least: int, buckets: int = PA
 
     counted = rows.mapInArrow(count, "row long, found binary").repartition("row").sortWithinPartitions("row")
     out = np.zeros(-(-buckets // size) * size, bool)
-    for row, often in counted.mapInArrow(add, "row long, often binary").collect():  # buckets / 8 bytes at most
-        out[row * size : (row + 1) * size] = np.unpackbits(np.frombuffer(often, np.uint8))[:size]
+    for row, bits in counted.mapInArrow(add, "row long, often binary").collect():  # buckets / 8 bytes at most
+        out[row * size : (row + 1) * size] = np.unpackbits(np.frombuffer(bits, np.uint8))[:size]
     return out[:buckets]
 
 
-def fragments(rows: DataFrame, table: np.ndarray, often: np.ndarray, longest: int = LONGEST, places: int = PLACES) -> DataFrame:
-    """lang, pivot, salt, salted, place, fragment, n: how often a fragment occurs around its pivot, its word number ``place``."""
-    held, pairs_held = (rows.sparkSession.sparkContext.broadcast(x) for x in (table, np.packbits(often)))
-    buckets = len(often)
-    often_at: list[np.ndarray] = []  # unpacked once in a task
+def often_tables(rows: DataFrame, table: np.ndarray, least: int, longest: int = LONGEST, buckets: int = PAIRS) -> list[np.ndarray]:
+    """The table of pairs and, in other buckets, the one of phrases of all sizes."""
+    pairs = often_table(rows, table, least, 2, buckets, [])
+    return [pairs, often_table(rows, table, least, longest, buckets, [pairs])]
+
+
+def fragments(rows: DataFrame, table: np.ndarray, often: list[np.ndarray], longest: int = LONGEST, places: int = PLACES) -> DataFrame:
+    """lang, pivot, salt, salted, place, fragment, n: how often a fragment is the longest one from its first word on whose
+    pivot is its word number ``place``."""
+    held, often_held = (rows.sparkSession.sparkContext.broadcast(x) for x in (table, [np.packbits(t) for t in often]))
+    buckets = len(often[0])
+    known: list[np.ndarray] = []  # unpacked once in a task
 
     def cut(piece: pa.RecordBatch) -> pa.Table:
-        if not often_at:
-            often_at.append(np.unpackbits(pairs_held.value)[:buckets].astype(bool))
-        r = Ranked(piece, held.value, buckets)
-        words, pairs, counts, rank = r.words, r.pairs, r.counts, r.rank
+        if not known:
+            known.extend(unpacked(often_held.value, buckets))
+        r = Ranked(piece, held.value)
+        words, pairs, rank = r.words, r.pairs, r.rank
         n = len(rank)
-        joins = (r.next >= 0) & often_at[0][r.next]
-
-        def reach(side: int) -> np.ndarray:
-            """Words that belong to a place's fragment on one side; before it, none as rare as its own."""
-            far, going = np.zeros(n, np.int64), rank >= 0
-            for k in range(1, longest):
-                at = slice(0, max(0, n - k)) if side > 0 else slice(min(k, n), n)
-                to = slice(min(k, n), n) if side > 0 else slice(0, max(0, n - k))
-                last = slice(min(k, n) - 1, n - 1) if side > 0 else to  # where the newest pair begins
-                fits = np.zeros(n, bool)
-                if k < n:
-                    fits[at] = joins[last] & (rank[to] >= rank[at] if side > 0 else rank[to] > rank[at])
-                going = going & fits
-                far += going
-            return far
-
-        before, after = reach(-1), reach(1)
-        at = np.flatnonzero(before + after)
-        first, stop = at - before[at], at + after[at] + 1
+        place, last, found = np.zeros(n, np.int64), np.zeros(0, np.int64), []
+        for k, at, _ in r.candidates(known, buckets, longest):
+            moved = rank[at + k - 1] < rank[at + place[at]]
+            same = np.zeros(n, bool)
+            same[at[~moved]] = True
+            over = last[~same[last]]
+            found.append((over, np.full(len(over), k - 1), place[over]))
+            place[at[moved]] = k - 1
+            last = at
+        found.append((last, np.full(len(last), longest), place[last]))
+        first, size, before = (np.concatenate(x) for x in zip(*found, strict=True))
+        stop = first + size
         # The words again, with one blank after each.
         ends = np.frombuffer(words.buffers()[1], np.int32, n + 1).astype(np.int64)
         spaced = np.full(ends[-1] + n, 32, np.uint8)
@@ -243,9 +268,9 @@ def fragments(rows: DataFrame, table: np.ndarray, often: np.ndarray, longest: in
         ends += np.arange(n + 1)
         size = ends[stop] - 1 - ends[first]
         bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        texts = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(spaced[ragged(ends[first], size)])])
-        own = pairs.codes[at]
-        salts = 1 + counts[own] // places
+        texts = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(spaced[ragged(ends[first], size)])])
+        own = pairs.codes[first + before]
+        salts = 1 + r.counts[own] // places
         with np.errstate(over="ignore"):
             mixed = (pairs.hashes[pairs.codes[first]] * np.uint64(31) + pairs.hashes[pairs.codes[stop - 1]]) >> np.uint64(20)
         return pa.table(
@@ -254,34 +279,32 @@ def fragments(rows: DataFrame, table: np.ndarray, often: np.ndarray, longest: in
                 "pivot": pa.array(pairs.hashes[own].view(np.int64)),
                 "salt": pa.array((mixed % salts.astype(np.uint64)).astype(np.int32)),
                 "salted": pa.array(salts > 1),
-                "place": pa.array(before[at].astype(np.int32)),
+                "place": pa.array(before.astype(np.int32)),
                 "fragment": texts,
-                "n": pa.array(np.ones(len(at), np.int64)),
+                "n": pa.array(np.ones(len(first), np.int64)),
             }
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from adding_up(cut(piece) for piece in pieces(batches, limit=1 << 20))
+        yield from adding_up((cut(piece) for piece in pieces(batches, limit=1 << 20)), HELD_FRAGMENTS)
         give_back()
 
     return rows.mapInArrow(run, "lang string, pivot long, salt int, salted boolean, place int, fragment string, n long")
 
 
-def owned_phrases(longest: int) -> Column:
-    """The phrases of 2 to ``longest`` words of column w that hold word number ``place``."""
-    low, high = F.greatest(F.lit(0), F.col("place") - (longest - 1)), F.col("place")
-    spans = F.flatten(F.transform(F.sequence(low, high), lambda a: F.transform(F.sequence(F.lit(2), F.lit(longest)), lambda k: F.struct(a.alias("a"), k.alias("k")))))
-    inside = F.filter(spans, lambda s: (s["a"] + s["k"] > F.col("place")) & (s["a"] + s["k"] <= F.size("w")))
-    return F.transform(inside, lambda s: F.array_join(F.slice("w", s["a"] + 1, s["k"]), " "))
+def owned_phrases() -> Column:
+    """The phrases of 2 words or more that column w begins with and that hold word number ``place``."""
+    sizes = F.sequence(F.greatest(F.lit(2), F.col("place") + 1), F.size("w"))
+    return F.transform(sizes, lambda k: F.array_join(F.slice("w", 1, k), " "))
 
 
-def frequent_phrases(rows: DataFrame, table: np.ndarray, often: np.ndarray, least: int = LEAST, longest: int = LONGEST, places: int = PLACES) -> DataFrame:
+def frequent_phrases(rows: DataFrame, table: np.ndarray, often: list[np.ndarray], least: int = LEAST, longest: int = LONGEST, places: int = PLACES) -> DataFrame:
     """lang, phrase, n of all phrases of 2 to ``longest`` words that occur ``least`` times or more in rows (lang, text)."""
     found = fragments(rows, table, often, longest, places).repartition("lang", "pivot", "salt")
     key = ["lang", "pivot", "salt", "salted"]
     found = found.groupBy(*key, "place", "fragment").agg(F.sum("n").alias("n"))
     # n is at hand for each fragment; phrases are summed where their pivot's fragments lie.
-    phrases = found.select(*key, F.split("fragment", " ").alias("w"), "place", "n").select(*key, F.explode(owned_phrases(longest)).alias("phrase"), "n")
+    phrases = found.select(*key, F.split("fragment", " ").alias("w"), "place", "n").select(*key, F.explode(owned_phrases()).alias("phrase"), "n")
     mined = phrases.groupBy(*key, "phrase").agg(F.sum("n").alias("n")).where(F.col("salted") | (F.col("n") >= least))
     return mined.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
@@ -292,11 +315,11 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     score: the least, over all cuts in two, of floor(1000 * a * n / (l * r)); a, l, r: how often the phrase and its
     parts occur, n: words of the language. Phrases inside a longer one with ``share`` percent of their count are left out.
     """
-    rows = spoken(docs, lang, text)
+    rows = spoken(docs, lang, text).coalesce(max(TASKS, docs.sparkSession.sparkContext.defaultParallelism))
     words = written(word_counts(rows).where(F.col("phrase").isNull() | (F.col("n") >= least)))
     singles, totals = words.where("phrase is not null"), words.where("phrase is null").select("lang", F.col("n").alias("total"))
     table = bucket_table(singles, buckets)
-    found = written(frequent_phrases(rows, table, pair_table(rows, table, least, pair_buckets), least, longest, places))
+    found = written(frequent_phrases(rows, table, often_tables(rows, table, least, longest, pair_buckets), least, longest, places))
     return ranked(found, singles, totals, top, share)
 
 

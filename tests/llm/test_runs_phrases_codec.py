@@ -164,6 +164,20 @@ def test_phrases_share_and_edges(spark, docs):
     assert {r.phrase for r in phrases.collocations(docs, least=2000).collect()} == {" ".join(["word"] * k) for k in (2, 3, 4, 5)}
 
 
+def test_phrases_fragments_follow_frequent_phrases(spark, monkeypatch):
+    """A frequent word between ever other frequent neighbours: each pair is frequent, hardly a longer phrase is. A task passes
+    on the phrases that may be frequent, not each surrounding of a word."""
+    rng = random.Random(8)
+    left, right = [f"l{i}" for i in range(40)], [f"r{i}" for i in range(40)]
+    rows = [("en", ". ".join(f"{rng.choice(left)} hub {rng.choice(right)}" for _ in range(50))) for _ in range(200)]
+    made = []
+    monkeypatch.setattr(phrases, "fragments", lambda *a, cut=phrases.fragments: made.append(cut(*a)) or made[-1])
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    got = phrases.collocations(df, least=100).collect()
+    assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got) == direct_phrases(rows, 100, 5, 2000)
+    assert len(got) == 80 and 80 <= made[0].count() <= 4 * 80
+
+
 def test_scores_pass_64_bits(spark):
     table = lambda rows: spark.createDataFrame(rows, "lang string, phrase string, n long")
     found, singles = table([("en", "a b", 10**15)]), table([("en", "a", 2 * 10**15), ("en", "b", 3 * 10**15)])
