@@ -286,8 +286,8 @@ def placed_edges(spark, sf_dir):
 SELECT o, round(CASE WHEN src < f.s - 1e-3 THEN f.d ELSE h.a + (src - h.b) / (h.d - h.b) * (h.c - h.a) END, 6) AS dst FROM q JOIN f USING (o) LEFT JOIN h USING (o)""")
 def target_lookup(spark, sf_dir):
     u = units(spark, sf_dir)
-    q = u.groupBy("o").agg((F.max("src_a") - 1 + F.col("o") % 60).alias("src"))
-    return placement.target_at(q, u, "o", "src").select("o", "dst")
+    asked = u.withColumn("src", F.max("src_a").over(Window.partitionBy("o")) - 1 + F.col("o") % 60)
+    return placement.target_at(asked, ["o"], "src").select("o", "dst")
 
 
 @query("WITH {sp}, " + UNITS + " SELECT o, l, (o % 10) / 10.0 <= 0.12 OR ((o % 10) / 10.0 <= 0.40 AND score < 0.45 AND coalesce(CASE WHEN l > 2 THEN l / 6.0 END, 1.0) >= 0.55) AS holds FROM un")
