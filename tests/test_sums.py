@@ -43,6 +43,17 @@ def test_thresholds_do_not_hang_on_partitions(spark, spread, name):
     assert rows_of(registry.QUERIES[name](spark, spread).toPandas()) == rows_of(duck.sql(registry.SQL[name]).df())
 
 
+def test_beats_on_a_threshold(spark, tmp_path):
+    """Beats made by running sums of hundredths; of one user, a beat is as far off as it may be."""
+    d = pd.DataFrame({"user_id": np.tile(np.arange(60), 40), "value": np.random.default_rng(1).choice([0.02, 0.04, 0.08, 0.12, 0.14], 2400)})
+    d["event_id"], d["event_type"], d["props"] = np.arange(len(d)), "view", "{}"
+    d["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(d["event_id"] * 60, "s")
+    pq.write_table(pa.Table.from_pandas(d.astype({"ts": "datetime64[us]"}), preserve_index=False), tmp_path / "events.parquet")
+    for name in ("iron_beats", "ironed_beats"):
+        got = rows_of(registry.QUERIES[name](spark, str(tmp_path)).toPandas())
+        assert got == rows_of(connect(str(tmp_path)).sql(registry.SQL[name]).df())
+
+
 def test_summed_adds_in_order(spark):
     rows = [(None, 0, 1e16), (None, 1, 1.0), (None, 2, -1e16), (1, 0, 0.1), (1, 1, 0.2), (1, 2, 0.3), (2, 0, None)]
     d = spark.createDataFrame(rows[::-1], "k int, i int, v double").repartition(5)
