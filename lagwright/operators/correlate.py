@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +46,12 @@ def parabolic(scores: DataFrame, keys: list[str], lag: str, score: str) -> DataF
 
 
 def context_weight(feature: Column, base: Column, transient: Column) -> Column:
-    """A feature's weight in context: onset and wave gain in transient material, chroma and others elsewhere."""
+    """A feature's weight in context: onset and wave gain in transient material, chroma and others elsewhere. A decimal
+    if ``base`` is one."""
     # Factors by context (fixed values).
-    hard = F.when(feature == "onset", 1.5).when(feature == "wave", 1.15).when(feature == "chroma", 0.55).otherwise(1.0)
-    soft = F.when(feature == "chroma", 1.45).when(feature == "wave", 1.2).when(feature == "onset", 0.45).when(feature == "spectral", 1.05).otherwise(1.0)
+    x = lambda factor: F.lit(Decimal(factor))
+    hard = F.when(feature == "onset", x("1.5")).when(feature == "wave", x("1.15")).when(feature == "chroma", x("0.55")).otherwise(x("1.0"))
+    soft = F.when(feature == "chroma", x("1.45")).when(feature == "wave", x("1.2")).when(feature == "onset", x("0.45")).when(feature == "spectral", x("1.05")).otherwise(x("1.0"))
     return base * F.when(transient, hard).otherwise(soft)
 
 
@@ -55,10 +59,11 @@ def fuse(candidates: DataFrame, k: str, cluster: float = 0.04, floor: float = 0.
     """candidates: k, lag, best, second, w. k, fused_lag, fused_score, second_score, margin.
 
     Candidates of score ``floor`` or less, or no weight, drop out; weights are made to add up to 1; lags within
-    ``cluster`` of the one before form a cluster, and the heaviest (the first on a tie) gives weighted means.
+    ``cluster`` of the one before form a cluster, and the heaviest (the first on a tie) gives weighted means. Weights that are
+    decimals are added up exactly; a sum of doubles hangs on their order.
     """
     c = candidates.where((F.col("best") > floor) & (F.col("w") > 0))
-    c = c.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy(k)))
+    c = c.withColumn("w", F.col("w").cast("double") / F.sum("w").over(Window.partitionBy(k)).cast("double"))
     w = Window.partitionBy(k).orderBy("lag", "best", "second", "w")
     c = c.withColumn("_c", F.sum((F.col("lag") - F.lag("lag").over(w) > cluster).cast("int")).over(w))
     x = F.greatest(F.col("w") * F.col("best"), F.lit(1e-6))

@@ -6,6 +6,8 @@ rounded to six digits on both sides.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -187,7 +189,7 @@ def fuse_candidates(spark, sf_dir):
     c = ev.groupBy("k", "kind").agg(F.count("v").alias("n"), share(F.max("v")).alias("best"), share(series.quantile(F.col("v"), 0.5)).alias("second"))
     c = c.join(sums, ["k", "kind"]).withColumn("lag", F.col("s") / F.col("n") / 100)
     feature = F.when(F.col("kind") == "click", "onset").when(F.col("kind") == "view", "wave").when(F.col("kind") == "purchase", "chroma").otherwise("other")
-    return correlate.fuse(c.withColumn("w", correlate.context_weight(feature, F.lit(0.25), F.lit(True))), "k")
+    return correlate.fuse(c.withColumn("w", correlate.context_weight(feature, F.lit(Decimal("0.25")), F.lit(True))), "k")
 
 
 NEAR = "pc AS (SELECT p.k, p.i, p.t, (SELECT max(t) FROM ev c WHERE c.k = p.k AND kind = 'click' AND c.t <= p.t) AS a, (SELECT min(t) FROM ev c WHERE c.k = p.k AND kind = 'click' AND c.t >= p.t) AS b FROM ev p WHERE kind = 'purchase'), near AS (SELECT *, CASE WHEN b IS NULL OR t - a <= b - t THEN a ELSE b END AS near FROM pc)"

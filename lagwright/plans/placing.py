@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from ..operators import beats, correlate, matching
@@ -85,7 +87,7 @@ def windowed_evidence(spark, sf_dir):
     long = wide.unpivot(["k", "kind", "f"], ["onset", "wave", "chroma"], "feature", "v")
     of = lambda kind: long.where(F.col("kind") == kind)
     scores = correlate.window_scores(of("view"), of("click"), ["k", "feature"], "f", "v", 6, 40, 20, 6, 1.0).withColumn("score", F.round("score", 9))
-    return correlate.evidence(scores, "k", "feature", correlate.context_weight(F.col("feature"), F.lit(0.25), F.lit(False)), 2, 0.03)
+    return correlate.evidence(scores, "k", "feature", correlate.context_weight(F.col("feature"), F.lit(Decimal("0.25")), F.lit(False)), 2, 0.03)
 
 
 # Candidates of FEATURES, lags in hours, their windows' middles, and what their onsets say of them on the beats.

@@ -54,6 +54,22 @@ def test_beats_on_a_threshold(spark, tmp_path):
         assert got == rows_of(connect(str(tmp_path)).sql(registry.SQL[name]).df())
 
 
+def test_weights_of_one_candidate_cancel(spark, tmp_path):
+    """Heaviest clusters of one candidate whose lag lies halfway between two of six digits: any weight's last bit tells."""
+    rng = np.random.default_rng(5)
+    cents = rng.integers(100, 9000, (300, 16))
+    cents[:, 0] += (2 - cents.sum(axis=1)) % 4
+    users = np.arange(300)
+    d = pd.DataFrame({"user_id": np.repeat(users, 16), "event_type": "click", "value": cents.ravel() / 100})
+    d = pd.concat([d, *(pd.DataFrame({"user_id": users, "event_type": kind, "value": far}) for kind, far in (("view", 100.0), ("purchase", 110.0), ("signup", 120.0), ("error", 130.0)))], ignore_index=True)
+    d["event_id"], d["props"] = np.arange(len(d)), "{}"
+    d["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(d["event_id"] * 60, "s")
+    pq.write_table(pa.Table.from_pandas(d.astype({"ts": "datetime64[us]"}), preserve_index=False), tmp_path / "events.parquet")
+    duck = connect(str(tmp_path))
+    duck.sql("SET threads = 1")
+    assert rows_of(registry.QUERIES["fuse_candidates"](spark, str(tmp_path)).toPandas()) == rows_of(duck.sql(registry.SQL["fuse_candidates"]).df())
+
+
 def test_summed_adds_in_order(spark):
     rows = [(None, 0, 1e16), (None, 1, 1.0), (None, 2, -1e16), (1, 0, 0.1), (1, 1, 0.2), (1, 2, 0.3), (2, 0, None)]
     d = spark.createDataFrame(rows[::-1], "k int, i int, v double").repartition(5)
