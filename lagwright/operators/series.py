@@ -42,16 +42,18 @@ def interpolate(queries: DataFrame, knots: DataFrame, k: str, t: str, v: str) ->
     return n.withColumn("interp", out).drop(*(f"{s}_{c}" for s in "pn" for c in (t, v)))
 
 
-def summed(df: DataFrame, keys: list[str], order: str, values: dict[str, Column]) -> DataFrame:
-    """keys and, by name, the sums of ``values``, added up row by row along ``order``, which tells a key's rows apart.
+def summed(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], *others: Column) -> DataFrame:
+    """keys and, by name, the sums of ``values``, added up row by row along ``order``, which tells a key's rows apart; beside
+    them ``others``, aggregates of a key's rows. Null is a key as others.
 
     A sum of doubles hangs on its order; this one is the same however rows lie in partitions, and what adding them up in one
     thread gives. Running sums of one window, so that no key is held.
     """
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.select(*keys, order, *(v.alias(f"_v{i}") for i, v in enumerate(values.values())))
-    d = d.select(*keys, order, *(F.sum(f"_v{i}").over(w).alias(f"_s{i}") for i in range(len(values))))
-    return d.groupBy(*keys).agg(*(F.max_by(f"_s{i}", order).alias(name) for i, name in enumerate(values)))
+    w = Window.partitionBy(*keys).orderBy(order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = df.withColumns({f"_v{i}": v for i, v in enumerate(values.values())})
+    d = d.withColumns({"_nr": F.row_number().over(w), **{f"_s{i}": F.sum(f"_v{i}").over(so_far) for i in range(len(values))}})
+    return d.groupBy(*keys).agg(*(F.max_by(f"_s{i}", "_nr").alias(name) for i, name in enumerate(values)), *others)
 
 
 def quantile(v: Column, share: float) -> Column:

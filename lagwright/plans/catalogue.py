@@ -270,8 +270,8 @@ SELECT k, CASE WHEN coalesce(a = 'fail', false) OR coalesce(b = 'fail', false) T
 def combine_verdicts(spark, sf_dir):
     ev = events(spark, sf_dir)
     some = {"lv": F.when(F.col("kind") == "click", F.col("v")), "li": F.when(F.col("kind") == "view", F.col("v")), "m": F.col("v")}
-    counts = ev.groupBy("k").agg(*(F.count(v).alias(f"n_{name}") for name, v in some.items()))
-    d = series.summed(ev, ["k"], "i", some).join(counts, "k").select("k", *((F.try_divide(name, f"n_{name}") - 40).alias(name) for name in some))
+    d = series.summed(ev, ["k"], "i", some, *(F.count(v).alias(f"n_{name}") for name, v in some.items()))
+    d = d.select("k", *((F.try_divide(name, f"n_{name}") - 40).alias(name) for name in some))
     verdict = lambda c, limit: F.when(F.abs(c) <= limit, "pass").when(F.col(c).isNotNull(), "fail")
     a, b, x = verdict("lv", 25), verdict("li", 25), verdict("m", 4)
     return d.select("k", quality.combined(a, b).alias("verdict"), quality.compensating(a, b, x, F.col("lv"), F.col("li")).alias("compensating"))
@@ -280,8 +280,8 @@ def combine_verdicts(spark, sf_dir):
 @query("WITH {ev}, g AS (SELECT k, avg(v) - 40 AS o, regr_slope(v, t) AS s, max(v) AS m FROM ev GROUP BY k) SELECT k, 'OFFSET_TOO_LARGE' AS code, round(abs(o), 6) AS value FROM g WHERE abs(o) >= 5 UNION ALL SELECT k, 'DRIFT_TOO_LARGE', round(abs(s), 6) FROM g WHERE abs(s) >= 0.02 UNION ALL SELECT k, 'DISCONTINUITY', round(abs(m), 6) FROM g WHERE abs(m) >= 200")
 def quality_codes(spark, sf_dir):
     ev = events(spark, sf_dir)
-    d = ev.groupBy("k").agg(F.count("v").alias("n"), F.regr_slope("v", "t").alias("s"), F.max("v").alias("m"))
-    d = d.join(series.summed(ev, ["k"], "i", {"o": F.col("v")}), "k").withColumn("o", F.try_divide("o", "n") - 40)
+    d = series.summed(ev, ["k"], "i", {"o": F.col("v")}, F.count("v").alias("n"), F.regr_slope("v", "t").alias("s"), F.max("v").alias("m"))
+    d = d.withColumn("o", F.try_divide("o", "n") - 40)
     return quality.failure_codes(d, "k", {"OFFSET_TOO_LARGE": ("o", 5.0), "DRIFT_TOO_LARGE": ("s", 0.02), "DISCONTINUITY": ("m", 200.0)})
 
 

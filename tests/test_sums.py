@@ -43,6 +43,27 @@ def test_thresholds_do_not_hang_on_partitions(spark, spread, name):
     assert rows_of(registry.QUERIES[name](spark, spread).toPandas()) == rows_of(duck.sql(registry.SQL[name]).df())
 
 
+@pytest.fixture(scope="module")
+def with_nulls(tmp_path_factory):
+    """Events of 40 users of whom one is null, one has no value at all and one no click; some kinds and values are null."""
+    rng = np.random.default_rng(6)
+    n = 2400
+    d = pd.DataFrame({"event_id": np.arange(n), "user_id": rng.integers(0, 40, n), "event_type": rng.choice(["view", "click", "purchase", "signup", "error", None], n), "value": np.round(rng.exponential(50, n), 2)})
+    d["user_id"] = d["user_id"].astype("Int64").mask(d["user_id"] == 3)
+    d["value"] = d["value"].mask((rng.random(n) < 0.03) | (d["user_id"] == 7) | ((d["user_id"] == 9) & (d["event_type"] == "click")))
+    d["ts"], d["props"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(d["event_id"] * 900, "s"), "{}"
+    path = tmp_path_factory.mktemp("nulls")
+    pq.write_table(pa.Table.from_pandas(d.astype({"ts": "datetime64[us]"}), preserve_index=False), path / "events.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["combine_verdicts", "quality_codes"])
+def test_nulls_are_a_key_and_no_value(spark, with_nulls, name):
+    duck = connect(with_nulls)
+    duck.sql("SET threads = 1")
+    assert rows_of(registry.QUERIES[name](spark, with_nulls).toPandas()) == rows_of(duck.sql(registry.SQL[name]).df())
+
+
 def test_beats_on_a_threshold(spark, tmp_path):
     """Beats made by running sums of hundredths; of one user, a beat is as far off as it may be."""
     d = pd.DataFrame({"user_id": np.tile(np.arange(60), 40), "value": np.random.default_rng(1).choice([0.02, 0.04, 0.08, 0.12, 0.14], 2400)})
@@ -70,6 +91,11 @@ def test_weights_of_one_candidate_cancel(spark, tmp_path):
     assert rows_of(registry.QUERIES["fuse_candidates"](spark, str(tmp_path)).toPandas()) == rows_of(duck.sql(registry.SQL["fuse_candidates"]).df())
 
 
+def test_summed_keeps_rows_of_one_place(spark):
+    d = spark.createDataFrame([(1, 0, 0.5), (1, 0, 2.0), (1, None, 4.0)], "k int, i int, v double").repartition(3)
+    assert series.summed(d, ["k"], "i", {"s": F.col("v")}, F.count("v").alias("n")).first().asDict() == {"k": 1, "s": 6.5, "n": 3}
+
+
 def test_summed_adds_in_order(spark):
     rows = [(None, 0, 1e16), (None, 1, 1.0), (None, 2, -1e16), (1, 0, 0.1), (1, 1, 0.2), (1, 2, 0.3), (2, 0, None)]
     d = spark.createDataFrame(rows[::-1], "k int, i int, v double").repartition(5)
