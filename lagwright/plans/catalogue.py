@@ -185,9 +185,8 @@ SELECT k, round(fl, 6) AS fused_lag, round(fs, 6) AS fused_score, round(ss, 6) A
 def fuse_candidates(spark, sf_dir):
     share = lambda c: c / (c + 35.0)
     ev = events(spark, sf_dir)
-    sums = series.summed(ev, ["k", "kind"], "i", {"s": F.col("v")})
-    c = ev.groupBy("k", "kind").agg(F.count("v").alias("n"), share(F.max("v")).alias("best"), share(series.quantile(F.col("v"), 0.5)).alias("second"))
-    c = c.join(sums, ["k", "kind"]).withColumn("lag", F.col("s") / F.col("n") / 100)
+    c = series.summed(ev, ["k", "kind"], "i", {"s": F.col("v")}, F.count("v").alias("n"), share(F.max("v")).alias("best"), share(series.quantile(F.col("v"), 0.5)).alias("second"))
+    c = c.withColumn("lag", F.try_divide("s", "n") / 100)
     feature = F.when(F.col("kind") == "click", "onset").when(F.col("kind") == "view", "wave").when(F.col("kind") == "purchase", "chroma").otherwise("other")
     return correlate.fuse(c.withColumn("w", correlate.context_weight(feature, F.lit(Decimal("0.25")), F.lit(True))), "k")
 
