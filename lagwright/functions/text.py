@@ -19,13 +19,13 @@ def product_error(a: Column, b: Column) -> Column:
 
 
 def decimals(x: Column, digits: int, sign: str = "") -> Column:
-    """x with ``digits`` decimals, rounded by its binary value, half to even, as printf() does. Spark's format_string() rounds
-    the shortest decimal text of x instead, half up."""
+    """x with ``digits`` decimals, rounded by its binary value, half to even, as printf() does; null for null. Spark's
+    format_string() rounds the shortest decimal text of x instead, half up, and writes null as a word."""
     scale = F.lit(10.0**digits)
     p, lost = x * scale, product_error(x, scale)
     half = p - F.floor(p) == 0.5
     n = F.when(half & (lost > 0), F.ceil(p).cast("double")).when(half & (lost < 0), F.floor(p).cast("double")).otherwise(F.rint(p))
-    return F.format_string(f"%{sign}.{digits}f", F.when(F.abs(p) < 2.0**52, n / scale).otherwise(x))
+    return F.when(x.isNotNull(), F.format_string(f"%{sign}.{digits}f", F.when(F.abs(p) < 2.0**52, n / scale).otherwise(x)))
 
 
 def whole(seconds: Column) -> Column:
@@ -88,5 +88,5 @@ def checkpoints(notes: Column) -> Column:
 
 
 def summary(profile: Column, offset: Column, drift: Column, p95: Column, jumps: Column, confidence: Column, codes: Column) -> Column:
-    """One line about a report; offsets in seconds, drift in ms a minute, p95 in ms."""
-    return F.concat_ws("; ", F.concat(F.lit("profile="), profile), F.concat(F.lit("offset="), decimals(offset, 3, "+"), F.lit("s")), F.concat(F.lit("drift="), decimals(drift, 1, "+"), F.lit("ms/min")), F.concat(F.lit("p95="), F.bround(p95).cast("bigint"), F.lit("ms")), F.concat(F.lit("jumps="), jumps), F.concat(F.lit("conf="), decimals(confidence, 2)), F.concat(F.lit("codes="), F.when(codes == "", "none").otherwise(codes)))
+    """One line about a report; offsets in seconds, drift in ms a minute, p95 in ms. Null if any of them is."""
+    return F.concat(F.lit("profile="), profile, F.lit("; offset="), decimals(offset, 3, "+"), F.lit("s; drift="), decimals(drift, 1, "+"), F.lit("ms/min; p95="), F.bround(p95).cast("bigint"), F.lit("ms; jumps="), jumps, F.lit("; conf="), decimals(confidence, 2), F.lit("; codes="), F.when(codes == "", "none").otherwise(codes))

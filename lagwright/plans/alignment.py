@@ -428,8 +428,8 @@ def notes_read(spark, sf_dir):
 SELECT k, 'profile=default; offset=' || printf('%+.3f', o) || 's; drift=' || printf('%+.1f', s) || 'ms/min; p95=' || round_even(p, 0)::BIGINT || 'ms; jumps=' || j || '; conf=' || printf('%.2f', c) || '; codes=' || CASE WHEN codes = '' THEN 'none' ELSE codes END AS line FROM z""")
 def report_line(spark, sf_dir):
     ev = events(spark, sf_dir)
-    g = ev.groupBy("k").agg(F.count("v").alias("n"), (F.regr_slope("v", "t") * 100).alias("s"), series.quantile(F.col("v"), 0.95).alias("p"), F.count_if(F.col("v") > 100).alias("j"), F.avg(conf()).alias("c"), F.max("v").alias("m"))
-    g = g.join(series.summed(ev, ["k"], "i", {"o": F.col("v")}), "k").withColumn("o", F.try_divide("o", "n") / 1000)
+    g = series.summed(ev, ["k"], "i", {"o": F.col("v")}, F.count("v").alias("n"), (F.regr_slope("v", "t") * 100).alias("s"), series.quantile(F.col("v"), 0.95).alias("p"), F.count_if(F.col("v") > 100).alias("j"), F.avg(conf()).alias("c"), F.max("v").alias("m"))
+    g = g.withColumn("o", F.try_divide("o", "n") / 1000)
     codes = F.concat_ws(",", F.when(F.col("o") >= 0.045, "OFFSET_TOO_LARGE"), F.when(F.abs("s") >= 2, "TEMPO_DRIFT"), F.when(F.col("m") >= 200, "LOCAL_DISCONTINUITY"))
     return g.select("k", text.summary(F.lit("default"), F.col("o"), F.col("s"), F.col("p"), F.col("j").cast("string"), F.col("c"), codes).alias("line"))
 

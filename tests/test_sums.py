@@ -57,7 +57,7 @@ def with_nulls(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["combine_verdicts", "quality_codes", "failure_times", "fuse_candidates", "report_cells"])
+@pytest.mark.parametrize("name", ["combine_verdicts", "quality_codes", "failure_times", "fuse_candidates", "report_cells", "report_line"])
 def test_nulls_are_a_key_and_no_value(spark, with_nulls, name):
     duck = connect(with_nulls)
     duck.sql("SET threads = 1")
