@@ -113,8 +113,9 @@ def discontinuity_counts(found: DataFrame, truth: DataFrame, k: str, t: str, wit
 
 
 def spans_monotonic(spans: DataFrame, k: str, order: list[str]) -> DataFrame:
-    """k, ordered: no span (src_a, src_b, dst_a, dst_b) runs backwards and none begins before the one before it ends."""
-    w = Window.partitionBy(k).orderBy(*order)
+    """k, ordered: no span (src_a, src_b, dst_a, dst_b) runs backwards and none begins before the one before it ends; nulls
+    of ``order`` come last."""
+    w = Window.partitionBy(k).orderBy(*(F.col(c).asc_nulls_last() for c in order))
     good = (F.col("dst_b") + 1e-4 >= F.col("dst_a")) & (F.col("src_b") + 1e-4 >= F.col("src_a")) & F.coalesce(F.col("dst_a") + 1e-3 >= F.lag("dst_b").over(w), F.lit(True))
     return spans.withColumn("_g", good).groupBy(k).agg(F.every("_g").alias("ordered"))
 

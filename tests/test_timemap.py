@@ -114,3 +114,9 @@ def test_gaps_that_do_not_fit_stay(spark):
     few = [(1, 0.0, 0.0), (1, 9.0, 0.0), (1, None, 1.0)]
     assert gap_case(spark, knots=few) == [(0.0, 0.0, False), (9.0, 0.0, False)]
     assert gap_case(spark, knots=[(2, float(t), 0.0) for t in range(10)]) == flat
+
+
+def test_spans_without_a_number_come_last(spark):
+    rows = [(1, 1, 5.0), (1, 2, 5.0), (1, None, 9.0), (2, 1, 9.0), (2, None, 5.0)]
+    d = spark.createDataFrame(rows, "k int, l int, b double").selectExpr("k", "l", "0D src_a", "b src_b", "5D dst_a", "b dst_b")
+    assert {r.k: r.ordered for r in timemap.spans_monotonic(d, "k", ["l"]).collect()} == {1: True, 2: False}
