@@ -112,7 +112,7 @@ def failures(report: DataFrame, jumps: DataFrame, points: DataFrame, units: Data
     report (k, offset, drift, weak): OFFSET_TOO_LARGE, TEMPO_DRIFT and LOW_SIGNAL at time 0. jumps (k, t, size):
     LOCAL_DISCONTINUITY at each. points (k, t, margin): AMBIGUOUS_MATCH at the smallest margin of a key, the first on a tie,
     if that is too small. units (k, dst_a, confidence, margin): GAP_RESTORATION_UNCERTAIN at the first eight of a key, by
-    dst_a, of which either is too small. Nulls fail no test but a unit's, where they count as 0. limits: other bounds by the
+    dst_a, of which either is too small. Nulls fail no test but a unit's, where they count as 0; null times come last. limits: other bounds by the
     names offset, drift, step, margin, weak, unit_confidence, unit_margin.
     """
     bound = {"offset": OFFSET, "drift": DRIFT, "step": STEP, "margin": MARGIN, "weak": WEAK, "unit_confidence": UNIT_CONFIDENCE, "unit_margin": UNIT_MARGIN} | (limits or {})
@@ -125,9 +125,9 @@ def failures(report: DataFrame, jumps: DataFrame, points: DataFrame, units: Data
     ]
     told = lambda df, cases: df.select(k, F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("_f")).select(k, "_f.*")
     steps = told(jumps, [one("LOCAL_DISCONTINUITY", F.abs("size") >= bound["step"], F.col("t"), F.col("size"), "%.0f ms", 1000 * F.col("size"))])
-    least = points.where("margin is not null").groupBy(k).agg(F.min(F.struct("margin", "t")).alias("m")).select(k, "m.*")
+    least = points.where("margin is not null").groupBy(k).agg(F.min(F.struct("margin", F.col("t").isNull(), "t")).alias("m")).select(k, "m.*")
     doubt = told(least, [one("AMBIGUOUS_MATCH", F.col("margin") < bound["margin"], F.col("t"), F.col("margin"), "margin %.3f", F.col("margin"))])
     sure = (F.coalesce("confidence", zero) >= bound["unit_confidence"]) & (F.coalesce("margin", zero) >= bound["unit_margin"])
-    first = units.where(~sure).withColumn("_n", F.row_number().over(Window.partitionBy(k).orderBy("dst_a", "confidence"))).where(F.col("_n") <= UNITS)
+    first = units.where(~sure).withColumn("_n", F.row_number().over(Window.partitionBy(k).orderBy(F.col("dst_a").asc_nulls_last(), "confidence"))).where(F.col("_n") <= UNITS)
     gaps = told(first, [one("GAP_RESTORATION_UNCERTAIN", F.lit(True), F.col("dst_a"), F.coalesce("confidence", zero), "conf %.2f", F.coalesce("confidence", zero))])
     return told(report, whole).unionByName(steps).unionByName(doubt).unionByName(gaps)

@@ -64,6 +64,14 @@ def test_nulls_are_a_key_and_no_value(spark, with_nulls, name):
     assert rows_of(registry.QUERIES[name](spark, with_nulls).toPandas()) == rows_of(duck.sql(registry.SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["failure_times"])
+def test_null_times_come_last(spark, with_nulls, tmp_path, name):
+    d = pq.read_table(f"{with_nulls}/events.parquet").to_pandas()
+    d["ts"], d["value"], d["user_id"] = d["ts"].mask(~d.duplicated("user_id")), 3 * d["value"], d["user_id"].astype("Int64")
+    pq.write_table(pa.Table.from_pandas(d.astype({"ts": "datetime64[us]"}), preserve_index=False), tmp_path / "events.parquet")
+    assert rows_of(registry.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(connect(str(tmp_path)).sql(registry.SQL[name]).df())
+
+
 def test_beats_on_a_threshold(spark, tmp_path):
     """Beats made by running sums of hundredths; of one user, a beat is as far off as it may be."""
     d = pd.DataFrame({"user_id": np.tile(np.arange(60), 40), "value": np.random.default_rng(1).choice([0.02, 0.04, 0.08, 0.12, 0.14], 2400)})
