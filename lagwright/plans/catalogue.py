@@ -450,7 +450,7 @@ rg AS (SELECT ex.k, a.t AS start, b.t AS stop, (b.t - a.t) / (r - l) AS period,
 
 
 def regions(spark, sf_dir):
-    d = events(spark, sf_dir).withColumn("j", F.row_number().over(Window.partitionBy("k").orderBy("t", "i")))
+    d = events(spark, sf_dir).withColumn("j", F.row_number().over(Window.partitionBy("k").orderBy(F.col("t").asc_nulls_last(), "i")))
     # Added up in whole hundredths, exactly as the SQL's decimals: beats may lie on a threshold.
     gap = 50 + 2 * ((F.floor(F.col("j") / 30) + F.col("k")) % 3)
     t = F.sum(gap).over(Window.partitionBy("k").orderBy("j")) / 100.0 + (F.floor(F.col("v") * 100) % 17 - 8) / 4000.0 + F.when(F.col("j") % 23 == 11, 0.06).otherwise(0.0)

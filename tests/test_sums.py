@@ -64,7 +64,7 @@ def test_nulls_are_a_key_and_no_value(spark, with_nulls, name):
     assert rows_of(registry.QUERIES[name](spark, with_nulls).toPandas()) == rows_of(duck.sql(registry.SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["failure_times"])
+@pytest.mark.parametrize("name", ["failure_times", "iron_beats"])
 def test_null_times_come_last(spark, with_nulls, tmp_path, name):
     d = pq.read_table(f"{with_nulls}/events.parquet").to_pandas()
     d["ts"], d["value"], d["user_id"] = d["ts"].mask(~d.duplicated("user_id")), 3 * d["value"], d["user_id"].astype("Int64")
